@@ -1,0 +1,70 @@
+"""Bridge from the driver's ``conversations`` table to the message table.
+
+``conversations`` (conv_id, turn, role, text) carries no account, title, id or
+time, so they are derived deterministically from (conv_id, turn); the same
+arithmetic is used by the SQL oracle. User prompts get one of fifteen
+Vietnamese request phrases in front so that the keyword rules have something to
+match. Pure column arithmetic: narrow, no shuffle, scales with the table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schema import with_times
+
+# Fixture design values of this repository's bridge (not behaviour constants).
+BASE_EPOCH = 1704067200          # 2024-01-01 00:00:00 UTC
+DAY_SPREAD = 90                  # conversations start on one of 90 days
+DEPARTMENTS = 5
+PROMPT_PHRASES = [
+    "Viết email trả lời khách hàng",
+    "Tóm tắt hợp đồng nhà thầu",
+    "Dịch sang tiếng Anh",
+    "So sánh hai công thức, ví dụ",
+    "Lập bảng ngân sách theo định dạng JSON",
+    "Bạn là kỹ sư giám sát thi công",
+    "Fix code python bị bug",
+    "Báo cáo doanh thu tháng",
+    "Tra cứu quy định là gì",
+    "Tuyển dụng ứng viên, phỏng vấn",
+    "Đặt mua văn phòng phẩm",
+    "Thiết kế logo",
+    "Kế hoạch marketing",
+    "xin chào",
+    "",
+]
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def bridge_raw(conversations: DataFrame) -> DataFrame:
+    """conversations -> message rows with epoch seconds (before time normalisation)."""
+    cid, turn = F.col("conv_id"), F.col("turn")
+    dept = F.concat(F.lit("dept_"), (cid % DEPARTMENTS).cast("string"))
+    phrase = F.get(F.array(*[F.lit(p) for p in PROMPT_PHRASES]), ((cid * 3 + turn) % len(PROMPT_PHRASES)).cast("int"))
+    epoch = F.lit(BASE_EPOCH) + ((cid * 37) % DAY_SPREAD) * 86400 + turn * 3600
+    return conversations.select(
+        dept.alias("account"),
+        F.concat(F.lit("c"), cid.cast("string")).alias("conversation_id"),
+        F.concat(F.lit("Conversation "), cid.cast("string")).alias("conversation_title"),
+        F.concat(cid.cast("string"), F.lit("-"), turn.cast("string")).alias("message_id"),
+        F.col("role"),
+        F.lit(None).cast("string").alias("author"),
+        F.when(F.col("role") == "user", F.concat(phrase, F.lit(" "), F.col("text"))).otherwise(F.col("text")).alias(
+            "text"),
+        epoch.cast("double").alias("epoch_seconds"),
+        dept.alias("department"),
+    )
+
+
+def bridge_messages(conversations: DataFrame) -> DataFrame:
+    """conversations -> typed message table (MESSAGE_COLUMNS)."""
+    return with_times(bridge_raw(conversations))
+
+
+def load_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge_messages(read_table(spark, sf_dir, "conversations"))
