@@ -37,8 +37,9 @@ def epoch_to_utc(seconds: Column) -> Column:
 
 
 def utc_to_local(utc: Column, zone: str = LOCAL_TIME_ZONE) -> Column:
-    """UTC TIMESTAMP_NTZ -> wall-clock TIMESTAMP_NTZ in ``zone``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    """UTC TIMESTAMP_NTZ -> wall-clock TIMESTAMP_NTZ in ``zone``; null if the local year leaves 1..9999."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    return F.when(F.year(local).between(1, 9999), local)
 
 
 def month_of(local: Column) -> Column:

@@ -12,6 +12,8 @@ on the driver. Fewer prompts than clusters -> null labels.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
@@ -45,18 +47,23 @@ def tfidf_features(texts: DataFrame, text_col: str = "text", max_features: int =
 
 
 def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_features: int = MAX_FEATURES,
-                    n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER) -> DataFrame:
+                    n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
+                    parallel_restarts: int = 4) -> DataFrame:
     """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters)."""
     if prompts.limit(n_clusters).count() < n_clusters:
         return prompts.withColumn("cluster", F.lit(None).cast("long"))
     # Reused by every restart; recomputable from lineage if an executor is lost.
     feats = tfidf_features(prompts, "text", max_features).persist(StorageLevel.MEMORY_AND_DISK)
-    best, best_cost = None, None
-    for i in range(n_init):
+
+    def fit(i):
         model = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=1e-4,
                        featuresCol="features", predictionCol="_cluster").fit(feats)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
+        return model.summary.trainingCost, i, model
+
+    # Restarts are independent Spark jobs; submitting them from a few threads lets
+    # the scheduler run them side by side. Lowest cost wins, ties by seed order.
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel_restarts))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best = min(fits, key=lambda f: (f[0], f[1]))[2]
     out = best.transform(feats).withColumn("cluster", F.col("_cluster").cast("long"))
     return out.drop("_cluster", "features")

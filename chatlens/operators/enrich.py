@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.quality import prompt_quality
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules, tag_expr
 from ..functions.text import word_count
+from .partitioning import spread_for_cpu
 
 
 def with_role_flags(messages: DataFrame) -> DataFrame:
@@ -28,26 +29,39 @@ def assistant_rows(messages: DataFrame) -> DataFrame:
 
 def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None = None,
               purpose: RuleSet | None = None, with_topic: bool = True, with_purpose: bool = True,
-              with_quality: bool = True, with_words: bool = True, strategy: str = "exists") -> DataFrame:
+              with_quality: bool = True, with_words: bool = True, strategy: str = "exists",
+              spread: bool = True) -> DataFrame:
     """Add topic, purpose, prompt_quality and word_count for a text column.
 
     ``lower(text)`` and the word count are projected once and shared by every
     rule test (check ``explain``: one ``lower`` per row, not one per keyword).
+    ``strategy``: ``'exists'`` (default, JVM, one ``contains`` per keyword),
+    ``'or'`` (same as a flat OR chain) or ``'automaton'`` (one-pass pandas UDF
+    for the two first-match taggers; see ``functions.automaton``).
     """
     topic_rules = topic_rules or default_topic_rules()
     purpose = purpose or purpose_rules()
     text = F.col(text_col)
+    use_automaton = strategy == "automaton"
+    if use_automaton:
+        from ..functions.automaton import HAVE_AUTOMATON, tag_with_automaton
+        use_automaton = HAVE_AUTOMATON
+    jvm_strategy = "exists" if strategy == "automaton" else strategy
+    if spread:
+        df = spread_for_cpu(df)
     out = df.withColumn("_lt", F.lower(text))
     if with_words or with_quality:
         out = out.withColumn("word_count", word_count(text))
     cols = {}
     if with_topic:
-        cols["topic"] = tag_expr(F.col("_lt"), topic_rules, strategy)
+        cols["topic"] = (tag_with_automaton(text, topic_rules) if use_automaton
+                         else tag_expr(F.col("_lt"), topic_rules, jvm_strategy))
     if with_purpose:
-        cols["purpose"] = F.when(F.coalesce(text, F.lit("")) == "", F.lit(purpose.fallback)).otherwise(
-            tag_expr(F.col("_lt"), purpose, strategy))
+        tagged = (tag_with_automaton(text, purpose) if use_automaton
+                  else tag_expr(F.col("_lt"), purpose, jvm_strategy))
+        cols["purpose"] = F.when(F.coalesce(text, F.lit("")) == "", F.lit(purpose.fallback)).otherwise(tagged)
     if with_quality:
-        cols["prompt_quality"] = prompt_quality(text, F.col("word_count"), F.col("_lt"), strategy)
+        cols["prompt_quality"] = prompt_quality(text, F.col("word_count"), F.col("_lt"), jvm_strategy)
     out = out.withColumns(cols) if cols else out
     out = out.drop("_lt")
     if not with_words and "word_count" in out.columns:

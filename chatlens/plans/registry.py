@@ -21,6 +21,7 @@ from ..operators.cluster import cluster_prompts
 from ..operators.distribution import distribution_string
 from ..operators.enrich import tag_texts, user_rows, with_role_flags
 from ..operators.metrics import by_department, by_department_topic, conversation_stats, overview
+from ..operators.partitioning import spread_for_cpu
 from ..operators.period import filter_month
 from ..operators import views
 from ..sources.bridge import bridge_raw, load_messages, read_table
@@ -152,17 +153,17 @@ def q_prompt_quality(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_for_cpu(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def q_document_topic(spark, sf_dir):
-    return tag_texts(_documents(spark, sf_dir), with_purpose=False, with_quality=False, with_words=False).select(
-        "doc_id", "topic")
+    return tag_texts(_documents(spark, sf_dir), with_purpose=False, with_quality=False, with_words=False,
+                     spread=False).select("doc_id", "topic")
 
 
 def q_document_purpose(spark, sf_dir):
-    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_quality=False, with_words=False).select(
-        "doc_id", "purpose")
+    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_quality=False, with_words=False,
+                     spread=False).select("doc_id", "purpose")
 
 
 def q_word_count_documents(spark, sf_dir):

@@ -27,7 +27,9 @@ def with_times(raw: DataFrame, seconds_col: str = "epoch_seconds") -> DataFrame:
     """Add UTC/local times, local date and ``YYYY-MM`` month from epoch seconds, then
     project the message columns in their fixed order (SRC-9, SRC-10)."""
     utc = epoch_to_utc(F.col(seconds_col))
-    out = raw.withColumn("create_time_utc", utc).withColumn("create_time_local", utc_to_local(F.col("create_time_utc")))
+    out = raw.withColumn("_utc", utc).withColumn("create_time_local", utc_to_local(F.col("_utc")))
+    # A time whose local wall clock is out of range is no time at all (both stay null).
+    out = out.withColumn("create_time_utc", F.when(F.col("create_time_local").isNotNull(), F.col("_utc")))
     out = out.withColumn("date", F.to_date(F.col("create_time_local"))).withColumn(
         "month", month_of(F.col("create_time_local")))
     return out.select(*MESSAGE_COLUMNS)

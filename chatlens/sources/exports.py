@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..schema import with_times
 from ..functions.timefn import parse_float_text
+from ..operators.partitioning import spread_for_cpu
 
 _CONV_FIELDS = ("id:variant,conversation_id:variant,title:variant,conversation_title:variant,"
                 "mapping:map<string,variant>,messages:array<variant>")
@@ -150,7 +151,7 @@ def _normalise_roots(docs: DataFrame, json_col: str) -> DataFrame:
 
 
 def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str = "account",
-                    file_col: str | None = None, on_error: str = "file") -> ExportResult:
+                    file_col: str | None = None, on_error: str = "file", spread: bool = True) -> ExportResult:
     """Flatten export documents (one JSON text per row) into the message table.
 
     ``on_error='file'`` drops every row of a document that has a malformed part
@@ -160,7 +161,7 @@ def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str =
     if on_error not in ("file", "record"):
         raise ValueError("on_error must be 'file' or 'record'")
     file_col = file_col or account_col
-    roots = _normalise_roots(docs, json_col)
+    roots = _normalise_roots(spread_for_cpu(docs) if spread else docs, json_col)
     rejected = roots.where(F.col("_reject_reason").isNotNull()).select(
         F.col(file_col).alias("file"), F.col("_reject_reason").alias("reason"))
 
