@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixed_values import (QUALITY_LENGTH_BANDS, QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX,
                            QUALITY_MIN)
-from .rules import any_keyword
+from .rules import any_keyword, any_keyword_sql
 from .text import word_count
 
 
@@ -36,3 +36,16 @@ def prompt_quality(text: Column, words: Column | None = None, lowered_text: Colu
     raw = length_points(words) + marker_points(lowered_text, strategy)
     clamped = F.least(F.lit(QUALITY_MAX), F.greatest(F.lit(QUALITY_MIN), raw))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(clamped).cast("long")
+
+
+def prompt_quality_sql(text_col: str, words_col: str, lowered_col: str, strategy: str = "exists") -> str:
+    """SQL text of :func:`prompt_quality` over column names (one parser call)."""
+    band = ("CASE " + " ".join(f"WHEN {words_col} < {b} THEN {p}" for b, p in QUALITY_LENGTH_BANDS)
+            + f" ELSE {QUALITY_LENGTH_TOP_POINTS} END")
+    parts = [band]
+    for _name, pts, markers in QUALITY_MARKER_GROUPS:
+        kws = list(dict.fromkeys(m.lower() for m in markers))
+        parts.append(f"(CASE WHEN {any_keyword_sql(lowered_col, kws, strategy)} THEN {pts} ELSE 0 END)")
+    total = " + ".join(parts)
+    return (f"CAST(CASE WHEN coalesce({text_col}, '') = '' THEN 0 "
+            f"ELSE least({QUALITY_MAX}, greatest({QUALITY_MIN}, {total})) END AS BIGINT)")

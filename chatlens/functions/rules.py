@@ -93,6 +93,30 @@ def purpose_rules() -> RuleSet:
     return RuleSet.of(PURPOSE_RULES)
 
 
+def sql_string(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_keyword_sql(lowered_col: str, keywords: list[str], strategy: str = "exists") -> str:
+    """SQL text of :func:`any_keyword` over a column name (one parser call instead of one JVM call per keyword)."""
+    if not keywords:
+        return "false"
+    if strategy == "exists":
+        return f"exists(array({', '.join(sql_string(k) for k in keywords)}), k -> contains({lowered_col}, k))"
+    if strategy == "or":
+        return "(" + " OR ".join(f"contains({lowered_col}, {sql_string(k)})" for k in keywords) + ")"
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
+def tag_sql(lowered_col: str, rules: "RuleSet", strategy: str = "exists") -> str:
+    """SQL text of :func:`tag_expr` over a column name."""
+    whens = [f"WHEN {any_keyword_sql(lowered_col, kws, strategy)} THEN {sql_string(label)}"
+             for label, kws in rules.lowered() if kws]
+    fallback = sql_string(rules.fallback)
+    return f"(CASE {' '.join(whens)} ELSE {fallback} END)" if whens else fallback
+
+
 def any_keyword(lowered_text: Column, keywords: list[str], strategy: str = "exists") -> Column:
     """True if any (already lower-cased) keyword occurs in ``lowered_text``."""
     if not keywords:
@@ -109,8 +133,14 @@ def any_keyword(lowered_text: Column, keywords: list[str], strategy: str = "exis
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def tag_expr(lowered_text: Column, rules: RuleSet, strategy: str = "exists") -> Column:
-    """First matching label in rule order, else the fallback (one CASE WHEN ladder)."""
+def tag_expr(lowered_text: Column | str, rules: RuleSet, strategy: str = "exists") -> Column:
+    """First matching label in rule order, else the fallback (one CASE WHEN ladder).
+
+    Pass the lower-cased text as a column *name* to build the expression from
+    SQL text in one call; a Column is accepted too (built piece by piece).
+    """
+    if isinstance(lowered_text, str):
+        return F.expr(tag_sql(lowered_text, rules, strategy))
     expr = None
     for label, kws in rules.lowered():
         if not kws:

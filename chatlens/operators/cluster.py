@@ -48,7 +48,7 @@ def tfidf_features(texts: DataFrame, text_col: str = "text", max_features: int =
 
 def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_features: int = MAX_FEATURES,
                     n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
-                    parallel_restarts: int = 4) -> DataFrame:
+                    parallel_restarts: int = N_INIT) -> DataFrame:
     """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters)."""
     if prompts.limit(n_clusters).count() < n_clusters:
         return prompts.withColumn("cluster", F.lit(None).cast("long"))

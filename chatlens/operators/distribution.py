@@ -1,13 +1,15 @@
 """Labelled share strings per group (AGG-6/7/8, WIN-1, SCL-7, SRT-4).
 
-Input is an already-aggregated count table (group keys, label, n); the number
-of rows per group is bounded by the number of labels in the rule set, so the
-per-group list built here is small whatever the data size.
+Inputs are already-aggregated counts, so the rows per group are bounded by the
+number of labels in the rule sets (at most topics x purposes), whatever the data
+size or skew. Each group's counts are collected into one small array and the
+share lines are built from it with array functions: one shuffle per group key,
+no window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,18 +19,30 @@ def percent_text(n: Column, total: Column) -> Column:
     return F.concat(pct.cast("string"), F.lit("%"))
 
 
-def distribution_lines(counts: DataFrame, keys: list[str], label_col: str, count_col: str = "n") -> DataFrame:
-    """Add ``total`` (sum over the group) and the ``+ label (p%)`` line for each label."""
-    w = Window.partitionBy(*keys)
-    return (counts.withColumn("total", F.sum(count_col).over(w))
-            .withColumn("line", F.concat(F.lit("+ "), F.col(label_col), F.lit(" ("),
-                                         percent_text(F.col(count_col), F.col("total")), F.lit(")"))))
+def lines_from_pairs_sql(pairs: str) -> str:
+    """SQL: ``array<struct<k: -count, l: label>>`` -> ``+ label (p%)`` lines ordered by count descending, then
+    label ascending (D-3), joined by newlines; ``''`` for an empty array. Percent = n / total * 100, half-even."""
+    total = f"aggregate({pairs}, CAST(0 AS BIGINT), (acc, x) -> acc - x.k)"
+    pct = f"CAST(bround(CAST(-x.k AS DOUBLE) / CAST({total} AS DOUBLE) * 100.0D, 0) AS BIGINT)"
+    return (f"array_join(transform(sort_array({pairs}), "
+            f"x -> concat('+ ', x.l, ' (', CAST({pct} AS STRING), '%)')), '\\n')")
+
+
+def counts_by_field_sql(items: str, field: str, count_field: str = "n") -> str:
+    """SQL: group a small array of structs by ``field`` -> ``array<struct<k: -sum(count), l: field>>``."""
+    return (f"transform(array_distinct(transform({items}, x -> x.{field})), lab -> named_struct("
+            f"'k', -aggregate(filter({items}, x -> x.{field} <=> lab), CAST(0 AS BIGINT), (a, x) -> a + x.{count_field}), "
+            f"'l', lab))")
+
+
+def lines_from_pairs(pairs: Column | str) -> Column:
+    """Column version of :func:`lines_from_pairs_sql` (pass a column name)."""
+    return F.expr(lines_from_pairs_sql(pairs if isinstance(pairs, str) else "_pairs"))
 
 
 def distribution_string(counts: DataFrame, keys: list[str], label_col: str, count_col: str = "n",
                         out_col: str = "distribution") -> DataFrame:
-    """Group -> newline-joined lines ordered by count descending, ties by label ascending (D-3)."""
-    lines = distribution_lines(counts, keys, label_col, count_col)
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col(count_col)).alias("k"), F.col(label_col).alias("l"),
-                                                   F.col("line").alias("line"))))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias(out_col))
+    """Group -> newline-joined share lines ordered by count descending, ties by label ascending."""
+    pairs = F.collect_list(F.struct((-F.col(count_col).cast("long")).alias("k"), F.col(label_col).alias("l")))
+    return counts.groupBy(*keys).agg(pairs.alias("_pairs")).select(
+        *keys, F.expr(lines_from_pairs_sql("_pairs")).alias(out_col))

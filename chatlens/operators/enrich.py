@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quality import prompt_quality
+from ..functions.quality import prompt_quality_sql
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules, tag_expr
 from ..functions.text import word_count
 from .partitioning import spread_for_cpu
@@ -55,13 +55,13 @@ def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None
     cols = {}
     if with_topic:
         cols["topic"] = (tag_with_automaton(text, topic_rules) if use_automaton
-                         else tag_expr(F.col("_lt"), topic_rules, jvm_strategy))
+                         else tag_expr("_lt", topic_rules, jvm_strategy))
     if with_purpose:
         tagged = (tag_with_automaton(text, purpose) if use_automaton
-                  else tag_expr(F.col("_lt"), purpose, jvm_strategy))
+                  else tag_expr("_lt", purpose, jvm_strategy))
         cols["purpose"] = F.when(F.coalesce(text, F.lit("")) == "", F.lit(purpose.fallback)).otherwise(tagged)
     if with_quality:
-        cols["prompt_quality"] = prompt_quality(text, F.col("word_count"), F.col("_lt"), jvm_strategy)
+        cols["prompt_quality"] = F.expr(prompt_quality_sql(f"`{text_col}`", "word_count", "_lt", jvm_strategy))
     out = out.withColumns(cols) if cols else out
     out = out.drop("_lt")
     if not with_words and "word_count" in out.columns:

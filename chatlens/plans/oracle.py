@@ -10,6 +10,7 @@ from __future__ import annotations
 from ..functions.fixed_values import (KPI_LADDER, KPI_LOW, KPI_NONE, LOCAL_TIME_ZONE, QUALITY_LENGTH_BANDS,
                                       QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX, QUALITY_MIN,
                                       SPEAKER_OTHER, SPEAKER_USER)
+from ..functions.kpi import kpi_ladder_sql
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from ..sources.bridge import BASE_EPOCH, DAY_SPREAD, DEPARTMENTS, PROMPT_PHRASES
 from .registry import CUSTOM_RULES_JSON, DEPARTMENT_MAP, REPORT_MONTH, REPORT_YEAR, STAFF
@@ -54,28 +55,7 @@ def purpose_sql(text: str, lt: str) -> str:
 
 
 def kpi_sql() -> tuple[str, str]:
-    rating, score = [], []
-    for label, sc, p_min, d_min, t_min, m_min, w_min, alt in KPI_LADDER:
-        conds = []
-        if p_min is not None:
-            c = f"prompts >= {p_min}"
-            if alt is not None:
-                c = f"({c} OR active_days >= {alt})"
-            conds.append(c)
-        if d_min is not None:
-            conds.append(f"active_days >= {d_min}")
-        if t_min is not None:
-            conds.append(f"unique_topics >= {t_min}")
-        if m_min is not None:
-            conds.append(f"avg_prompts_per_conversation >= {m_min}")
-        if w_min is not None:
-            conds.append(f"avg_words_per_prompt >= {w_min}")
-        cond = " AND ".join(conds)
-        rating.append(f"WHEN {cond} THEN {q(label)}")
-        score.append(f"WHEN {cond} THEN {sc}")
-    r = f"CASE {' '.join(rating)} WHEN prompts > 0 THEN {q(KPI_LOW[0])} ELSE {q(KPI_NONE[0])} END"
-    s = f"CAST(CASE {' '.join(score)} WHEN prompts > 0 THEN {KPI_LOW[1]} ELSE {KPI_NONE[1]} END AS BIGINT)"
-    return r, s
+    return kpi_ladder_sql()
 
 
 # ------------------------------------------------------------------ CTEs

@@ -8,8 +8,9 @@ Plan shape (per period; 'period' is the ``month`` column, so one month and
 * prompt cube: user prompts are tagged in the scan stage (narrow), then
   reduced map-side to (department, topic, purpose) -> (n, words) before the
   shuffle, so only a few rows per task leave the map side however large or
-  skewed a department is. Counts, averages, distinct topics and both share
-  strings are derived from that small cube.
+  skewed a department is. The cube rows of a department (at most
+  topics x purposes) are then collected into one small array from which
+  counts, averages, distinct topics and both share strings are computed.
 * the three per-department tables are joined on (month, department); all are
   bounded by departments x months, and AQE turns these joins into broadcasts at
   run time from measured sizes.
@@ -22,10 +23,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kpi import kpi_rating, per_head_score
+from ..functions.kpi import kpi_ladder_sql, per_head_score
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from ..functions.timefn import month_label
-from ..operators.distribution import distribution_string
+from ..operators.distribution import counts_by_field_sql, lines_from_pairs_sql
 from ..operators.enrich import enrich_prompts, with_role_flags
 from ..operators.metrics import by_department, by_department_topic, conversation_stats, overview
 from ..operators.override import apply_department_map, staff_table, with_staff
@@ -51,17 +52,17 @@ def department_metrics(month_df: DataFrame, conv_stats: DataFrame, prompts: Data
     days_part = (month_df.where(F.col("department").isNotNull()).groupBy(*keys)
                  .agg(F.count_distinct("date").alias("active_days")))
     cube = prompt_cube(prompts.where(F.col("department").isNotNull()), period_cols)
-    totals = cube.groupBy(*keys).agg(
-        F.sum("n").alias("prompts"), F.sum("words").alias("_words"),
-        F.count_distinct("topic").alias("unique_topics"))
-    topic_counts = cube.groupBy(*keys, "topic").agg(F.sum("n").alias("n"))
-    purpose_counts = cube.groupBy(*keys, "purpose").agg(F.sum("n").alias("n"))
-    topic_dist = distribution_string(topic_counts, keys, "topic", out_col="topic_distribution")
-    purpose_dist = distribution_string(purpose_counts, keys, "purpose", out_col="purpose_distribution")
+    # One bounded array per department (<= topics x purposes entries) feeds every prompt metric.
+    prompt_part = (cube.groupBy(*keys)
+                   .agg(F.collect_list(F.struct("topic", "purpose", "n", "words")).alias("_items"))
+                   .selectExpr(*[f"`{k}`" for k in keys],
+                               "aggregate(_items, CAST(0 AS BIGINT), (a, x) -> a + x.n) AS prompts",
+                               "aggregate(_items, CAST(0 AS BIGINT), (a, x) -> a + x.words) AS _words",
+                               "size(array_distinct(transform(_items, x -> x.topic))) AS unique_topics",
+                               f"{lines_from_pairs_sql(counts_by_field_sql('_items', 'purpose'))} AS purpose_distribution",
+                               f"{lines_from_pairs_sql(counts_by_field_sql('_items', 'topic'))} AS topic_distribution"))
     out = (conv_part.join(days_part, keys, "inner")
-           .join(totals, keys, "left")
-           .join(purpose_dist, keys, "left")
-           .join(topic_dist, keys, "left"))
+           .join(prompt_part, keys, "left"))
     return out.select(
         *keys,
         "conversations",
@@ -78,10 +79,8 @@ def department_metrics(month_df: DataFrame, conv_stats: DataFrame, prompts: Data
 
 def with_kpi(metrics: DataFrame, staff: DataFrame | None) -> DataFrame:
     """Rating, raw score, staff and per-head KPI score (SCL-5, SCL-6, JOIN-3)."""
-    r = kpi_rating(F.col("prompts"), F.col("active_days"), F.col("unique_topics"),
-                   F.col("avg_prompts_per_conversation"), F.col("avg_words_per_prompt"))
-    out = metrics.withColumn("_kpi", r).withColumns({
-        "rating": F.col("_kpi.rating"), "raw_score": F.col("_kpi.raw_score")}).drop("_kpi")
+    rating, raw = kpi_ladder_sql()
+    out = metrics.withColumns({"rating": F.expr(rating), "raw_score": F.expr(raw)})
     out = with_staff(out, staff)
     return out.withColumn("kpi_score", per_head_score(F.col("raw_score"), F.col("staff")))
 
