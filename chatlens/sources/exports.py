@@ -165,49 +165,48 @@ def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str =
     rejected = roots.where(F.col("_reject_reason").isNotNull()).select(
         F.col(file_col).alias("file"), F.col("_reject_reason").alias("reason"))
 
+    # Dropping is done on arrays before the explode, never with a Filter on the parsed
+    # columns: a Filter would be pushed below the projection with ``from_json`` (and the
+    # variant extraction) inlined, evaluating them twice.
     if on_error == "file":
-        good = roots.where(F.col("_reject_reason").isNull())
+        kept = F.when(F.col("_reject_reason").isNull(), F.col("_convs"))
     else:
-        good = roots.withColumn("_convs", F.expr(f"filter(_convs, c -> c IS NOT NULL AND NOT {_conv_bad('c')})"))
-
-    conv = good.select(F.col(account_col).alias("account"), F.explode("_convs").alias("c"))
+        kept = F.expr(f"filter(_convs, c -> c IS NOT NULL AND NOT {_conv_bad('c')})")
+    conv = roots.select(F.col(account_col).alias("account"), F.explode(kept).alias("c"))
     conv_id = _text(_first_truthy("c.id", "c.conversation_id"))
     title = f"coalesce({_text(_first_truthy('c.title', 'c.conversation_title'))}, '')"
     # One item list per conversation: map nodes when `mapping` is an object, else the message list.
-    items = ("CASE WHEN c.mapping IS NOT NULL THEN "
+    msg_of = "CASE WHEN e.from_map THEN try_variant_get(e.payload, '$.message') ELSE e.payload END"
+    items = ("transform(CASE WHEN c.mapping IS NOT NULL THEN "
              "transform(map_entries(c.mapping), e -> named_struct('node_id', e.key, 'payload', e.value, 'from_map', true)) "
              "ELSE transform(c.messages, m -> named_struct('node_id', CAST(NULL AS STRING), 'payload', m, "
-             "'from_map', false)) END")
+             f"'from_map', false)) END, e -> named_struct('node_id', e.node_id, 'from_map', e.from_map, 'msg', {msg_of}))")
+    # Per item, every field is extracted once inside the lambda (``m.msg`` is bound once).
+    author = _get("m.msg", "$.author")
+    role_v = (f"CASE WHEN m.from_map THEN {_get(author, '$.role')} "
+              f"ELSE {_first_truthy(_get(author, '$.role'), _get('m.msg', '$.role'))} END")
+    ts_v = (f"CASE WHEN m.from_map THEN {_get('m.msg', '$.create_time')} "
+            f"ELSE {_first_truthy(_get('m.msg', '$.create_time'), _get('m.msg', '$.timestamp'))} END")
+    mid = (f"CASE WHEN m.from_map THEN coalesce({_text(_first_truthy(_get('m.msg', '$.id')))}, m.node_id) "
+           f"ELSE {_text(_get('m.msg', '$.id'))} END")
+    fields = (f"transform({items}, m -> named_struct("
+              f"'from_map', m.from_map, 'msg_truthy', {_truthy('m.msg')}, 'role_v', {role_v}, "
+              f"'author', {_text(_get(author, '$.name'))}, 'text', {_message_text('m.msg')}, "
+              f"'ts_v', {ts_v}, 'message_id', {mid}))")
+    # Map nodes need a truthy message, a truthy role and non-empty text; list items are all kept.
+    kept_items = f"filter({fields}, x -> NOT x.from_map OR (x.msg_truthy AND {_truthy('x.role_v')} AND x.text <> ''))"
     rows = conv.select(
         "account",
         F.expr(conv_id).alias("conversation_id"),
         F.expr(title).alias("conversation_title"),
-        F.explode(F.expr(items)).alias("it"),
+        F.explode(F.expr(kept_items)).alias("x"),
     )
-    msg = "(CASE WHEN it.from_map THEN try_variant_get(it.payload, '$.message') ELSE it.payload END)"
-    rows = rows.select("account", "conversation_id", "conversation_title", "it.node_id", "it.from_map",
-                       F.expr(msg).alias("msg"))
-    author = _get("msg", "$.author")
-    role_v = (f"(CASE WHEN from_map THEN {_get(author, '$.role')} "
-              f"ELSE {_first_truthy(_get(author, '$.role'), _get('msg', '$.role'))} END)")
-    ts_v = (f"(CASE WHEN from_map THEN {_get('msg', '$.create_time')} "
-            f"ELSE {_first_truthy(_get('msg', '$.create_time'), _get('msg', '$.timestamp'))} END)")
-    mid = (f"(CASE WHEN from_map THEN coalesce({_text(_first_truthy(_get('msg', '$.id')))}, node_id) "
-           f"ELSE {_text(_get('msg', '$.id'))} END)")
-    flat = rows.select(
-        "account", "conversation_id", "conversation_title", "from_map",
-        F.expr(f"{_truthy('msg')}").alias("_msg_truthy"),
-        F.expr(role_v).alias("_role_v"),
-        F.expr(_text(f"try_variant_get({author}, '$.name')")).alias("author"),
-        F.expr(_message_text("msg")).alias("text"),
-        F.expr(ts_v).alias("_ts_v"),
-        F.expr(mid).alias("message_id"),
-    )
-    # Map nodes need a truthy message, a truthy role and non-empty text; list items are all kept.
-    keep = (~F.col("from_map")) | (F.col("_msg_truthy") & F.expr(_truthy("_role_v")) & (F.col("text") != ""))
+    flat = rows.select("account", "conversation_id", "conversation_title",
+                       F.col("x.role_v").alias("_role_v"), F.col("x.author").alias("author"),
+                       F.col("x.text").alias("text"), F.col("x.ts_v").alias("_ts_v"),
+                       F.col("x.message_id").alias("message_id"))
     seconds = F.expr(_seconds("_ts_v").replace("{float_text}", "_ts_string_seconds"))
-    flat = (flat.where(keep)
-            .withColumn("role", F.expr(_text("_role_v")))
+    flat = (flat.withColumn("role", F.expr(_text("_role_v")))
             .withColumn("_ts_string_seconds",
                         parse_float_text(F.expr("try_variant_get(_ts_v, '$', 'string')")))
             .withColumn("epoch_seconds", seconds)
