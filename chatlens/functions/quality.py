@@ -30,7 +30,11 @@ def marker_points(lowered_text: Column, strategy: str = "exists") -> Column:
 
 def prompt_quality(text: Column, words: Column | None = None, lowered_text: Column | None = None,
                    strategy: str = "exists") -> Column:
-    """Score of a prompt; null or empty text scores 0, blanks only score the lowest band."""
+    """Score of a prompt; null or empty text scores 0, blanks only score the lowest band.
+
+    Pass ``lowered_text`` as an already projected column: an inline ``lower(text)`` would be
+    evaluated again for every marker. ``operators.enrich.tag_texts`` does this for you.
+    """
     words = word_count(text) if words is None else words
     lowered_text = F.lower(text) if lowered_text is None else lowered_text
     raw = length_points(words) + marker_points(lowered_text, strategy)

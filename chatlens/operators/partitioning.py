@@ -13,7 +13,9 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     files) is spread first. Large inputs already scan in many splits and are
     left alone (no extra shuffle). The check only plans the query; it runs no job.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the plan as it is
+        return df
+    return df.repartition(target) if current < target else df

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quality import prompt_quality
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from ..functions.text import word_count
 from ..operators.cluster import cluster_prompts
@@ -171,7 +170,8 @@ def q_word_count_documents(spark, sf_dir):
 
 
 def q_document_quality(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", prompt_quality(F.col("text")).alias("prompt_quality"))
+    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_purpose=False, with_words=False,
+                     spread=False).select("doc_id", "prompt_quality")
 
 
 def _distribution(spark, sf_dir, label):

@@ -22,6 +22,12 @@ def write_report(report: DataFrame, path: str, fmt: str = "parquet", captions: b
     """
     if list(report.columns[:len(REPORT_COLUMNS)]) != REPORT_COLUMNS:
         report = report.select(*REPORT_COLUMNS)
+    if fmt == "csv" and report.isEmpty():
+        # No department in the period: a header-only file, as a spreadsheet export would have.
+        names = [REPORT_CAPTION_MAP[c] if captions else c for c in REPORT_COLUMNS]
+        header = report.sparkSession.createDataFrame([tuple(names)], ", ".join(f"c{i} string" for i in range(len(names))))
+        header.coalesce(1).write.mode(mode).option("header", False).csv(path)
+        return
     out = report.repartition("month_label").sortWithinPartitions("month_label", "ordinal")
     if captions:
         out = with_captions(out)

@@ -90,3 +90,37 @@ def test_cluster_invariants(spark):
     assert labels <= set(range(15)) and len(labels) > 1
     few = cluster_prompts(a.prompts.limit(10), n_init=1).collect()
     assert all(r.cluster is None for r in few)
+
+
+def test_write_report_empty_has_header(spark, scratch_dir):
+    out = os.path.join(scratch_dir, "empty")
+    rep = Analysis(load_messages(spark, SF), 2030, 1).report()
+    write_report(rep, out, fmt="csv", captions=True)
+    lines = spark.read.text(out).collect()
+    assert len(lines) == 1 and lines[0].value.startswith("Tiêu đề,#,Tháng")
+
+
+def test_report_independent_of_session_zone(spark):
+    from chatlens.plans.registry import QUERIES
+    before = spark.conf.get("spark.sql.session.timeZone")
+    got = []
+    try:
+        for zone in ["UTC", "America/New_York", "Asia/Tokyo"]:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got.append(sorted(tuple(r) for r in QUERIES["report_all_months"](spark, SF).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got[0] == got[1] == got[2]
+
+
+def test_landed_table_prunes_month_and_columns(spark, scratch_dir):
+    from chatlens.sources.exports import land_messages
+    path = os.path.join(scratch_dir, "landing")
+    land_messages(load_messages(spark, "/root/testdata/sf0.001"), path)
+    a = Analysis(read_landed(spark, path), 2024, 2)
+    plan = a.report()._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
+    assert scans and all("PartitionFilters: [isnotnull(month" in s and "2024-02" in s for s in scans)
+    # only the prompt branch reads the text column
+    assert sum("text:string" in s for s in scans) == 1
+    assert a.report().count() == Analysis(load_messages(spark, "/root/testdata/sf0.001"), 2024, 2).report().count()
