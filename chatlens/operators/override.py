@@ -30,6 +30,18 @@ def read_department_map(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("account").cast("string"), F.col("department").cast("string"))
 
 
+def load_department_map(spark: SparkSession, path: str | None) -> tuple[DataFrame | None, str | None]:
+    """Tolerant map loading: ``(map, None)`` or ``(None, error)``; on error departments stay as they are."""
+    if path is None:
+        return None, None
+    try:
+        df = read_department_map(spark, path)
+        df.schema  # noqa: B018 - resolve now so a bad file fails here, not inside the report
+        return df, None
+    except Exception as exc:  # unreadable file, wrong header, ...
+        return None, f"department map not used: {exc}"
+
+
 def apply_department_map(messages: DataFrame, dept_map: DataFrame, duplicates: str = "multiply") -> DataFrame:
     """Left join on account; a non-null mapped department overrides the original (JOIN-1, JOIN-2).
 

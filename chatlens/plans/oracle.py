@@ -266,6 +266,8 @@ def oracle_sql() -> dict[str, str]:
         "department_report": _month_report_base() + REPORT_SELECT,
         "report_all_months": _all_report_base() + REPORT_SELECT,
         "kpi_table": _month_report_base(STAFF) + "SELECT department, rating, kpi_score FROM kpi",
+        "department_list": with_(messages_cte(), all_month_cte())
+        + "SELECT DISTINCT month, department FROM month_df WHERE department IS NOT NULL",
         "conversation_list": with_(messages_cte(), month_cte(), CONV_STATS)
         + "SELECT department, conversation_id, conversation_title, " + ts("first_time") + ", " + ts("last_time")
         + ", CAST(user_prompts AS BIGINT) AS user_prompts, CAST(assistant_msgs AS BIGINT) AS assistant_msgs, "

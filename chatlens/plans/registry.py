@@ -216,6 +216,10 @@ def q_report_all_months(spark, sf_dir):
     return compare_ready(_analysis(spark, sf_dir).report())
 
 
+def q_department_list(spark, sf_dir):
+    return _analysis(spark, sf_dir).departments()
+
+
 def q_kpi_table(spark, sf_dir):
     return _month_analysis(spark, sf_dir, staff=STAFF).kpi_table()
 
@@ -274,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "department_report": q_department_report,
     "report_all_months": q_report_all_months,
     "kpi_table": q_kpi_table,
+    "department_list": q_department_list,
     "conversation_list": q_conversation_list,
     "prompt_list": q_prompt_list,
     "assistant_replies": q_assistant_replies,

@@ -128,6 +128,11 @@ class Analysis:
     def spark(self) -> SparkSession:
         return self.messages.sparkSession
 
+    def departments(self) -> DataFrame:
+        """FIL-8: the period's distinct non-null departments in code-point order."""
+        return (self.month_df.where(F.col("department").isNotNull()).select(*PERIOD, "department").distinct()
+                .orderBy(*PERIOD, "department"))
+
     def overview(self) -> DataFrame:
         return overview(self.month_df)
 

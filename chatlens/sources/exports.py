@@ -226,13 +226,20 @@ def read_exports(spark: SparkSession, paths, on_error: str = "file") -> ExportRe
     return flatten_exports(docs, json_col="json", account_col="account", file_col="file_name", on_error=on_error)
 
 
+def spread_key(messages: DataFrame) -> F.Column:
+    """Hash of every message column: spreads rows evenly even when a conversation is hot and its
+    messages carry no id (the list form has none)."""
+    from ..schema import MESSAGE_COLUMNS
+    return F.xxhash64(*[F.col(c) for c in MESSAGE_COLUMNS if c in messages.columns])
+
+
 def land_messages(messages: DataFrame, path: str, mode: str = "overwrite", files_per_month: int | None = None):
     """Write the message table once as Parquet partitioned by ``month`` (the landing table).
 
-    Rows are hash-spread on (month, conversation, message) first so that a hot
+    Rows are hash-spread on (month, hash of the whole row) first so that a hot
     account or conversation does not end up in one writer task.
     """
-    cols = [F.col("month"), F.col("conversation_id"), F.col("message_id")]
+    cols = [F.col("month"), spread_key(messages)]
     df = messages.repartition(files_per_month, *cols) if files_per_month else messages.repartition(*cols)
     df.write.mode(mode).partitionBy("month").parquet(path)
 

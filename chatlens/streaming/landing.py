@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from ..sources.exports import account_from_file_name, flatten_exports
+from ..sources.exports import account_from_file_name, flatten_exports, spread_key
 
 
 def export_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def _write_batch(target_dir: str, rejected_dir: str, on_error: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         res = flatten_exports(batch, json_col="json", account_col="account", file_col="file_name",
                               on_error=on_error, spread=False)
-        (res.messages.repartition("month", "conversation_id", "message_id")
+        (res.messages.repartition("month", spread_key(res.messages))
          .write.mode("overwrite").partitionBy("month").parquet(f"{target_dir}/ingest_batch={batch_id}"))
         res.rejected.write.mode("overwrite").parquet(f"{rejected_dir}/ingest_batch={batch_id}")
     return write

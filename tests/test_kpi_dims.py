@@ -96,3 +96,15 @@ def test_staff_default_one(spark):
     got = sorted((r.department, r.staff) for r in with_staff(df, staff_table(spark, {"b": 3})).collect())
     assert got == [("a", 1), ("b", 3)]
     assert [r.staff for r in with_staff(df, None).collect()] == [1, 1]
+
+
+def test_load_department_map_keeps_departments_on_error(spark, scratch_dir):
+    from chatlens.operators.override import load_department_map
+    bad = os.path.join(scratch_dir, "bad.csv")
+    with open(bad, "w", encoding="utf-8") as fh:
+        fh.write("who,where\na,b\n")
+    df, err = load_department_map(spark, bad)
+    assert df is None and "department map" in err
+    df, err = load_department_map(spark, os.path.join(scratch_dir, "missing.csv"))
+    assert df is None and err
+    assert load_department_map(spark, None) == (None, None)
