@@ -16,20 +16,33 @@ from pyspark.sql import functions as F
 from ..schema import CONVERSATION_KEYS
 
 
+def day_bit(date_col: str = "date") -> F.Column:
+    """Bit ``day-of-month - 1`` of a date (0 for a null date): a month's active days as a 31-bit set."""
+    return F.expr(f"coalesce(shiftleft(1L, dayofmonth(`{date_col}`) - 1), 0L)")
+
+
 def conversation_stats(month_df: DataFrame, period_cols: tuple[str, ...] = ()) -> DataFrame:
     """One row per (account, department, conversation id, title) with time span and counters (AGG-1).
 
-    Null keys form their own group. ``total_msgs`` counts non-null message ids.
+    Null keys form their own group. ``total_msgs`` counts non-null message ids;
+    ``active_days`` counts distinct non-null local dates. When the period is a
+    grouping key (``month``), the days are kept as a day-of-month bit set
+    (``day_mask``, OR-ed map-side like any partial aggregate) so department
+    active days can be derived from these rows without another scan; otherwise
+    an exact distinct count is used.
     """
     keys = list(period_cols) + CONVERSATION_KEYS
-    return month_df.groupBy(*keys).agg(
+    aggs = [
         F.min("create_time_local").alias("first_time"),
         F.max("create_time_local").alias("last_time"),
         F.count_if(F.col("role") == "user").alias("user_prompts"),
         F.count_if(F.col("role") == "assistant").alias("assistant_msgs"),
         F.count("message_id").alias("total_msgs"),
-        F.count_distinct("date").alias("active_days"),
-    )
+    ]
+    if "month" in period_cols:
+        out = month_df.groupBy(*keys).agg(*aggs, F.bit_or(day_bit()).alias("day_mask"))
+        return out.withColumn("active_days", F.bit_count("day_mask").cast("long"))
+    return month_df.groupBy(*keys).agg(*aggs, F.count_distinct("date").alias("active_days"))
 
 
 def overview(month_df: DataFrame) -> DataFrame:

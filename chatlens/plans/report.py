@@ -3,15 +3,17 @@
 Plan shape (per period; 'period' is the ``month`` column, so one month and
 "all months" are the same code):
 
-* ``conv_stats``: shuffle on the conversation keys (partial aggregate first).
-* department x day: distinct (department, date) pairs, partial-aggregated.
+* ``conv_stats``: one shuffle on the conversation keys after a map-side partial
+  aggregate; active days are kept as a day-of-month bit set (``bit_or``), so the
+  department's active days are the OR of its conversations' sets — no second
+  scan of the messages and no distinct-count shuffle.
 * prompt cube: user prompts are tagged in the scan stage (narrow), then
   reduced map-side to (department, topic, purpose) -> (n, words) before the
   shuffle, so only a few rows per task leave the map side however large or
   skewed a department is. The cube rows of a department (at most
   topics x purposes) are then collected into one small array from which
   counts, averages, distinct topics and both share strings are computed.
-* the three per-department tables are joined on (month, department); all are
+* the two per-department tables are joined on (month, department); both are
   bounded by departments x months, and AQE turns these joins into broadcasts at
   run time from measured sizes.
 """
@@ -44,13 +46,16 @@ def prompt_cube(prompts: DataFrame, period_cols=PERIOD) -> DataFrame:
 
 def department_metrics(month_df: DataFrame, conv_stats: DataFrame, prompts: DataFrame,
                        period_cols=PERIOD) -> DataFrame:
-    """Per (period, department): AGG-5a..f and both distribution strings."""
+    """Per (period, department): AGG-5a..f and both distribution strings.
+
+    Active days are the OR of the conversations' day-of-month sets (same rows as
+    the conversation metrics: no second scan of the messages).
+    """
     keys = list(period_cols) + ["department"]
     conv_part = (conv_stats.where(F.col("department").isNotNull()).groupBy(*keys).agg(
         F.count_distinct("conversation_id").alias("conversations"),
-        F.avg("user_prompts").alias("avg_prompts_per_conversation")))
-    days_part = (month_df.where(F.col("department").isNotNull()).groupBy(*keys)
-                 .agg(F.count_distinct("date").alias("active_days")))
+        F.avg("user_prompts").alias("avg_prompts_per_conversation"),
+        F.bit_count(F.bit_or("day_mask")).cast("long").alias("active_days")))
     cube = prompt_cube(prompts.where(F.col("department").isNotNull()), period_cols)
     # One bounded array per department (<= topics x purposes entries) feeds every prompt metric.
     prompt_part = (cube.groupBy(*keys)
@@ -61,8 +66,7 @@ def department_metrics(month_df: DataFrame, conv_stats: DataFrame, prompts: Data
                                "size(array_distinct(transform(_items, x -> x.topic))) AS unique_topics",
                                f"{lines_from_pairs_sql(counts_by_field_sql('_items', 'purpose'))} AS purpose_distribution",
                                f"{lines_from_pairs_sql(counts_by_field_sql('_items', 'topic'))} AS topic_distribution"))
-    out = (conv_part.join(days_part, keys, "inner")
-           .join(prompt_part, keys, "left"))
+    out = conv_part.join(prompt_part, keys, "left")
     return out.select(
         *keys,
         "conversations",

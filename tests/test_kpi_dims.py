@@ -108,3 +108,27 @@ def test_load_department_map_keeps_departments_on_error(spark, scratch_dir):
     df, err = load_department_map(spark, os.path.join(scratch_dir, "missing.csv"))
     assert df is None and err
     assert load_department_map(spark, None) == (None, None)
+
+
+def test_active_days_bitset_edges(spark):
+    from datetime import datetime
+    from chatlens.plans.report import Analysis
+    rows = [  # account, conversation, message, role, local time
+        ("d1", "c1", "m1", "user", datetime(2024, 1, 31, 23, 59)),
+        ("d1", "c1", "m2", "assistant", datetime(2024, 2, 1, 0, 0)),   # same conversation, next month
+        ("d1", "c1", "m3", "user", datetime(2024, 1, 1, 8, 0)),
+        ("d1", "c2", "m4", "user", datetime(2024, 1, 31, 9, 0)),
+        ("d2", "c3", "m5", "user", datetime(2024, 12, 31, 9, 0)),
+    ]
+    df = spark.createDataFrame(rows, "account string, conversation_id string, message_id string, role string, "
+                                     "create_time_local timestamp_ntz")
+    df = (df.withColumn("department", F.col("account")).withColumn("conversation_title", F.lit("t"))
+          .withColumn("author", F.lit(None).cast("string")).withColumn("text", F.lit("viết"))
+          .withColumn("create_time_utc", F.col("create_time_local"))
+          .withColumn("date", F.to_date("create_time_local"))
+          .withColumn("month", F.date_format("create_time_local", "yyyy-MM")))
+    a = Analysis(df)
+    conv = {(r.month, r.conversation_id): r.active_days for r in a.conv_stats.collect()}
+    assert conv == {("2024-01", "c1"): 2, ("2024-02", "c1"): 1, ("2024-01", "c2"): 1, ("2024-12", "c3"): 1}
+    dept = {(r.month, r.department): r.active_days for r in a.department_metrics().collect()}
+    assert dept == {("2024-01", "d1"): 2, ("2024-02", "d1"): 1, ("2024-12", "d2"): 1}
