@@ -19,13 +19,13 @@ MIN_EPOCH_SECONDS = -62135596800.0
 MAX_EPOCH_SECONDS = 253402300800.0
 
 # Python float() syntax for finite numbers (underscores between digits allowed).
-_FLOAT_TEXT = r"(?U)^\s*[+-]?(\d(_?\d)*(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*$"
+FLOAT_TEXT = r"(?U)^\s*[+-]?(\d(_?\d)*(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*$"
 
 
 def parse_float_text(s: Column) -> Column:
     """String -> double with Python ``float()`` acceptance; anything else -> null."""
     cleaned = F.regexp_replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), "_", "")
-    return F.when(s.rlike(_FLOAT_TEXT), cleaned.try_cast("double"))
+    return F.when(s.rlike(FLOAT_TEXT), cleaned.try_cast("double"))
 
 
 def epoch_to_utc(seconds: Column) -> Column:

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import with_times
-from ..functions.timefn import parse_float_text
+from ..functions.rules import sql_string
+from ..functions.timefn import FLOAT_TEXT
 from ..operators.partitioning import spread_for_cpu
 
 _CONV_FIELDS = ("id:variant,conversation_id:variant,title:variant,conversation_title:variant,"
@@ -30,7 +31,10 @@ _CONV_NAMES = ["id", "conversation_id", "title", "conversation_title", "mapping"
 
 
 # --------------------------------------------------------------------------
-# SQL snippets over VARIANT values (kept as SQL so they work inside lambdas)
+# SQL snippets over VARIANT values (SQL text so they work inside lambdas).
+# Every helper takes a value and its kind (``schema_of_variant``) as *bound*
+# names — lambda fields computed once per item — so no variant lookup is
+# repeated inside the CASE branches.
 # --------------------------------------------------------------------------
 def _get(v: str, path: str) -> str:
     return f"try_variant_get({v}, '{path}')"
@@ -40,77 +44,104 @@ def _kind(v: str) -> str:
     return f"schema_of_variant({v})"
 
 
-def _is_object(v: str) -> str:
-    return f"coalesce(startswith({_kind(v)}, 'OBJECT'), false)"
+def _obj(k: str) -> str:
+    return f"coalesce(startswith({k}, 'OBJECT'), false)"
 
 
-def _truthy(v: str) -> str:
+def _truthy(v: str, k: str) -> str:
     """Python truthiness of a JSON value (null, '', 0, false, [] and {} are falsy)."""
-    k = _kind(v)
     return (f"(CASE WHEN {v} IS NULL OR {k} = 'VOID' THEN false "
             f"WHEN {k} = 'STRING' THEN try_variant_get({v}, '$', 'string') <> '' "
             f"WHEN {k} = 'BOOLEAN' THEN coalesce(try_variant_get({v}, '$', 'boolean'), false) "
-            f"WHEN startswith({k}, 'OBJECT') THEN size(try_variant_get({v}, '$', 'map<string,variant>')) > 0 "
-            f"WHEN startswith({k}, 'ARRAY') THEN size(try_variant_get({v}, '$', 'array<variant>')) > 0 "
+            f"WHEN startswith({k}, 'OBJECT') THEN {k} <> 'OBJECT<>' "
+            f"WHEN startswith({k}, 'ARRAY') THEN {k} <> 'ARRAY<VOID>' "
+            f"OR size(try_variant_get({v}, '$', 'array<variant>')) > 0 "
             f"ELSE coalesce(try_variant_get({v}, '$', 'double') <> 0, false) END)")
 
 
-def _text(v: str) -> str:
+def _text(v: str, k: str) -> str:
     """String form of a JSON value: strings as is, booleans as True/False, others as JSON text."""
-    k = _kind(v)
     return (f"(CASE WHEN {v} IS NULL OR {k} = 'VOID' THEN CAST(NULL AS STRING) "
             f"WHEN {k} = 'STRING' THEN try_variant_get({v}, '$', 'string') "
             f"WHEN {k} = 'BOOLEAN' THEN CASE WHEN try_variant_get({v}, '$', 'boolean') THEN 'True' ELSE 'False' END "
             f"ELSE CAST({v} AS STRING) END)")
 
 
-def _first_truthy(*vs: str) -> str:
-    """First truthy value among variant expressions, else NULL (variant)."""
-    expr = "CAST(NULL AS VARIANT)"
-    for v in reversed(vs):
-        expr = f"(CASE WHEN {_truthy(v)} THEN {v} ELSE {expr} END)"
-    return expr
-
-
-def _seconds(v: str) -> str:
+def _seconds(v: str, k: str) -> str:
     """Epoch value -> double seconds as Python float() would read it; else NULL."""
-    k = _kind(v)
+    s = f"try_variant_get({v}, '$', 'string')"
+    trimmed = f"regexp_replace({s}, {sql_string(r'(?U)^\s+|\s+$')}, '')"
+    as_text = (f"CASE WHEN {s} rlike {sql_string(FLOAT_TEXT)} "
+               f"THEN try_cast(replace({trimmed}, '_', '') AS DOUBLE) END")
     return (f"(CASE WHEN {v} IS NULL OR {k} = 'VOID' THEN CAST(NULL AS DOUBLE) "
-            f"WHEN {k} = 'STRING' THEN {{float_text}} "
+            f"WHEN {k} = 'STRING' THEN {as_text} "
             f"WHEN {k} = 'BOOLEAN' THEN CASE WHEN try_variant_get({v}, '$', 'boolean') THEN 1.0D ELSE 0.0D END "
             f"WHEN startswith({k}, 'OBJECT') OR startswith({k}, 'ARRAY') THEN CAST(NULL AS DOUBLE) "
             f"ELSE try_variant_get({v}, '$', 'double') END)")
 
 
-def _message_text(m: str) -> str:
-    """Text of a message: content.parts joined by newlines, else content.text, else a string content, else ''."""
-    c = f"try_variant_get({m}, '$.content')"
-    parts = f"try_variant_get({c}, '$.parts', 'array<variant>')"
-    ctext = f"try_variant_get({c}, '$.text')"
-    joined = (f"array_join(transform(filter({parts}, p -> p IS NOT NULL AND NOT is_variant_null(p)), "
-              f"p -> {_text('p')}), '\\n')")
-    return (f"(CASE WHEN NOT {_truthy(m)} THEN '' "
-            f"WHEN {_is_object(c)} AND {parts} IS NOT NULL THEN {joined} "
-            f"WHEN {_is_object(c)} AND {_kind(ctext)} = 'STRING' THEN try_variant_get({ctext}, '$', 'string') "
-            f"WHEN {_kind(c)} = 'STRING' THEN try_variant_get({c}, '$', 'string') "
-            f"ELSE '' END)")
-
-
-def _node_bad(n: str) -> str:
-    msg = f"try_variant_get({n}, '$.message')"
-    author = f"try_variant_get({msg}, '$.author')"
-    return (f"(NOT {_is_object(n)} OR ({_truthy(msg)} AND NOT {_is_object(msg)}) "
-            f"OR ({_is_object(msg)} AND {_truthy(author)} AND NOT {_is_object(author)}))")
+def _bad_nodes(mapping: str) -> str:
+    """Any map node that is not an object, or whose truthy message / author is not an object."""
+    nodes = f"transform(map_values({mapping}), n -> named_struct('kn', {_kind('n')}, 'm', {_get('n', '$.message')}))"
+    nodes = (f"transform({nodes}, x -> named_struct('kn', x.kn, 'm', x.m, 'km', {_kind('x.m')}, "
+             f"'a', {_get('x.m', '$.author')}))")
+    nodes = f"transform({nodes}, y -> named_struct('y', y, 'ka', {_kind('y.a')}))"
+    return (f"exists({nodes}, z -> NOT {_obj('z.y.kn')} "
+            f"OR ({_truthy('z.y.m', 'z.y.km')} AND NOT {_obj('z.y.km')}) "
+            f"OR ({_obj('z.y.km')} AND {_truthy('z.y.a', 'z.ka')} AND NOT {_obj('z.ka')}))")
 
 
-def _item_bad(m: str) -> str:
-    author = f"try_variant_get({m}, '$.author')"
-    return f"(NOT {_is_object(m)} OR ({_truthy(author)} AND NOT {_is_object(author)}))"
+def _bad_items(messages: str) -> str:
+    """Any list item that is not an object, or whose truthy author is not an object."""
+    items = f"transform({messages}, m -> named_struct('km', {_kind('m')}, 'a', {_get('m', '$.author')}))"
+    items = f"transform({items}, x -> named_struct('x', x, 'ka', {_kind('x.a')}))"
+    return (f"exists({items}, z -> NOT {_obj('z.x.km')} "
+            f"OR ({_truthy('z.x.a', 'z.ka')} AND NOT {_obj('z.ka')}))")
 
 
 def _conv_bad(c: str) -> str:
-    return (f"(CASE WHEN {c}.mapping IS NOT NULL THEN exists(map_values({c}.mapping), n -> {_node_bad('n')}) "
-            f"WHEN {c}.messages IS NOT NULL THEN exists({c}.messages, m -> {_item_bad('m')}) ELSE false END)")
+    return (f"(CASE WHEN {c}.mapping IS NOT NULL THEN {_bad_nodes(c + '.mapping')} "
+            f"WHEN {c}.messages IS NOT NULL THEN {_bad_items(c + '.messages')} ELSE false END)")
+
+
+def _message_rows(c: str) -> str:
+    """One struct per accepted message of conversation ``c`` (map nodes or list items), fields final."""
+    items = (f"CASE WHEN {c}.mapping IS NOT NULL THEN "
+             f"transform(map_entries({c}.mapping), e -> named_struct('node_id', e.key, 'from_map', true, "
+             f"'msg', {_get('e.value', '$.message')})) "
+             f"ELSE transform({c}.messages, m -> named_struct('node_id', CAST(NULL AS STRING), 'from_map', false, "
+             f"'msg', m)) END")
+    # stage 1: every variant the fields need, looked up once
+    a = (f"transform({items}, e -> named_struct('e', e, "
+         f"'ra', {_get('e.msg', '$.author.role')}, 'na', {_get('e.msg', '$.author.name')}, "
+         f"'rt', {_get('e.msg', '$.role')}, 'id', {_get('e.msg', '$.id')}, 'c', {_get('e.msg', '$.content')}, "
+         f"'ct', {_get('e.msg', '$.create_time')}, 'ts', {_get('e.msg', '$.timestamp')}))")
+    # stage 2: their kinds, once
+    b = (f"transform({a}, a -> named_struct('a', a, 'km', {_kind('a.e.msg')}, 'kra', {_kind('a.ra')}, "
+         f"'kna', {_kind('a.na')}, 'krt', {_kind('a.rt')}, 'kid', {_kind('a.id')}, 'kc', {_kind('a.c')}, "
+         f"'kct', {_kind('a.ct')}, 'kts', {_kind('a.ts')}, "
+         f"'parts', try_variant_get(a.c, '$.parts', 'array<variant>'), "
+         f"'kctext', {_kind(_get('a.c', '$.text'))}, 'ctext', try_variant_get(a.c, '$.text', 'string')))")
+    parts = ("transform(transform(filter(b.parts, p -> p IS NOT NULL AND NOT is_variant_null(p)), "
+             f"p -> named_struct('p', p, 'k', {_kind('p')})), q -> {_text('q.p', 'q.k')})")
+    msg_truthy = _truthy("b.a.e.msg", "b.km")
+    ra_truthy = _truthy("b.a.ra", "b.kra")
+    text = (f"CASE WHEN NOT {msg_truthy} THEN '' "
+            f"WHEN {_obj('b.kc')} AND b.parts IS NOT NULL THEN array_join({parts}, '\\n') "
+            f"WHEN {_obj('b.kc')} AND b.kctext = 'STRING' THEN b.ctext "
+            f"WHEN b.kc = 'STRING' THEN try_variant_get(b.a.c, '$', 'string') ELSE '' END")
+    # list items: `author.role or role`, `create_time or timestamp` (the second value as it is, even falsy)
+    role = (f"CASE WHEN b.a.e.from_map OR {ra_truthy} THEN {_text('b.a.ra', 'b.kra')} "
+            f"ELSE {_text('b.a.rt', 'b.krt')} END")
+    seconds = (f"CASE WHEN b.a.e.from_map OR {_truthy('b.a.ct', 'b.kct')} THEN {_seconds('b.a.ct', 'b.kct')} "
+               f"ELSE {_seconds('b.a.ts', 'b.kts')} END")
+    mid = (f"CASE WHEN NOT b.a.e.from_map THEN {_text('b.a.id', 'b.kid')} "
+           f"WHEN {_truthy('b.a.id', 'b.kid')} THEN {_text('b.a.id', 'b.kid')} ELSE b.a.e.node_id END")
+    fields = (f"transform({b}, b -> named_struct('from_map', b.a.e.from_map, 'msg_truthy', {msg_truthy}, "
+              f"'role_truthy', {ra_truthy}, 'role', {role}, 'author', {_text('b.a.na', 'b.kna')}, "
+              f"'text', {text}, 'seconds', {seconds}, 'message_id', {mid}))")
+    # map nodes need a truthy message, a truthy role and non-empty text; list items are all kept
+    return f"filter({fields}, x -> NOT x.from_map OR (x.msg_truthy AND x.role_truthy AND x.text <> ''))"
 
 
 def account_from_file_name(file_name) -> F.Column:
@@ -173,44 +204,25 @@ def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str =
     else:
         kept = F.expr(f"filter(_convs, c -> c IS NOT NULL AND NOT {_conv_bad('c')})")
     conv = roots.select(F.col(account_col).alias("account"), F.explode(kept).alias("c"))
-    conv_id = _text(_first_truthy("c.id", "c.conversation_id"))
-    title = f"coalesce({_text(_first_truthy('c.title', 'c.conversation_title'))}, '')"
-    # One item list per conversation: map nodes when `mapping` is an object, else the message list.
-    msg_of = "CASE WHEN e.from_map THEN try_variant_get(e.payload, '$.message') ELSE e.payload END"
-    items = ("transform(CASE WHEN c.mapping IS NOT NULL THEN "
-             "transform(map_entries(c.mapping), e -> named_struct('node_id', e.key, 'payload', e.value, 'from_map', true)) "
-             "ELSE transform(c.messages, m -> named_struct('node_id', CAST(NULL AS STRING), 'payload', m, "
-             f"'from_map', false)) END, e -> named_struct('node_id', e.node_id, 'from_map', e.from_map, 'msg', {msg_of}))")
-    # Per item, every field is extracted once inside the lambda (``m.msg`` is bound once).
-    author = _get("m.msg", "$.author")
-    role_v = (f"CASE WHEN m.from_map THEN {_get(author, '$.role')} "
-              f"ELSE {_first_truthy(_get(author, '$.role'), _get('m.msg', '$.role'))} END")
-    ts_v = (f"CASE WHEN m.from_map THEN {_get('m.msg', '$.create_time')} "
-            f"ELSE {_first_truthy(_get('m.msg', '$.create_time'), _get('m.msg', '$.timestamp'))} END")
-    mid = (f"CASE WHEN m.from_map THEN coalesce({_text(_first_truthy(_get('m.msg', '$.id')))}, m.node_id) "
-           f"ELSE {_text(_get('m.msg', '$.id'))} END")
-    fields = (f"transform({items}, m -> named_struct("
-              f"'from_map', m.from_map, 'msg_truthy', {_truthy('m.msg')}, 'role_v', {role_v}, "
-              f"'author', {_text(_get(author, '$.name'))}, 'text', {_message_text('m.msg')}, "
-              f"'ts_v', {ts_v}, 'message_id', {mid}))")
-    # Map nodes need a truthy message, a truthy role and non-empty text; list items are all kept.
-    kept_items = f"filter({fields}, x -> NOT x.from_map OR (x.msg_truthy AND {_truthy('x.role_v')} AND x.text <> ''))"
+    conv = conv.select("account", "c", F.expr(_kind("c.id")).alias("_kid"), F.expr(_kind("c.conversation_id")).alias("_kcid"),
+                       F.expr(_kind("c.title")).alias("_kt"), F.expr(_kind("c.conversation_title")).alias("_kct"))
+    # `id or conversation_id` (the second as it is); `title or conversation_title or ""`
+    conv_id = (f"CASE WHEN {_truthy('c.id', '_kid')} THEN {_text('c.id', '_kid')} "
+               f"ELSE {_text('c.conversation_id', '_kcid')} END")
+    title = (f"CASE WHEN {_truthy('c.title', '_kt')} THEN {_text('c.title', '_kt')} "
+             f"WHEN {_truthy('c.conversation_title', '_kct')} THEN {_text('c.conversation_title', '_kct')} "
+             f"ELSE '' END")
     rows = conv.select(
         "account",
         F.expr(conv_id).alias("conversation_id"),
         F.expr(title).alias("conversation_title"),
-        F.explode(F.expr(kept_items)).alias("x"),
+        F.explode(F.expr(_message_rows("c"))).alias("x"),
     )
     flat = rows.select("account", "conversation_id", "conversation_title",
-                       F.col("x.role_v").alias("_role_v"), F.col("x.author").alias("author"),
-                       F.col("x.text").alias("text"), F.col("x.ts_v").alias("_ts_v"),
-                       F.col("x.message_id").alias("message_id"))
-    seconds = F.expr(_seconds("_ts_v").replace("{float_text}", "_ts_string_seconds"))
-    flat = (flat.withColumn("role", F.expr(_text("_role_v")))
-            .withColumn("_ts_string_seconds",
-                        parse_float_text(F.expr("try_variant_get(_ts_v, '$', 'string')")))
-            .withColumn("epoch_seconds", seconds)
-            .withColumn("department", F.col("account")))
+                       F.col("x.role").alias("role"), F.col("x.author").alias("author"),
+                       F.col("x.text").alias("text"), F.col("x.seconds").alias("epoch_seconds"),
+                       F.col("x.message_id").alias("message_id"),
+                       F.col("account").alias("department"))
     return ExportResult(with_times(flat), rejected)
 
 

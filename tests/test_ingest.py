@@ -147,3 +147,18 @@ def test_roundtrip_equals_bridge(spark):
     ref = q_messages_flat(spark, "/root/testdata/sf0.001").drop("is_user", "is_assistant")
     assert a.exceptAll(ref).count() == 0 and ref.exceptAll(a).count() == 0
     assert b.exceptAll(ref).count() == 0 and ref.exceptAll(b).count() == 0
+
+
+def test_python_or_semantics(spark):
+    """`x or y` yields y even when y is falsy: timestamp 0 is epoch 0, an empty role stays ''."""
+    items = [
+        {"id": "a", "role": "user", "content": "x", "timestamp": 0},                  # no create_time
+        {"id": "b", "role": "user", "content": "y", "create_time": 0},                # no timestamp -> None
+        {"id": "c", "author": {"role": ""}, "role": "", "content": "z", "create_time": 1706720400},
+    ]
+    rows, _ = flat(spark, [json.dumps({"id": "", "conversation_id": "", "messages": items})])
+    got = {r.message_id: (r.role, str(r.create_time_utc)) for r in rows}
+    assert got["a"] == ("user", "1970-01-01 00:00:00")
+    assert got["b"] == ("user", "None")
+    assert got["c"] == ("", "2024-01-31 17:00:00")
+    assert {r.conversation_id for r in rows} == {""}
