@@ -11,6 +11,9 @@ from ..functions.text import word_count
 from .partitioning import spread_for_cpu
 
 
+STRATEGY_CONF = "spark.chatlens.tagging.strategy"
+
+
 def with_role_flags(messages: DataFrame) -> DataFrame:
     """``is_user`` / ``is_assistant`` (case-sensitive role equality; null role -> false)."""
     return messages.withColumns({
@@ -29,7 +32,7 @@ def assistant_rows(messages: DataFrame) -> DataFrame:
 
 def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None = None,
               purpose: RuleSet | None = None, with_topic: bool = True, with_purpose: bool = True,
-              with_quality: bool = True, with_words: bool = True, strategy: str = "exists",
+              with_quality: bool = True, with_words: bool = True, strategy: str | None = None,
               spread: bool = True) -> DataFrame:
     """Add topic, purpose, prompt_quality and word_count for a text column.
 
@@ -37,8 +40,11 @@ def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None
     rule test (check ``explain``: one ``lower`` per row, not one per keyword).
     ``strategy``: ``'exists'`` (default, JVM, one ``contains`` per keyword),
     ``'or'`` (same as a flat OR chain) or ``'automaton'`` (one-pass pandas UDF
-    for the two first-match taggers; see ``functions.automaton``).
+    for the two first-match taggers; see ``functions.automaton``). Unset, it is
+    read from the session conf ``spark.chatlens.tagging.strategy`` (default ``exists``).
     """
+    if strategy is None:
+        strategy = df.sparkSession.conf.get(STRATEGY_CONF, "exists")
     topic_rules = topic_rules or default_topic_rules()
     purpose = purpose or purpose_rules()
     text = F.col(text_col)
@@ -70,6 +76,6 @@ def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None
 
 
 def enrich_prompts(month_df: DataFrame, topic_rules: RuleSet | None = None, purpose: RuleSet | None = None,
-                   strategy: str = "exists") -> DataFrame:
+                   strategy: str | None = None) -> DataFrame:
     """User prompts of the period with topic, purpose, quality and word count (DM-7)."""
     return tag_texts(user_rows(month_df), "text", topic_rules, purpose, strategy=strategy)

@@ -114,7 +114,7 @@ class Analysis:
     department_map: DataFrame | None = None
     staff: object = None
     duplicates: str = "multiply"
-    strategy: str = "exists"
+    strategy: str | None = None  # None: session conf spark.chatlens.tagging.strategy, else "exists"
 
     def __post_init__(self):
         df = self.messages

@@ -127,3 +127,14 @@ def test_custom_rules_tagging(spark):
     out = {r.i: r.t for r in df.select("i", tag_topic(F.col("text"), rules).alias("t")).collect()}
     assert out == {1: "Finance", 2: "All", 3: "All"}
     assert df.select(tag_purpose(F.lit(None).cast("string")).alias("p")).first().p == "Khác"
+
+
+def test_strategy_from_session_conf(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(HAND_TAGGED)], "i int, text string")
+    spark.conf.set("spark.chatlens.tagging.strategy", "automaton")
+    try:
+        out = {r.i: (r.topic, r.purpose) for r in tag_texts(df, spread=False).collect()}
+    finally:
+        spark.conf.unset("spark.chatlens.tagging.strategy")
+    for i, (t, topic, purpose) in enumerate(HAND_TAGGED):
+        assert out[i] == (topic, purpose), t
