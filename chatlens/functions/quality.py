@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixed_values import (QUALITY_LENGTH_BANDS, QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX,
                            QUALITY_MIN)
-from .rules import any_keyword, any_keyword_sql
+from .rules import any_keyword, any_keyword_sql, bind
 from .text import word_count
 
 
@@ -32,12 +32,14 @@ def prompt_quality(text: Column, words: Column | None = None, lowered_text: Colu
                    strategy: str = "exists") -> Column:
     """Score of a prompt; null or empty text scores 0, blanks only score the lowest band.
 
-    Pass ``lowered_text`` as an already projected column: an inline ``lower(text)`` would be
-    evaluated again for every marker. ``operators.enrich.tag_texts`` does this for you.
+    Without ``lowered_text``, ``lower(text)`` is bound once (see ``rules.bind``) rather than
+    evaluated for every marker; ``operators.enrich.tag_texts`` projects it once for all taggers.
     """
     words = word_count(text) if words is None else words
-    lowered_text = F.lower(text) if lowered_text is None else lowered_text
-    raw = length_points(words) + marker_points(lowered_text, strategy)
+    if lowered_text is None:
+        raw = bind(F.lower(text), lambda lt: length_points(words) + marker_points(lt, strategy))
+    else:
+        raw = length_points(words) + marker_points(lowered_text, strategy)
     clamped = F.least(F.lit(QUALITY_MAX), F.greatest(F.lit(QUALITY_MIN), raw))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(clamped).cast("long")
 

@@ -150,13 +150,20 @@ def tag_expr(lowered_text: Column | str, rules: RuleSet, strategy: str = "exists
     return F.lit(rules.fallback) if expr is None else expr.otherwise(F.lit(rules.fallback))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a Column -> Column function) as a lambda variable;
+    keeps e.g. ``lower(text)`` from being recomputed inside every keyword lambda."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def tag_topic(text: Column, rules: RuleSet | None = None, strategy: str = "exists") -> Column:
     """Topic label of a text (SCL-3)."""
-    return tag_expr(F.lower(text), rules or default_topic_rules(), strategy)
+    rules = rules or default_topic_rules()
+    return bind(F.lower(text), lambda lt: tag_expr(lt, rules, strategy))
 
 
 def tag_purpose(text: Column, rules: RuleSet | None = None, strategy: str = "exists") -> Column:
     """Purpose label of a text; empty or null text gets the fallback (SCL-4)."""
     rules = rules or purpose_rules()
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(rules.fallback)).otherwise(
-        tag_expr(F.lower(text), rules, strategy))
+        bind(F.lower(text), lambda lt: tag_expr(lt, rules, strategy)))

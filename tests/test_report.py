@@ -124,3 +124,12 @@ def test_landed_table_prunes_month_and_columns(spark, scratch_dir):
     # only the prompt branch reads the text column
     assert sum("text:string" in s for s in scans) == 1
     assert a.report().count() == Analysis(load_messages(spark, "/root/testdata/sf0.001"), 2024, 2).report().count()
+
+
+def test_plans_stay_on_the_jvm_and_lower_once(spark):
+    from chatlens.plans.registry import QUERIES
+    doc_plan = QUERIES["document_topic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert doc_plan.count("lower(") == 1                      # one lower(text) per row, shared by every rule
+    for name in ["department_report", "document_quality", "ingest_mapping_roundtrip"]:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan, name
