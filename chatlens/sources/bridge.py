@@ -10,8 +10,8 @@ match. Pure column arithmetic: narrow, no shuffle, scales with the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.rules import sql_string
 from ..schema import with_times
 
 # Fixture design values of this repository's bridge (not behaviour constants).
@@ -42,22 +42,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bridge_raw(conversations: DataFrame) -> DataFrame:
-    """conversations -> message rows with epoch seconds (before time normalisation)."""
-    cid, turn = F.col("conv_id"), F.col("turn")
-    dept = F.concat(F.lit("dept_"), (cid % DEPARTMENTS).cast("string"))
-    phrase = F.get(F.array(*[F.lit(p) for p in PROMPT_PHRASES]), ((cid * 3 + turn) % len(PROMPT_PHRASES)).cast("int"))
-    epoch = F.lit(BASE_EPOCH) + ((cid * 37) % DAY_SPREAD) * 86400 + turn * 3600
-    return conversations.select(
-        dept.alias("account"),
-        F.concat(F.lit("c"), cid.cast("string")).alias("conversation_id"),
-        F.concat(F.lit("Conversation "), cid.cast("string")).alias("conversation_title"),
-        F.concat(cid.cast("string"), F.lit("-"), turn.cast("string")).alias("message_id"),
-        F.col("role"),
-        F.lit(None).cast("string").alias("author"),
-        F.when(F.col("role") == "user", F.concat(phrase, F.lit(" "), F.col("text"))).otherwise(F.col("text")).alias(
-            "text"),
-        epoch.cast("double").alias("epoch_seconds"),
-        dept.alias("department"),
+    """conversations -> message rows with epoch seconds (before time normalisation); one projection."""
+    phrases = "array(" + ", ".join(sql_string(p) for p in PROMPT_PHRASES) + ")"
+    dept = f"concat('dept_', CAST(conv_id % {DEPARTMENTS} AS STRING))"
+    return conversations.selectExpr(
+        f"{dept} AS account",
+        "concat('c', CAST(conv_id AS STRING)) AS conversation_id",
+        "concat('Conversation ', CAST(conv_id AS STRING)) AS conversation_title",
+        "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS message_id",
+        "role",
+        "CAST(NULL AS STRING) AS author",
+        f"CASE WHEN role = 'user' THEN concat(get({phrases}, CAST((conv_id * 3 + turn) % {len(PROMPT_PHRASES)} AS INT)), "
+        "' ', text) ELSE text END AS text",
+        f"CAST({BASE_EPOCH} + ((conv_id * 37) % {DAY_SPREAD}) * 86400 + turn * 3600 AS DOUBLE) AS epoch_seconds",
+        f"{dept} AS department",
     )
 
 
