@@ -132,3 +132,25 @@ def test_active_days_bitset_edges(spark):
     assert conv == {("2024-01", "c1"): 2, ("2024-02", "c1"): 1, ("2024-01", "c2"): 1, ("2024-12", "c3"): 1}
     dept = {(r.month, r.department): r.active_days for r in a.department_metrics().collect()}
     assert dept == {("2024-01", "d1"): 2, ("2024-02", "d1"): 1, ("2024-12", "d2"): 1}
+
+
+def test_percent_text_matches_python_format(spark):
+    from chatlens.operators.distribution import percent_text
+    pairs = [(n, t) for t in range(1, 201) for n in range(1, t + 1)]
+    df = spark.createDataFrame(pairs, "n long, t long")
+    got = {(r.n, r.t): r.p for r in df.select("n", "t", percent_text(F.col("n"), F.col("t")).alias("p")).collect()}
+    bad = [(n, t) for n, t in pairs if got[(n, t)] != f"{n / t:.0%}"]
+    assert not bad, bad[:5]
+
+
+def test_report_same_with_ansi_off(spark):
+    from chatlens.plans.registry import QUERIES
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        results = []
+        for ansi in ["true", "false"]:
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            results.append(sorted(tuple(r) for r in QUERIES["department_report"](spark, "/root/testdata/sf0.01").collect()))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert results[0] == results[1]
