@@ -48,12 +48,19 @@ def tfidf_features(texts: DataFrame, text_col: str = "text", max_features: int =
 
 def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_features: int = MAX_FEATURES,
                     n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
-                    parallel_restarts: int = N_INIT) -> DataFrame:
+                    parallel_restarts: int = N_INIT, rows_per_partition: int = 50_000) -> DataFrame:
     """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters)."""
     if prompts.limit(n_clusters).count() < n_clusters:
         return prompts.withColumn("cluster", F.lit(None).cast("long"))
     # Reused by every restart; recomputable from lineage if an executor is lost.
     feats = tfidf_features(prompts, "text", max_features).persist(StorageLevel.MEMORY_AND_DISK)
+    # Every k-means iteration is a job over all partitions: size them to the data
+    # (narrow coalesce of the cached rows, no shuffle) so small inputs do not pay
+    # for many near-empty tasks per iteration; large inputs keep their partitions.
+    n = feats.count()
+    wanted = max(1, -(-n // rows_per_partition))
+    if wanted < feats.rdd.getNumPartitions():
+        feats = feats.coalesce(wanted)
 
     def fit(i):
         model = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=1e-4,
