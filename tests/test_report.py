@@ -133,3 +133,24 @@ def test_plans_stay_on_the_jvm_and_lower_once(spark):
     for name in ["department_report", "document_quality", "ingest_mapping_roundtrip"]:
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan, name
+
+
+def test_month_filter_forms_agree(spark):
+    from chatlens.operators.period import filter_month, filter_month_bounds
+    msgs = load_messages(spark, SF)
+    for y, m in [(2024, 1), (2024, 2), (2024, 3), (2023, 12)]:
+        a = filter_month(msgs, y, m).select("message_id")
+        b = filter_month_bounds(msgs, y, m).select("message_id")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_views_are_ordered(spark):
+    a = Analysis(load_messages(spark, SF), 2024, 2)
+    pl = views.prompt_list(a.prompts).collect()
+    keys = [(r.department, r.create_time, r.message_id) for r in pl]
+    assert keys == sorted(keys)
+    raw = views.department_raw(a.month_df).collect()
+    keys = [(r.department, r.create_time_local, r.message_id) for r in raw]
+    assert keys == sorted(keys)
+    tr = views.transcript(a.month_df).collect()
+    assert [(r.department, r.conversation_id) for r in tr] == sorted((r.department, r.conversation_id) for r in tr)
