@@ -27,13 +27,13 @@ def conversation_list(conv_stats: DataFrame, department: str | None = None) -> D
     ).orderBy("department", F.asc_nulls_last("first_time"), "conversation_id")
 
 
-def prompt_list(prompts: DataFrame, department: str | None = None, clusters: DataFrame | None = None) -> DataFrame:
-    """Prompts with tags and scores by time (PRJ-3); ``cluster`` is null unless clustering ran."""
+def prompt_list(prompts: DataFrame, department: str | None = None) -> DataFrame:
+    """Prompts with tags and scores by time (PRJ-3).
+
+    Pass ``cluster_prompts(prompts)`` to show cluster labels; otherwise ``cluster`` is null.
+    """
     df = _dept(prompts, department)
-    if clusters is not None:
-        df = df.join(clusters.select("message_id", "conversation_id", "account", "cluster"),
-                     ["account", "conversation_id", "message_id"], "left")
-    else:
+    if "cluster" not in df.columns:
         df = df.withColumn("cluster", F.lit(None).cast("long"))
     return df.select(
         "department", F.col("create_time_local").alias("create_time"), "conversation_title", "text", "topic",

@@ -154,3 +154,9 @@ def test_views_are_ordered(spark):
     assert keys == sorted(keys)
     tr = views.transcript(a.month_df).collect()
     assert [(r.department, r.conversation_id) for r in tr] == sorted((r.department, r.conversation_id) for r in tr)
+
+
+def test_prompt_list_shows_clusters(spark):
+    a = Analysis(load_messages(spark, SF), 2024, 2)
+    pl = views.prompt_list(cluster_prompts(a.prompts, n_init=1), "dept_2").collect()
+    assert pl and all(r.cluster is not None for r in pl)
