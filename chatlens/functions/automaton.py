@@ -12,6 +12,8 @@ on the executors; without it the JVM form is used.
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,7 +27,9 @@ except ImportError:  # pragma: no cover
     HAVE_AUTOMATON = False
 
 
+@functools.lru_cache(maxsize=16)
 def _build(lowered_rules):
+    """One automaton per rule set and Python worker (rules as a hashable tuple), reused across batches."""
     import ahocorasick
 
     auto = ahocorasick.Automaton()
@@ -39,7 +43,7 @@ def _build(lowered_rules):
 
 def tag_udf(rules: RuleSet):
     """pandas UDF: text -> label (first rule in order with a contained keyword, else fallback)."""
-    lowered = rules.lowered()
+    lowered = tuple((label, tuple(kws)) for label, kws in rules.lowered())
     labels = [label for label, _ in lowered]
     fallback = rules.fallback
     # An empty keyword is contained in every text: its rule (if any) catches everything.
