@@ -20,6 +20,7 @@ Plan shape (per period; 'period' is the ``month`` column, so one month and
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +35,7 @@ from ..operators.metrics import by_department, by_department_topic, conversation
 from ..operators.override import apply_department_map, staff_table, with_staff
 from ..operators.period import filter_month
 from ..schema import REPORT_COLUMNS
+from ..session import checkpoint_dir
 
 PERIOD = ("month",)
 
@@ -132,6 +134,23 @@ class Analysis:
     def spark(self) -> SparkSession:
         return self.messages.sparkSession
 
+    def materialize(self, path: str | None = None) -> "Analysis":
+        """Write the period's messages and tagged prompts once and continue from those tables.
+
+        For several outputs of one period (overview, report, views, clustering): every later
+        output reads the written tables instead of re-scanning the source and re-tagging, and
+        their lineage starts there (survives executor loss without recomputing the ingest).
+        Default location: a fresh folder under ``spark.checkpoint.dir`` (shared storage).
+        """
+        base = path or f"{checkpoint_dir(self.spark).rstrip('/')}/chatlens-analysis-{uuid.uuid4().hex}"
+        self.month_df.write.mode("overwrite").parquet(f"{base}/month")
+        self.prompts.write.mode("overwrite").parquet(f"{base}/prompts")
+        self.month_df = self.spark.read.parquet(f"{base}/month")
+        self.conv_stats = conversation_stats(self.month_df, PERIOD)
+        self.prompts = self.spark.read.parquet(f"{base}/prompts")
+        self.materialized_at = base
+        return self
+
     def departments(self) -> DataFrame:
         """FIL-8: the period's distinct non-null departments in code-point order."""
         return (self.month_df.where(F.col("department").isNotNull()).select(*PERIOD, "department").distinct()

@@ -160,3 +160,14 @@ def test_prompt_list_shows_clusters(spark):
     a = Analysis(load_messages(spark, SF), 2024, 2)
     pl = views.prompt_list(cluster_prompts(a.prompts, n_init=1), "dept_2").collect()
     assert pl and all(r.cluster is not None for r in pl)
+
+
+def test_materialized_analysis_gives_same_results(spark, scratch_dir):
+    plain = Analysis(load_messages(spark, SF), 2024, 2)
+    mat = Analysis(load_messages(spark, SF), 2024, 2).materialize(os.path.join(scratch_dir, "mat"))
+    for name in ["report", "overview", "by_department", "by_department_topic"]:
+        a = sorted(tuple(r) for r in getattr(plain, name)().collect())
+        b = sorted(tuple(r) for r in getattr(mat, name)().collect())
+        assert a == b, name
+    default = Analysis(load_messages(spark, SF), 2024, 2).materialize()
+    assert default.materialized_at.startswith(spark.conf.get("spark.checkpoint.dir"))
