@@ -12,6 +12,7 @@ kept between batches: every file is complete in itself.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,16 @@ def export_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: i
 
 def _write_batch(target_dir: str, rejected_dir: str, on_error: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        res = flatten_exports(batch, json_col="json", account_col="account", file_col="file_name",
-                              on_error=on_error, spread=False)
-        (res.messages.repartition("month", spread_key(res.messages))
-         .write.mode("overwrite").partitionBy("month").parquet(f"{target_dir}/ingest_batch={batch_id}"))
-        res.rejected.write.mode("overwrite").parquet(f"{rejected_dir}/ingest_batch={batch_id}")
+        # Two outputs per batch: keep the file texts for the batch so files are read once.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            res = flatten_exports(batch, json_col="json", account_col="account", file_col="file_name",
+                                  on_error=on_error, spread=False)
+            (res.messages.repartition("month", spread_key(res.messages))
+             .write.mode("overwrite").partitionBy("month").parquet(f"{target_dir}/ingest_batch={batch_id}"))
+            res.rejected.write.mode("overwrite").parquet(f"{rejected_dir}/ingest_batch={batch_id}")
+        finally:
+            batch.unpersist()
     return write
 
 
