@@ -161,7 +161,9 @@ class ExportResult:
 
 def _normalise_roots(docs: DataFrame, json_col: str) -> DataFrame:
     """Parse each document and normalise its root to a list of conversations (SRC-3)."""
-    text = F.regexp_replace(F.col(json_col), r"^\x{FEFF}", "")
+    raw = F.col(json_col)
+    # Strip a UTF-8 byte-order mark; only files that have one are copied.
+    text = F.when(raw.startswith("\ufeff"), F.substring(raw, 2, 2147483647)).otherwise(raw)
     parsed = F.from_json(text, EXPORT_SCHEMA)
     strip = ", ".join(f"'{n}', c.{n}" for n in _CONV_NAMES)
     as_convs = f"transform(_parsed, c -> CASE WHEN c IS NULL THEN NULL ELSE named_struct({strip}) END)"
