@@ -138,3 +138,29 @@ def test_strategy_from_session_conf(spark):
         spark.conf.unset("spark.chatlens.tagging.strategy")
     for i, (t, topic, purpose) in enumerate(HAND_TAGGED):
         assert out[i] == (topic, purpose), t
+
+
+def one_case_per_label(rules):
+    """For every label, a text made of one of its own keywords that the rule order lets it win."""
+    cases = []
+    for label, kws in rules:
+        for kw in kws:
+            text = f"xx {kw} yy"
+            if brute_tag(text, rules) == label:
+                cases.append((text, label))
+                break
+    return cases
+
+
+@pytest.mark.parametrize("strategy", ["exists", "or", "automaton"])
+def test_every_label_reachable(spark, strategy):
+    topics = one_case_per_label(DEFAULT_TOPIC_RULES)
+    purposes = one_case_per_label(PURPOSE_RULES)
+    assert len(topics) == 16 and len(purposes) == 8
+    rows = [(t, lab, None) for t, lab in topics] + [(t, None, lab) for t, lab in purposes]
+    df = spark.createDataFrame(rows, "text string, want_topic string, want_purpose string")
+    for r in tag_texts(df, strategy=strategy, spread=False).collect():
+        if r.want_topic:
+            assert r.topic == r.want_topic, r.text
+        if r.want_purpose:
+            assert r.purpose == r.want_purpose, r.text
