@@ -171,3 +171,32 @@ def test_materialized_analysis_gives_same_results(spark, scratch_dir):
         assert a == b, name
     default = Analysis(load_messages(spark, SF), 2024, 2).materialize()
     assert default.materialized_at.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_job_end_to_end(spark, scratch_dir):
+    from chatlens.job import parse_args, run
+    src = os.path.join(scratch_dir, "exports")
+    os.makedirs(src)
+    conv = {"id": "c1", "title": "T", "mapping": {
+        "a": {"message": {"id": "m1", "author": {"role": "user"}, "content": {"parts": ["Tóm tắt hợp đồng"]},
+                          "create_time": 1706760000}},
+        "b": {"message": {"id": "m2", "author": {"role": "assistant"}, "content": {"parts": ["ok"]},
+                          "create_time": 1706760060}}}}
+    with open(os.path.join(src, "Sales.json"), "w", encoding="utf-8") as fh:
+        json.dump([conv], fh)
+    with open(os.path.join(src, "Bad.json"), "w") as fh:
+        fh.write("{")
+    with open(os.path.join(scratch_dir, "map.csv"), "w") as fh:
+        fh.write("account,department\nSales,Kinh doanh\n")
+    with open(os.path.join(scratch_dir, "staff.json"), "w") as fh:
+        json.dump({"Kinh doanh": 2}, fh)
+    out = os.path.join(scratch_dir, "out")
+    args = parse_args(["--exports", os.path.join(src, "*.json"), "--year", "2024", "--month", "2", "--out", out,
+                       "--map", os.path.join(scratch_dir, "map.csv"), "--staff", os.path.join(scratch_dir, "staff.json"),
+                       "--format", "parquet"])
+    result = run(spark, args)
+    rep = spark.read.parquet(os.path.join(out, "report")).collect()
+    assert [(r.department, r.rating, r.kpi_score) for r in rep] == [("Kinh doanh", "Thấp", 12)]
+    assert spark.read.parquet(os.path.join(out, "rejected_files")).count() == 1
+    assert spark.read.parquet(os.path.join(out, "overview")).first().total_messages == 2
+    assert result["notes"] == []
