@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
+from ..functions.text import null_safe_string
+
 # Clustering sizes of the reproduced behaviour.
 N_CLUSTERS = 15
 MAX_FEATURES = 5000
@@ -32,7 +34,7 @@ TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 
 def tfidf_features(texts: DataFrame, text_col: str = "text", max_features: int = MAX_FEATURES) -> DataFrame:
     """Add ``features``: L2-normalised smoothed TF-IDF of 1- and 2-grams."""
-    df = texts.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = texts.withColumn("_t", null_safe_string(F.col(text_col)))  # missing text -> "" (SCL-12)
     tok = RegexTokenizer(inputCol="_t", outputCol="_uni", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
     df = tok.transform(df)
     df = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(df)

@@ -35,11 +35,6 @@ def counts_by_field_sql(items: str, field: str, count_field: str = "n") -> str:
             f"'l', lab))")
 
 
-def lines_from_pairs(pairs: Column | str) -> Column:
-    """Column version of :func:`lines_from_pairs_sql` (pass a column name)."""
-    return F.expr(lines_from_pairs_sql(pairs if isinstance(pairs, str) else "_pairs"))
-
-
 def distribution_string(counts: DataFrame, keys: list[str], label_col: str, count_col: str = "n",
                         out_col: str = "distribution") -> DataFrame:
     """Group -> newline-joined share lines ordered by count descending, ties by label ascending."""

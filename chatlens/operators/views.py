@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import SPEAKER_OTHER, SPEAKER_USER
 from ..functions.timefn import minute_text
+from .enrich import assistant_rows
 
 
 def _dept(df: DataFrame, department: str | None) -> DataFrame:
@@ -43,7 +44,7 @@ def prompt_list(prompts: DataFrame, department: str | None = None) -> DataFrame:
 
 def assistant_replies(month_df: DataFrame, department: str | None = None) -> DataFrame:
     """Assistant messages by time (PRJ-4)."""
-    return _dept(month_df, department).where(F.col("role") == "assistant").select(
+    return assistant_rows(_dept(month_df, department)).select(
         "department", F.col("create_time_local").alias("create_time"), "conversation_title", "text", "message_id",
     ).orderBy("department", F.asc_nulls_last("create_time"), "message_id")
 
