@@ -57,3 +57,10 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_registered_has_oracle_or_is_iterative():
     assert set(queries()) - set(oracle_sql()) == {"prompt_clusters"}
+
+
+def test_registered_queries_have_no_row_caps(spark):
+    """Every registered query reads its tables whole: no Limit or Sample in the optimized plan."""
+    for name, fn in queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in plan and "Sample" not in plan, name
