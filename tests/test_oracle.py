@@ -64,3 +64,16 @@ def test_registered_queries_have_no_row_caps(spark):
     for name, fn in queries().items():
         plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Limit" not in plan and "Sample" not in plan, name
+
+
+SAME_TYPE = {("string", "VARCHAR"), ("bigint", "BIGINT"), ("double", "DOUBLE"), ("boolean", "BOOLEAN"),
+             ("date", "DATE")}
+
+
+def test_column_types_match_oracle(spark, duck):
+    for name, sql in oracle_sql().items():
+        spark_types = dict(queries()[name](spark, SF).dtypes)
+        rel = duck.sql(sql)
+        duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        for col, st in spark_types.items():
+            assert (st, duck_types.get(col)) in SAME_TYPE, (name, col, st, duck_types.get(col))
