@@ -32,9 +32,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when the session names none (local tests) is a scratch folder created.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
         d = tempfile.mkdtemp(prefix="chatlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # some deployments refuse runtime changes of core settings
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
