@@ -48,12 +48,39 @@ def tfidf_features(texts: DataFrame, text_col: str = "text", max_features: int =
     return df.drop("_t", "_uni", "_bi", "_terms", "_tf", "_tfidf")
 
 
+def best_kmeans(feats: DataFrame, n_clusters: int = N_CLUSTERS, n_init: int = N_INIT, seed: int = SEED,
+                max_iter: int = MAX_ITER, parallel_restarts: int = N_INIT):
+    """Fit k-means ``n_init`` times (seeds ``seed..seed+n_init-1``); return (lowest-cost model, all costs).
+
+    Restarts are independent Spark jobs submitted from a few threads, so the scheduler runs them side
+    by side. Ties in cost keep the earlier seed.
+    """
+    def fit(i):
+        model = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=1e-4,
+                       featuresCol="features", predictionCol="_cluster").fit(feats)
+        return model.summary.trainingCost, i, model
+
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel_restarts))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best = min(fits, key=lambda f: (f[0], f[1]))
+    return best[2], [f[0] for f in fits]
+
+
 def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_features: int = MAX_FEATURES,
                     n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
                     parallel_restarts: int = N_INIT, rows_per_partition: int = 50_000) -> DataFrame:
     """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters)."""
     if prompts.limit(n_clusters).count() < n_clusters:
         return prompts.withColumn("cluster", F.lit(None).cast("long"))
+    feats = clustering_features(prompts, max_features, rows_per_partition)
+    model, _costs = best_kmeans(feats, n_clusters, n_init, seed, max_iter, parallel_restarts)
+    out = model.transform(feats).withColumn("cluster", F.col("_cluster").cast("long"))
+    return out.drop("_cluster", "features")
+
+
+def clustering_features(prompts: DataFrame, max_features: int = MAX_FEATURES,
+                        rows_per_partition: int = 50_000) -> DataFrame:
+    """Persisted TF-IDF features of the prompts, partitions sized to the data."""
     # Reused by every restart; recomputable from lineage if an executor is lost.
     feats = tfidf_features(prompts, "text", max_features).persist(StorageLevel.MEMORY_AND_DISK)
     # Every k-means iteration is a job over all partitions: size them to the data
@@ -63,16 +90,4 @@ def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_featur
     wanted = max(1, -(-n // rows_per_partition))
     if wanted < feats.rdd.getNumPartitions():
         feats = feats.coalesce(wanted)
-
-    def fit(i):
-        model = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=1e-4,
-                       featuresCol="features", predictionCol="_cluster").fit(feats)
-        return model.summary.trainingCost, i, model
-
-    # Restarts are independent Spark jobs; submitting them from a few threads lets
-    # the scheduler run them side by side. Lowest cost wins, ties by seed order.
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel_restarts))) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    best = min(fits, key=lambda f: (f[0], f[1]))[2]
-    out = best.transform(feats).withColumn("cluster", F.col("_cluster").cast("long"))
-    return out.drop("_cluster", "features")
+    return feats

@@ -200,3 +200,13 @@ def test_job_end_to_end(spark, scratch_dir):
     assert spark.read.parquet(os.path.join(out, "rejected_files")).count() == 1
     assert spark.read.parquet(os.path.join(out, "overview")).first().total_messages == 2
     assert result["notes"] == []
+
+
+def test_kmeans_restarts_keep_lowest_cost(spark):
+    from chatlens.operators.cluster import best_kmeans, clustering_features
+    a = Analysis(load_messages(spark, SF), 2024, 2)
+    feats = clustering_features(a.prompts)
+    model, costs = best_kmeans(feats, n_init=3)
+    assert model.summary.trainingCost == min(costs) <= costs[0]
+    single, one = best_kmeans(feats, n_init=1)
+    assert one == [costs[0]]  # same seed, same data -> same run
