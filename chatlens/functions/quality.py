@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixed_values import (QUALITY_LENGTH_BANDS, QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX,
                            QUALITY_MIN)
-from .rules import any_keyword, any_keyword_sql, bind
+from .rules import any_keyword, any_keyword_sql, bind, minimal_keywords
 from .text import word_count
 
 
@@ -22,7 +22,7 @@ def length_points(words: Column) -> Column:
 def marker_points(lowered_text: Column, strategy: str = "exists") -> Column:
     total = None
     for _name, pts, markers in QUALITY_MARKER_GROUPS:
-        kws = list(dict.fromkeys(m.lower() for m in markers))
+        kws = minimal_keywords(markers)
         part = F.when(any_keyword(lowered_text, kws, strategy), F.lit(pts)).otherwise(F.lit(0))
         total = part if total is None else total + part
     return total
@@ -50,7 +50,7 @@ def prompt_quality_sql(text_col: str, words_col: str, lowered_col: str, strategy
             + f" ELSE {QUALITY_LENGTH_TOP_POINTS} END")
     parts = [band]
     for _name, pts, markers in QUALITY_MARKER_GROUPS:
-        kws = list(dict.fromkeys(m.lower() for m in markers))
+        kws = minimal_keywords(markers)
         parts.append(f"(CASE WHEN {any_keyword_sql(lowered_col, kws, strategy)} THEN {pts} ELSE 0 END)")
     total = " + ".join(parts)
     return (f"CAST(CASE WHEN coalesce({text_col}, '') = '' THEN 0 "

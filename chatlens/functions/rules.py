@@ -81,6 +81,25 @@ class RuleSet:
             out.append((label, uniq))
         return out
 
+    def pruned(self) -> list[tuple[str, list[str]]]:
+        """``lowered()`` without keywords that can never decide the label.
+
+        A keyword that contains another keyword of the same rule or of an earlier
+        rule is redundant: any text containing it also contains the shorter one,
+        which already matched. Dropping those is exact and saves substring scans
+        (default topics 272 -> 249, purposes 62 -> 49).
+        """
+        earlier, out = [], []
+        for label, kws in self.lowered():
+            keep = []
+            for k in sorted(kws, key=len):
+                if not any(b in k for b in earlier) and not any(b in k for b in keep):
+                    keep.append(k)
+            kept = set(keep)
+            out.append((label, [k for k in kws if k in kept]))
+            earlier.extend(keep)
+        return out
+
     def to_json(self) -> str:
         return json.dumps({label: list(kws) for label, kws in self.rules}, ensure_ascii=False)
 
@@ -98,6 +117,16 @@ def sql_string(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def minimal_keywords(keywords: list[str]) -> list[str]:
+    """Lower-cased keywords without duplicates and without those containing another one (same any-match)."""
+    keep = []
+    for k in sorted(dict.fromkeys(kw.lower() for kw in keywords), key=len):
+        if not any(b in k for b in keep):
+            keep.append(k)
+    kept = set(keep)
+    return [k for k in dict.fromkeys(kw.lower() for kw in keywords) if k in kept]
+
+
 def any_keyword_sql(lowered_col: str, keywords: list[str], strategy: str = "exists") -> str:
     """SQL text of :func:`any_keyword` over a column name (one parser call instead of one JVM call per keyword)."""
     if not keywords:
@@ -112,7 +141,7 @@ def any_keyword_sql(lowered_col: str, keywords: list[str], strategy: str = "exis
 def tag_sql(lowered_col: str, rules: "RuleSet", strategy: str = "exists") -> str:
     """SQL text of :func:`tag_expr` over a column name."""
     whens = [f"WHEN {any_keyword_sql(lowered_col, kws, strategy)} THEN {sql_string(label)}"
-             for label, kws in rules.lowered() if kws]
+             for label, kws in rules.pruned() if kws]
     fallback = sql_string(rules.fallback)
     return f"(CASE {' '.join(whens)} ELSE {fallback} END)" if whens else fallback
 
@@ -142,7 +171,7 @@ def tag_expr(lowered_text: Column | str, rules: RuleSet, strategy: str = "exists
     if isinstance(lowered_text, str):
         return F.expr(tag_sql(lowered_text, rules, strategy))
     expr = None
-    for label, kws in rules.lowered():
+    for label, kws in rules.pruned():
         if not kws:
             continue
         cond = any_keyword(lowered_text, kws, strategy)

@@ -164,3 +164,16 @@ def test_every_label_reachable(spark, strategy):
             assert r.topic == r.want_topic, r.text
         if r.want_purpose:
             assert r.purpose == r.want_purpose, r.text
+
+
+def test_pruned_rules_drop_only_dominated_keywords():
+    topics = dict(default_topic_rules().pruned())
+    assert "viết tắt" not in topics["Tra cứu"]            # contains 'viết' of an earlier topic
+    assert "database" not in topics["Kỹ thuật/Phần mềm/IT"] and "data analysis" not in topics["Báo cáo"]
+    assert "hợp đồng lao động thời vụ" not in topics["Tuyển dụng/HR"]  # contains a keyword of its own rule
+    # the padded keyword does not make the unpadded one redundant (the reverse containment does not hold)
+    assert " nhà cung cấp" in topics["Kinh doanh"] and "nhà cung cấp" in topics["QLHC"]
+    purposes = dict(purpose_rules().pruned())
+    assert purposes["Viết mail"] == ["mail", "thư", "forward"]
+    assert "chiến dịch" not in purposes["Kế hoạch"]        # contains 'dịch' of an earlier purpose
+    assert [label for label, _ in default_topic_rules().pruned()] == default_topic_rules().labels
