@@ -210,3 +210,15 @@ def test_kmeans_restarts_keep_lowest_cost(spark):
     assert model.summary.trainingCost == min(costs) <= costs[0]
     single, one = best_kmeans(feats, n_init=1)
     assert one == [costs[0]]  # same seed, same data -> same run
+
+
+def test_landing_is_idempotent_and_month_selectable(spark, scratch_dir):
+    from chatlens.sources.exports import land_messages
+    path = os.path.join(scratch_dir, "land2")
+    msgs = load_messages(spark, "/root/testdata/sf0.001")
+    land_messages(msgs, path)
+    land_messages(msgs, path)  # a re-run replaces, never duplicates
+    assert read_landed(spark, path).count() == msgs.where(F.col("month").isNotNull()).count()
+    feb = read_landed(spark, path, months=["2024-02"])
+    assert feb.count() == msgs.where(F.col("month") == "2024-02").count()
+    assert {r.month for r in feb.select("month").distinct().collect()} == {"2024-02"}
