@@ -222,3 +222,18 @@ def test_landing_is_idempotent_and_month_selectable(spark, scratch_dir):
     feb = read_landed(spark, path, months=["2024-02"])
     assert feb.count() == msgs.where(F.col("month") == "2024-02").count()
     assert {r.month for r in feb.select("month").distinct().collect()} == {"2024-02"}
+
+
+def test_sink_formats(spark, scratch_dir):
+    from chatlens.sinks import write_table
+    rep = Analysis(load_messages(spark, SF)).report()
+    for fmt in ["parquet", "json"]:
+        out = os.path.join(scratch_dir, f"rep_{fmt}")
+        write_report(rep, out, fmt=fmt)
+        back = spark.read.format(fmt).load(out)
+        assert back.count() == rep.count() == 15
+        assert {r.month_label for r in back.select("month_label").distinct().collect()} == {"01-2024", "02-2024",
+                                                                                              "03-2024"}
+    t = os.path.join(scratch_dir, "tbl")
+    write_table(Analysis(load_messages(spark, SF), 2024, 2).by_department(), t)
+    assert spark.read.parquet(t).count() == 5
