@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType
+
 from .common import DOC_ID, TEXT_HASH, apart, one_per_text, table, text_hash, written
 
 MIN_WORDS = 10
@@ -126,7 +128,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.collect_list("line").alias("lines"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
     out = []
     for text, gone in zip(texts, lines, strict=True):
