@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import StringType
 
 from .common import DOC_ID, TEXT_HASH, apart, one_per_text, table, text_hash, written

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import ann, chat
 from .common import Query
 from .decontaminate import op8_benchmark_decontamination
+from .langid import op9_language_id
 from .linededup import op6_line_dedup
 from .mix import op4_mix_sources
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op7_nearest_neighbours": ann.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
