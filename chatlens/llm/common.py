@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\u000b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 DOC_ID, TEXT_HASH = "doc_id", "_th"
 
 
@@ -72,19 +74,18 @@ def apart(col: Column) -> Column:
     return F.bitwise_not(F.bitwise_not(col))
 
 
-def unique_name(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one that no column of ``df`` has (case ignored)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def packed(df: DataFrame, **cols: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, beside ``cols``: no name can clash."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[c.alias(k) for k, c in cols.items()])
 
 
-def with_results(df: DataFrame, **cols: Column) -> DataFrame:
-    """``df`` with result columns; input columns of the same name (case ignored) give way."""
-    clash = [c for c in df.columns if c.lower() in {k.lower() for k in cols}]
-    keep = [df[c] for c in df.columns if c not in clash]
-    return df.select(*keep, *[v.alias(k) for k, v in cols.items()])
+def unpacked(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The ``columns`` of ``row``, then the results; a column named like one (case ignored)
+    gives way, in its place for ``text`` and ``n_chars``."""
+    low = {k.lower(): k for k in results}
+    place = {c: results[low[c.lower()]] for c in columns if c.lower() in low and c.lower() in ("text", "n_chars")}
+    out = [place[c].alias(c) if c in place else F.col("row").getField(c).alias(c) for c in columns if c in place or c.lower() not in low]
+    return df.select(*out, *[v.alias(k) for k, v in results.items() if k.lower() not in {c.lower() for c in place}])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -130,12 +131,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
 def one_per_text(docs: DataFrame) -> DataFrame:
-    """``docs`` plus _th, with one row of each (doc_id, text). Only repeated rows move."""
-    keyed = docs.withColumn(TEXT_HASH, text_hash())
+    """(doc_id, _th, text) of ``docs``, one row of each (doc_id, text). Only repeated rows move."""
+    keyed = docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), text_hash().alias(TEXT_HASH), "text")
     again = written(keyed.groupBy(DOC_ID, TEXT_HASH).count().where("count > 1").select(
         F.col(DOC_ID).alias("_id"), F.col(TEXT_HASH).alias("_h")), "again")
     if again.isEmpty():

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_ID, TEXT_HASH, table, text_hash, written
+from .common import DOC_ID, TEXT_HASH, packed, table, text_hash, unpacked, written
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, SIMILARITY, BROADCAST_SEEDS = 13, 0.8, 2_000_000
@@ -114,9 +114,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item; columns unchanged."""
     bad = overlaps(docs, benchmark, **kw).select(F.col("doc_id").alias("_id"), F.col(TEXT_HASH).alias("_h")).distinct()
-    left = docs.withColumn("_h0", text_hash())
-    cond = left[DOC_ID].eqNullSafe(bad["_id"]) & (left["_h0"] == bad["_h"])
-    return left.join(bad, cond, "left_anti").select(*[left[c] for c in docs.columns])
+    left = packed(docs, id=F.col(DOC_ID).cast("long"), h=text_hash())
+    cond = left["id"].eqNullSafe(bad["_id"]) & (left["h"] == bad["_h"])
+    return unpacked(left.join(bad, cond, "left_anti"), docs.columns)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

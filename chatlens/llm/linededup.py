@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import DOC_ID, TEXT_HASH, apart, one_per_text, table, text_hash, written
+from .common import DOC_ID, TEXT_HASH, apart, one_per_text, packed, table, text_hash, unpacked, written
 
 MIN_WORDS = 10
 _LINE = "doc_id long, _th long, line int, rest int, ha long, hb long, ahead int, back int"
@@ -157,13 +157,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     results. Input columns named lines_removed give way. An empty table gives no rows.
     """
     gone = deleted_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col(TEXT_HASH).alias("_h"), "lines")
-    keyed = docs.withColumn("_h0", text_hash())
-    got = keyed.join(gone, keyed[DOC_ID].eqNullSafe(gone["_id"]) & (keyed["_h0"] == gone["_h"]), "left")
-    text = _without("text", "lines")
-    got = got.withColumn("_new", text).withColumn("_gone", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
-    cols = [F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else keyed[c]
-            for c in docs.columns if c.lower() != "lines_removed"]
-    return got.select(*cols, F.col("_gone").alias("lines_removed"))
+    keyed = packed(docs, id=F.col(DOC_ID).cast("long"), h=text_hash(), text=F.col("text"))
+    got = keyed.join(gone, keyed["id"].eqNullSafe(gone["_id"]) & (keyed["h"] == gone["_h"]), "left")
+    got = got.select("row", _without("text", "lines").alias("new"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("removed"))
+    follow = {"n_chars": F.length("new").cast("long")} if "n_chars" in docs.columns else {}
+    return unpacked(got, docs.columns, text=F.col("new"), **follow, lines_removed=F.col("removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import DOC_ID, table, word_count, written
+from .common import DOC_ID, packed, table, text_hash, unpacked, word_count, written
 
 WEIGHTS, MOST, FAN_IN, SEED = (1, 2, 3), 3, 64, 7
 
@@ -153,15 +153,13 @@ def mix_texts(docs: DataFrame, **kw) -> DataFrame:
     told apart by text, and rows equal in that too by an order that a rerun may change,
     which changes nothing in the result.
     """
-    keyed = docs.select(*[docs[c] for c in docs.columns if c.lower() not in ("size", "copies", "taken")], word_count().alias("size"))
+    keyed = packed(docs, id=F.col(DOC_ID).cast("long"), source=F.col("source"), size=word_count(), h=text_hash())
     plan = mix_plan(docs, **kw).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_n"), "rows", F.col("copies").alias("_c"))
-    got = keyed.join(plan, keyed[DOC_ID].eqNullSafe(plan["_id"]) & keyed["source"].eqNullSafe(plan["_s"]) & (keyed["size"] == plan["_n"]))
-    base = [c for c in keyed.columns]
-    one = got.where("rows = 1").select(*[keyed[c] for c in base], F.col("_c").alias("copies"))
-    at = F.row_number().over(Window.partitionBy("_id", "_s", "_n").orderBy(F.xxhash64(keyed["text"])))
-    more = got.where("rows > 1").withColumn("_at", at).select(*[keyed[c] for c in base], (
-        F.floor(F.col("_c") / F.col("rows")) + F.when(F.col("_at") <= F.col("_c") % F.col("rows"), 1).otherwise(0)).cast("long").alias("copies"))
-    return one.unionByName(more).withColumn("taken", F.col("copies") * F.col("size"))
+    got = keyed.join(plan, keyed["id"].eqNullSafe(plan["_id"]) & keyed["source"].eqNullSafe(plan["_s"]) & (keyed["size"] == plan["_n"]))
+    at = F.row_number().over(Window.partitionBy("_id", "_s", "_n").orderBy("h"))
+    more = got.where("rows > 1").withColumn("at", at).withColumn("_c", F.floor(F.col("_c") / F.col("rows")).cast("long") + F.when(
+        F.col("at") <= F.col("_c") % F.col("rows"), 1).otherwise(0)).drop("at")
+    return unpacked(got.where("rows = 1").unionByName(more), docs.columns, size=F.col("size"), copies=F.col("_c"), taken=F.col("_c") * F.col("size"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

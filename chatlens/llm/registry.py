@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, chat
+from . import ann, chat, warc
 from .common import Query
 from .decontaminate import op8_benchmark_decontamination
+from .html import op2_html_extraction
 from .langid import op9_language_id
 from .linededup import op6_line_dedup
 from .mix import op4_mix_sources
@@ -15,6 +16,8 @@ from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_warc": warc.op3_warc,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
@@ -25,6 +28,6 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op7_nearest_neighbours": ann.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op3_warc": warc.ORACLE, "op7_nearest_neighbours": ann.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

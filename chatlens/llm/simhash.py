@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_ID, TEXT_HASH, apart, components, table, text_hash, written
+from .common import DOC_ID, TEXT_HASH, apart, components, packed, table, text_hash, unpacked, written
 
 RADIUS, SHINGLE, SHARD_LIMIT = 2, 3, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -247,11 +247,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     per = c.where("doc_id <=> component_id").groupBy("root", DOC_ID, TEXT_HASH).count()
     keep = per.groupBy("root").agg(F.first(DOC_ID).alias("_id"), F.min(TEXT_HASH).alias("_h"),
                                    F.min_by("count", TEXT_HASH).alias("n")).drop("root")
-    left = docs.withColumn("_h0", text_hash())
-    got = left.join(keep, (left[DOC_ID].eqNullSafe(keep["_id"])) & (left["_h0"] == keep["_h"]))
-    once = got.where("n = 1").select(*[left[c] for c in docs.columns])
-    more = got.where("n > 1").dropDuplicates(["_id", "_h"]).select(*[left[c] for c in docs.columns])
-    return once.unionByName(more)
+    left = packed(docs, id=F.col(DOC_ID).cast("long"), h=text_hash())
+    got = left.join(keep, left["id"].eqNullSafe(keep["_id"]) & (left["h"] == keep["_h"]))
+    return unpacked(got.where("n = 1").unionByName(got.where("n > 1").dropDuplicates(["_id", "_h"])), docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from .batches import chunks, text_bytes, word_features
-from .common import DOC_ID, table, with_results
+from .common import DOC_ID, packed, table, unpacked
 from .linear import fit_logistic, sigmoid
 
 PREFIXES = (4, 5, 6)
@@ -153,16 +153,16 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """
     cats = label_categories()
     chain = train(docs, labels, cats, **kw)
-    p = docs.withColumn("_p", scores(chain))
-    probs = {f"p_{c}": F.get("_p", i) for i, c in enumerate(cats)}
-    rejected = F.coalesce(F.length("text") > 0, F.lit(False)) & (F.get("_p", len(cats) - 1) >= threshold)
-    return with_results(p, **probs, rejected=rejected).drop("_p")
+    p = packed(docs, text=F.col("text")).withColumn("p", scores(chain))
+    probs = {f"p_{c}": F.get("p", i) for i, c in enumerate(cats)}
+    rejected = F.coalesce(F.length("text") > 0, F.lit(False)) & (F.get("p", len(cats) - 1) >= threshold)
+    return unpacked(p, docs.columns, **probs, rejected=rejected)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """``docs`` without the documents the chain rejects; columns unchanged."""
-    return with_toxicity(docs.withColumn("_keep", F.struct(*[docs[c] for c in docs.columns])), labels, **kw).where(
-        "not rejected").select("_keep.*")
+    held = packed(docs, doc_id=F.col(DOC_ID), text=F.col("text"))
+    return unpacked(with_toxicity(held, labels, **kw).where("not rejected"), docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
