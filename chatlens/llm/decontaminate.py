@@ -82,11 +82,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window
     if few:
         hits = keyed.join(F.broadcast(seeds), "key")
     else:
-        found = keyed.select("doc_id", TEXT_HASH, "i", "key").join(seeds, "key").select(
-            "doc_id", TEXT_HASH, "i", "j", "item_id", "item")
-        cond = found["doc_id"].eqNullSafe(toks["doc_id"]) & (found[TEXT_HASH] == toks[TEXT_HASH])
-        hits = found.join(toks.dropDuplicates(["doc_id", TEXT_HASH]), cond).select(
-            toks["doc_id"], toks[TEXT_HASH], "tok", "i", "j", "item_id", "item")
+        found = keyed.select(F.col("doc_id").alias("_id"), F.col(TEXT_HASH).alias("_h"), "i", "key").join(seeds, "key").select(
+            "_id", "_h", "i", "j", "item_id", "item")
+        whole = toks.dropDuplicates(["doc_id", TEXT_HASH])
+        hits = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TEXT_HASH) == F.col("_h")))
     # One hit of a run on the same diagonal is enough: the run's first under all masks.
     before = F.lit(False)
     for m in masks:
