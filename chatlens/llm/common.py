@@ -74,6 +74,12 @@ def apart(col: Column) -> Column:
     return F.bitwise_not(F.bitwise_not(col))
 
 
+def counted(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table of narrow rows: broadcast if it has ``most`` rows at most (some MB),
+    otherwise as it is, for a shuffled join whose hot keys Spark can split."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def packed(df: DataFrame, **cols: Column) -> DataFrame:
     """All columns of ``df`` as one struct ``row``, beside ``cols``: no name can clash."""
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[c.alias(k) for k, c in cols.items()])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import DOC_ID, packed, table, text_hash, unpacked, word_count, written
+from .common import DOC_ID, apart, counted, packed, table, text_hash, unpacked, word_count, written
 
 WEIGHTS, MOST, FAN_IN, SEED = (1, 2, 3), 3, 64, 7
 
@@ -86,14 +86,14 @@ def pivotal_round(entries: DataFrame, fan_in: int = FAN_IN, seed: int = SEED) ->
     eps, level, settled = 1e-9, 0, None
     now = written(entries, "mix")
     while True:
-        per = now.groupBy("grp").count()
-        blocks = per.select("grp", F.ceil(F.col("count") / fan_in).cast("long").alias("nb"))
+        blocks = written(now.groupBy("grp").count().select("grp", F.ceil(F.col("count") / fan_in).cast("long").alias("nb")), "blocks")
         most = blocks.agg(F.max("nb")).first()[0]
         if most is None:
             break
-        keyed = now.join(blocks.select(F.bitwise_not(F.bitwise_not("grp")).alias("grp"), "nb"), "grp").withColumn(
-            "block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k"), F.col("nb")))
-        met = keyed.groupBy("grp", "block").agg(F.collect_list(F.struct("size", "k", "p")).alias("e")).select(
+        # one key for group and block: a hot group's rows go to as many tasks as it has blocks
+        keyed = now.join(counted(blocks.select(apart(F.col("grp")).alias("grp"), "nb")), "grp").withColumn("block", F.xxhash64(
+            "grp", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "k"), F.col("nb"))))
+        met = keyed.groupBy("block").agg(F.min("grp").alias("grp"), F.collect_list(F.struct("size", "k", "p")).alias("e")).select(
             "grp", _meet(seed, level).alias("m"), F.transform("e", lambda x: x["size"]).alias("sizes"))
         met = written(met.select("grp", "m", F.array_max("sizes").alias("size")), "met")
         out = met.select(F.explode("m.done").alias("d")).select("d.k", "d.up")
@@ -123,14 +123,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     per = source_targets(rows, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per = written(per.withColumn("rate", rate).withColumn("grp", F.xxhash64("source", F.col("source").isNull())), "sources")
-    named = rows.join(per.withColumnRenamed("source", "_s"), rows["source"].eqNullSafe(F.col("_s"))).drop("_s")
+    named = rows.join(counted(per.withColumnRenamed("source", "_s")), rows["source"].eqNullSafe(F.col("_s"))).drop("_s")
     share = F.col("rate") * F.col("rows")
     named = named.withColumn("k", F.xxhash64("doc_id", F.col("doc_id").isNull(), "grp", "size")).withColumn(
         "base", F.floor(share + 1e-9).cast("long")).withColumn("p", F.greatest(share - F.col("base"), F.lit(0.0)))
     named = written(named, "shares")
     open_ = named.where("size > 0 and p >= 1e-9").select("k", "grp", "size", "p")
     ups = pivotal_round(open_, fan_in, seed).groupBy("k").agg(F.max("up").alias("up"))
-    return named.join(ups.select(F.bitwise_not(F.bitwise_not("k")).alias("k"), "up"), "k", "left").select(
+    return named.join(ups.select(apart(F.col("k")).alias("k"), "up"), "k", "left").select(
         "doc_id", "source", "size", "rows", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"))
 
 

@@ -82,18 +82,22 @@ def train_chain(texts: Sequence[str | None], labels: np.ndarray, categories: Seq
         # signed chi-square root: how far the feature's share in one class is from the other's
         share = (df + 1) / (n + 2)
         best = np.maximum(best, np.abs(pos / np_ - (df - pos) / nn) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nn)))
-    keep = np.flatnonzero(df >= 3)
+    keep = np.flatnonzero((df >= 3) & (best >= 3.0))  # three standard errors apart at least
     keep = np.sort(keep[np.argsort(-best[keep], kind="stable")[:features]])
+    # Scaled by that distance, a sure feature is cheaper to use than a doubtful one.
+    scale = (best[keep] / best[keep].max()).astype(np.float32) if len(keep) else np.zeros(0, np.float32)
     col = np.full(len(vocab_all), -1)
     col[keep] = np.arange(len(keep))
     x = np.zeros((n, len(keep)), dtype=np.float32)
     own = col[inv] >= 0
-    x[doc[own], col[inv[own]]] = 1.0
+    x[doc[own], col[inv[own]]] = scale[col[inv[own]]]
     fold = np.arange(n) % folds
     earlier, weights = np.zeros((n, 0)), []
     for c in range(labels.shape[1]):
         y, z = labels[:, c].astype(float), np.hstack([x, earlier]).astype(np.float32)
-        weights.append(_fit(z, y))
+        w = _fit(z, y)
+        w[:len(keep)] *= scale
+        weights.append(w)
         held = np.zeros(n)
         for f in range(folds):
             out = fold == f
@@ -105,9 +109,9 @@ def train_chain(texts: Sequence[str | None], labels: np.ndarray, categories: Seq
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(y) == 0 or y.min() == y.max():
-        p = (y.sum() + 0.5) / (len(y) + 1)
+        p = min(max(y.sum() / (len(y) + 1), 1e-6), 1 - 1e-6)
         return np.append(np.zeros(x.shape[1]), np.log(p / (1 - p)))
-    return fit_logistic(x, y, l2=2e-5, steps=250)
+    return fit_logistic(x, y, l2=max(1e-6, 0.01 / len(y)), steps=300)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, **kw) -> Chain:
