@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from .batches import chunks, text_bytes, word_features
-from .common import DOC_ID, packed, table, unpacked
+from .common import DOC_ID, packed, table, unpacked, written
 from .linear import fit_logistic, sigmoid
 
 PREFIXES = (4, 5, 6)
-SAMPLE, FEATURES, FOLDS, THRESHOLD = 8000, 1000, 3, 0.4
+SAMPLE, FEATURES, FOLDS, THRESHOLD = 8000, 600, 3, 0.4
 
 
 @dataclass(frozen=True)
@@ -62,49 +62,28 @@ class Chain:
         return out
 
 
-def train_chain(texts: Sequence[str | None], labels: np.ndarray, categories: Sequence[str],
-                features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain on a sample held in memory. labels: (rows, categories) of 0 and 1.
-
-    Without rows, or for a category with one class only, the model is its prior.
-    """
-    data, off = text_bytes(pa.array(list(texts), type=pa.string()))
-    doc, h = word_features(data, off, PREFIXES)
-    vocab_all, inv = np.unique(h, return_inverse=True)
-    pairs = np.unique(doc.astype(np.int64) * max(len(vocab_all), 1) + inv)
-    doc, inv = pairs // max(len(vocab_all), 1), pairs % max(len(vocab_all), 1)
-    n = len(off) - 1
-    df = np.bincount(inv, minlength=len(vocab_all)).astype(float)
-    best = np.zeros(len(vocab_all))
+def fit_chain(at: Sequence[Sequence[int]], labels: np.ndarray, categories: Sequence[str], vocabulary: np.ndarray,
+              scale: np.ndarray, folds: int = FOLDS) -> Chain:
+    """Fits the chain. at: per row the positions in ``vocabulary`` of its features; labels: (rows,
+    categories) of 0 and 1. Without rows, or for a category with one class only, the model
+    is its prior."""
+    x = np.zeros((len(at), len(vocabulary)), dtype=np.float32)
+    for k, on in enumerate(at):
+        x[k, on] = scale[on]
+    fold = np.arange(len(x)) % folds
+    earlier, weights = np.zeros((len(x), 0), dtype=np.float32), []
     for c in range(labels.shape[1]):
-        pos = np.bincount(inv, weights=labels[doc, c].astype(float), minlength=len(vocab_all))
-        np_, nn = max(labels[:, c].sum(), 1), max(n - labels[:, c].sum(), 1)
-        # signed chi-square root: how far the feature's share in one class is from the other's
-        share = (df + 1) / (n + 2)
-        best = np.maximum(best, np.abs(pos / np_ - (df - pos) / nn) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nn)))
-    keep = np.flatnonzero((df >= 3) & (best >= 3.0))  # three standard errors apart at least
-    keep = np.sort(keep[np.argsort(-best[keep], kind="stable")[:features]])
-    # Scaled by that distance, a sure feature is cheaper to use than a doubtful one.
-    scale = (best[keep] / best[keep].max()).astype(np.float32) if len(keep) else np.zeros(0, np.float32)
-    col = np.full(len(vocab_all), -1)
-    col[keep] = np.arange(len(keep))
-    x = np.zeros((n, len(keep)), dtype=np.float32)
-    own = col[inv] >= 0
-    x[doc[own], col[inv[own]]] = scale[col[inv[own]]]
-    fold = np.arange(n) % folds
-    earlier, weights = np.zeros((n, 0)), []
-    for c in range(labels.shape[1]):
-        y, z = labels[:, c].astype(float), np.hstack([x, earlier]).astype(np.float32)
+        y, z = labels[:, c].astype(float), np.hstack([x, earlier])
         w = _fit(z, y)
-        w[:len(keep)] *= scale
+        w[:len(vocabulary)] *= scale
         weights.append(w)
-        held = np.zeros(n)
+        held = np.zeros(len(x), dtype=np.float32)
         for f in range(folds):
             out = fold == f
             w = _fit(z[~out], y[~out])
             held[out] = sigmoid(z[out] @ w[:-1] + w[-1])
         earlier = np.hstack([earlier, held[:, None]])
-    return Chain(tuple(categories), vocab_all[keep], tuple(weights))
+    return Chain(tuple(categories), vocabulary, tuple(weights))
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -114,21 +93,60 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(x, y, l2=max(1e-6, 0.01 / len(y)), steps=300)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, **kw) -> Chain:
+def _hashes(rows: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """(_id, h): the different features of each text; with a vocabulary, their positions in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = text_bytes(b.column(1))
+            for s, e in chunks(off):
+                doc, h = word_features(data[off[s]:off[e]], off[s:e + 1] - off[s], PREFIXES)
+                if vocabulary is not None:
+                    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
+                    own = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+                    doc, h = doc[own], at[own].astype(np.uint64)
+                by = np.lexsort((h, doc))
+                doc, h = doc[by], h[by]
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
+                ends = np.searchsorted(doc[new], np.arange(e - s + 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.LargeListArray.from_arrays(
+                    pa.array(ends, pa.int64()), pa.array(h[new].view(np.int64))).cast(pa.list_(pa.int64()))], names=["_id", "h"])
+
+    return rows.select("_id", "text").mapInArrow(run, "_id long, h array<long>")
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE,
+          features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """Trains on about ``sample`` labelled rows at most (all, if there are fewer).
 
     categories: name to boolean Column over ``labels``, in the chain's order. Labels with a
     null in any category, or whose doc_id is null or unknown, do not train; repeated
-    labels and documents count once each.
+    labels and documents count once each. Features are counted and chosen by Spark; the
+    driver gets the sample's chosen features alone.
     """
-    flags = labels.select(F.col(DOC_ID).cast("long").alias("_id"), *[c.cast("int").alias(f"_c{i}") for i, c in enumerate(categories.values())])
+    c = [f"_c{i}" for i in range(len(categories))]
+    flags = labels.select(F.col(DOC_ID).cast("long").alias("_id"), *[v.cast("int").alias(n) for n, v in zip(c, categories.values(), strict=True)])
     flags = flags.dropna().dropDuplicates(["_id"])
     n = flags.count()
     share = min(1.0, sample / n) if n else 1.0
     pick = flags.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(DOC_ID).cast("long").alias("_id"), "text").join(pick, "_id").dropDuplicates(["_id"]).orderBy("_id").toPandas()
-    y = rows[[f"_c{i}" for i in range(len(categories))]].to_numpy(dtype=float).reshape(len(rows), len(categories))
-    return train_chain(rows["text"].tolist(), y, list(categories), **kw)
+    rows = written(docs.select(F.col(DOC_ID).cast("long").alias("_id"), "text").join(pick, "_id").dropDuplicates(["_id"]), "sample")
+    every = rows.agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in c]).first()
+    stats = _hashes(rows).join(rows.drop("text"), "_id").select(F.explode("h").alias("h"), *c).groupBy("h").agg(
+        F.count("*").alias("n"), *[F.sum(x).alias(x) for x in c]).where("n >= 3")
+    # how many standard errors the feature's shares in the two classes are apart
+    spread = (F.col("n") + 1) / (every["n"] + 2)
+    apart = [F.abs(F.col(x) / p - (F.col("n") - F.col(x)) / q) / F.sqrt(spread * (1 - spread) * (1 / p + 1 / q))
+             for x in c for p, q in [(float(max(every[x] or 0, 1)), float(max(every["n"] - (every[x] or 0), 1)))]]
+    best = stats.select("h", F.array_max(F.array(*apart)).alias("z")).where("z >= 3").orderBy(F.desc("z"), "h").limit(features).collect()
+    h = np.array([r["h"] for r in best], dtype=np.int64).view(np.uint64)
+    z = np.array([r["z"] for r in best], dtype=np.float32)
+    by = np.argsort(h)
+    vocabulary, scale = h[by], z[by] / z.max() if len(z) else z
+    # Scaled by that distance, a sure feature is cheaper to use than a doubtful one.
+    kept = _hashes(rows, vocabulary).join(rows.drop("text"), "_id").orderBy("_id").toPandas()
+    y = kept[c].to_numpy(dtype=float).reshape(len(kept), len(c))
+    return fit_chain([np.asarray(x, dtype=np.int64) for x in kept["h"]], y, list(categories), vocabulary, scale, folds)
 
 
 def scores(chain: Chain) -> Column:

@@ -20,20 +20,18 @@ def test_logistic_separates():
     assert ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.97
 
 
-def test_chain_feeds_earlier_probabilities_forward():
-    """Category 2 is category 1 and a word; a chain must beat its own first link's blindness."""
+def test_chain_feeds_earlier_probabilities_forward(spark):
+    """The third category is the first and the second; later links see earlier probabilities."""
     rng = random.Random(2)
-    texts, y = [], []
-    for _ in range(900):
+    rows = []
+    for k in range(900):
         a, b = rng.random() < 0.4, rng.random() < 0.5
-        texts.append(" ".join([f"n{rng.randint(0, 30)}" for _ in range(8)] + ["angry"] * a + ["shout"] * b))
-        y.append([a, b, a and b])
-    chain = toxicity.train_chain(texts, np.array(y, dtype=float), ["rude", "loud", "both"])
+        rows.append((k, " ".join([f"n{rng.randint(0, 30)}" for _ in range(8)] + ["angry"] * a + ["shout"] * b), a, b))
+    df = spark.createDataFrame(rows, "doc_id long, text string, a boolean, b boolean")
+    chain = toxicity.train(df, df, {"rude": F.col("a"), "loud": F.col("b"), "both": F.col("a") & F.col("b")})
     assert [len(w) - 1 - len(chain.vocabulary) for w in chain.weights] == [0, 1, 2]
-    p = chain.score(pa.array(texts))
-    assert ((p > 0.5) == np.array(y)).mean() > 0.97
-    flat = chain.weights[2].copy()
-    flat[len(chain.vocabulary):-1] = 0
+    p = chain.score(pa.array([r[1] for r in rows]))
+    assert ((p > 0.5) == np.array([[a, b, a and b] for *_, a, b in rows])).mean() > 0.97
     assert np.abs(chain.weights[2][len(chain.vocabulary):-1]).max() > 0.1
 
 
