@@ -42,6 +42,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="chatlens-bench",
                           driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
+    # The given tables hold one row group each; tagging would run in one task.
+    spark.conf.set("spark.chatlens.text.partitions", cpus if cpus.isdigit() else "8")
     # Warm-up data: sf0.01 has enough prompts for the clustering path to run too.
     base = os.path.dirname(sf_dir.rstrip("/"))
     warm = next((os.path.join(base, w) for w in ("sf0.01", "sf0.001")

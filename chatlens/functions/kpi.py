@@ -8,43 +8,6 @@ from pyspark.sql import functions as F
 from .fixed_values import KPI_LADDER, KPI_LOW, KPI_NONE
 
 
-def _ladder_conditions(prompts: Column, active_days: Column, unique_topics: Column, avg_messages: Column,
-                       avg_words: Column, ladder=KPI_LADDER):
-    for label, score, p_min, d_min, t_min, m_min, w_min, alt_days in ladder:
-        conds = []
-        if p_min is not None:
-            c = prompts >= F.lit(p_min)
-            if alt_days is not None:
-                c = c | (active_days >= F.lit(alt_days))
-            conds.append(c)
-        if d_min is not None:
-            conds.append(active_days >= F.lit(d_min))
-        if t_min is not None:
-            conds.append(unique_topics >= F.lit(t_min))
-        if m_min is not None:
-            conds.append(avg_messages >= F.lit(m_min))
-        if w_min is not None:
-            conds.append(avg_words >= F.lit(w_min))
-        cond = conds[0]
-        for c in conds[1:]:
-            cond = cond & c
-        yield cond, label, score
-
-
-def kpi_rating(prompts: Column, active_days: Column, unique_topics: Column, avg_messages: Column,
-               avg_words: Column, ladder=KPI_LADDER) -> Column:
-    """``struct(rating string, raw_score long)``: first ladder row whose conditions all hold."""
-    expr = None
-    for cond, label, score in _ladder_conditions(prompts, active_days, unique_topics, avg_messages, avg_words,
-                                                 ladder):
-        val = F.struct(F.lit(label).alias("rating"), F.lit(score).cast("long").alias("raw_score"))
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    low = F.struct(F.lit(KPI_LOW[0]).alias("rating"), F.lit(KPI_LOW[1]).cast("long").alias("raw_score"))
-    none = F.struct(F.lit(KPI_NONE[0]).alias("rating"), F.lit(KPI_NONE[1]).cast("long").alias("raw_score"))
-    expr = expr.when(prompts > F.lit(0), low) if expr is not None else F.when(prompts > F.lit(0), low)
-    return expr.otherwise(none)
-
-
 def per_head_score(raw_score: Column, staff: Column) -> Column:
     """``round(raw / staff)`` with half-to-even rounding; 0 when staff <= 0."""
     return F.when(staff > F.lit(0),

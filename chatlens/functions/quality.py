@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .fixed_values import (QUALITY_LENGTH_BANDS, QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX,
                            QUALITY_MIN)
-from .rules import any_keyword, any_keyword_sql, bind, minimal_keywords
-from .text import word_count
-
-
-def length_points(words: Column) -> Column:
-    expr = None
-    for bound, pts in QUALITY_LENGTH_BANDS:
-        cond = words < F.lit(bound)
-        expr = F.when(cond, F.lit(pts)) if expr is None else expr.when(cond, F.lit(pts))
-    return expr.otherwise(F.lit(QUALITY_LENGTH_TOP_POINTS))
-
-
-def marker_points(lowered_text: Column, strategy: str = "exists") -> Column:
-    total = None
-    for _name, pts, markers in QUALITY_MARKER_GROUPS:
-        kws = minimal_keywords(markers)
-        part = F.when(any_keyword(lowered_text, kws, strategy), F.lit(pts)).otherwise(F.lit(0))
-        total = part if total is None else total + part
-    return total
-
-
-def prompt_quality(text: Column, words: Column | None = None, lowered_text: Column | None = None,
-                   strategy: str = "exists") -> Column:
-    """Score of a prompt; null or empty text scores 0, blanks only score the lowest band.
-
-    Without ``lowered_text``, ``lower(text)`` is bound once (see ``rules.bind``) rather than
-    evaluated for every marker; ``operators.enrich.tag_texts`` projects it once for all taggers.
-    """
-    words = word_count(text) if words is None else words
-    if lowered_text is None:
-        raw = bind(F.lower(text), lambda lt: length_points(words) + marker_points(lt, strategy))
-    else:
-        raw = length_points(words) + marker_points(lowered_text, strategy)
-    clamped = F.least(F.lit(QUALITY_MAX), F.greatest(F.lit(QUALITY_MIN), raw))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(clamped).cast("long")
+from .rules import any_keyword_sql, minimal_keywords
 
 
-def prompt_quality_sql(text_col: str, words_col: str, lowered_col: str, strategy: str = "exists") -> str:
-    """SQL text of :func:`prompt_quality` over column names (one parser call)."""
+def prompt_quality_sql(text_col: str, words_col: str, lowered_col: str) -> str:
+    """SQL text of the score over column names; null or empty text scores 0, blanks only the lowest band."""
     band = ("CASE " + " ".join(f"WHEN {words_col} < {b} THEN {p}" for b, p in QUALITY_LENGTH_BANDS)
             + f" ELSE {QUALITY_LENGTH_TOP_POINTS} END")
     parts = [band]
     for _name, pts, markers in QUALITY_MARKER_GROUPS:
         kws = minimal_keywords(markers)
-        parts.append(f"(CASE WHEN {any_keyword_sql(lowered_col, kws, strategy)} THEN {pts} ELSE 0 END)")
+        parts.append(f"(CASE WHEN {any_keyword_sql(lowered_col, kws)} THEN {pts} ELSE 0 END)")
     total = " + ".join(parts)
     return (f"CAST(CASE WHEN coalesce({text_col}, '') = '' THEN 0 "
             f"ELSE least({QUALITY_MAX}, greatest({QUALITY_MIN}, {total})) END AS BIGINT)")

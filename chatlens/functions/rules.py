@@ -127,72 +127,16 @@ def minimal_keywords(keywords: list[str]) -> list[str]:
     return [k for k in dict.fromkeys(kw.lower() for kw in keywords) if k in kept]
 
 
-def any_keyword_sql(lowered_col: str, keywords: list[str], strategy: str = "exists") -> str:
-    """SQL text of :func:`any_keyword` over a column name (one parser call instead of one JVM call per keyword)."""
+def any_keyword_sql(lowered_col: str, keywords: list[str]) -> str:
+    """SQL text: true if any (already lower-cased) keyword occurs in the lower-cased column."""
     if not keywords:
         return "false"
-    if strategy == "exists":
-        return f"exists(array({', '.join(sql_string(k) for k in keywords)}), k -> contains({lowered_col}, k))"
-    if strategy == "or":
-        return "(" + " OR ".join(f"contains({lowered_col}, {sql_string(k)})" for k in keywords) + ")"
-    raise ValueError(f"unknown strategy {strategy!r}")
+    return f"exists(array({', '.join(sql_string(k) for k in keywords)}), k -> contains({lowered_col}, k))"
 
 
-def tag_sql(lowered_col: str, rules: "RuleSet", strategy: str = "exists") -> str:
-    """SQL text of :func:`tag_expr` over a column name."""
-    whens = [f"WHEN {any_keyword_sql(lowered_col, kws, strategy)} THEN {sql_string(label)}"
+def tag_sql(lowered_col: str, rules: "RuleSet") -> str:
+    """SQL text: first matching label in rule order, else the fallback (one CASE WHEN ladder)."""
+    whens = [f"WHEN {any_keyword_sql(lowered_col, kws)} THEN {sql_string(label)}"
              for label, kws in rules.pruned() if kws]
     fallback = sql_string(rules.fallback)
     return f"(CASE {' '.join(whens)} ELSE {fallback} END)" if whens else fallback
-
-
-def any_keyword(lowered_text: Column, keywords: list[str], strategy: str = "exists") -> Column:
-    """True if any (already lower-cased) keyword occurs in ``lowered_text``."""
-    if not keywords:
-        return F.lit(False)
-    if strategy == "exists":
-        arr = F.array(*[F.lit(k) for k in keywords])
-        return F.exists(arr, lambda k: F.contains(lowered_text, k))
-    if strategy == "or":
-        cond = None
-        for k in keywords:
-            c = lowered_text.contains(k)
-            cond = c if cond is None else (cond | c)
-        return cond
-    raise ValueError(f"unknown strategy {strategy!r}")
-
-
-def tag_expr(lowered_text: Column | str, rules: RuleSet, strategy: str = "exists") -> Column:
-    """First matching label in rule order, else the fallback (one CASE WHEN ladder).
-
-    Pass the lower-cased text as a column *name* to build the expression from
-    SQL text in one call; a Column is accepted too (built piece by piece).
-    """
-    if isinstance(lowered_text, str):
-        return F.expr(tag_sql(lowered_text, rules, strategy))
-    expr = None
-    for label, kws in rules.pruned():
-        if not kws:
-            continue
-        cond = any_keyword(lowered_text, kws, strategy)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return F.lit(rules.fallback) if expr is None else expr.otherwise(F.lit(rules.fallback))
-
-
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` (a Column -> Column function) as a lambda variable;
-    keeps e.g. ``lower(text)`` from being recomputed inside every keyword lambda."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def tag_topic(text: Column, rules: RuleSet | None = None, strategy: str = "exists") -> Column:
-    """Topic label of a text (SCL-3)."""
-    rules = rules or default_topic_rules()
-    return bind(F.lower(text), lambda lt: tag_expr(lt, rules, strategy))
-
-
-def tag_purpose(text: Column, rules: RuleSet | None = None, strategy: str = "exists") -> Column:
-    """Purpose label of a text; empty or null text gets the fallback (SCL-4)."""
-    rules = rules or purpose_rules()
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(rules.fallback)).otherwise(
-        bind(F.lower(text), lambda lt: tag_expr(lt, rules, strategy)))

@@ -22,12 +22,6 @@ MAX_EPOCH_SECONDS = 253402300800.0
 FLOAT_TEXT = r"(?U)^\s*[+-]?(\d(_?\d)*(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*$"
 
 
-def parse_float_text(s: Column) -> Column:
-    """String -> double with Python ``float()`` acceptance; anything else -> null."""
-    cleaned = F.regexp_replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), "_", "")
-    return F.when(s.rlike(FLOAT_TEXT), cleaned.try_cast("double"))
-
-
 def epoch_to_utc(seconds: Column) -> Column:
     """Epoch seconds (double; > 1e12 means milliseconds) -> UTC TIMESTAMP_NTZ or null."""
     s = F.when(seconds > F.lit(MILLIS_THRESHOLD), seconds / F.lit(1000.0)).otherwise(seconds)
@@ -57,11 +51,6 @@ def minute_text(local: Column) -> Column:
     return F.coalesce(F.date_format(local, "yyyy-MM-dd HH:mm"), F.lit(""))
 
 
-def second_text(ts: Column) -> Column:
-    """``YYYY-MM-DD HH:MM:SS`` text of a timestamp (used by result tables)."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-
-
 def month_key(year: int, month: int) -> str:
     """Validated reporting period -> ``YYYY-MM`` (SRC-15, FIL-1)."""
     if not (1 <= int(month) <= 12):

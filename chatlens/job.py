@@ -44,6 +44,11 @@ def parse_args(argv=None):
     return p.parse_args(argv)
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """One small settings file, read where the exports are: by Spark."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def run(spark: SparkSession, args) -> dict:
     """Run the analysis; returns notes (warnings) for the caller."""
     notes = []
@@ -53,13 +58,11 @@ def run(spark: SparkSession, args) -> dict:
         notes.append(err)
     rules = default_topic_rules()
     if args.rules:
-        with open(args.rules, encoding="utf-8") as fh:
-            rules = RuleSet.from_json(fh.read())
+        rules = RuleSet.from_json(_text(spark, args.rules))
         notes.extend(rules.warnings)
     staff = None
     if args.staff:
-        with open(args.staff, encoding="utf-8") as fh:
-            staff = {str(k): int(v) for k, v in json.load(fh).items()}
+        staff = {str(k): int(v) for k, v in json.loads(_text(spark, args.staff)).items()}
     a = Analysis(res.messages, args.year, args.month, topic_rules=rules, department_map=dept_map, staff=staff)
     a.materialize()  # several outputs below: parse and tag once
     out = args.out.rstrip("/")
@@ -71,7 +74,7 @@ def run(spark: SparkSession, args) -> dict:
     if args.cluster:
         large["prompts"] = views.prompt_list(cluster_prompts(a.prompts))
     for name, df in list(small.items()) + list(large.items()):
-        df = df.coalesce(1) if name in small else df
+        df = df.repartition(1) if name in small else df  # after the aggregate, which stays parallel
         if args.format == "csv":
             df.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
         else:

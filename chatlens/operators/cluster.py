@@ -1,27 +1,30 @@
 """Prompt clustering (ML-1): TF-IDF on word 1- and 2-grams, k-means with restarts.
 
-Spark ML equivalent of a smoothed, L2-normalised TF-IDF with a vocabulary cut:
-tokens are runs of two or more word characters (lower-cased), bigrams come from
-the token sequence, the vocabulary keeps the most frequent terms, and the idf
-is ``ln((1+n)/(1+df)) + 1`` (Spark's IDF omits the ``+ 1``; it is added back by
-scaling the raw counts with ``idf + 1``). K-means runs ``n_init`` times with
-different seeds and keeps the lowest within-cluster cost. Everything is
-distributed; only the vocabulary (<= max_features terms) and the k centres live
-on the driver. Fewer prompts than clusters -> null labels.
+Tokens are runs of two or more word characters (letters, numbers, underscore) of the
+lower-cased text, bigrams come from the token sequence; the vocabulary keeps the
+most frequent terms (ties: the smaller term), the idf is ``ln((1+n)/(1+df)) + 1``, and
+a prompt's weights have length 1. The prompts' terms are computed once, dealt by the
+hash of their text to a fixed number of partitions and sorted there, so that k-means
+starts alike however the input was split. K-means runs ``n_init`` times with
+different seeds and keeps the lowest within-cluster cost. Everything is distributed;
+only the vocabulary (<= max_features terms) and the k centres live on the driver.
+Fewer prompts than clusters -> null labels.
 """
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from ..functions.text import null_safe_string
+from ..session import checkpoint_dir
 
 # Clustering sizes of the reproduced behaviour.
 N_CLUSTERS = 15
@@ -29,23 +32,48 @@ MAX_FEATURES = 5000
 N_INIT = 10
 SEED = 42
 MAX_ITER = 300
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
-
-
-def tfidf_features(texts: DataFrame, text_col: str = "text", max_features: int = MAX_FEATURES) -> DataFrame:
-    """Add ``features``: L2-normalised smoothed TF-IDF of 1- and 2-grams."""
-    df = texts.withColumn("_t", null_safe_string(F.col(text_col)))  # missing text -> "" (SCL-12)
-    tok = RegexTokenizer(inputCol="_t", outputCol="_uni", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
-    df = tok.transform(df)
-    df = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(df)
-    df = df.withColumn("_terms", F.concat(F.col("_uni"), F.col("_bi")))
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=1.0).fit(df)
-    df = cv.transform(df)
-    idf = IDF(inputCol="_tf", outputCol="_idf", minDocFreq=0).fit(df)
-    scale = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])
-    df = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf").transform(df)
-    df = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features").transform(df)
-    return df.drop("_t", "_uni", "_bi", "_terms", "_tf", "_tfidf")
+TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+#: Partitions of the feature table, whatever the input's; a parameter, not a function of the data.
+PARTITIONS = 8
+
+
+def prompt_terms(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``terms``: the 1- and 2-grams of the text's tokens; missing text has none (SCL-12)."""
+    tokens = F.regexp_extract_all(F.lower(null_safe_string(F.col(text_col))), F.lit(TOKEN_PATTERN), F.lit(0))
+    pairs = F.zip_with(F.slice("_uni", 1, F.greatest(F.size("_uni") - 1, F.lit(0))), F.slice("_uni", 2, F.size("_uni")),
+                       lambda a, b: F.concat_ws(" ", a, b))
+    return texts.withColumn("_uni", tokens).withColumn("terms", F.concat("_uni", pairs)).drop("_uni")
+
+
+def vocabulary(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(term, total, df, idf): the ``max_features`` most frequent terms, ties by term."""
+    # The empty term stands in every row: its df is the number of rows, and it leads the cut.
+    marked = terms.select(F.concat(F.array(F.lit("")), "terms").alias("t"))
+    each = marked.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    every = marked.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    top = every.join(each, "term").orderBy(F.col("term") != "", F.desc("total"), "term").limit(max_features + 1)
+    n = F.max(F.when(F.col("term") == "", F.col("df"))).over(Window.partitionBy())  # over the cut vocabulary only
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
+    return top.withColumn("idf", idf).where("term <> ''").select("term", "total", "df", "idf")
+
+
+def term_weights(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight): tf * idf over the vocabulary, scaled to length 1 per key."""
+    tf = terms.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    raw = tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("_w"))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return raw.join(norm, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+
+
+def tfidf_features(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Add ``features`` to rows with ``terms``: the weights of ``term_weights`` as a vector."""
+    vocab = vocabulary(terms, max_features).orderBy(F.desc("total"), "term").select("term", "idf").collect()
+    if not vocab:
+        return terms.withColumn("features", F.lit(None))
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="terms", outputCol="_tf")
+    scale = Vectors.dense([r["idf"] for r in vocab])
+    df = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf").transform(cv.transform(terms))
+    return Normalizer(p=2.0, inputCol="_tfidf", outputCol="features").transform(df).drop("_tf", "_tfidf")
 
 
 def best_kmeans(feats: DataFrame, n_clusters: int = N_CLUSTERS, n_init: int = N_INIT, seed: int = SEED,
@@ -68,26 +96,37 @@ def best_kmeans(feats: DataFrame, n_clusters: int = N_CLUSTERS, n_init: int = N_
 
 def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_features: int = MAX_FEATURES,
                     n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
-                    parallel_restarts: int = N_INIT, rows_per_partition: int = 50_000) -> DataFrame:
-    """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters)."""
+                    parallel_restarts: int = N_INIT, partitions: int = PARTITIONS) -> DataFrame:
+    """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters).
+
+    Equal texts get equal labels, so labels are found per distinct text and joined back by it.
+    """
     if prompts.limit(n_clusters).count() < n_clusters:
         return prompts.withColumn("cluster", F.lit(None).cast("long"))
-    feats = clustering_features(prompts, max_features, rows_per_partition)
-    model, _costs = best_kmeans(feats, n_clusters, n_init, seed, max_iter, parallel_restarts)
-    out = model.transform(feats).withColumn("cluster", F.col("_cluster").cast("long"))
-    return out.drop("_cluster", "features")
+    feats = clustering_features(prompts, max_features, partitions)
+    try:
+        model, _costs = best_kmeans(feats, n_clusters, n_init, seed, max_iter, parallel_restarts)
+        out = model.transform(feats).select(F.col("_text"), F.col("_cluster").cast("long").alias("cluster")).distinct()
+        path = f"{checkpoint_dir(prompts.sparkSession).rstrip('/')}/chatlens-clusters-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    finally:
+        feats.unpersist()
+    labels = prompts.sparkSession.read.schema(out.schema).parquet(path)
+    text = F.xxhash64(null_safe_string(F.col("text")))
+    return prompts.withColumn("_text", text).join(labels, "_text").select(*prompts.columns, "cluster")
 
 
 def clustering_features(prompts: DataFrame, max_features: int = MAX_FEATURES,
-                        rows_per_partition: int = 50_000) -> DataFrame:
-    """Persisted TF-IDF features of the prompts, partitions sized to the data."""
-    # Reused by every restart; recomputable from lineage if an executor is lost.
-    feats = tfidf_features(prompts, "text", max_features).persist(StorageLevel.MEMORY_AND_DISK)
-    # Every k-means iteration is a job over all partitions: size them to the data
-    # (narrow coalesce of the cached rows, no shuffle) so small inputs do not pay
-    # for many near-empty tasks per iteration; large inputs keep their partitions.
-    n = feats.count()
-    wanted = max(1, -(-n // rows_per_partition))
-    if wanted < feats.rdd.getNumPartitions():
-        feats = feats.coalesce(wanted)
+                        partitions: int = PARTITIONS) -> DataFrame:
+    """Persisted TF-IDF features, a row per prompt with the hash of its text (``_text``) and nothing else.
+
+    The source is read once: terms are persisted in ``partitions`` partitions by text hash, in
+    the same order however the input was split.
+    """
+    rows = prompts.select(null_safe_string(F.col("text")).alias("text"))
+    terms = prompt_terms(rows).select(F.xxhash64("text").alias("_text"), "terms").repartition(
+        partitions, "_text").sortWithinPartitions("_text").persist(StorageLevel.MEMORY_AND_DISK)
+    feats = tfidf_features(terms, max_features).select("_text", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    feats.count()
+    terms.unpersist()
     return feats

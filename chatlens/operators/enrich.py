@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import prompt_quality_sql
-from ..functions.rules import RuleSet, default_topic_rules, purpose_rules, tag_expr
+from ..functions.rules import RuleSet, default_topic_rules, purpose_rules, tag_sql
 from ..functions.text import word_count
-from .partitioning import spread_for_cpu
-
-
-STRATEGY_CONF = "spark.chatlens.tagging.strategy"
+from .partitioning import with_text_partitions
 
 
 def with_role_flags(messages: DataFrame) -> DataFrame:
@@ -32,42 +29,26 @@ def assistant_rows(messages: DataFrame) -> DataFrame:
 
 def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None = None,
               purpose: RuleSet | None = None, with_topic: bool = True, with_purpose: bool = True,
-              with_quality: bool = True, with_words: bool = True, strategy: str | None = None,
-              spread: bool = True) -> DataFrame:
+              with_quality: bool = True, with_words: bool = True) -> DataFrame:
     """Add topic, purpose, prompt_quality and word_count for a text column.
 
     ``lower(text)`` and the word count are projected once and shared by every
     rule test (check ``explain``: one ``lower`` per row, not one per keyword).
-    ``strategy``: ``'exists'`` (default, JVM, one ``contains`` per keyword),
-    ``'or'`` (same as a flat OR chain) or ``'automaton'`` (one-pass pandas UDF
-    for the two first-match taggers; see ``functions.automaton``). Unset, it is
-    read from the session conf ``spark.chatlens.tagging.strategy`` (default ``exists``).
     """
-    if strategy is None:
-        strategy = df.sparkSession.conf.get(STRATEGY_CONF, "exists")
     topic_rules = topic_rules or default_topic_rules()
     purpose = purpose or purpose_rules()
     text = F.col(text_col)
-    use_automaton = strategy == "automaton"
-    if use_automaton:
-        from ..functions.automaton import HAVE_AUTOMATON, tag_with_automaton
-        use_automaton = HAVE_AUTOMATON
-    jvm_strategy = "exists" if strategy == "automaton" else strategy
-    if spread:
-        df = spread_for_cpu(df)
-    out = df.withColumn("_lt", F.lower(text))
+    out = with_text_partitions(df).withColumn("_lt", F.lower(text))
     if with_words or with_quality:
         out = out.withColumn("word_count", word_count(text))
     cols = {}
     if with_topic:
-        cols["topic"] = (tag_with_automaton(text, topic_rules) if use_automaton
-                         else tag_expr("_lt", topic_rules, jvm_strategy))
+        cols["topic"] = F.expr(tag_sql("_lt", topic_rules))
     if with_purpose:
-        tagged = (tag_with_automaton(text, purpose) if use_automaton
-                  else tag_expr("_lt", purpose, jvm_strategy))
-        cols["purpose"] = F.when(F.coalesce(text, F.lit("")) == "", F.lit(purpose.fallback)).otherwise(tagged)
+        cols["purpose"] = F.when(F.coalesce(text, F.lit("")) == "", F.lit(purpose.fallback)).otherwise(
+            F.expr(tag_sql("_lt", purpose)))
     if with_quality:
-        cols["prompt_quality"] = F.expr(prompt_quality_sql(f"`{text_col}`", "word_count", "_lt", jvm_strategy))
+        cols["prompt_quality"] = F.expr(prompt_quality_sql(f"`{text_col}`", "word_count", "_lt"))
     out = out.withColumns(cols) if cols else out
     out = out.drop("_lt")
     if not with_words and "word_count" in out.columns:
@@ -75,7 +56,7 @@ def tag_texts(df: DataFrame, text_col: str = "text", topic_rules: RuleSet | None
     return out
 
 
-def enrich_prompts(month_df: DataFrame, topic_rules: RuleSet | None = None, purpose: RuleSet | None = None,
-                   strategy: str | None = None) -> DataFrame:
+def enrich_prompts(month_df: DataFrame, topic_rules: RuleSet | None = None,
+                   purpose: RuleSet | None = None) -> DataFrame:
     """User prompts of the period with topic, purpose, quality and word count (DM-7)."""
-    return tag_texts(user_rows(month_df), "text", topic_rules, purpose, strategy=strategy)
+    return tag_texts(user_rows(month_df), "text", topic_rules, purpose)

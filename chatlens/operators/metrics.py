@@ -27,7 +27,7 @@ def conversation_stats(month_df: DataFrame, period_cols: tuple[str, ...] = ()) -
     Null keys form their own group. ``total_msgs`` counts non-null message ids;
     ``active_days`` counts distinct non-null local dates. When the period is a
     grouping key (``month``), the days are kept as a day-of-month bit set
-    (``day_mask``, OR-ed map-side like any partial aggregate) so department
+    (``day_mask``, beside ``message_rows``, OR-ed map-side like any partial aggregate) so department
     active days can be derived from these rows without another scan; otherwise
     an exact distinct count is used.
     """
@@ -40,17 +40,19 @@ def conversation_stats(month_df: DataFrame, period_cols: tuple[str, ...] = ()) -
         F.count("message_id").alias("total_msgs"),
     ]
     if "month" in period_cols:
-        out = month_df.groupBy(*keys).agg(*aggs, F.bit_or(day_bit()).alias("day_mask"))
+        out = month_df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("message_rows"),
+                                            F.bit_or(day_bit()).alias("day_mask"))
         return out.withColumn("active_days", F.bit_count("day_mask").cast("long"))
     return month_df.groupBy(*keys).agg(*aggs, F.count_distinct("date").alias("active_days"))
 
 
-def overview(month_df: DataFrame) -> DataFrame:
-    """One row: distinct conversation ids, user prompts, message rows, distinct departments (AGG-2)."""
-    return month_df.agg(
+def overview(conv_stats: DataFrame) -> DataFrame:
+    """One row from the conversations of a period (``conversation_stats`` with the period as
+    key): distinct conversation ids, user prompts, message rows, distinct departments (AGG-2)."""
+    return conv_stats.agg(
         F.count_distinct("conversation_id").alias("total_conversations"),
-        F.count_if(F.col("role") == "user").alias("total_prompts"),
-        F.count(F.lit(1)).alias("total_messages"),
+        F.coalesce(F.sum("user_prompts"), F.lit(0)).alias("total_prompts"),
+        F.coalesce(F.sum("message_rows"), F.lit(0)).alias("total_messages"),
         F.count_distinct("department").alias("departments"),
     )
 

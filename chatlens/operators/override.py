@@ -1,33 +1,31 @@
-"""Dimensions: account -> department map, staff counts (SRC-12, SRC-13, JOIN-1..3)."""
+"""Dimensions: account -> department map, staff counts (SRC-12, SRC-13, JOIN-1..3).
+
+The joins carry no hint: adaptive execution broadcasts a side by its measured bytes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Dimension tables are broadcast only after their row count is proven below this.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (bounded check:
-    reads at most max_rows + 1 rows); otherwise leave the join to a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# What the reference's CSV reader takes for a missing value. Fixed values.
+CSV_NULL_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                  "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def read_department_map(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header; names lower-cased (not trimmed); needs ``account`` and ``department``.
 
-    All values are read as strings so account keys always compare as text.
-    Raises ``ValueError`` when the header lacks a required column.
+    All values are read as strings so account keys always compare as text; null words
+    are missing values; quoted fields may hold doubled quotes and line breaks. Raises ``ValueError`` when the header lacks a required column.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", True).csv(path)
     lowered = [c.lower() for c in raw.columns]
     if not {"account", "department"}.issubset(set(lowered)):
         raise ValueError("department map needs the columns: account, department")
     df = raw.toDF(*lowered)
-    return df.select(F.col("account").cast("string"), F.col("department").cast("string"))
+    value = lambda c: F.when(~F.col(c).isin(CSV_NULL_WORDS), F.col(c)).alias(c)
+    return df.select(value("account"), value("department"))
 
 
 def load_department_map(spark: SparkSession, path: str | None) -> tuple[DataFrame | None, str | None]:
@@ -59,7 +57,7 @@ def apply_department_map(messages: DataFrame, dept_map: DataFrame, duplicates: s
         m = m.groupBy("account").agg(F.min("department_override").alias("department_override"))
     elif duplicates != "multiply":
         raise ValueError("duplicates must be 'multiply', 'error' or 'first'")
-    joined = messages.join(broadcast_if_small(m), on="account", how="left")
+    joined = messages.join(m, on="account", how="left")
     cols = [F.coalesce(F.col("department_override"), F.col("department")).alias("department") if c == "department"
             else F.col(c) for c in messages.columns]
     return joined.select(*cols)
@@ -78,5 +76,5 @@ def with_staff(df: DataFrame, staff: DataFrame | None) -> DataFrame:
     if staff is None:
         return df.withColumn("staff", F.lit(1).cast("long"))
     s = staff.select(F.col("department").cast("string"), F.col("staff").cast("long").alias("_staff"))
-    return (df.join(broadcast_if_small(s), on="department", how="left")
+    return (df.join(s, on="department", how="left")
             .withColumn("staff", F.coalesce(F.col("_staff"), F.lit(1).cast("long"))).drop("_staff"))

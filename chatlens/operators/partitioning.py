@@ -1,21 +1,18 @@
-"""Parallelism helpers for CPU-heavy per-row text work."""
+"""Explicit parallelism for CPU-heavy per-row text work."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+PARTITIONS_CONF = "spark.chatlens.text.partitions"
 
-def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the cluster has cores.
 
-    Keyword tagging and scoring cost far more CPU per byte than a shuffle, so a
-    scan that lands in a handful of tasks (one large row group, few export
-    files) is spread first. Large inputs already scan in many splits and are
-    left alone (no extra shuffle). The check only plans the query; it runs no job.
+def with_text_partitions(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session conf ``spark.chatlens.text.partitions`` says.
+
+    Unset (the default) leaves the scan's splits, which is right for tables of many row groups.
+    Set it where tagging is bound by a few large splits that cannot be split further (one
+    row group, one file); it costs one round-robin shuffle of the rows. Starts no job.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the plan as it is
-        return df
-    return df.repartition(target) if current < target else df
+    n = df.sparkSession.conf.get(PARTITIONS_CONF, None)
+    return df.repartition(int(n)) if n else df

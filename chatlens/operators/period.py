@@ -24,9 +24,3 @@ def filter_month(messages: DataFrame, year: int, month: int) -> DataFrame:
     """
     return messages.where(F.col("month") == F.lit(month_key(year, month)))
 
-
-def filter_month_bounds(messages: DataFrame, year: int, month: int) -> DataFrame:
-    """Same selection written with the half-open local bounds (for non-partitioned inputs)."""
-    start, end = month_bounds(year, month)
-    local = F.col("create_time_local")
-    return messages.where((local >= F.lit(start).cast("timestamp_ntz")) & (local < F.lit(end).cast("timestamp_ntz")))

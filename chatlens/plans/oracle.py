@@ -1,19 +1,19 @@
 """Oracle SQL (DuckDB dialect) for every registered query that SQL can express.
 
-Tag and score expressions are generated from the same rule tables and ladder
-as the Spark expressions; the fixed tables are checked separately by tests
-(counts, order, hand-computed tags).
+Tag and score expressions are generated from the same rule tables as the Spark
+expressions; the fixed tables are checked separately by tests (counts, order,
+hand-computed tags). The KPI ladder is written out by hand.
 """
 
 from __future__ import annotations
 
-from ..functions.fixed_values import (KPI_LADDER, KPI_LOW, KPI_NONE, LOCAL_TIME_ZONE, QUALITY_LENGTH_BANDS,
+from ..functions.fixed_values import (LOCAL_TIME_ZONE, QUALITY_LENGTH_BANDS,
                                       QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX, QUALITY_MIN,
                                       SPEAKER_OTHER, SPEAKER_USER)
-from ..functions.kpi import kpi_ladder_sql
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
-from ..sources.bridge import BASE_EPOCH, DAY_SPREAD, DEPARTMENTS, PROMPT_PHRASES
-from .registry import CUSTOM_RULES_JSON, DEPARTMENT_MAP, REPORT_MONTH, REPORT_YEAR, STAFF
+from .bridge import BASE_EPOCH, DAY_SPREAD, DEPARTMENTS, PROMPT_PHRASES
+from .registry import (CUSTOM_RULES_JSON, DEPARTMENT_MAP, REPORT_MONTH, REPORT_YEAR, STAFF, VIEW_CONVERSATION,
+                       VIEW_DEPARTMENT)
 
 WORD_RE = r"[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
 MONTH = f"{REPORT_YEAR:04d}-{REPORT_MONTH:02d}"
@@ -54,8 +54,25 @@ def purpose_sql(text: str, lt: str) -> str:
     return f"(CASE WHEN coalesce({text}, '') = '' THEN {q(r.fallback)} ELSE {tag_sql(lt, r)} END)"
 
 
+#: The rating ladder, written out by hand from its thresholds: (condition, label, score), first match wins.
+KPI_CASES = """
+  WHEN prompts >= 200 AND active_days >= 25 AND unique_topics >= 17 AND {m} >= 10 AND {w} >= 40 THEN {a}
+  WHEN prompts >= 150 AND active_days >= 22 AND unique_topics >= 14 AND {m} >= 8 AND {w} >= 35 THEN {b}
+  WHEN prompts >= 120 AND active_days >= 16 AND unique_topics >= 12 AND {m} >= 6 AND {w} >= 30 THEN {c}
+  WHEN prompts >= 100 AND active_days >= 14 AND unique_topics >= 10 AND {m} >= 5 AND {w} >= 25 THEN {d}
+  WHEN prompts >= 100 AND active_days >= 12 AND {m} >= 4 AND {w} >= 20 THEN {e}
+  WHEN (prompts >= 100 OR active_days >= 5) AND {m} >= 3 AND {w} >= 15 THEN {f}
+  WHEN prompts > 0 THEN {g} ELSE {h} END"""
+_METRICS = {"m": "avg_prompts_per_conversation", "w": "avg_words_per_prompt"}
+
+
 def kpi_sql() -> tuple[str, str]:
-    return kpi_ladder_sql()
+    """(rating, score) of a row of metrics."""
+    labels = dict(a="'Xuất sắc'", b="'Rất tốt'", c="'Tốt+'", d="'Tốt'", e="'Khá'", f="'Trung bình'", g="'Thấp'",
+                  h="'Không sử dụng'")
+    scores = dict(a=100, b=95, c=90, d=85, e=80, f=50, g=25, h=0)
+    return ("CASE" + KPI_CASES.format(**_METRICS, **labels),
+            "CAST(CASE" + KPI_CASES.format(**_METRICS, **scores) + " AS BIGINT)")
 
 
 # ------------------------------------------------------------------ CTEs
@@ -287,6 +304,65 @@ def oracle_sql() -> dict[str, str]:
           "coalesce(strftime(create_time_local, '%Y-%m-%d %H:%M'), '') AS time_text, text FROM month_df",
         "custom_rules": with_(messages_cte(), month_cte(), prompts_cte(RuleSet.from_json(CUSTOM_RULES_JSON)))
         + "SELECT department, topic, count(*) AS prompts FROM prompts GROUP BY department, topic",
+        **more_oracles(),
+    }
+
+
+TERMS = (r"tok AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS uni FROM month_df WHERE role = 'user'), "
+         "t AS (SELECT message_id, unnest(list_concat(uni, list_transform(range(1, len(uni)), lambda i: uni[i] || ' ' || uni[i + 1]))) AS term FROM tok), "
+         "v0 AS (SELECT term, count(*) AS total, count(DISTINCT message_id) AS df FROM t GROUP BY term ORDER BY total DESC, term LIMIT 5000), "
+         "v AS (SELECT term, total, df, ln((1.0 + (SELECT count(*) FROM tok)) / (1.0 + df)) + 1.0 AS idf FROM v0)")
+
+SHAPED = f"""c AS (SELECT (conv_id + turn) % 10 AS s, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS m, 'c' || CAST(conv_id AS VARCHAR) AS c,
+    role, text, CAST(1704067200 + conv_id % 90 * 86400 + turn * 60 AS DOUBLE) AS sec FROM conversations),
+raw AS (SELECT 'f' || m AS account, c AS conversation_id, 'T' AS conversation_title, m AS message_id, role,
+    CASE WHEN s IN (0, 2, 3) THEN 'n' END AS author, text, CASE WHEN s <> 4 THEN sec END AS epoch_seconds, 'f' || m AS department, s FROM c),
+shaped AS (SELECT *, timezone('UTC', to_timestamp(epoch_seconds)) AS create_time_utc,
+    timezone('{LOCAL_TIME_ZONE}', to_timestamp(epoch_seconds)) AS create_time_local,
+    CAST(timezone('{LOCAL_TIME_ZONE}', to_timestamp(epoch_seconds)) AS DATE) AS date,
+    strftime(timezone('{LOCAL_TIME_ZONE}', to_timestamp(epoch_seconds)), '%Y-%m') AS month
+  FROM raw WHERE s NOT IN (6, 7) AND (s > 0 OR text <> '') AND (s <> 3 OR text <> ''))"""
+
+
+def _view(order: str) -> str:
+    return f"CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position"
+
+
+def more_oracles() -> dict[str, str]:
+    topic, custom = default_topic_rules(), RuleSet.from_json(CUSTOM_RULES_JSON)
+    return {
+        "custom_rules_distribution": _month_report_base(None, custom)
+        + "SELECT department, prompts, unique_topics, topic_distribution, purpose_distribution FROM metrics",
+        "prompt_terms": with_(messages_cte(), month_cte(), TERMS)
+        + "SELECT term, CAST(total AS BIGINT) AS total, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM v",
+        "prompt_tfidf": with_(messages_cte(), month_cte(), TERMS)
+        + "SELECT message_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY message_id)), 6) AS weight FROM "
+          "(SELECT message_id, term, count(*) * any_value(idf) AS w FROM t JOIN v USING (term) GROUP BY message_id, term)",
+        "conversation_topic": f"WITH p AS (SELECT *, lower(text) AS lt, {words_sql('text')} AS word_count FROM conversations WHERE role = 'user')\n"
+        f"SELECT conv_id, turn, {tag_sql('lt', topic)} AS topic, {purpose_sql('text', 'lt')} AS purpose, "
+        f"{quality_sql('text', 'lt', 'word_count')} AS prompt_quality, word_count FROM p",
+        "kpi_bands": "WITH m AS (SELECT o_orderkey, o_orderkey * 7 % 260 AS prompts, o_orderkey * 3 % 32 AS active_days, "
+        "o_orderkey * 5 % 21 AS unique_topics, CAST(o_orderkey * 11 % 130 AS DOUBLE) / 10.0 AS avg_prompts_per_conversation, "
+        "CAST(o_orderkey * 13 % 500 AS DOUBLE) / 10.0 AS avg_words_per_prompt FROM orders)\n"
+        f"SELECT o_orderkey, {kpi_sql()[0]} AS rating, {kpi_sql()[1]} AS raw_score FROM m",
+        "ingest_shapes": "WITH " + SHAPED + f" SELECT {MSG_COLS} FROM shaped WHERE s < 6",
+        "ingest_record_mode": "WITH " + SHAPED + f" SELECT {MSG_COLS} FROM shaped WHERE s <> 9",
+        "ingest_rejected": "WITH " + SHAPED + " SELECT 'f' || m AS file, CASE WHEN s IN (7, 9) THEN 'not a JSON object or list of objects' "
+        "ELSE 'conversation, message or author is not an object' END AS reason FROM c WHERE s >= 6",
+        "department_conversations": with_(messages_cte(), month_cte(), CONV_STATS)
+        + "SELECT department, conversation_id, conversation_title, " + ts("first_time") + ", " + ts("last_time")
+        + ", CAST(user_prompts AS BIGINT) AS user_prompts, CAST(assistant_msgs AS BIGINT) AS assistant_msgs, "
+          "CAST(total_msgs AS BIGINT) AS total_msgs, CAST(active_days AS BIGINT) AS active_days, "
+        + _view("conv_stats.first_time NULLS LAST, conversation_id") + f" FROM conv_stats WHERE department = {q(VIEW_DEPARTMENT)}",
+        "department_prompts": with_(messages_cte(), month_cte(), prompts_cte())
+        + "SELECT department, " + ts("create_time_local", "create_time")
+        + ", conversation_title, text, topic, purpose, prompt_quality, word_count, CAST(NULL AS BIGINT) AS cluster, message_id, "
+        + _view("create_time_local NULLS LAST, message_id") + f" FROM prompts WHERE department = {q(VIEW_DEPARTMENT)}",
+        "conversation_transcript": with_(messages_cte(), all_month_cte())
+        + "SELECT department, conversation_id, conversation_id || ' – ' || conversation_title AS conversation_label, "
+          f"message_id, CASE WHEN role = 'user' THEN {q(SPEAKER_USER)} ELSE {q(SPEAKER_OTHER)} END AS speaker, "
+          "strftime(create_time_local, '%Y-%m-%d %H:%M') AS time_text, text, " + _view("strftime(create_time_local, '%Y-%m-%d %H:%M'), message_id")
+        + f" FROM month_df WHERE department = {q(VIEW_DEPARTMENT)} AND conversation_id = {q(VIEW_CONVERSATION)}",
     }
 
 

@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.kpi import kpi_ladder_sql
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from ..functions.text import word_count
-from ..operators.cluster import cluster_prompts
+from ..operators.cluster import cluster_prompts, prompt_terms, term_weights, vocabulary
 from ..operators.distribution import distribution_string
 from ..operators.enrich import tag_texts, user_rows, with_role_flags
-from ..operators.metrics import by_department, by_department_topic, conversation_stats, overview
-from ..operators.partitioning import spread_for_cpu
+from ..operators.metrics import by_department, conversation_stats
+from ..operators.partitioning import with_text_partitions
 from ..operators.period import filter_month
 from ..operators import views
-from ..sources.bridge import bridge_raw, load_messages, read_table
+from ..operators.position import with_position
+from .bridge import bridge_raw, load_messages, read_table
 from ..sources.exports import flatten_exports
 from .report import PERIOD, Analysis
 
@@ -121,7 +123,7 @@ def q_conversation_stats(spark, sf_dir):
 
 
 def q_overview(spark, sf_dir):
-    return overview(_month(spark, sf_dir))
+    return _month_analysis(spark, sf_dir).overview()
 
 
 def q_by_department(spark, sf_dir):
@@ -152,26 +154,23 @@ def q_prompt_quality(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return spread_for_cpu(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def q_document_topic(spark, sf_dir):
-    return tag_texts(_documents(spark, sf_dir), with_purpose=False, with_quality=False, with_words=False,
-                     spread=False).select("doc_id", "topic")
+    return tag_texts(_documents(spark, sf_dir), with_purpose=False, with_quality=False, with_words=False).select("doc_id", "topic")
 
 
 def q_document_purpose(spark, sf_dir):
-    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_quality=False, with_words=False,
-                     spread=False).select("doc_id", "purpose")
+    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_quality=False, with_words=False).select("doc_id", "purpose")
 
 
 def q_word_count_documents(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", word_count(F.col("text")).alias("word_count"))
+    return with_text_partitions(_documents(spark, sf_dir)).select("doc_id", word_count(F.col("text")).alias("word_count"))
 
 
 def q_document_quality(spark, sf_dir):
-    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_purpose=False, with_words=False,
-                     spread=False).select("doc_id", "prompt_quality")
+    return tag_texts(_documents(spark, sf_dir), with_topic=False, with_purpose=False, with_words=False).select("doc_id", "prompt_quality")
 
 
 def _distribution(spark, sf_dir, label):
@@ -254,6 +253,119 @@ def q_prompt_clusters(spark, sf_dir):
     return cluster_prompts(a.prompts).select("message_id", "department", "cluster")
 
 
+def q_prompt_terms(spark, sf_dir):
+    a = _month_analysis(spark, sf_dir)
+    return compare_ready(vocabulary(prompt_terms(a.prompts.select("message_id", "text"))))
+
+
+def q_prompt_tfidf(spark, sf_dir):
+    a = _month_analysis(spark, sf_dir)
+    terms = prompt_terms(a.prompts.select("message_id", "text"))
+    return compare_ready(term_weights(terms, vocabulary(terms), "message_id"))
+
+
+def q_conversation_topic(spark, sf_dir):
+    """User turns as they are in the table, without the bridge's phrases."""
+    turns = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return tag_texts(turns).select("conv_id", "turn", "topic", "purpose", "prompt_quality", "word_count")
+
+
+def q_kpi_bands(spark, sf_dir):
+    """The rating ladder over five metrics derived from the keys of ``orders``, so that every band occurs."""
+    k = F.col("o_orderkey")
+    m = read_table(spark, sf_dir, "orders").select(
+        k.alias("o_orderkey"), (k * 7 % 260).alias("prompts"), (k * 3 % 32).alias("active_days"), (k * 5 % 21).alias("unique_topics"),
+        ((k * 11 % 130) / 10.0).cast("double").alias("avg_prompts_per_conversation"), ((k * 13 % 500) / 10.0).cast("double").alias("avg_words_per_prompt"))
+    rating, raw = kpi_ladder_sql()
+    return m.select("o_orderkey", F.expr(rating).alias("rating"), F.expr(raw).alias("raw_score"))
+
+
+def shaped_export_docs(conversations: DataFrame) -> DataFrame:
+    """(file, json): one export document per message, of a shape chosen by (conv_id + turn) % 10.
+
+    0 list root, map with null, empty, role-less nodes; 1 wrapped, list, text time; 2 single root, list, author,
+    text content, ms; 3 single root, map, text content, title under its other name, node id as message id; 4 list
+    items without time; 5 zero time with a timestamp; 6 a node that is no object; 7 no JSON; 8 a good and a
+    bad conversation; 9 a bare string among conversations.
+    """
+    c = conversations.select(
+        ((F.col("conv_id") + F.col("turn")) % 10).alias("s"), F.concat_ws("-", "conv_id", "turn").alias("m"), F.concat(F.lit("c"), "conv_id").alias("c"),
+        "role", "text", (F.lit(1704067200) + F.col("conv_id") % 90 * 86400 + F.col("turn") * 60).alias("sec"))
+    j = lambda **kw: F.struct(*[v.alias(k) for k, v in kw.items()])
+    author = j(role=F.col("role"), name=F.lit("n"))
+    parts = j(parts=F.array("text", F.lit(None).cast("string")))
+    node = j(message=j(id=F.col("m"), author=author, content=parts, create_time=F.col("sec")))
+    none = F.lit(None).cast("string")
+    text_of = lambda st: F.to_json(st, {"ignoreNullFields": "false"})
+    as_list = lambda st: F.concat(F.lit("["), text_of(st), F.lit("]"))
+    no_role = j(message=j(id=F.lit("x"), author=j(role=none, name=none), content=j(parts=F.array(F.lit("lost"), none)), create_time=F.col("sec")))
+    empty = j(message=j(id=F.lit("y"), author=author, content=j(parts=F.array(F.lit(""), none)), create_time=F.col("sec")))
+    gone = j(message=F.lit(None).cast("struct<id:string,author:struct<role:string,name:string>,content:struct<parts:array<string>>,create_time:bigint>"))
+    item = lambda **kw: F.array(j(**kw))
+    good = j(id=F.col("c"), title=F.lit("T"), messages=item(id=F.col("m"), role=F.col("role"), content=F.col("text"), create_time=F.col("sec")))
+    docs = (
+        as_list(j(id=F.col("c"), title=F.lit("T"), mapping=F.create_map(F.lit("k"), node, F.lit("a"), no_role, F.lit("b"), empty, F.lit("d"), gone))),
+        text_of(j(conversations=F.array(j(conversation_id=F.col("c"), conversation_title=F.lit("T"), messages=item(
+            id=F.col("m"), role=F.col("role"), content=F.col("text"), timestamp=F.col("sec").cast("string")))))),
+        text_of(j(id=F.col("c"), title=F.lit("T"), messages=item(id=F.col("m"), author=author, content=j(text=F.col("text")), create_time=F.col("sec") * 1000))),
+        text_of(j(id=none, conversation_id=F.col("c"), title=F.lit(""), conversation_title=F.lit("T"), mapping=F.create_map(F.col("m"), j(message=j(
+            author=author, content=j(text=F.col("text")), create_time=F.col("sec").cast("string")))))),
+        as_list(j(id=F.col("c"), title=F.lit("T"), messages=item(id=F.col("m"), role=F.col("role"), content=F.col("text"), create_time=none))),
+        as_list(j(id=F.col("c"), title=F.lit("T"), messages=item(id=F.col("m"), role=F.col("role"), content=F.col("text"), create_time=F.lit(0), timestamp=F.col("sec")))),
+        as_list(j(id=F.col("c"), title=F.lit("T"), mapping=F.create_map(F.lit("k"), F.lit(5)))),
+        F.concat(F.lit("{"), F.col("m")),
+        F.concat(F.lit("["), text_of(good), F.lit(",{\"id\":\"bad\",\"messages\":[7]}]")),
+        F.concat(F.lit("["), text_of(good), F.lit(",\"text\"]")),
+    )
+    json = F.when(F.col("s") == 0, docs[0])
+    for k, d in enumerate(docs[1:], 1):
+        json = json.when(F.col("s") == k, d)
+    return c.select(F.concat(F.lit("f"), "m").alias("file"), json.alias("json"))
+
+
+def _shapes(spark, sf_dir, on_error):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    docs = shaped_export_docs(read_table(spark, sf_dir, "conversations"))
+    return flatten_exports(docs, json_col="json", account_col="file", on_error=on_error)
+
+
+def q_ingest_shapes(spark, sf_dir):
+    return compare_ready(_shapes(spark, sf_dir, "file").messages)
+
+
+def q_ingest_record_mode(spark, sf_dir):
+    return compare_ready(_shapes(spark, sf_dir, "record").messages)
+
+
+def q_ingest_rejected(spark, sf_dir):
+    return _shapes(spark, sf_dir, "file").rejected
+
+
+def q_custom_rules_distribution(spark, sf_dir):
+    a = _month_analysis(spark, sf_dir, topic_rules=RuleSet.from_json(CUSTOM_RULES_JSON))
+    return a.department_metrics().select("department", "prompts", "unique_topics", "topic_distribution", "purpose_distribution")
+
+
+VIEW_DEPARTMENT, VIEW_CONVERSATION = "dept_1", "c36"
+
+
+def q_department_conversations(spark, sf_dir):
+    """FIL-5 drill-down of one department, with the rows' positions."""
+    v = views.conversation_list(_month_analysis(spark, sf_dir).conv_stats, VIEW_DEPARTMENT)
+    return compare_ready(with_position(v, [F.asc_nulls_last("first_time"), F.asc("conversation_id")]))
+
+
+def q_department_prompts(spark, sf_dir):
+    v = views.prompt_list(_month_analysis(spark, sf_dir).prompts, VIEW_DEPARTMENT)
+    return compare_ready(with_position(v, [F.asc_nulls_last("create_time"), F.asc("message_id")]))
+
+
+def q_conversation_transcript(spark, sf_dir):
+    """FIL-7: the turns of one conversation of a department, in order."""
+    v = views.transcript(_analysis(spark, sf_dir).month_df, VIEW_DEPARTMENT, VIEW_CONVERSATION)
+    return compare_ready(with_position(v, [F.asc("time_text"), F.asc("message_id")]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "messages_flat": q_messages_flat,
     "ingest_mapping_roundtrip": q_ingest_mapping_roundtrip,
@@ -285,6 +397,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "department_raw": q_department_raw,
     "transcript": q_transcript,
     "custom_rules": q_custom_rules,
+    "custom_rules_distribution": q_custom_rules_distribution,
+    "prompt_terms": q_prompt_terms,
+    "prompt_tfidf": q_prompt_tfidf,
+    "conversation_topic": q_conversation_topic,
+    "kpi_bands": q_kpi_bands,
+    "ingest_shapes": q_ingest_shapes,
+    "ingest_record_mode": q_ingest_record_mode,
+    "ingest_rejected": q_ingest_rejected,
+    "department_conversations": q_department_conversations,
+    "department_prompts": q_department_prompts,
+    "conversation_transcript": q_conversation_transcript,
     "prompt_clusters": q_prompt_clusters,
 }
 

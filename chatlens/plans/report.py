@@ -10,9 +10,8 @@ Plan shape (per period; 'period' is the ``month`` column, so one month and
 * prompt cube: user prompts are tagged in the scan stage (narrow), then
   reduced map-side to (department, topic, purpose) -> (n, words) before the
   shuffle, so only a few rows per task leave the map side however large or
-  skewed a department is. The cube rows of a department (at most
-  topics x purposes) are then collected into one small array from which
-  counts, averages, distinct topics and both share strings are computed.
+  skewed a department is. The cube is then summed per label, and a department's
+  labels (a row each, as many as the rule sets have) become the share strings.
 * the two per-department tables are joined on (month, department); both are
   bounded by departments x months, and AQE turns these joins into broadcasts at
   run time from measured sizes.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.kpi import kpi_ladder_sql, per_head_score
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from ..functions.timefn import month_label
-from ..operators.distribution import counts_by_field_sql, lines_from_pairs_sql
+from ..operators.distribution import lines_sql
 from ..operators.enrich import enrich_prompts, with_role_flags
 from ..operators.metrics import by_department, by_department_topic, conversation_stats, overview
 from ..operators.override import apply_department_map, staff_table, with_staff
@@ -46,8 +45,7 @@ def prompt_cube(prompts: DataFrame, period_cols=PERIOD) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("words"))
 
 
-def department_metrics(month_df: DataFrame, conv_stats: DataFrame, prompts: DataFrame,
-                       period_cols=PERIOD) -> DataFrame:
+def department_metrics(conv_stats: DataFrame, prompts: DataFrame, period_cols=PERIOD) -> DataFrame:
     """Per (period, department): AGG-5a..f and both distribution strings.
 
     Active days are the OR of the conversations' day-of-month sets (same rows as
@@ -59,15 +57,20 @@ def department_metrics(month_df: DataFrame, conv_stats: DataFrame, prompts: Data
         F.avg("user_prompts").alias("avg_prompts_per_conversation"),
         F.bit_count(F.bit_or("day_mask")).cast("long").alias("active_days")))
     cube = prompt_cube(prompts.where(F.col("department").isNotNull()), period_cols)
-    # One bounded array per department (<= topics x purposes entries) feeds every prompt metric.
-    prompt_part = (cube.groupBy(*keys)
-                   .agg(F.collect_list(F.struct("topic", "purpose", "n", "words")).alias("_items"))
-                   .selectExpr(*[f"`{k}`" for k in keys],
-                               "aggregate(_items, CAST(0 AS BIGINT), (a, x) -> a + x.n) AS prompts",
-                               "aggregate(_items, CAST(0 AS BIGINT), (a, x) -> a + x.words) AS _words",
-                               "size(array_distinct(transform(_items, x -> x.topic))) AS unique_topics",
-                               f"{lines_from_pairs_sql(counts_by_field_sql('_items', 'purpose'))} AS purpose_distribution",
-                               f"{lines_from_pairs_sql(counts_by_field_sql('_items', 'topic'))} AS topic_distribution"))
+    # A row per label of either kind, counted before the labels of a department come together.
+    labels = cube.select(*keys, "n", "words", F.explode(F.array(
+        F.struct(F.lit("t").alias("kind"), F.col("topic").alias("label")),
+        F.struct(F.lit("p").alias("kind"), F.col("purpose").alias("label")))).alias("x")).groupBy(
+        *keys, F.col("x.kind").alias("kind"), F.col("x.label").alias("label")).agg(
+        F.sum("n").alias("n"), F.sum("words").alias("words"))
+    pair = F.struct((-F.col("n")).alias("k"), F.col("label").alias("l"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    prompt_part = labels.groupBy(*keys).agg(
+        F.sum(of("t", F.col("n"))).alias("prompts"), F.sum(of("t", F.col("words"))).alias("_words"),
+        F.count(of("t", F.lit(1))).alias("unique_topics"),
+        F.collect_list(of("p", pair)).alias("_p"), F.collect_list(of("t", pair)).alias("_t")).select(
+        *keys, "prompts", "_words", "unique_topics", F.expr(lines_sql("_p", "prompts")).alias("purpose_distribution"),
+        F.expr(lines_sql("_t", "prompts")).alias("topic_distribution"))
     out = conv_part.join(prompt_part, keys, "left")
     return out.select(
         *keys,
@@ -116,11 +119,12 @@ class Analysis:
     department_map: DataFrame | None = None
     staff: object = None
     duplicates: str = "multiply"
-    strategy: str | None = None  # None: session conf spark.chatlens.tagging.strategy, else "exists"
 
     def __post_init__(self):
         df = self.messages
-        if self.year is not None and self.month is not None:
+        if (self.year is None) != (self.month is None):
+            raise ValueError("give year and month, or neither for all months")
+        if self.year is not None:
             df = filter_month(df, self.year, self.month)
         else:
             df = df.where(F.col("month").isNotNull())
@@ -128,7 +132,7 @@ class Analysis:
             df = apply_department_map(df, self.department_map, self.duplicates)
         self.month_df = with_role_flags(df)
         self.conv_stats = conversation_stats(self.month_df, PERIOD)
-        self.prompts = enrich_prompts(self.month_df, self.topic_rules, self.purpose, self.strategy)
+        self.prompts = enrich_prompts(self.month_df, self.topic_rules, self.purpose)
 
     @property
     def spark(self) -> SparkSession:
@@ -143,21 +147,24 @@ class Analysis:
         Default location: a fresh folder under ``spark.checkpoint.dir`` (shared storage).
         """
         base = path or f"{checkpoint_dir(self.spark).rstrip('/')}/chatlens-analysis-{uuid.uuid4().hex}"
-        self.month_df.write.mode("overwrite").parquet(f"{base}/month")
-        self.prompts.write.mode("overwrite").parquet(f"{base}/prompts")
-        self.month_df = self.spark.read.parquet(f"{base}/month")
+        self.month_df = self._kept(self.month_df, f"{base}/month")
         self.conv_stats = conversation_stats(self.month_df, PERIOD)
-        self.prompts = self.spark.read.parquet(f"{base}/prompts")
+        # Tagged from the written messages: the source is parsed once.
+        self.prompts = self._kept(enrich_prompts(self.month_df, self.topic_rules, self.purpose), f"{base}/prompts")
         self.materialized_at = base
         return self
 
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def departments(self) -> DataFrame:
         """FIL-8: the period's distinct non-null departments in code-point order."""
         return (self.month_df.where(F.col("department").isNotNull()).select(*PERIOD, "department").distinct()
                 .orderBy(*PERIOD, "department"))
 
     def overview(self) -> DataFrame:
-        return overview(self.month_df)
+        return overview(self.conv_stats)
 
     def by_department(self) -> DataFrame:
         return by_department(self.conv_stats, PERIOD)
@@ -166,7 +173,7 @@ class Analysis:
         return by_department_topic(self.prompts, PERIOD)
 
     def department_metrics(self) -> DataFrame:
-        return department_metrics(self.month_df, self.conv_stats, self.prompts, PERIOD)
+        return department_metrics(self.conv_stats, self.prompts, PERIOD)
 
     def kpi(self) -> DataFrame:
         return with_kpi(self.department_metrics(), staff_table(self.spark, self.staff))

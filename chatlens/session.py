@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -28,18 +25,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; an error if the session names none.
 
-    Only when the session names none (local tests) is a scratch folder created.
+    Intermediate tables must be readable by every executor, so no local folder is made up.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="chatlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some deployments refuse runtime changes of core settings
-            pass
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return d

@@ -15,10 +15,11 @@ def with_captions(report: DataFrame) -> DataFrame:
 
 def write_report(report: DataFrame, path: str, fmt: str = "parquet", captions: bool = False,
                  mode: str = "overwrite") -> None:
-    """Write the report (11 fixed columns, department order), partitioned by ``month_label``.
+    """Write the report (11 fixed columns, department order), a folder ``period=MM-YYYY`` per month.
 
-    The report has one row per department and month, so each month is written
-    as a single file; CSV gets a header row (also when the month has no rows).
+    The files hold all 11 columns in order. Overwriting replaces the months of this report and
+    leaves others alone. The report has one row per department and month, so each month is
+    a single file; CSV gets a header row (also when the month has no rows: ``period=none``).
     """
     if list(report.columns[:len(REPORT_COLUMNS)]) != REPORT_COLUMNS:
         report = report.select(*REPORT_COLUMNS)
@@ -26,17 +27,14 @@ def write_report(report: DataFrame, path: str, fmt: str = "parquet", captions: b
         # No department in the period: a header-only file, as a spreadsheet export would have.
         names = [REPORT_CAPTION_MAP[c] if captions else c for c in REPORT_COLUMNS]
         header = report.sparkSession.createDataFrame([tuple(names)], ", ".join(f"c{i} string" for i in range(len(names))))
-        header.coalesce(1).write.mode(mode).option("header", False).csv(path)
+        header.coalesce(1).write.mode(mode).option("header", False).csv(f"{path}/period=none")
         return
     out = report.repartition("month_label").sortWithinPartitions("month_label", "ordinal")
-    if captions:
-        out = with_captions(out)
-        part_col = REPORT_CAPTION_MAP["month_label"]
-    else:
-        part_col = "month_label"
-    w = out.write.mode(mode).partitionBy(part_col)
+    period = F.col("month_label").alias("period")
+    out = out.select(*[F.col(c).alias(REPORT_CAPTION_MAP[c]) if captions else F.col(c) for c in REPORT_COLUMNS], period)
+    w = out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("period")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         w.json(path)
     elif fmt == "parquet":

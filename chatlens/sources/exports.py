@@ -22,11 +22,16 @@ from pyspark.sql import functions as F
 from ..schema import with_times
 from ..functions.rules import sql_string
 from ..functions.timefn import FLOAT_TEXT
-from ..operators.partitioning import spread_for_cpu
 
 _CONV_FIELDS = ("id:variant,conversation_id:variant,title:variant,conversation_title:variant,"
                 "mapping:map<string,variant>,messages:array<variant>")
 EXPORT_SCHEMA = f"array<struct<{_CONV_FIELDS},conversations:array<struct<{_CONV_FIELDS}>>>>"
+_MSG = "struct<id:string,author:struct<role:string,name:string>,role:string,content:string,create_time:string,timestamp:string>"
+_PLAIN_CONV = (f"id:string,conversation_id:string,title:string,conversation_title:string,mapping:map<string,struct<message:{_MSG}>>,"
+               f"messages:array<{_MSG}>")
+PLAIN_SCHEMA = f"array<struct<{_PLAIN_CONV},conversations:array<struct<{_PLAIN_CONV}>>>>"
+#: Bytes one VARIANT value can hold (128 MiB), less a margin for its own structure.
+VARIANT_LIMIT = 120 << 20
 _CONV_NAMES = ["id", "conversation_id", "title", "conversation_title", "mapping", "messages"]
 
 
@@ -177,16 +182,59 @@ def _normalise_roots(docs: DataFrame, json_col: str) -> DataFrame:
            .withColumn("_root_is_list", text.rlike(r"^[ \t\n\r]*\["))
            .withColumn("_convs", convs)
            .withColumn("_reject_reason",
-                       F.when(F.col("_parsed").isNull(), F.lit("not a JSON object or list of objects"))
+                       F.when(~F.is_valid_utf8(raw), F.lit("not valid UTF-8"))
+                       .when(F.col("_parsed").isNull(), F.lit("not a JSON object or list of objects"))
                        .when(bad_conv, F.lit("conversation, message or author is not an object")))
            .drop("_parsed", "_root_is_list"))
     return out
 
 
+def _flatten_large(docs: DataFrame, json_col: str, account_col: str, file_col: str) -> ExportResult:
+    """Documents above the VARIANT size limit, parsed into plain fields (values as text).
+
+    Results are those of the VARIANT path for well-formed exports. What needs a value's JSON
+    kind is judged by its text: a part that is no string counts by its JSON text, and
+    content that is a string of the form of a JSON object is read as that object. A node
+    or item that is no object drops only itself.
+    """
+    text = F.when(F.col(json_col).startswith("\ufeff"), F.substring(F.col(json_col), 2, 2147483647)).otherwise(F.col(json_col))
+    strip = ", ".join(f"'{n}', c.{n}" for n in _CONV_NAMES)
+    roots = docs.select(F.col(account_col).alias("account"), F.col(file_col).alias("file"), F.is_valid_utf8(F.col(json_col)).alias("utf8"),
+                        text.rlike(r"^[ \t\n\r]*\[").alias("many"), F.from_json(text, PLAIN_SCHEMA).alias("p"))
+    rejected = roots.select("file", F.when(~F.col("utf8"), F.lit("not valid UTF-8")).when(
+        F.col("p").isNull(), F.lit("not a JSON object or list of objects")).alias("reason")).where("reason is not null")
+    convs = F.expr(f"CASE WHEN NOT utf8 THEN NULL WHEN NOT many AND p[0].conversations IS NOT NULL THEN p[0].conversations "
+                   f"ELSE transform(p, c -> named_struct({strip})) END")
+    conv = roots.select("account", F.explode(convs).alias("c"))
+    none = "CAST(NULL AS STRING)"
+    items = ("CASE WHEN c.mapping IS NOT NULL THEN transform(map_entries(c.mapping), e -> named_struct('node', e.key, 'm', e.value.message)) "
+             f"ELSE transform(c.messages, m -> named_struct('node', {none}, 'm', m)) END")
+    rows = conv.select("account", F.expr("coalesce(nullif(c.id, ''), c.conversation_id)").alias("conversation_id"),
+                       F.expr("coalesce(nullif(c.title, ''), c.conversation_title, '')").alias("conversation_title"),
+                       F.expr("c.mapping IS NOT NULL").alias("from_map"), F.explode(F.expr(items)).alias("x"))
+    rows = rows.withColumn("o", F.when(F.col("x.m.content").startswith("{"), F.from_json("x.m.content", "parts array<string>, text string")))
+    body = F.when(F.col("o.parts").isNotNull(), F.array_join("o.parts", "\n")).when(F.col("o").isNotNull(), F.coalesce("o.text", F.lit(""))).otherwise(
+        F.coalesce("x.m.content", F.lit("")))
+    time = F.when(F.col("from_map") | ~F.coalesce(F.col("x.m.create_time"), F.lit("")).isin("", "0", "0.0"), F.col("x.m.create_time")).otherwise(F.col("x.m.timestamp"))
+    flat = rows.select(
+        "account", "conversation_id", "conversation_title",
+        F.when(F.col("from_map"), F.col("x.m.author.role")).otherwise(F.expr("coalesce(nullif(x.m.author.role, ''), x.m.role)")).alias("role"),
+        F.col("x.m.author.name").alias("author"), body.alias("text"), time.alias("_time"),
+        F.when(F.col("from_map"), F.expr("coalesce(nullif(x.m.id, ''), x.node)")).otherwise(F.col("x.m.id")).alias("message_id"),
+        F.col("account").alias("department"), "from_map")
+    flat = flat.where("NOT from_map OR (coalesce(role, '') <> '' AND text <> '')").withColumn("epoch_seconds", F.expr(
+        f"CASE WHEN _time rlike {sql_string(FLOAT_TEXT)} THEN try_cast(replace(regexp_replace(_time, {sql_string(r'(?U)^\s+|\s+$')}, ''), '_', '') AS DOUBLE) END"))
+    return ExportResult(with_times(flat), rejected)
+
+
 def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str = "account",
-                    file_col: str | None = None, on_error: str = "file", spread: bool = True) -> ExportResult:
+                    file_col: str | None = None, on_error: str = "file",
+                    variant_limit: int = VARIANT_LIMIT) -> ExportResult:
     """Flatten export documents (one JSON text per row) into the message table.
 
+    A document longer than ``variant_limit`` bytes may hold a value that VARIANT cannot, and is
+    parsed into plain fields instead (see ``_flatten_large``); every row goes one way.
+
     ``on_error='file'`` drops every row of a document that has a malformed part
     (reference behaviour); ``'record'`` drops only the malformed conversations.
     Either way the affected documents are listed in ``rejected``.
@@ -194,7 +242,8 @@ def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str =
     if on_error not in ("file", "record"):
         raise ValueError("on_error must be 'file' or 'record'")
     file_col = file_col or account_col
-    roots = _normalise_roots(spread_for_cpu(docs) if spread else docs, json_col)
+    large = _flatten_large(docs.where(F.octet_length(json_col) > variant_limit), json_col, account_col, file_col)
+    roots = _normalise_roots(docs.where(F.octet_length(json_col) <= variant_limit), json_col)
     rejected = roots.where(F.col("_reject_reason").isNotNull()).select(
         F.col(file_col).alias("file"), F.col("_reject_reason").alias("reason"))
 
@@ -225,7 +274,7 @@ def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str =
                        F.col("x.text").alias("text"), F.col("x.seconds").alias("epoch_seconds"),
                        F.col("x.message_id").alias("message_id"),
                        F.col("account").alias("department"))
-    return ExportResult(with_times(flat), rejected)
+    return ExportResult(with_times(flat).unionByName(large.messages), rejected.unionByName(large.rejected))
 
 
 def read_exports(spark: SparkSession, paths, on_error: str = "file") -> ExportResult:
@@ -240,28 +289,24 @@ def read_exports(spark: SparkSession, paths, on_error: str = "file") -> ExportRe
     return flatten_exports(docs, json_col="json", account_col="account", file_col="file_name", on_error=on_error)
 
 
-def spread_key(messages: DataFrame) -> F.Column:
-    """Hash of every message column: spreads rows evenly even when a conversation is hot and its
-    messages carry no id (the list form has none)."""
-    from ..schema import MESSAGE_COLUMNS
-    return F.xxhash64(*[F.col(c) for c in MESSAGE_COLUMNS if c in messages.columns])
+def by_month(messages: DataFrame) -> DataFrame:
+    """Rows of a month together, in as many partitions as its bytes ask for: adaptive execution
+    splits large months (a hot account or conversation included) and merges small ones."""
+    return messages.hint("rebalance", F.col("month"))
 
 
-def land_messages(messages: DataFrame, path: str, mode: str = "overwrite", files_per_month: int | None = None):
+def land_messages(messages: DataFrame, path: str, mode: str = "overwrite"):
     """Write the message table once as Parquet partitioned by ``month`` (the landing table).
 
-    Rows are hash-spread on (month, hash of the whole row) first so that a hot
-    account or conversation does not end up in one writer task.
+    Overwriting replaces the months of ``messages`` and leaves all others alone.
     """
-    cols = [F.col("month"), spread_key(messages)]
-    df = messages.repartition(files_per_month, *cols) if files_per_month else messages.repartition(*cols)
-    df.write.mode(mode).partitionBy("month").parquet(path)
+    by_month(messages).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def read_landed(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
-    """Read the landing table; a month list becomes a partition filter (pruned at the scan)."""
-    df = spark.read.parquet(path)
+    """Read the landing table (it may be empty); a month list becomes a partition filter (pruned at the scan)."""
+    from ..schema import MESSAGE_COLUMNS, MESSAGES_DDL
+    df = spark.read.schema(MESSAGES_DDL).parquet(path)
     if months:
         df = df.where(F.col("month").isin(months))
-    from ..schema import MESSAGE_COLUMNS
     return df.select(*MESSAGE_COLUMNS)

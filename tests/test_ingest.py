@@ -8,7 +8,7 @@ from chatlens.sources.exports import flatten_exports, read_exports
 
 def flat(spark, docs, on_error="file"):
     df = spark.createDataFrame([(f"f{i}", d) for i, d in enumerate(docs)], "account string, json string")
-    res = flatten_exports(df, spread=False, on_error=on_error)
+    res = flatten_exports(df, on_error=on_error)
     rows = res.messages.orderBy("account", "message_id", "text").collect()
     rejected = sorted(r.file for r in res.rejected.collect())
     return rows, rejected

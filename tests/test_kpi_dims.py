@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatlens.functions.fixed_values import KPI_LADDER
-from chatlens.functions.kpi import kpi_rating, per_head_score
+from chatlens.functions.kpi import kpi_ladder_sql, per_head_score
 from chatlens.operators.override import apply_department_map, read_department_map, staff_table, with_staff
 
 COLS = "prompts long, active_days long, unique_topics long, avg_prompts_per_conversation double, avg_words_per_prompt double"
@@ -14,9 +14,8 @@ COLS = "prompts long, active_days long, unique_topics long, avg_prompts_per_conv
 
 def rate(spark, rows):
     df = spark.createDataFrame(rows, COLS)
-    r = kpi_rating(F.col("prompts"), F.col("active_days"), F.col("unique_topics"),
-                   F.col("avg_prompts_per_conversation"), F.col("avg_words_per_prompt"))
-    return [(x.r.rating, x.r.raw_score) for x in df.select(r.alias("r")).collect()]
+    rating, raw = kpi_ladder_sql()
+    return [tuple(x) for x in df.select(F.expr(rating), F.expr(raw)).collect()]
 
 
 def test_each_band_at_threshold_and_below(spark):

@@ -32,7 +32,7 @@ def generated_texts(n=400, seed=7):
 def test_row_functions_match_brute_force(spark):
     texts = generated_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    rows = {r.i: r for r in tag_texts(df, spread=False).withColumn("wc", word_count(F.col("text"))).collect()}
+    rows = {r.i: r for r in tag_texts(df).withColumn("wc", word_count(F.col("text"))).collect()}
     for i, t in enumerate(texts):
         r = rows[i]
         assert r.wc == len(t.split()), repr(t)

@@ -9,7 +9,7 @@ from chatlens.operators.cluster import cluster_prompts
 from chatlens.operators import views
 from chatlens.plans.report import Analysis
 from chatlens.sinks import write_report
-from chatlens.sources.bridge import load_messages
+from chatlens.plans.bridge import load_messages
 from chatlens.sources.exports import read_landed
 from chatlens.streaming.landing import start_landing
 
@@ -135,15 +135,6 @@ def test_plans_stay_on_the_jvm_and_lower_once(spark):
         assert "EvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan, name
 
 
-def test_month_filter_forms_agree(spark):
-    from chatlens.operators.period import filter_month, filter_month_bounds
-    msgs = load_messages(spark, SF)
-    for y, m in [(2024, 1), (2024, 2), (2024, 3), (2023, 12)]:
-        a = filter_month(msgs, y, m).select("message_id")
-        b = filter_month_bounds(msgs, y, m).select("message_id")
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
 def test_views_are_ordered(spark):
     a = Analysis(load_messages(spark, SF), 2024, 2)
     pl = views.prompt_list(a.prompts).collect()

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.fixed_values import (DEFAULT_TOPIC_RULES, PURPOSE_RULES, QUALITY_LENGTH_BANDS,
                                              QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS)
-from chatlens.functions.quality import prompt_quality
-from chatlens.functions.rules import RuleSet, default_topic_rules, purpose_rules, tag_purpose, tag_topic
+from chatlens.functions.rules import RuleSet, default_topic_rules, purpose_rules
 from chatlens.functions.text import word_count
 from chatlens.operators.enrich import tag_texts
 
@@ -53,7 +52,7 @@ def quality_cases():
 def test_quality_matches_brute_force(spark):
     cases = quality_cases()
     df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
-    got = {r.i: r.q for r in df.select("i", prompt_quality(F.col("t")).alias("q")).collect()}
+    got = {r.i: r.q for r in tag_texts(df, "t").select("i", F.col("prompt_quality").alias("q")).collect()}
     for i, s in enumerate(cases):
         assert got[i] == brute_quality(s), repr(s)
     assert got[len(cases) - 1] == 100
@@ -85,10 +84,9 @@ HAND_TAGGED = [
 ]
 
 
-@pytest.mark.parametrize("strategy", ["exists", "or", "automaton"])
-def test_hand_tagged(spark, strategy):
+def test_hand_tagged(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(HAND_TAGGED)], "i int, text string")
-    out = {r.i: (r.topic, r.purpose) for r in tag_texts(df, strategy=strategy, spread=False).collect()}
+    out = {r.i: (r.topic, r.purpose) for r in tag_texts(df).collect()}
     for i, (t, topic, purpose) in enumerate(HAND_TAGGED):
         assert out[i] == (topic, purpose), t
 
@@ -124,20 +122,9 @@ def test_custom_rules():
 def test_custom_rules_tagging(spark):
     rules = RuleSet.from_json('{"Empty": [], "Finance": ["budget"], "All": [""]}')
     df = spark.createDataFrame([(1, "my budget"), (2, "anything"), (3, "")], "i int, text string")
-    out = {r.i: r.t for r in df.select("i", tag_topic(F.col("text"), rules).alias("t")).collect()}
+    out = {r.i: r.t for r in tag_texts(df, topic_rules=rules).select("i", F.col("topic").alias("t")).collect()}
     assert out == {1: "Finance", 2: "All", 3: "All"}
-    assert df.select(tag_purpose(F.lit(None).cast("string")).alias("p")).first().p == "Khác"
-
-
-def test_strategy_from_session_conf(spark):
-    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(HAND_TAGGED)], "i int, text string")
-    spark.conf.set("spark.chatlens.tagging.strategy", "automaton")
-    try:
-        out = {r.i: (r.topic, r.purpose) for r in tag_texts(df, spread=False).collect()}
-    finally:
-        spark.conf.unset("spark.chatlens.tagging.strategy")
-    for i, (t, topic, purpose) in enumerate(HAND_TAGGED):
-        assert out[i] == (topic, purpose), t
+    assert {r.purpose for r in tag_texts(df.withColumn("text", F.lit(None).cast("string"))).collect()} == {"Khác"}
 
 
 def one_case_per_label(rules):
@@ -152,14 +139,13 @@ def one_case_per_label(rules):
     return cases
 
 
-@pytest.mark.parametrize("strategy", ["exists", "or", "automaton"])
-def test_every_label_reachable(spark, strategy):
+def test_every_label_reachable(spark):
     topics = one_case_per_label(DEFAULT_TOPIC_RULES)
     purposes = one_case_per_label(PURPOSE_RULES)
     assert len(topics) == 16 and len(purposes) == 8
     rows = [(t, lab, None) for t, lab in topics] + [(t, None, lab) for t, lab in purposes]
     df = spark.createDataFrame(rows, "text string, want_topic string, want_purpose string")
-    for r in tag_texts(df, strategy=strategy, spread=False).collect():
+    for r in tag_texts(df).collect():
         if r.want_topic:
             assert r.topic == r.want_topic, r.text
         if r.want_purpose:

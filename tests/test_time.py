@@ -6,7 +6,8 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from chatlens.functions.timefn import epoch_to_utc, month_label, parse_float_text, utc_to_local, minute_text
+from chatlens.functions.timefn import epoch_to_utc, month_label, utc_to_local, minute_text
+from chatlens.sources.exports import _seconds
 from chatlens.operators.period import filter_month, month_bounds
 
 ZONE = ZoneInfo("Asia/Ho_Chi_Minh")
@@ -39,7 +40,8 @@ def test_epoch_numbers(spark):
 
 def test_epoch_strings(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(STRINGS)], "i int, s string")
-    secs = parse_float_text(F.col("s"))
+    df = df.withColumn("v", F.expr("try_variant_get(parse_json(to_json(named_struct('s', s))), '$.s')")).withColumn("k", F.expr("schema_of_variant(v)"))
+    secs = F.expr(_seconds("v", "k"))
     got = {r.i: r.l for r in df.select("i", utc_to_local(epoch_to_utc(secs)).alias("l")).collect()}
     for i, v in enumerate(STRINGS):
         assert got[i] == expected_local(v), (v, got[i])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from chatlens.plans.report import Analysis  # noqa: E402
 from chatlens.session import local_session  # noqa: E402
-from chatlens.sources.bridge import bridge_messages  # noqa: E402
+from chatlens.plans.bridge import bridge_messages  # noqa: E402
 
 
 def main():
