@@ -137,11 +137,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Codebook:
     ``per_language`` of each language at most."""
     own = docs.where(~held_out() & F.col(DOC_ID).isNotNull() & F.col("lang").isNotNull()).select(
         F.col(DOC_ID).cast("long").alias("_id"), "text", "lang")
-    rates = own.groupBy("lang").count().select(
-        F.col("lang").alias("_l"), F.least(F.lit(1.0), F.lit(per_language) / F.col("count")).alias("rate"))
-    pick = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000
-    rows = own.join(rates, own["lang"] == rates["_l"]).where(pick & F.col("text").isNotNull()).select(
-        "_id", "text", "lang").orderBy("_id", F.xxhash64("text"), "lang").toPandas()
+    # A row per language, and each language is a class of the model: that many fit a literal.
+    rates = [F.lit(x) for r in own.groupBy("lang").count().collect() for x in (r["lang"], min(1.0, per_language / r["count"]))]
+    if not rates:
+        return train_codebook([], [])
+    pick = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.create_map(*rates)[F.col("lang")] * 1_000_000
+    rows = own.where(pick & F.col("text").isNotNull()).orderBy("_id", F.xxhash64("text"), "lang").toPandas()
     return train_codebook(rows["text"].tolist(), rows["lang"].tolist())
 
 
