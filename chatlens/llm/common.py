@@ -34,8 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Folders of intermediate tables this process has named, in order.
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """Where ``drop_scratch`` may begin: tables written from now on."""
+    return len(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables named since ``scratch_mark()``, except ``but``. For callers
+    that have written the results which were read from them."""
+    for path in [p for p in _SCRATCH[since:] if p not in but]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _SCRATCH.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BUCKETS, TRAIN_PAGES, SEED, PAGES_AT_ONCE = 1024, 400, 5, 100
+BUCKETS, TRAIN_PAGES, SEED, PAGES_AT_ONCE = 1024, 500, 5, 100
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -186,11 +186,14 @@ def features(page: Page) -> tuple[list[int], list[int]]:
     """(node, bucket) of the features that are on."""
     at, on = [], []
     total = max(page.nodes[0].chars, 1)
+    above: list[tuple[str, ...]] = []  # tags and words of the elements around
     for i, n in enumerate(page.nodes):
+        around = above[n.parent] + tuple(page.nodes[n.parent].words) + (page.nodes[n.parent].tag,) if n.parent >= 0 else ()
+        above.append(tuple(dict.fromkeys(around))[:40])
         density = n.links / n.chars if n.chars else 0.0
         names = ["bias", "tag=" + n.tag, f"chars={min(n.chars, 100_000).bit_length() // 2}", f"links={int(density * 4)}",
                  f"share={int(4 * n.chars / total)}", "leaf" if n.blocks <= 1 else "inner", "empty" if not n.chars else "text"]
-        names += ["word=" + w for w in dict.fromkeys(n.words)]
+        names += ["word=" + w for w in dict.fromkeys(n.words)] + ["in=" + w for w in above[i]]
         for name in names:
             at.append(i)
             on.append(_bucket(name))
@@ -330,14 +333,14 @@ _PLAIN = ("<div>", "<div class='wrap'>", "<div class='container'>", "<div id='pa
 _MENU = ("<nav>", "<div class='menu'>", "<ul class='nav navbar'>", "<nav class='main-navigation'>", "<div id='nav' role='navigation'>", "<menu>",
          "<div class='breadcrumbs'>", "<div class='pagination'>", "<div class='share social'>", "<div class='tags'>", "<div class='toc menu'>")
 _SIDE = ("<aside>", "<div class='sidebar'>", "<div id='sidebar' class='widget-area'>", "<aside class='related'>", "<div class='widget recent'>",
-         "<div class='related-posts'>", "<section class='sidebar promo'>", "<div role='complementary'>")
+         "<div class='related-posts'>", "<section class='sidebar promo'>", "<div role='complementary'>", "<div class='side-bar left'>", "<aside class='author-bio about'>", "<div class='trending most-read'>")
 _NOTE = ("<div class='ad'>", "<div class='advert'>", "<div class='ads banner'>", "<div id='ad-top' class='sponsored'>", "<div class='notice'>",
          "<div class='cookie-notice'>", "<div class='alert consent'>", "<div id='cookies' class='banner'>", "<section class='newsletter subscribe'>",
-         "<div class='promo advertisement'>", "<p class='notice'>", "<div class='popup modal'>", "<ins class='adsbygoogle'>", "<div class='disclaimer'>", "<div role='alert'>")
+         "<div class='promo advertisement'>", "<p class='notice'>", "<div class='popup modal'>", "<div class='cookie-banner gdpr'>", "<div class='ad-slot'>", "<div class='sponsor promotion'>", "<div class='warning message'>", "<div class='signup login'>", "<div class='privacy-notice'>", "<ins class='adsbygoogle'>", "<div class='disclaimer'>", "<div role='alert'>")
 _HEAD = ("<header>", "<div id='header'>", "<div class='site-header top'>", "<header class='masthead'>", "<div role='banner'>")
 _FOOT = ("<footer>", "<div id='footer'>", "<div class='site-footer copyright'>", "<footer class='bottom'>", "<div role='contentinfo'>", "<div class='copyright'>")
 _TALK = ("<section class='comments'>", "<div id='comments'>", "<div class='comment-list'>", "<ol class='commentlist'>", "<div class='disqus thread'>", "<section id='reviews' class='comments'>",
-         "<div class='responses comments-area'>", "<aside class='comments'>")
+         "<div class='responses comments-area'>", "<div class='reader-comments'>", "<section class='discussion replies'>", "<div class='user-comments feedback'>", "<aside class='comments'>")
 
 
 def _marked(opening: str, label: int) -> str:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import new_path, table
+from chatlens.llm.common import drop_scratch, new_path, scratch_mark, table
 from chatlens.llm.decontaminate import decontaminate
 from chatlens.llm.linededup import dedup_lines
 from chatlens.llm.mix import mix_texts
@@ -55,9 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        mark = scratch_mark()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             path = new_path(spark, name)
             docs.write.parquet(path)
             docs = spark.read.schema(docs.schema).parquet(path)
+            drop_scratch(spark, mark, but=(path,))  # what only this stage has read
     return docs

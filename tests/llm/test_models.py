@@ -146,7 +146,7 @@ def test_model_on_unseen_layouts(model):
         keep = html.Forest([page]).marginals(model.weights, model.edge)[0] >= 0.5
         right += sum(keep[o] == y[o] for o, _ in page.blocks)
         total += len(page.blocks)
-    assert right / total >= 0.96
+    assert right / total >= 0.985
 
 
 def test_extraction_of_a_whole_page(model):
