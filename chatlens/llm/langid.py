@@ -134,7 +134,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Codebook:
     """Trains on documents not held out, of non-null doc_id, text and lang: about
-    ``per_language`` of each language at most."""
+    ``per_language`` of each language at most, one row per doc_id (the smallest text)."""
     own = docs.where(~held_out() & F.col(DOC_ID).isNotNull() & F.col("lang").isNotNull()).select(
         F.col(DOC_ID).cast("long").alias("_id"), "text", "lang")
     # A row per language, and each language is a class of the model: that many fit a literal.
@@ -142,7 +142,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Codebook:
     if not rates:
         return train_codebook([], [])
     pick = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.create_map(*rates)[F.col("lang")] * 1_000_000
-    rows = own.where(pick & F.col("text").isNotNull()).orderBy("_id", F.xxhash64("text"), "lang").toPandas()
+    rows = own.where(pick & F.col("text").isNotNull()).groupBy("_id").agg(F.min(F.struct("text", "lang")).alias("r")).select(
+        "_id", "r.*").orderBy("_id").toPandas()
     return train_codebook(rows["text"].tolist(), rows["lang"].tolist())
 
 
