@@ -90,7 +90,9 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _th, lines): numbers (from 0, among the lines with words) of the lines to
     delete, for documents that have any. See ``dedup_lines``."""
     order = [F.col("doc_id").asc_nulls_last(), F.col(TEXT_HASH).asc()]
-    seq = written(_lines(one_per_text(docs), min_words).repartitionByRange(*order).sortWithinPartitions(
+    # Written first: dealing by ranges reads its rows twice, once for the ranges' bounds.
+    lines = written(_lines(one_per_text(docs), min_words), "ids")
+    seq = written(lines.repartitionByRange(*order).sortWithinPartitions(
         *order, "line").withColumn("pos", F.monotonically_increasing_id()), "lines")
     levels = [_repeated(seq.select("pos", "rest", "ha", "hb"), ["ha", "hb"], "level")]
     while True:
