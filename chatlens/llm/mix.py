@@ -154,12 +154,15 @@ def mix_texts(docs: DataFrame, **kw) -> DataFrame:
     which changes nothing in the result.
     """
     keyed = packed(docs, id=F.col(DOC_ID).cast("long"), source=F.col("source"), size=word_count(), h=text_hash())
-    plan = mix_plan(docs, **kw).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_n"), "rows", F.col("copies").alias("_c"))
+    plan = written(mix_plan(docs, **kw).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_n"), "rows", F.col("copies").alias("_c")), "plan")
     got = keyed.join(plan, keyed["id"].eqNullSafe(plan["_id"]) & keyed["source"].eqNullSafe(plan["_s"]) & (keyed["size"] == plan["_n"]))
     at = F.row_number().over(Window.partitionBy("_id", "_s", "_n").orderBy("h"))
     more = got.where("rows > 1").withColumn("at", at).withColumn("_c", F.floor(F.col("_c") / F.col("rows")).cast("long") + F.when(
         F.col("at") <= F.col("_c") % F.col("rows"), 1).otherwise(0)).drop("at")
-    return unpacked(got.where("rows = 1").unionByName(more), docs.columns, size=F.col("size"), copies=F.col("_c"), taken=F.col("_c") * F.col("size"))
+    if not plan.where("rows > 1").isEmpty():  # else the texts would move twice for nothing
+        got = got.where("rows = 1").unionByName(more)
+    return unpacked(got, docs.columns, size=F.col("size"), copies=F.col("_c"), taken=F.col("_c") * F.col("size"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
