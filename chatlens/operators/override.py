@@ -72,9 +72,11 @@ def staff_table(spark: SparkSession, staff: dict[str, int] | DataFrame | None) -
 
 
 def with_staff(df: DataFrame, staff: DataFrame | None) -> DataFrame:
-    """Attach ``staff`` by department with default 1 (JOIN-3)."""
+    """Attach ``staff`` by department with default 1 (JOIN-3); a department listed twice counts once, with
+    its largest number."""
     if staff is None:
         return df.withColumn("staff", F.lit(1).cast("long"))
-    s = staff.select(F.col("department").cast("string"), F.col("staff").cast("long").alias("_staff"))
+    s = staff.select(F.col("department").cast("string"), F.col("staff").cast("long").alias("_staff")).groupBy(
+        "department").agg(F.max("_staff").alias("_staff"))
     return (df.join(s, on="department", how="left")
             .withColumn("staff", F.coalesce(F.col("_staff"), F.lit(1).cast("long"))).drop("_staff"))

@@ -95,6 +95,8 @@ def test_staff_default_one(spark):
     got = sorted((r.department, r.staff) for r in with_staff(df, staff_table(spark, {"b": 3})).collect())
     assert got == [("a", 1), ("b", 3)]
     assert [r.staff for r in with_staff(df, None).collect()] == [1, 1]
+    twice = spark.createDataFrame([("b", 2), ("b", 3)], "department string, staff long")
+    assert sorted((r.department, r.staff) for r in with_staff(df, twice).collect()) == [("a", 1), ("b", 3)]
 
 
 def test_load_department_map_keeps_departments_on_error(spark, scratch_dir):
