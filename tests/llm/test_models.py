@@ -181,3 +181,22 @@ def test_extract_given_pages(spark, model):
         art = r["html"][r["html"].index("<article>") + 9:r["html"].index("</article>")]
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " " if "<br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", art)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_extraction_keeps_and_drops_by_place(model):
+    around = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>{}<footer>&copy; example.net &middot; words here</footer>"
+    cases = [
+        ("<article><h1>Title here</h1><p><a href=/x>This whole paragraph is one link to somewhere</a></p><p>Second text.</p></article>",
+         ["Title here", "This whole paragraph is one link to somewhere", "Second text."]),
+        ("<article><h1>T</h1><p>Ses.</p><p>A.</p></article>", ["T", "Ses.", "A."]),
+        ("<div id='main-content'><h1>Title</h1><p>Paragraph one of this page with words.</p></div><div class='sidebar'><h3>Rel</h3><ul><li><a>One</a></li></ul></div>",
+         ["Title", "Paragraph one of this page with words."]),
+        ("<article><h1>T</h1><p>Body text goes here with words in it.</p><section class='comments'><h2>Comments</h2><article class='comment'><p>I am a long comment by a "
+         "reader, with many words that look like article text.</p></article></section></article>", ["T", "Body text goes here with words in it."]),
+        ("<header><h1>Site</h1><p>Tagline of the site, quite long indeed for a tagline.</p></header><main><h2>Story</h2><p>Some text that belongs to it.</p></main>"
+         "<aside><p>Long aside text that is not part of the article but looks like it.</p></aside>", ["Story", "Some text that belongs to it."]),
+        ("<div class='cookie'>We use cookies to improve your experience on this site.</div><form action=/s><label>Search</label><button>Go</button></form><article><p>Real "
+         "words.</p><div class='ad'>Buy now cheap stuff</div><p>More real words.</p></article>", ["Real words.", "More real words."]),
+    ]
+    for body, want in cases:
+        assert html.main_texts([around.format(body)], model)[0].split("\n") == want
