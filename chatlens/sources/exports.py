@@ -14,8 +14,12 @@ narrow pass. Land the result once as Parquet partitioned by month
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +30,12 @@ from ..functions.timefn import FLOAT_TEXT
 _CONV_FIELDS = ("id:variant,conversation_id:variant,title:variant,conversation_title:variant,"
                 "mapping:map<string,variant>,messages:array<variant>")
 EXPORT_SCHEMA = f"array<struct<{_CONV_FIELDS},conversations:array<struct<{_CONV_FIELDS}>>>>"
-_MSG = "struct<id:string,author:struct<role:string,name:string>,role:string,content:string,create_time:string,timestamp:string>"
-_PLAIN_CONV = (f"id:string,conversation_id:string,title:string,conversation_title:string,mapping:map<string,struct<message:{_MSG}>>,"
-               f"messages:array<{_MSG}>")
-PLAIN_SCHEMA = f"array<struct<{_PLAIN_CONV},conversations:array<struct<{_PLAIN_CONV}>>>>"
+#: No string of a document is too long for the parser (its own bound is 20 million characters).
+_JSON_OPTIONS = {"maxStringLen": "2147483647"}
 #: Bytes one VARIANT value can hold (128 MiB), less a margin for its own structure.
 VARIANT_LIMIT = 120 << 20
+#: Characters up to which a single field, or the objects among a message's parts, surely fit (VARIANT may take several times the text).
+PIECE = 16 << 20
 _CONV_NAMES = ["id", "conversation_id", "title", "conversation_title", "mapping", "messages"]
 
 
@@ -169,7 +173,7 @@ def _normalise_roots(docs: DataFrame, json_col: str) -> DataFrame:
     raw = F.col(json_col)
     # Strip a UTF-8 byte-order mark; only files that have one are copied.
     text = F.when(raw.startswith("\ufeff"), F.substring(raw, 2, 2147483647)).otherwise(raw)
-    parsed = F.from_json(text, EXPORT_SCHEMA)
+    parsed = F.from_json(text, EXPORT_SCHEMA, _JSON_OPTIONS)
     strip = ", ".join(f"'{n}', c.{n}" for n in _CONV_NAMES)
     as_convs = f"transform(_parsed, c -> CASE WHEN c IS NULL THEN NULL ELSE named_struct({strip}) END)"
     convs = F.expr(
@@ -189,73 +193,153 @@ def _normalise_roots(docs: DataFrame, json_col: str) -> DataFrame:
     return out
 
 
-def _flatten_large(docs: DataFrame, json_col: str, account_col: str, file_col: str) -> ExportResult:
-    """Documents above the VARIANT size limit, parsed into plain fields (values as text).
+class _Digits(str):
+    """A JSON number by its source text."""
 
-    Results are those of the VARIANT path for well-formed exports. What needs a value's JSON
-    kind is judged by its text: a part that is no string counts by its JSON text, and
-    content that is a string of the form of a JSON object is read as that object. A node
-    or item that is no object drops only itself.
-    """
-    text = F.when(F.col(json_col).startswith("\ufeff"), F.substring(F.col(json_col), 2, 2147483647)).otherwise(F.col(json_col))
-    strip = ", ".join(f"'{n}', c.{n}" for n in _CONV_NAMES)
-    roots = docs.select(F.col(account_col).alias("account"), F.col(file_col).alias("file"), F.is_valid_utf8(F.col(json_col)).alias("utf8"),
-                        text.rlike(r"^[ \t\n\r]*\[").alias("many"), F.from_json(text, PLAIN_SCHEMA).alias("p"))
-    rejected = roots.select("file", F.when(~F.col("utf8"), F.lit("not valid UTF-8")).when(
-        F.col("p").isNull(), F.lit("not a JSON object or list of objects")).alias("reason")).where("reason is not null")
-    convs = F.expr(f"CASE WHEN NOT utf8 THEN NULL WHEN NOT many AND p[0].conversations IS NOT NULL THEN p[0].conversations "
-                   f"ELSE transform(p, c -> named_struct({strip})) END")
-    conv = roots.select("account", F.explode(convs).alias("c"))
-    none = "CAST(NULL AS STRING)"
-    items = ("CASE WHEN c.mapping IS NOT NULL THEN transform(map_entries(c.mapping), e -> named_struct('node', e.key, 'm', e.value.message)) "
-             f"ELSE transform(c.messages, m -> named_struct('node', {none}, 'm', m)) END")
-    rows = conv.select("account", F.expr("coalesce(nullif(c.id, ''), c.conversation_id)").alias("conversation_id"),
-                       F.expr("coalesce(nullif(c.title, ''), c.conversation_title, '')").alias("conversation_title"),
-                       F.expr("c.mapping IS NOT NULL").alias("from_map"), F.explode(F.expr(items)).alias("x"))
-    rows = rows.withColumn("o", F.when(F.col("x.m.content").startswith("{"), F.from_json("x.m.content", "parts array<string>, text string")))
-    body = F.when(F.col("o.parts").isNotNull(), F.array_join("o.parts", "\n")).when(F.col("o").isNotNull(), F.coalesce("o.text", F.lit(""))).otherwise(
-        F.coalesce("x.m.content", F.lit("")))
-    time = F.when(F.col("from_map") | ~F.coalesce(F.col("x.m.create_time"), F.lit("")).isin("", "0", "0.0"), F.col("x.m.create_time")).otherwise(F.col("x.m.timestamp"))
-    flat = rows.select(
-        "account", "conversation_id", "conversation_title",
-        F.when(F.col("from_map"), F.col("x.m.author.role")).otherwise(F.expr("coalesce(nullif(x.m.author.role, ''), x.m.role)")).alias("role"),
-        F.col("x.m.author.name").alias("author"), body.alias("text"), time.alias("_time"),
-        F.when(F.col("from_map"), F.expr("coalesce(nullif(x.m.id, ''), x.node)")).otherwise(F.col("x.m.id")).alias("message_id"),
-        F.col("account").alias("department"), "from_map")
-    flat = flat.where("NOT from_map OR (coalesce(role, '') <> '' AND text <> '')").withColumn("epoch_seconds", F.expr(
-        f"CASE WHEN _time rlike {sql_string(FLOAT_TEXT)} THEN try_cast(replace(regexp_replace(_time, {sql_string(r'(?U)^\s+|\s+$')}, ''), '_', '') AS DOUBLE) END"))
-    return ExportResult(with_times(flat), rejected)
-
-
-def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str = "account",
-                    file_col: str | None = None, on_error: str = "file",
-                    variant_limit: int = VARIANT_LIMIT) -> ExportResult:
-    """Flatten export documents (one JSON text per row) into the message table.
 
-    A document longer than ``variant_limit`` bytes may hold a value that VARIANT cannot, and is
-    parsed into plain fields instead (see ``_flatten_large``); every row goes one way.
+class _Slim:
+    """A document without what flattening never reads, its message texts moved out.
 
-    ``on_error='file'`` drops every row of a document that has a malformed part
-    (reference behaviour); ``'record'`` drops only the malformed conversations.
-    Either way the affected documents are listed in ``rejected``.
+    Kinds of values and digits of numbers stay, so the result goes the way of every document.
+    Where a text was, its number stands between two ``mark``; ``texts`` holds those of each
+    conversation. Text that is not JSON gives an empty document. ``too_large``: some value
+    other than a message's content is still above VARIANT's limit.
     """
-    if on_error not in ("file", "record"):
-        raise ValueError("on_error must be 'file' or 'record'")
-    file_col = file_col or account_col
-    large = _flatten_large(docs.where(F.octet_length(json_col) > variant_limit), json_col, account_col, file_col)
-    roots = _normalise_roots(docs.where(F.octet_length(json_col) <= variant_limit), json_col)
+
+    def __init__(self, source: str) -> None:
+        self.mark, self.texts, self.too_large = uuid.uuid4().hex, [], False
+        number = lambda digits: _Digits(f"{self.mark}#{digits}{self.mark}")
+        try:
+            root = json.JSONDecoder(parse_int=number, parse_float=number, parse_constant=number).raw_decode(
+                source.removeprefix("\ufeff").lstrip(" \t\n\r"))[0]
+        except (ValueError, RecursionError):
+            self.json = ""
+            return
+        if isinstance(root, dict):
+            # A root whose list of conversations cannot be read is itself the conversation; its
+            # texts go behind those of the first one, so either reading finds its own.
+            slim, inner = {}, root.get("conversations")
+            if "conversations" in root:
+                slim["conversations"] = [self._conversation(c) for c in inner] if isinstance(inner, list) else inner
+            root = self._conversation(root, 0 if self.texts else None) | slim
+        elif isinstance(root, list):
+            root = [self._conversation(c) for c in root]
+        self.json = self._dump(root)
+
+    def _dump(self, value) -> str:
+        text = json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace").decode()
+        return re.sub(f'"{self.mark}#(.*?){self.mark}"', r"\1", text)
+
+    def _aside(self, text: str) -> str:
+        if not text:
+            return text
+        self.texts[self.at].append(text.encode("utf-8", "replace").decode())  # half a surrogate pair: '?', as the JVM
+        return f"{self.mark}{len(self.texts[self.at]) - 1}{self.mark}"
+
+    def _fields(self, of: dict, *names: str) -> dict:
+        out = {k: of[k] for k in names if k in of}
+        self.too_large |= any(not isinstance(v, _Digits) and isinstance(v, (str, list, dict)) and v and len(self._dump(v)) > PIECE for v in out.values())
+        return out
+
+    def _parts(self, parts: list) -> list:
+        """Runs of strings become one text. Objects that are large together count by their JSON text."""
+        parts = [x for x in parts if x is not None]
+        other = [x for x in parts if isinstance(x, (list, dict))]
+        by_text = len(other) > 0 and sum(len(self._dump(x)) for x in other) > PIECE
+        out, run = [], []
+        for x in parts:
+            if by_text and isinstance(x, (list, dict)):
+                x = self._dump(_sorted(x))
+            elif isinstance(x, bool):
+                x = str(x)
+            elif by_text and isinstance(x, _Digits):
+                x = x.replace(self.mark, "")[1:]
+            if type(x) is str:
+                run.append(x)
+            else:
+                out += [self._aside("\n".join(run))] * bool(run) + [x]
+                run = []
+        return out + [self._aside("\n".join(run))] * bool(run)
+
+    def _content(self, content):
+        if type(content) is str:
+            return self._aside(content)
+        if not isinstance(content, dict):
+            return content if isinstance(content, (bool, _Digits)) else None
+        if isinstance(content.get("parts"), list):
+            return {"parts": self._parts(content["parts"])}
+        return {"text": self._aside(content["text"])} if type(content.get("text")) is str else {}
+
+    def _message(self, m):
+        if not isinstance(m, dict) or not m:
+            return m if isinstance(m, (dict, _Digits)) or not m else True  # no object, but truthy
+        out = self._fields(m, "id", "role", "create_time", "timestamp")
+        if "author" in m:
+            a = m["author"]
+            out["author"] = self._fields(a, "role", "name") if isinstance(a, dict) else a if isinstance(a, _Digits) or not a else True
+        if "content" in m:
+            out["content"] = self._content(m["content"])
+        return out or {"_": 0}  # an object that is not empty stays one
+
+    def _conversation(self, c, at: int | None = None):
+        if at is None:
+            self.texts.append([])
+        self.at = len(self.texts) - 1 if at is None else at
+        if not isinstance(c, dict):
+            return c
+        out = self._fields(c, "id", "conversation_id", "title", "conversation_title")
+        if "mapping" in c:
+            nodes = c["mapping"]
+            out["mapping"] = nodes if not isinstance(nodes, dict) else {
+                k: n if n is None else True if not isinstance(n, dict) else {"message": self._message(n["message"])} if "message" in n else {}
+                for k, n in nodes.items()}
+        if "messages" in c:
+            out["messages"] = c["messages"] if not isinstance(c["messages"], list) else [
+                self._message(m) if isinstance(m, dict) else None for m in c["messages"]]
+        return out
+
+
+def _sorted(value):
+    """Keys in order, as in the JSON text of a VARIANT."""
+    if isinstance(value, dict):
+        return {k: _sorted(value[k]) for k in sorted(value)}
+    return [_sorted(x) for x in value] if isinstance(value, list) else value
+
+
+def _slim_documents(docs: DataFrame, json_col: str, account_col: str, file_col: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                slim = _Slim(row.pop("json") or "")
+                row |= {"json": slim.json, "mark": slim.mark, "texts": slim.texts, "too_large": slim.too_large}
+                yield pa.RecordBatch.from_pylist([row], schema=out)
+
+    text, valid = pa.string(), F.is_valid_utf8(F.col(json_col))
+    out = pa.schema([("account", text), ("file", text), ("utf8", pa.bool_()), ("json", text), ("mark", text),
+                     ("texts", pa.list_(pa.list_(text))), ("too_large", pa.bool_())])
+    return docs.select(F.col(account_col).cast("string").alias("account"), F.col(file_col).cast("string").alias("file"),
+                       valid.alias("utf8"), F.when(valid, F.col(json_col)).alias("json")).mapInArrow(
+        run, "account string, file string, utf8 boolean, json string, mark string, texts array<array<string>>, too_large boolean")
+
+
+def _flatten(roots: DataFrame, account_col: str, file_col: str, on_error: str, aside: bool) -> ExportResult:
+    """Rows of ``_normalise_roots``; aside: message texts are in ``texts``, by conversation."""
     rejected = roots.where(F.col("_reject_reason").isNotNull()).select(
         F.col(file_col).alias("file"), F.col("_reject_reason").alias("reason"))
 
     # Dropping is done on arrays before the explode, never with a Filter on the parsed
     # columns: a Filter would be pushed below the projection with ``from_json`` (and the
     # variant extraction) inlined, evaluating them twice.
+    c, all_convs = ("z.c", "transform(_convs, (c, i) -> named_struct('c', c, 'texts', get(texts, i), 'mark', mark))") if aside else ("z", "_convs")
     if on_error == "file":
-        kept = F.when(F.col("_reject_reason").isNull(), F.col("_convs"))
+        kept = f"CASE WHEN _reject_reason IS NULL THEN {all_convs} END"
     else:
-        kept = F.expr(f"filter(_convs, c -> c IS NOT NULL AND NOT {_conv_bad('c')})")
-    conv = roots.select(F.col(account_col).alias("account"), F.explode(kept).alias("c"))
-    conv = conv.select("account", "c", F.expr(_kind("c.id")).alias("_kid"), F.expr(_kind("c.conversation_id")).alias("_kcid"),
+        kept = f"filter({all_convs}, z -> {c} IS NOT NULL AND NOT {_conv_bad(c)})"
+        kept = f"CASE WHEN NOT too_large THEN {kept} END" if aside else kept
+    conv = roots.select(F.col(account_col).alias("account"), F.explode(F.expr(kept)).alias("z"))
+    conv = conv.select("account", F.expr(c).alias("c"), *(["z.texts", "z.mark"] if aside else []))
+    conv = conv.select("*", F.expr(_kind("c.id")).alias("_kid"), F.expr(_kind("c.conversation_id")).alias("_kcid"),
                        F.expr(_kind("c.title")).alias("_kt"), F.expr(_kind("c.conversation_title")).alias("_kct"))
     # `id or conversation_id` (the second as it is); `title or conversation_title or ""`
     conv_id = (f"CASE WHEN {_truthy('c.id', '_kid')} THEN {_text('c.id', '_kid')} "
@@ -263,18 +347,49 @@ def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str =
     title = (f"CASE WHEN {_truthy('c.title', '_kt')} THEN {_text('c.title', '_kt')} "
              f"WHEN {_truthy('c.conversation_title', '_kct')} THEN {_text('c.conversation_title', '_kct')} "
              f"ELSE '' END")
+    messages = _message_rows("c")
+    if aside:  # before the explode, so that no message carries the others' texts
+        text = ("CASE WHEN startswith(x.text, mark) AND endswith(x.text, mark) AND size(split(x.text, mark)) = 3 "
+                "THEN texts[CAST(split(x.text, mark)[1] AS INT)] "  # the text alone: not copied
+                "ELSE array_join(transform(split(x.text, mark), (s, i) -> CASE WHEN i % 2 = 1 THEN texts[CAST(s AS INT)] ELSE s END), '') END")
+        messages = (f"transform({messages}, x -> named_struct('role', x.role, 'author', x.author, 'text', {text}, "
+                    "'seconds', x.seconds, 'message_id', x.message_id))")
     rows = conv.select(
         "account",
         F.expr(conv_id).alias("conversation_id"),
         F.expr(title).alias("conversation_title"),
-        F.explode(F.expr(_message_rows("c"))).alias("x"),
+        F.explode(F.expr(messages)).alias("x"),
     )
     flat = rows.select("account", "conversation_id", "conversation_title",
                        F.col("x.role").alias("role"), F.col("x.author").alias("author"),
                        F.col("x.text").alias("text"), F.col("x.seconds").alias("epoch_seconds"),
                        F.col("x.message_id").alias("message_id"),
                        F.col("account").alias("department"))
-    return ExportResult(with_times(flat).unionByName(large.messages), rejected.unionByName(large.rejected))
+    return ExportResult(with_times(flat), rejected)
+
+
+def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str = "account",
+                    file_col: str | None = None, on_error: str = "file",
+                    variant_limit: int = VARIANT_LIMIT) -> ExportResult:
+    """Flatten export documents (one JSON text per row) into the message table.
+
+    A document longer than ``variant_limit`` bytes may hold a value that VARIANT cannot; its
+    message texts are moved out first (see ``_Slim``), then it goes the same way with the same results.
+
+    ``on_error='file'`` drops every row of a document that has a malformed part
+    (reference behaviour); ``'record'`` drops only the malformed conversations.
+    Either way the affected documents are listed in ``rejected``.
+    """
+    if on_error not in ("file", "record"):
+        raise ValueError("on_error must be 'file' or 'record'")
+    file_col = file_col or account_col
+    usual = _flatten(_normalise_roots(docs.where(F.octet_length(json_col) <= variant_limit), json_col),
+                     account_col, file_col, on_error, False)
+    slim = _normalise_roots(_slim_documents(docs.where(F.octet_length(json_col) > variant_limit), json_col, account_col, file_col), "json")
+    slim = slim.withColumn("_reject_reason", F.when(~F.col("utf8"), F.lit("not valid UTF-8")).when(
+        F.col("too_large"), F.lit("a value other than a message's content is above the size limit")).otherwise(F.col("_reject_reason")))
+    large = _flatten(slim, "account", "file", on_error, True)
+    return ExportResult(usual.messages.unionByName(large.messages), usual.rejected.unionByName(large.rejected))
 
 
 def read_exports(spark: SparkSession, paths, on_error: str = "file") -> ExportResult:

@@ -104,6 +104,37 @@ def test_plain_path_equals_the_variant_path(spark):
     assert sorted(map(str, usual.rejected.collect())) == sorted(map(str, plain.rejected.collect()))
 
 
+@pytest.mark.parametrize("on_error", ["file", "record"])
+def test_large_documents_equal_small_ones_in_every_shape(spark, on_error):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    docs = shaped_export_docs(spark.read.parquet(SF + "/conversations.parquet")).where("file is not null")
+    contents = ['{"a": 1}', "{hello", "{", r"{\\frac{1}{2}}", '{"parts": ["no"]}', '["x"]', "", "5", {"parts": ["{a", "", None, "b"]}, {"parts": []}, {"parts": [True, "t", 2.50, {"z": 1, "a": "é"}, ["q"], "u"]},
+                {"parts": "no list", "text": "{t"}, {"text": 5}, {"text": ""}, {}, None, 7, ["p"], True]
+    message = lambda k, c: {"id": k, "author": {"role": "user", "name": "N"}, "content": c, "create_time": 1706720400.25, "other": [1]}
+    good = {"id": "c", "title": "T", "messages": [message(k, c) for k, c in enumerate(contents)] + [{"x": 1}, {}, {"role": "r", "timestamp": "5", "author": None}]}
+    tree = {"id": 1.50, "conversation_title": 3, "mapping": {f"n{k}": {"message": message("", c)} for k, c in enumerate(contents)} | {"e": {}, "v": {"message": None}, "w": {"message": {}}}}
+    bad = [{"id": "b1", "messages": [7]}, {"id": "b2", "messages": ["{}"]}, {"id": "b3", "mapping": {"k": 5}}, {"id": "b4", "mapping": {"k": {"message": "m"}}},
+           {"id": "b5", "mapping": {"k": {"message": {"author": "a"}}}}, {"id": "b6", "messages": [{"author": [1]}]}, {"id": "b7", "messages": [None]}]
+    fine = [{"id": "f", "mapping": {"k": {"message": {"author": ""}}}}, {"id": "g", "messages": "no"}, {"id": "h", "mapping": 5, "messages": [message(1, "m")]}]
+    roots = [[good, tree], {"conversations": [good, tree]}, good, {"conversations": 5} | tree, {"conversations": [good, 5], "messages": [message(9, "root")]}, [[]], [5], 5, [], fine]
+    roots += [[good, b, tree] for b in bad] + [[good, "text"], [good, None], {"conversations": [good, None, tree]}]
+    texts = [json.dumps(r, ensure_ascii=k % 2 == 0) for k, r in enumerate(roots)] + ["no", "{", "", "\ufeff" + json.dumps([good]), json.dumps([good]) + " tail", r'[{"id": "s", "messages": [{"content": "\ud800 x"}]}]']
+    docs = docs.select("file", "json").union(spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "file string, json string"))
+    usual, large = (flatten_exports(docs, account_col="file", on_error=on_error, variant_limit=n) for n in (1 << 40, -1))
+    a, b = (sorted(map(str, r.messages.collect())) for r in (usual, large))
+    assert a == b and len(a) > 400
+    assert any("'{\"a\": 1}'" in x for x in b) and any("text='{hello'" in x for x in b)
+    a, b = (sorted(map(str, r.rejected.collect())) for r in (usual, large))
+    assert a == b and len(a) > 10
+
+
+def test_a_text_above_the_parsers_usual_string_limit_is_kept(spark):
+    docs = spark.sql("""select 'f' file, concat('[{"id":"c","messages":[{"content":"', repeat('0123456789', 2100000), '"}]}]') json""")
+    for limit in (1 << 40, 1):
+        res = flatten_exports(docs, account_col="file", variant_limit=limit)
+        assert [r.n for r in res.messages.selectExpr("length(text) n").collect()] == [21_000_000] and res.rejected.count() == 0
+
+
 def test_checkpoint_folder_must_be_named():
     class Bare:
         class conf:  # noqa: N801
