@@ -7,8 +7,9 @@ compared: the pair overlaps if some window of ``window`` aligned tokens (the who
 if that is shorter) agrees in at least ``similarity`` of its places.
 
 The two default masks are lossless for the default window: any two of 13 places may differ
-and one mask still fits somewhere (tests enumerate all 78 patterns). Items shorter than a mask
-are hashed under the mask cut to their length, so they are found too, if their first tokens agree.
+and one mask still fits somewhere (tests enumerate all 78 patterns). An item too short for a window
+or a mask is cut into one run of tokens more than may differ in it, so one run agrees wherever
+the differences are; every position of every text is hashed over runs of these lengths too.
 
 The benchmark's seeds are broadcast while they are at most ``broadcast_seeds`` rows (their
 number is counted first); beyond that the hashes of both sides are shuffled.
@@ -30,18 +31,31 @@ def tokens(col: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.col(col)), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def _seed_keys(tok: str, at: str, masks: list[tuple[int, ...]], wholes: list[int], item: bool) -> Column:
-    """Seed hashes at position ``at``. wholes: lengths of items too short for the masks."""
+def _runs(length: int, window: int, similarity: float) -> list[tuple[int, int]]:
+    """(start, tokens) of an item's runs: in each window as many as may differ, and one more."""
+    w = min(length, window)
+    parts = min(max(k for k in range(w + 1) if (w - k) / w >= similarity) + 1, w)
+    cuts = [w * k // parts for k in range(parts + 1)]
+    return sorted({(p + a, b - a) for p in range(length - w + 1) for a, b in zip(cuts, cuts[1:])})  # noqa: B905
+
+
+def _seed_keys(tok: str, at: str, masks: list[tuple[int, ...]], runs: dict[int, list[tuple[int, int]]], least: int | None = None) -> Column:
+    """Seed hashes at position ``at``. runs: those of item lengths below ``least``, which the masks
+    do not cover; ``least`` is given for items, whose keys depend on their length."""
     n, i = F.size(tok), F.col(at)
     keys = []
     for k, m in enumerate(masks):
         h = F.xxhash64(F.lit(k), *[F.get(F.col(tok), i + o) for o in m])
-        keys.append(F.when(i + m[-1] < n, h))
-    for length in wholes:
-        for k, m in enumerate(masks):
-            cut = [o for o in m if o < length]
-            fits = (i == 0) & (n == length) if item else i + (length - 1) < n
-            keys.append(F.when(fits, F.xxhash64(F.lit(-length * len(masks) - k), *[F.get(F.col(tok), i + o) for o in cut])))
+        fits = i + m[-1] < n
+        keys.append(F.when(fits if least is None else fits & (n >= least), h))
+    for size in sorted({t for r in runs.values() for _, t in r}):
+        fits = i + size <= n
+        if least is not None:
+            starts = F.lit(False)
+            for length, r in runs.items():
+                starts = starts | ((n == length) & i.isin([a for a, t in r if t == size]))
+            fits = fits & starts
+        keys.append(F.when(fits, F.xxhash64(F.lit(-size), *[F.get(F.col(tok), i + o) for o in range(size)])))
     return F.array(*keys)
 
 
@@ -68,16 +82,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window
     """
     spark = docs.sparkSession
     masks = [tuple(m) for m in masks]
-    span = max(m[-1] for m in masks) + 1
+    least = max(window, max(m[-1] for m in masks) + 1)  # from this length on, masks find an item
     items = written(benchmark_items(benchmark), "items")
-    shorts = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())  # below span values
+    shorts = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < least).distinct().collect())  # below least values
+    runs = {n: _runs(n, window, similarity) for n in shorts}
     seeds = written(items.select("item_id", "item", F.posexplode_outer("item").alias("j", "_t")).select(
-        "item_id", "item", "j", F.explode(_seed_keys("item", "j", masks, shorts, True)).alias("key")
+        "item_id", "item", "j", F.explode(_seed_keys("item", "j", masks, runs, least)).alias("key")
     ).where("key is not null"), "seeds")
     few = seeds.count() <= broadcast_seeds
     toks = docs.select(F.col(DOC_ID).cast("long").alias("doc_id"), text_hash().alias(TEXT_HASH), tokens().alias("tok"))
     at = toks.select("doc_id", TEXT_HASH, "tok", F.posexplode_outer("tok").alias("i", "_t"))
-    keyed = at.select("doc_id", TEXT_HASH, "tok", "i", F.explode(_seed_keys("tok", "i", masks, shorts, False)).alias("key")
+    keyed = at.select("doc_id", TEXT_HASH, "tok", "i", F.explode(_seed_keys("tok", "i", masks, runs)).alias("key")
                       ).where("key is not null")
     if few:
         hits = keyed.join(F.broadcast(seeds), "key")
@@ -93,7 +108,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window
         for o in m:
             same = same & F.get(F.col("tok"), F.col("i") - 1 + o).eqNullSafe(F.get(F.col("item"), F.col("j") - 1 + o)) \
                 & (F.col("j") - 1 + o < F.size("item"))
-        before = before | (same & (F.col("i") > 0) & (F.col("j") > 0))
+        before = before | (same & (F.col("i") > 0) & (F.col("j") > 0) & (F.size("item") >= least))
     # agreement along the diagonal, 1 or 0 for each token of the item
     agree = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda p: F.when(
         (p + F.col("i") - F.col("j") >= 0) & (F.get(F.col("tok"), F.greatest(p + F.col("i") - F.col("j"), F.lit(0))) == F.get(F.col("item"), p)),

@@ -131,6 +131,25 @@ def test_overlaps_against_brute_force(spark, few):
     assert decontaminate.overlaps(d.limit(0), b).count() == 0 and decontaminate.overlaps(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 2_000_000])
+def test_short_items_with_each_permitted_substitution(spark, few):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 13)]
+    docs = [(1, "i5w0 i5w1 x x i5w4"), (2, "i9w1 i9w2")]
+    for n, text in items:
+        most = n // 5
+        for r in range(min(most + 2, n)):  # one more than permitted stays clean
+            for gone in combinations(range(n), r):
+                t = ["zz" if k in gone else x for k, x in enumerate(text.split())]
+                docs.append((len(docs) + 10, "before " * (len(docs) % 3) + " ".join(t) + " after" * (len(docs) % 2)))
+        docs += [(len(docs) + 10, text.split(" ", most)[-1]), (len(docs) + 11, " ".join(text.split()[:n - most]))]  # cut off at a border
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = leaks_brute(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b, broadcast_seeds=few).collect()} == want and len(want) > 200
+    low = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b, masks=((0, 1, 2),), window=4, similarity=0.75, broadcast_seeds=few).collect()}
+    assert {x for x in leaks_brute(docs, items, 4, 0.75) if x[1] < 4} == {x for x in low if x[1] < 4}
+
+
 def test_masks_are_lossless_for_two_of_thirteen():
     for gone in combinations(range(decontaminate.WINDOW), 2):
         assert any(all(s + o not in gone for o in m) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - m[-1]))
