@@ -40,10 +40,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 _BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                     "header hgroup hr li main menu nav ol p pre section summary table tbody thead tfoot tr td th ul".split())
 _ENDS = {"p": _BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
-         "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"])}
+         "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]),
+         "button": frozenset(["button"])}
 #: How far up an implied end may reach.
 _WALLS = {"p": frozenset("table td th button object article section div blockquote li dd body".split()), "li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]),
-          "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"])}
+          "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select", "datalist"]), "button": frozenset("table td th object template".split())}
+#: Start tags that may stand in head; any other, and any text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
+#: Start tags that end svg and math, unless an element between takes HTML.
+_NOT_FOREIGN = _BLOCKS | frozenset("b big body br code dd dt em embed font h1 head hr i img meta nobr pre ruby s small span strong strike sub sup tt u var".split())
+_TAKES_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: Left open, these end where a block starts; other skipped elements left open are not skipped.
+_PHRASES = frozenset("button select option datalist svg math".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -70,12 +78,34 @@ class Page:
     blocks: list[tuple[int, str]]
 
 
+def _closes_itself(attributes: str) -> bool:
+    """The tag ends in '/>', and the slash is not the end of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    rest = attributes[:-1]
+    cut = max(rest.rfind(c) for c in " \t\n\f\r\"'") + 1
+    name, is_value, value = rest[cut:].partition("=")
+    return not (value if is_value else name and rest[:cut].rstrip().endswith("="))
+
+
 def parse(source: str) -> Page:
-    """Tolerant DOM of block elements: implied ends of p, li, table parts; stray ends are
-    ignored; unclosed elements end with their parent."""
+    """Tolerant DOM of block elements: implied ends of head, p, li, table parts, svg; stray ends
+    are ignored; unclosed elements end with their parent. One that is skipped and has no end
+    tag hides nothing behind it: see ``_PHRASES``."""
+    page, unclosed = _parse(source, frozenset())
+    return _parse(source, unclosed)[0] if unclosed else page
+
+
+def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]:
+    """The page, and the places of start tags of skipped elements without an end tag; those in
+    ``unclosed`` are known as such."""
     nodes = [Node("body", -1, 0)]
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # tag, block element, skipped
+    stack: list[tuple[str, int, bool, int]] = [("body", 0, False, -1)]  # tag, block element, skipped, place
+    foreign = 0  # svg and math elements open
+    starts: dict[str, int] = {}  # skipped element -> place of its last start without an end so far
+    open_ends: set[int] = set()
+    ended: set[int] = set()  # by the start of another element, as the rules say
     buffer: list[str] = []
     links, link_chars, at, low = 0, 0, 0, None
 
@@ -98,15 +128,18 @@ def parse(source: str) -> Page:
 
     def say(text: str) -> None:
         nonlocal link_chars
+        if stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
+            close(len(stack) - 1)
         if not stack[-1][2] and text:
             buffer.append(text)
             if links:
                 link_chars += len(text)
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, foreign
         while len(stack) > depth:
             tag = stack[-1][0]
+            foreign -= tag in ("svg", "math")
             if tag not in INLINE:
                 flush()
             links -= tag == "a"
@@ -122,18 +155,37 @@ def parse(source: str) -> Page:
             continue
         tag, end = name.lower(), bool(m[1] or m[4])
         if end:
+            starts.pop(tag, None)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
                     break
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
         if tag in ("html", "body"):
             continue
+        if foreign:
+            if _closes_itself(m[3] or m[6] or ""):
+                continue
+            if tag in _NOT_FOREIGN:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in ("svg", "math"):
+                        close(k)
+                        break
+                    if stack[k][0] in _TAKES_HTML:
+                        break
+        if unclosed and stack[-1][2] and tag in _BLOCKS:
+            for k in range(1, len(stack)):
+                if stack[k][0] in _PHRASES and stack[k][3] in unclosed:
+                    close(k)
+                    break
         if tag not in INLINE:
-            for opened in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
+            for opened in ("p", "li", "dt", "dd", "td", "th", "tr", "option", "button"):
                 if tag in _ENDS[opened]:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == opened:
+                            ended.add(stack[k][3])
                             close(k)
                             break
                         if stack[k][0] in _WALLS[opened]:
@@ -145,7 +197,14 @@ def parse(source: str) -> Page:
             if tag not in INLINE:
                 flush()
             continue
-        skipped = stack[-1][2] or tag in SKIP
+        if tag in ("svg", "math") and _closes_itself(m[3] or m[6] or ""):
+            continue
+        skipped = stack[-1][2] or tag in SKIP and (m.start() not in unclosed or tag in _PHRASES)
+        if tag in SKIP and tag not in RAW and tag != "head":
+            if tag in starts:
+                open_ends.add(starts[tag])
+            starts[tag] = m.start()
+            foreign += tag in ("svg", "math")
         if tag in RAW:
             if low is None:
                 low = source.lower()
@@ -171,11 +230,11 @@ def parse(source: str) -> Page:
             owner = len(nodes)
             nodes.append(node)
         links += tag == "a"
-        stack.append((tag, owner, skipped))
+        stack.append((tag, owner, skipped, m.start()))
     say(source[at:])
     close(1)
     flush()
-    return Page(nodes, blocks)
+    return Page(nodes, blocks), frozenset((open_ends | set(starts.values())) - ended)
 
 
 def _bucket(name: str) -> int:

@@ -200,3 +200,23 @@ def test_extraction_keeps_and_drops_by_place(model):
     ]
     for body, want in cases:
         assert html.main_texts([around.format(body)], model)[0].split("\n") == want
+
+
+def blocks_of(source):
+    return [t for _, t in html.parse(source).blocks]
+
+
+def test_text_behind_elements_left_open(model):
+    body = "<article><h1>Title here</h1><p>Paragraph one of this page with words.</p></article><footer>&copy; x</footer>"
+    for head in ("<html><head><title>x</title><body>", "<head><meta charset=utf-8><link rel=a href=b><style>p{}</style><script>1</script>", "<head>", "<head>\n<title>x</title>\n",
+                 "<html><head><title>x</title></head><body>", "<head><title>x</title><body><svg width=9/></svg>", "<head><noscript><p>n</p></noscript>"):
+        assert html.main_texts([head + body], model)[0].split("\n") == ["Title here", "Paragraph one of this page with words."], head
+    assert blocks_of("<head><title>x</title>words<p>more") == ["words", "more"]
+    for gone in ("<svg/>", "<math />", "<svg viewBox='0 0 1 1'/>", "<svg><path d=M0/><title/><g/><text>no</text></svg>", "<svg><style/><script/></svg>", "<svg><path d='a'>", "<math><mi>x",
+                 "<select><option>a<option>b", "<button>Go", "<datalist><option>q", "<select><option>a</select>", "<form><p>no</p><button>x</form>", "<form><select><option>a<option>b</select></form>",
+                 "<button>Go<button>Stop</button>", "<svg><foreignObject><p>no</p></foreignObject></svg>", "<select><option>a</option><option>b</option></select>", "<canvas>no</canvas>"):
+        assert blocks_of(f"<div><p>one</p>{gone}<p>two</p></div><p>three</p>") == ["one", "two", "three"], gone
+    for kept in ("<form>", "<object data=x>", "<video src=v>", "<form><input>", "<canvas>"):
+        assert blocks_of(f"<div><p>one</p>{kept}<p>two</p></div><p>three</p>") == ["one", "two", "three"], kept
+    assert blocks_of("<form><p>no</p></form><form><p>yes</p>") == ["yes"]
+    assert blocks_of("<p>a</p><svg width=1/ ><p>b") == ["a", "b"] and not html._closes_itself(" width=10/") and html._closes_itself(" width=10 /")
