@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -241,49 +242,87 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
 
-def features(page: Page) -> tuple[list[int], list[int]]:
-    """(node, bucket) of the features that are on."""
-    at, on = [], []
+def features(page: Page) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(node, bucket) of the features that are on, but for those of the elements around; and of what
+    each element is to all below it: its tag and words, where no element around it has them."""
+    at, on, from_, give = [], [], [], []
     total = max(page.nodes[0].chars, 1)
-    above: list[tuple[str, ...]] = []  # tags and words of the elements around
+    path: set[str] = set()  # tags and words of the open elements
+    opened: list[tuple[int, list[str]]] = []  # nodes come in page order: a stack
     for i, n in enumerate(page.nodes):
-        around = above[n.parent] + tuple(page.nodes[n.parent].words) + (page.nodes[n.parent].tag,) if n.parent >= 0 else ()
-        above.append(tuple(dict.fromkeys(around))[:40])
+        while opened and opened[-1][0] != n.parent:
+            path.difference_update(opened.pop()[1])
+        fresh = [w for w in dict.fromkeys((*n.words, n.tag)) if w not in path]
+        path.update(fresh)
+        opened.append((i, fresh))
         density = n.links / n.chars if n.chars else 0.0
         names = ["bias", "tag=" + n.tag, f"chars={min(n.chars, 100_000).bit_length() // 2}", f"links={int(density * 4)}",
                  f"share={int(4 * n.chars / total)}", "leaf" if n.blocks <= 1 else "inner", "empty" if not n.chars else "text"]
-        names += ["word=" + w for w in dict.fromkeys(n.words)] + ["in=" + w for w in above[i]]
-        for name in names:
-            at.append(i)
-            on.append(_bucket(name))
-    return at, on
+        names += ["word=" + w for w in dict.fromkeys(n.words)]
+        at += [i] * len(names)
+        on += [_bucket(x) for x in names]
+        from_ += [i] * len(fresh)
+        give += [_bucket("in=" + w) for w in fresh]
+    return at, on, from_, give
 
 
 class Forest:
     """Trees of many pages side by side, level by level, for message passing."""
 
     def __init__(self, pages: list[Page]) -> None:
-        parent, depth, at, on, base = [], [], [], [], 0
+        parent, depth, at, on, from_, give, base = [], [], [], [], [], [], 0
         self.first = [0]
         for p in pages:
             parent += [n.parent + base if n.parent >= 0 else -1 for n in p.nodes]
             depth += [n.depth for n in p.nodes]
-            a, o = features(p)
+            a, o, f, g = features(p)
             at += [x + base for x in a]
             on += o
+            from_ += [x + base for x in f]
+            give += g
             base += len(p.nodes)
             self.first.append(base)
         self.parent, depth = np.array(parent, dtype=np.int64), np.array(depth, dtype=np.int64)
-        self.at, self.on, self.n = np.array(at, dtype=np.int64), np.array(on, dtype=np.int64), base
+        self._at, self._on, self.n = np.array(at, dtype=np.int64), np.array(on, dtype=np.int64), base
+        self._from, self._give = np.array(from_, dtype=np.int64), np.array(give, dtype=np.int64)
         by = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[by], np.arange(1, (depth.max() if base else 0) + 2))
         self.levels = [by[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)]
 
+    @cached_property
+    def _all(self) -> tuple[np.ndarray, np.ndarray]:
+        around = [[] for _ in range(self.n)]
+        for i, g in zip(self._from.tolist(), self._give.tolist(), strict=True):
+            around[i].append(g)
+        at, on = [], []
+        for lv in self.levels:
+            for i in lv.tolist():
+                if (k := self.parent[i]) >= 0:
+                    at += [i] * len(around[k])
+                    on += around[k]
+                    around[i] = around[k] + around[i]
+        return np.concatenate([self._at, np.array(at, dtype=np.int64)]), np.concatenate([self._on, np.array(on, dtype=np.int64)])
+
+    @property
+    def at(self) -> np.ndarray:
+        """Node of each feature that is on; those of the elements around are listed at every node,
+        which training pages bear (``marginals`` hands their sum down instead)."""
+        return self._all[0]
+
+    @property
+    def on(self) -> np.ndarray:
+        """Bucket of each feature that is on."""
+        return self._all[1]
+
     def marginals(self, weights: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """(node marginals of label 1; expected edge counts (2, 2); log partition).
         edge[a, b]: log potential of parent a over child b."""
         own = np.zeros((self.n, 2))
-        own[:, 1] = np.bincount(self.at, weights=weights[self.on], minlength=self.n)
+        own[:, 1] = np.bincount(self._at, weights=weights[self._on], minlength=self.n)
+        around = np.bincount(self._from, weights=weights[self._give], minlength=self.n)
+        for lv in self.levels[1:]:
+            own[lv, 1] += around[self.parent[lv]]
+            around[lv] += around[self.parent[lv]]
         below, up = own.copy(), np.zeros((self.n, 2))
         for lv in self.levels[:0:-1]:  # upward: what a child says to its parent
             up[lv] = np.logaddexp(edge[None, :, 0] + below[lv, 0, None], edge[None, :, 1] + below[lv, 1, None])

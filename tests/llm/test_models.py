@@ -220,3 +220,14 @@ def test_text_behind_elements_left_open(model):
         assert blocks_of(f"<div><p>one</p>{kept}<p>two</p></div><p>three</p>") == ["one", "two", "three"], kept
     assert blocks_of("<form><p>no</p></form><form><p>yes</p>") == ["yes"]
     assert blocks_of("<p>a</p><svg width=1/ ><p>b") == ["a", "b"] and not html._closes_itself(" width=10/") and html._closes_itself(" width=10 /")
+
+
+def test_nearest_elements_count_on_class_heavy_pages(model):
+    utility = "".join(f"<div class='u{k}a v{k}b w{k}c x{k}d flex'>" for k in range(30))
+    f = html.Forest([html.parse(utility + "<section class='comments'><div class='body'><p>words")])
+    last = set(f.on[f.at == f.n - 1].tolist())
+    assert {html._bucket("in=" + w) for w in ("comments", "section", "body", "flex", "u0a"[:1], "div")} <= last
+    own = np.bincount(f.at, weights=model.weights[f.on], minlength=f.n)
+    p = f.marginals(model.weights, np.zeros((2, 2)))[0]  # no edges: the sums alone
+    assert np.allclose(p, 1 / (1 + np.exp(-own)))
+    assert len(html.main_texts(["".join(f"<div class='deep{k}x'>" for k in range(20_000)) + "words"], model)) == 1
