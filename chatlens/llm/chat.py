@@ -10,8 +10,9 @@ Each window holds the conversation's system turn, up to ``history_turns`` turns
 assistant turns of the span; repeated ones are masked out, so each is a target once.
 
 Rows are dealt by (conv_id, block of ``block_turns`` turns), so a conversation of any length is
-spread over tasks. The sums start anew in each block; the system turn and the history are
-handed over the border as additional rows.
+spread over tasks. Blocks follow a turn's place in its conversation, whatever the turn numbers
+are; only conversations of more than one block are ranked for it. The sums start anew in each
+block; the system turn and the history are handed over the border as additional rows.
 
 Template: ``<s>``, then per turn ``[ROLE]role[/ROLE]text</s>``. Control strings inside roles and texts
 are escaped reversibly as character references, and so is an ampersand that would read as one.
@@ -19,10 +20,10 @@ are escaped reversibly as character references, and so is an ampersand that woul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import counted, table, written
 
 BUDGET, HISTORY, HISTORY_TURNS, BLOCK_TURNS, TURN_COST = 1024, 256, 2, 256, 6
 #: Control strings of the template and of common chat templates; each begins with < or [
@@ -54,6 +55,20 @@ def _sums(items: Column, first: int, value) -> Column:
         acc, F.element_at(acc, -1) + value(x)))
 
 
+def _ranked(t: DataFrame) -> DataFrame:
+    """``t`` plus ``rank``, the place from 0 in the conversation by (turn, role, text). Rows are dealt by
+    ranges, so that a long conversation is not one task, and counted per conversation and range."""
+    # prefixes in the same order: the bounds of the ranges go through the driver
+    by = [F.col("conv_id"), F.col("turn"), F.substring("role", 1, 33), F.when(F.length("role") <= 32, F.substring("text", 1, 32)).otherwise("")]
+    dealt = written(t.repartitionByRange(*by).sortWithinPartitions("conv_id", "turn", "role", "text").withColumn(
+        "place", F.monotonically_increasing_id()), "turns").withColumn("range", F.shiftright("place", 33))
+    per = dealt.groupBy("conv_id", "range").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = written(per.select(F.col("conv_id").alias("_r"), F.col("range").alias("_range"), (before - F.col("first")).alias("shift")), "ranges")
+    return dealt.join(counted(per), F.col("conv_id").eqNullSafe(F.col("_r")) & (F.col("range") == F.col("_range"))).select(
+        *t.columns, (F.col("place") + F.col("shift")).alias("rank"))
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS,
             block_turns: int = BLOCK_TURNS) -> DataFrame:
     """(conv_id, block, span, formatted, n_turns, n_repeated, tokens, over_budget, loss).
@@ -64,18 +79,22 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     alone is too long for the budget; it is kept whole.
 
     turns: (conv_id, turn, role, text), a row per turn. Null text and null role are empty; a
-    null turn comes first, in a block of its own; rows of one (conv_id, turn) are ordered by role,
-    then text, each is a turn, and they meet in one block. The system turn is the
+    null turn comes first; rows of one (conv_id, turn) are ordered by role, then text, and each is
+    a turn. Turn numbers only order the rows and may have gaps. The system turn is the
     conversation's first row, if its role is system. Null conv_ids are one conversation.
     Other columns are not used. An empty table gives no rows.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                      F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 40))).cast("long"))
+    long = written(t.groupBy("conv_id").count().where(F.col("count") > block_turns).select(F.col("conv_id").alias("_l")), "long")
+    if long.isEmpty():
+        return _of_blocks(t.withColumn("block", F.lit(0).cast("long")).withColumn("kind", F.lit(2)), budget, history, history_turns)
+    several = F.col("conv_id").eqNullSafe(F.col("_l"))
+    short = t.join(counted(long), several, "left_anti").withColumn("block", F.lit(0).cast("long"))
+    t = _ranked(t.join(counted(long), several, "left_semi")).withColumn("block", F.floor(F.col("rank") / block_turns))
     # Conversations of several blocks: every block but the first is handed the system turn,
     # or a row of null text that says that there is none.
-    spread = t.groupBy("conv_id").agg(F.min("block").alias("low"), F.collect_set("block").alias("blocks")).where(
-        "size(blocks) > 1").withColumnRenamed("conv_id", "_c")
+    spread = t.groupBy("conv_id").agg(F.min("block").alias("low"), F.collect_set("block").alias("blocks")).withColumnRenamed("conv_id", "_c")
     # the first row of such a conversation, by (turn, role, text)
     head = t.join(spread.select("_c", "low"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("low"))).groupBy("conv_id").agg(
         F.min(F.struct("turn", "role", "text")).alias("h")).select(F.col("conv_id").alias("_h"), "h")
@@ -83,9 +102,14 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
         F.col("_c").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("system").alias("role"),
         F.when(F.col("h.role") == "system", F.col("h.text")).alias("text"),
         F.explode(F.array_remove("blocks", F.col("low"))).alias("block"), F.lit(0).alias("kind"))
-    border = t.where(F.pmod("turn", F.lit(block_turns)) >= block_turns - history_turns).select(
+    border = t.where(F.pmod("rank", F.lit(block_turns)) >= block_turns - history_turns).select(
         "conv_id", "turn", "role", "text", (F.col("block") + 1).alias("block"), F.lit(1).alias("kind"))
-    rows = t.withColumn("kind", F.lit(2)).unionByName(handed).unionByName(border)
+    rows = short.unionByName(t.drop("rank")).withColumn("kind", F.lit(2)).unionByName(handed).unionByName(border)
+    return _of_blocks(rows, budget, history, history_turns)
+
+
+def _of_blocks(rows: DataFrame, budget: int, history: int, history_turns: int) -> DataFrame:
+    """Windows of (conv_id, block, turn, role, text, kind): 0 a system turn handed over, 1 history, 2 a turn."""
     one = F.struct("kind", "turn", "role", "text", turn_tokens(F.col("text")).alias("tok"))
     a = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(one)).alias("a")).where(
         F.exists("a", lambda x: x["kind"] == 2))

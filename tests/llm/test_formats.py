@@ -73,6 +73,20 @@ def test_chat_history_crosses_blocks(spark):
     assert chat.windows(spark.createDataFrame(rows, TURNS).limit(0)).count() == 0
 
 
+def test_chat_windows_do_not_depend_on_turn_numbers(spark):
+    rows = [(c, k, ("user", "assistant")[(k + c) % 2] if k or c else "system", f"turn {k} " * (k % 5), 0, "") for c in range(3) for k in (range(600), range(300), range(5))[c]]
+    def got(number, block):
+        df = spark.createDataFrame([(c, number(k), *r) for c, k, *r in rows], TURNS).repartition(5)
+        return sorted(map(str, chat.windows(df, 100, 40, 2, block).collect()))
+    for block in (4, 256):
+        dense = got(lambda k: k, block)
+        for number in (lambda k: 10 * k, lambda k: 1000 * k, lambda k: 1_700_000_000 + 61 * k, lambda k: k - 250, lambda k: k or None):
+            assert got(number, block) == dense
+    one = spark.createDataFrame([(1, k // 100, "user", f"t{k:03}", 0, "") for k in range(600)], TURNS)  # alike turn numbers
+    back = chat.read_back(chat.windows(one)).collect()[0]
+    assert back["n_turns"] == 600 and back["turns_sha256"] == hashlib.sha256("".join(f"user\nt{k:03}\n" for k in range(600)).encode()).hexdigest()
+
+
 def test_escapes_are_reversible(spark):
     rng = random.Random(1)
     parts = ["&", "amp;", "lt;", "lb;", "<", "[", "</s>", "<s>", "[INST]", "[/ROLE]", "x", "&amp;lt;", "/s>"]
