@@ -84,8 +84,9 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, per_file: int
         field("WARC-X-Url-Key", _header_safe(url_key(F.col("url")))),
         field("Content-Type", F.lit("application/http;msgtype=response")),
         field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
-    rows = p.select(url_key(F.col("url")).alias("k"), date.alias("d"), "page_id", F.concat(head, block).alias("value"))
-    rows.sortWithinPartitions("k", "d", "page_id").select("value").write.option("lineSep", SEPARATOR).option(
+    # in the order that merge_index merges by: the key as it stands in the header, null ids last
+    rows = p.select(_header_safe(url_key(F.col("url"))).alias("k"), date.alias("d"), "page_id", F.concat(head, block).alias("value"))
+    rows.sortWithinPartitions("k", "d", F.col("page_id").asc_nulls_last()).select("value").write.option("lineSep", SEPARATOR).option(
         "maxRecordsPerFile", per_file).text(path)
 
 

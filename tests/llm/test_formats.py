@@ -122,6 +122,19 @@ def test_warc_round_trip(spark, scratch_dir):
     assert warc.archive(df.limit(0), f"{scratch_dir}/none").count() == 0
 
 
+def test_warc_runs_are_sorted_as_the_index_merges(spark, scratch_dir):
+    urls = ["http://a.com/a b", "http://a.com/a!b", "http://a.com/a\tb", "http://a.com/a#b", "http://a.com/a b", "a b", "a!b", "a\x7fb", "a~b", None, ""]
+    rows = [(None if k % 3 == 0 else k % 5 * 31_536_000, u, f"h{k}") for k, u in enumerate(urls * 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    key = lambda r: (r["url_key"], r["date"], r["page_id"] is None, r["page_id"] or 0)
+    got = warc.archive(df, f"{scratch_dir}/order").collect()
+    assert len(got) == len(rows) and {r["run"] for r in got} == {got[0]["run"]}
+    run = [key(r) for r in sorted(got, key=lambda r: r["seq"])]
+    assert run == sorted(run)
+    place = [key(r) for r in sorted(got, key=lambda r: r["place"])]
+    assert place == sorted(place)
+
+
 def test_warc_records_can_be_cut_out(spark, scratch_dir):
     df = spark.createDataFrame(page_rows(), "page_id long, url string, html string").coalesce(1)
     for r in warc.archive(df, f"{scratch_dir}/one").collect():
