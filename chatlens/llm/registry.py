@@ -5,12 +5,15 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import ann, chat, warc
+from .align import op13_tokenizer_alignment
 from .common import Query
 from .decontaminate import op8_benchmark_decontamination
 from .html import op2_html_extraction
 from .langid import op9_language_id
 from .linededup import op6_line_dedup
 from .mix import op4_mix_sources
+from .pivots import op11_embedding_near_dedup
+from .resample import op12_importance_resampling
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op5_toxicity
 
@@ -25,6 +28,9 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
