@@ -32,8 +32,8 @@ from .common import DOC_ID, table, written
 #: Folder of the vocabulary files, on every machine.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a block (a longer text is a block of its own) and in one batch of results.
-BLOCK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+#: Bytes of ids in a block of texts (a longer text is a block of its own), and of text in one batch of results.
+BLOCK_BYTES, BATCH_BYTES = 16 << 20, 1 << 20
 #: Groups of more links than this are counted by their distinct ids.
 WIDE = 4096
 
@@ -82,11 +82,14 @@ class ByteLevel:
             ranks = {self.bytes[k]: k for t, k in vocab.items() if t not in special}
             name = base64.b64encode(path.encode()).decode()
             own = tiktoken.Encoding(name, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda texts: [own.encode_ordinary(t) for t in texts]
+            self.encode = lambda texts: [own.encode_to_numpy(t, disallowed_special=()).astype(np.int64) for t in texts]
         else:
             self.encode = functools.partial(encode_by_file, path)
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
 
 @functools.lru_cache(maxsize=4)
 def _file(path: str):
@@ -98,9 +101,9 @@ def _file(path: str):
     return t
 
 
-def encode_by_file(path: str, texts: list[str]) -> list[list[int]]:
+def encode_by_file(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids by the tokenizer file itself."""
-    return [e.ids for e in _file(path).encode_batch(texts, add_special_tokens=False)]
+    return [np.array(e.ids, dtype=np.int64) for e in _file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -115,8 +118,10 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self._model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self._model.encode(texts, num_threads=1)
+    joined = ByteLevel.joined
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self._model.encode(t, num_threads=1), dtype=np.int64) for t in texts]
 
 
 @functools.lru_cache(maxsize=4)
@@ -129,29 +134,34 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Tokens of each side up to the end of each group, for two lists of increasing ends with the same last."""
+def runs_and_groups(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    """The alignment of two lists of increasing ends with the same last, as pairs of a one-to-one run and the
+    irregular group behind it: the run's tokens and its end on both sides, the group's ends (those of the run if
+    there is none)."""
     i = j = 0
-    a_cut: list[int] = []
-    b_cut: list[int] = []
     n = len(a)
+    runs: list[int] = []
+    run_a: list[int] = []
+    run_b: list[int] = []
+    end_a: list[int] = []
+    end_b: list[int] = []
     while i < n:
-        step, run = 1, 0
-        while a[i + run:i + run + step] == b[j + run:j + run + step]:
-            run += step
-            if i + run >= n:
-                run = n - i
-                break
-            step *= 2
-        else:
-            while step > 1:  # the first difference lies in the last stretch
+        at = i
+        if a[i] == b[j]:
+            i, j, step = i + 1, j + 1, 2
+            while i < n and a[i:i + step] == b[j:j + step]:
+                i, j, step = i + step, j + step, 2 * step
+            if i > n:
+                i, j = n, j - (i - n)
+            while step > 2:  # the first difference lies in the last stretch
                 step //= 2
-                if a[i + run:i + run + step] == b[j + run:j + run + step]:
-                    run += step
-        if run:
-            a_cut += range(i + 1, i + run + 1)
-            b_cut += range(j + 1, j + run + 1)
-            i, j = i + run, j + run
+                if i < n and a[i:i + step] == b[j:j + step]:
+                    i, j = i + step, j + step
+            if i < n and a[i] == b[j]:
+                i, j = i + 1, j + 1
+        runs.append(i - at)
+        run_a.append(i)
+        run_b.append(j)
         if i < n:
             x, y = a[i], b[j]
             while x != y:
@@ -162,9 +172,24 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                     j += 1
                     y = b[j]
             i, j = i + 1, j + 1
-            a_cut.append(i)
-            b_cut.append(j)
-    return a_cut, b_cut
+        end_a.append(i)
+        end_b.append(j)
+    return runs, run_a, run_b, end_a, end_b
+
+
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each side up to the end of each group."""
+    runs, run_a, run_b, end_a, end_b = map(np.array, runs_and_groups(a.tolist(), b.tolist()))
+    if not len(runs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grouped = end_a > run_a
+    size = runs + grouped
+    last = np.cumsum(size)  # groups up to the end of each pair
+    back = np.repeat(last, size) - np.arange(last[-1]) - 1  # groups behind, of the same pair
+    lone = np.repeat(grouped, size) & (back == 0)
+    back -= np.repeat(grouped, size)
+    return (np.where(lone, np.repeat(end_a, size), np.repeat(run_a, size) - back),
+            np.where(lone, np.repeat(end_b, size), np.repeat(run_b, size) - back))
 
 
 def aligned_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
@@ -172,13 +197,15 @@ def aligned_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str)
     first, second = byte_level(a_path), pieces(b_path)
     lists = pa.list_(pa.int32())
 
+    none = (np.zeros(0, np.int64),) * 4
+
     def of(texts: list[str | None]) -> list[tuple]:
         live = [k for k, t in enumerate(texts) if t]
-        out: list[tuple] = [([], [], [], [])] * len(texts)
+        out = [none] * len(texts)
         for k, x, y in zip(live, first.encode([" " + texts[k] for k in live]), second.encode([texts[k] for k in live]), strict=True):
             whole = b" " + texts[k].encode()
-            if b"".join(map(first.bytes.__getitem__, x)) == whole and b"".join(map(second.bytes.__getitem__, y)) == whole:
-                out[k] = (x, y, *common_ends(np.cumsum(first.sizes[x]).tolist(), np.cumsum(second.sizes[y]).tolist()))
+            if first.joined(x) == whole and second.joined(y) == whole:
+                out[k] = (x, y, *common_ends(np.cumsum(first.sizes[x]), np.cumsum(second.sizes[y])))
         return out
 
     for batch in batches:
@@ -196,8 +223,7 @@ def aligned_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str)
 
 def _lists(rows: tuple) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    flat = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
 
 
 def align(docs: DataFrame, text_col: str = "text", a_path: str = f"{TOKENIZERS}/{BYTE_BPE}",
@@ -245,7 +271,16 @@ def _digests(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int) ->
     from pyspark import TaskContext
 
     task, block = TaskContext.get().partitionId(), 0
-    names = [str(k) for k in range(max(width, 1 << 16))]
+    names = np.empty((2, 2, 1 << 16), dtype=object)  # side, last of its group
+    names[0], names[1] = ([[b"%d%s" % (k, x) for k in range(1 << 16)] for x in signs] for signs in ((b",", b"|"), (b",", b";")))
+
+    def signed(ids: np.ndarray, cut: np.ndarray, side: int) -> np.ndarray:
+        last = np.zeros(len(ids), dtype=np.int64)
+        last[cut - 1] = 1
+        if len(ids) and ids.max() >= 1 << 16:
+            return np.array([b"%d%s" % (k, (b",", (b"|", b";")[side])[x]) for k, x in zip(ids.tolist(), last.tolist(), strict=True)], dtype=object)
+        return names[side, last, ids]
+
     held: list[dict] = []
     size = 0
 
@@ -268,18 +303,15 @@ def _digests(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int) ->
         vals = [c.values.to_numpy().astype(np.int64) for c in cols]
         for k, doc_id in enumerate(ids):
             a, b, a_cut, b_cut = (v[o[k]:o[k + 1]] for v, o in zip(vals, offs, strict=True))
-            sa, sb = [names[x] for x in a.tolist()], [names[x] for x in b.tolist()]
-            text, x, y = [], 0, 0
-            for e, f in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-                if e - x == 1 == f - y:
-                    text.append(f"{sa[x]}|{sb[y]}")
-                else:
-                    text.append(",".join(sa[x:e]) + "|" + ",".join(sb[y:f]))
-                x, y = e, f
+            place = np.zeros(len(a) + len(b), dtype=object)  # ids and signs in the order of the text to hash
+            ga, gb = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+            place[np.arange(len(a)) + np.repeat(b_cut - gb, ga)] = signed(a, a_cut, 0)
+            place[np.arange(len(b)) + np.repeat(a_cut, gb)] = signed(b, b_cut, 1)
+            text = b"".join(place.tolist())[:-1]
             codes, links = _pairs(a, b, a_cut, b_cut, width)
             pairs, inverse = np.unique(codes, return_inverse=True)
             held.append({"doc_id": doc_id, "n_a": len(a), "n_b": len(b), "n_groups": len(a_cut), "n_links": int(links.sum()),
-                         "groups_sha256": hashlib.sha256(";".join(text).encode()).hexdigest() if text else "",
+                         "groups_sha256": hashlib.sha256(text).hexdigest() if text else "",
                          "pairs": pairs, "links": np.bincount(inverse, links, len(pairs)).astype(np.int64)})
             size += 4 * (len(a) + len(b))
             if size >= block_bytes:

@@ -97,8 +97,9 @@ def test_diagonal_skipping_finds_every_common_end():
         if r.random() < 0.3:
             b = a[:]
         both = sorted(set(a) & set(b))
-        assert common_ends(a, b) == ([a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both])
-    assert common_ends([], []) == ([], [])
+        got = common_ends(np.array(a), np.array(b))
+        assert (got[0].tolist(), got[1].tolist()) == ([a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both])
+    assert [len(x) for x in common_ends(np.array([], int), np.array([], int))] == [0, 0]
 
 
 def test_wide_groups_count_by_distinct_ids():
@@ -119,7 +120,7 @@ def test_rank_encoder_gives_the_file_s_ids():
     points = [c for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [r.randrange(0xE000, 0x110000) for _ in range(3000)]
     texts = [f" a{c}b {c} 1{c}2 {c}{c}  {c}!{c}" for c in map(chr, points)]
     texts += [" " + "".join(r.choice(al) for _ in range(400)) for al in ("a", "ab", " \n\tx", "0123 ", "'s't're", "éà漢 ") for _ in range(20)]
-    assert byte_level(A).encode(texts) == encode_by_file(A, texts)
+    assert all((x == y).all() for x, y in zip(byte_level(A).encode(texts), encode_by_file(A, texts), strict=True))
 
 
 @pytest.mark.parametrize("text", ["word " * 100_000, "a" * 500_000])
