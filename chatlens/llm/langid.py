@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .batches import chunks, text_bytes
-from .common import DOC_ID, table
+from .common import DOC_ID, TEXT_HASH, table, text_hash
 from .linear import fit_logistic
 
 BUCKETS, PER_LANGUAGE, FOLDS, MARGIN = 1 << 12, 600, 3, 0.2
@@ -134,16 +134,16 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Codebook:
     """Trains on documents not held out, of non-null doc_id, text and lang: about
-    ``per_language`` of each language at most, one row per doc_id (the smallest text)."""
+    ``per_language`` of each language at most, one row per doc_id and text."""
     own = docs.where(~held_out() & F.col(DOC_ID).isNotNull() & F.col("lang").isNotNull()).select(
-        F.col(DOC_ID).cast("long").alias("_id"), "text", "lang")
+        F.col(DOC_ID).cast("long").alias("_id"), text_hash().alias(TEXT_HASH), "text", "lang")
     # A row per language, and each language is a class of the model: that many fit a literal.
     rates = [F.lit(x) for r in own.groupBy("lang").count().collect() for x in (r["lang"], min(1.0, per_language / r["count"]))]
     if not rates:
         return train_codebook([], [])
-    pick = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.create_map(*rates)[F.col("lang")] * 1_000_000
-    rows = own.where(pick & F.col("text").isNotNull()).groupBy("_id").agg(F.min(F.struct("text", "lang")).alias("r")).select(
-        "_id", "r.*").orderBy("_id").toPandas()
+    pick = F.pmod(F.xxhash64("_id", TEXT_HASH), F.lit(1_000_000)) < F.create_map(*rates)[F.col("lang")] * 1_000_000
+    rows = own.where(pick & F.col("text").isNotNull()).groupBy("_id", TEXT_HASH).agg(F.min(F.struct("text", "lang")).alias("r")).select(
+        "_id", TEXT_HASH, "r.*").orderBy("_id", TEXT_HASH).toPandas()
     return train_codebook(rows["text"].tolist(), rows["lang"].tolist())
 
 

@@ -121,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     categories: name to boolean Column over ``labels``, in the chain's order. Labels with a
     null in any category, or whose doc_id is null or unknown, do not train. A repeated label
-    holds if one of its rows says so; of a repeated document the smallest text trains. Features are counted and chosen by Spark; the
-    driver gets the sample's chosen features alone.
+    holds if one of its rows says so, for every text of its doc_id; rows alike in both train once. Features are
+    counted and chosen by Spark; the driver gets the sample's chosen features alone.
     """
     c = [f"_c{i}" for i in range(len(categories))]
     flags = labels.select(F.col(DOC_ID).cast("long").alias("_id"), *[v.cast("int").alias(n) for n, v in zip(c, categories.values(), strict=True)])
@@ -130,8 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     n = flags.count()
     share = min(1.0, sample / n) if n else 1.0
     pick = flags.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = written(docs.select(F.col(DOC_ID).cast("long").alias("_id"), "text").join(pick, "_id").groupBy("_id").agg(
-        F.min("text").alias("text"), *[F.max(x).alias(x) for x in c]), "sample")
+    rows = written(docs.select(F.col(DOC_ID).cast("long").alias("_id"), "text").join(pick, "_id").groupBy(
+        F.xxhash64("_id", "text").alias("_id")).agg(F.min("text").alias("text"), *[F.max(x).alias(x) for x in c]), "sample")
+    n = rows.count()
+    if n > sample:  # a doc_id of many texts
+        rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(sample / n * 1_000_000))
     every = rows.agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in c]).first()
     stats = _hashes(rows).join(rows.drop("text"), "_id").select(F.explode("h").alias("h"), *c).groupBy("h").agg(
         F.count("*").alias("n"), *[F.sum(x).alias(x) for x in c]).where("n >= 3")
