@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "chatlens",
@@ -33,3 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return d
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table under ``spark.checkpoint.dir``: computed once, outlives executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/chatlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Chat-export ingest: nested JSON exports -> flat message table (SRC-1..SRC-11, SET-1).
 
-Design (scale): each export file is one document, so one file is one task
-(``wholetext``); parallelism comes from many files. Parsing uses a declared
+Design (scale): files are cut into conversations by byte ranges (``ranges``), so neither
+a large file nor many small ones bound the tasks. Parsing uses a declared
 ``array<struct<...variant...>>`` schema — never inference — so polymorphic
 fields (``content`` string-or-object, ids of any JSON kind, node maps with
 arbitrary keys) stay intact and the variant size limit applies per field, not
@@ -14,28 +14,27 @@ narrow pass. Land the result once as Parquet partitioned by month
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import with_times
 from ..functions.rules import sql_string
 from ..functions.timefn import FLOAT_TEXT
+from ..session import written
+from .ranges import CONVERSATION, FRAME, cut_exports, joined_parts
 
 _CONV_FIELDS = ("id:variant,conversation_id:variant,title:variant,conversation_title:variant,"
                 "mapping:map<string,variant>,messages:array<variant>")
 EXPORT_SCHEMA = f"array<struct<{_CONV_FIELDS},conversations:array<struct<{_CONV_FIELDS}>>>>"
 #: No string of a document is too long for the parser (its own bound is 20 million characters).
 _JSON_OPTIONS = {"maxStringLen": "2147483647"}
-#: Bytes one VARIANT value can hold (128 MiB), less a margin for its own structure.
+#: Documents up to this length hold no value above VARIANT's limit of 128 MiB.
 VARIANT_LIMIT = 120 << 20
-#: Characters up to which a single field, or the objects among a message's parts, surely fit (VARIANT may take several times the text).
-PIECE = 16 << 20
+NO_OBJECT = "conversation, message or author is not an object"
+#: Message columns before the times are normalised.
+MESSAGE_FIELDS = ["account", "conversation_id", "conversation_title", "role", "author", "text", "epoch_seconds", "message_id", "department"]
 _CONV_NAMES = ["id", "conversation_id", "title", "conversation_title", "mapping", "messages"]
 
 
@@ -182,163 +181,34 @@ def _normalise_roots(docs: DataFrame, json_col: str) -> DataFrame:
         "WHEN _parsed[0].conversations IS NOT NULL THEN _parsed[0].conversations "
         "ELSE " + as_convs + " END")
     bad_conv = F.expr(f"exists(_convs, c -> c IS NULL OR {_conv_bad('c')})")
+    # the parser leaves out a field with a value that VARIANT cannot hold
+    too_large = (F.octet_length(raw) > VARIANT_LIMIT) & F.expr("exists(_convs, c -> c.mapping IS NULL AND c.messages IS NULL)")
     out = (docs.withColumn("_parsed", parsed)
            .withColumn("_root_is_list", text.rlike(r"^[ \t\n\r]*\["))
            .withColumn("_convs", convs)
+           .withColumn("_listed", F.expr("_root_is_list OR _parsed[0].conversations IS NOT NULL"))
            .withColumn("_reject_reason",
                        F.when(~F.is_valid_utf8(raw), F.lit("not valid UTF-8"))
                        .when(F.col("_parsed").isNull(), F.lit("not a JSON object or list of objects"))
-                       .when(bad_conv, F.lit("conversation, message or author is not an object")))
+                       .when(too_large, F.lit("a value above 128 MiB"))
+                       .when(bad_conv, F.lit(NO_OBJECT)))
            .drop("_parsed", "_root_is_list"))
     return out
 
 
-class _Digits(str):
-    """A JSON number by its source text."""
-
-
-class _Slim:
-    """A document without what flattening never reads, its message texts moved out.
-
-    Kinds of values and digits of numbers stay, so the result goes the way of every document.
-    Where a text was, its number stands between two ``mark``; ``texts`` holds those of each
-    conversation. Text that is not JSON gives an empty document. ``too_large``: some value
-    other than a message's content is still above VARIANT's limit.
-    """
-
-    def __init__(self, source: str) -> None:
-        self.mark, self.texts, self.too_large = uuid.uuid4().hex, [], False
-        number = lambda digits: _Digits(f"{self.mark}#{digits}{self.mark}")
-        try:
-            root = json.JSONDecoder(parse_int=number, parse_float=number, parse_constant=number).raw_decode(
-                source.removeprefix("\ufeff").lstrip(" \t\n\r"))[0]
-        except (ValueError, RecursionError):
-            self.json = ""
-            return
-        if isinstance(root, dict):
-            # A root whose list of conversations cannot be read is itself the conversation; its
-            # texts go behind those of the first one, so either reading finds its own.
-            slim, inner = {}, root.get("conversations")
-            if "conversations" in root:
-                slim["conversations"] = [self._conversation(c) for c in inner] if isinstance(inner, list) else inner
-            root = self._conversation(root, 0 if self.texts else None) | slim
-        elif isinstance(root, list):
-            root = [self._conversation(c) for c in root]
-        self.json = self._dump(root)
-
-    def _dump(self, value) -> str:
-        text = json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace").decode()
-        return re.sub(f'"{self.mark}#(.*?){self.mark}"', r"\1", text)
-
-    def _aside(self, text: str) -> str:
-        if not text:
-            return text
-        self.texts[self.at].append(text.encode("utf-8", "replace").decode())  # half a surrogate pair: '?', as the JVM
-        return f"{self.mark}{len(self.texts[self.at]) - 1}{self.mark}"
-
-    def _fields(self, of: dict, *names: str) -> dict:
-        out = {k: of[k] for k in names if k in of}
-        self.too_large |= any(not isinstance(v, _Digits) and isinstance(v, (str, list, dict)) and v and len(self._dump(v)) > PIECE for v in out.values())
-        return out
-
-    def _parts(self, parts: list) -> list:
-        """Runs of strings become one text. Objects that are large together count by their JSON text."""
-        parts = [x for x in parts if x is not None]
-        other = [x for x in parts if isinstance(x, (list, dict))]
-        by_text = len(other) > 0 and sum(len(self._dump(x)) for x in other) > PIECE
-        out, run = [], []
-        for x in parts:
-            if by_text and isinstance(x, (list, dict)):
-                x = self._dump(_sorted(x))
-            elif isinstance(x, bool):
-                x = str(x)
-            elif by_text and isinstance(x, _Digits):
-                x = x.replace(self.mark, "")[1:]
-            if type(x) is str:
-                run.append(x)
-            else:
-                out += [self._aside("\n".join(run))] * bool(run) + [x]
-                run = []
-        return out + [self._aside("\n".join(run))] * bool(run)
-
-    def _content(self, content):
-        if type(content) is str:
-            return self._aside(content)
-        if not isinstance(content, dict):
-            return content if isinstance(content, (bool, _Digits)) else None
-        if isinstance(content.get("parts"), list):
-            return {"parts": self._parts(content["parts"])}
-        return {"text": self._aside(content["text"])} if type(content.get("text")) is str else {}
-
-    def _message(self, m):
-        if not isinstance(m, dict) or not m:
-            return m if isinstance(m, (dict, _Digits)) or not m else True  # no object, but truthy
-        out = self._fields(m, "id", "role", "create_time", "timestamp")
-        if "author" in m:
-            a = m["author"]
-            out["author"] = self._fields(a, "role", "name") if isinstance(a, dict) else a if isinstance(a, _Digits) or not a else True
-        if "content" in m:
-            out["content"] = self._content(m["content"])
-        return out or {"_": 0}  # an object that is not empty stays one
-
-    def _conversation(self, c, at: int | None = None):
-        if at is None:
-            self.texts.append([])
-        self.at = len(self.texts) - 1 if at is None else at
-        if not isinstance(c, dict):
-            return c
-        out = self._fields(c, "id", "conversation_id", "title", "conversation_title")
-        if "mapping" in c:
-            nodes = c["mapping"]
-            out["mapping"] = nodes if not isinstance(nodes, dict) else {
-                k: n if n is None else True if not isinstance(n, dict) else {"message": self._message(n["message"])} if "message" in n else {}
-                for k, n in nodes.items()}
-        if "messages" in c:
-            out["messages"] = c["messages"] if not isinstance(c["messages"], list) else [
-                self._message(m) if isinstance(m, dict) else None for m in c["messages"]]
-        return out
-
-
-def _sorted(value):
-    """Keys in order, as in the JSON text of a VARIANT."""
-    if isinstance(value, dict):
-        return {k: _sorted(value[k]) for k in sorted(value)}
-    return [_sorted(x) for x in value] if isinstance(value, list) else value
-
-
-def _slim_documents(docs: DataFrame, json_col: str, account_col: str, file_col: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                slim = _Slim(row.pop("json") or "")
-                row |= {"json": slim.json, "mark": slim.mark, "texts": slim.texts, "too_large": slim.too_large}
-                yield pa.RecordBatch.from_pylist([row], schema=out)
-
-    text, valid = pa.string(), F.is_valid_utf8(F.col(json_col))
-    out = pa.schema([("account", text), ("file", text), ("utf8", pa.bool_()), ("json", text), ("mark", text),
-                     ("texts", pa.list_(pa.list_(text))), ("too_large", pa.bool_())])
-    return docs.select(F.col(account_col).cast("string").alias("account"), F.col(file_col).cast("string").alias("file"),
-                       valid.alias("utf8"), F.when(valid, F.col(json_col)).alias("json")).mapInArrow(
-        run, "account string, file string, utf8 boolean, json string, mark string, texts array<array<string>>, too_large boolean")
-
-
-def _flatten(roots: DataFrame, account_col: str, file_col: str, on_error: str, aside: bool) -> ExportResult:
-    """Rows of ``_normalise_roots``; aside: message texts are in ``texts``, by conversation."""
-    rejected = roots.where(F.col("_reject_reason").isNotNull()).select(
-        F.col(file_col).alias("file"), F.col("_reject_reason").alias("reason"))
-
+def _rows(roots: DataFrame, carry: list[str], account_col: str, on_error: str, outer: bool) -> DataFrame:
+    """The message rows of ``_normalise_roots`` beside the columns ``carry``; outer: a row without a message
+    (``has`` is false) for documents and conversations that have none."""
+    explode = F.explode_outer if outer else F.explode
     # Dropping is done on arrays before the explode, never with a Filter on the parsed
     # columns: a Filter would be pushed below the projection with ``from_json`` (and the
     # variant extraction) inlined, evaluating them twice.
-    c, all_convs = ("z.c", "transform(_convs, (c, i) -> named_struct('c', c, 'texts', get(texts, i), 'mark', mark))") if aside else ("z", "_convs")
     if on_error == "file":
-        kept = f"CASE WHEN _reject_reason IS NULL THEN {all_convs} END"
+        kept = "CASE WHEN _reject_reason IS NULL THEN _convs END"
     else:
-        kept = f"filter({all_convs}, z -> {c} IS NOT NULL AND NOT {_conv_bad(c)})"
-        kept = f"CASE WHEN NOT too_large THEN {kept} END" if aside else kept
-    conv = roots.select(F.col(account_col).alias("account"), F.explode(F.expr(kept)).alias("z"))
-    conv = conv.select("account", F.expr(c).alias("c"), *(["z.texts", "z.mark"] if aside else []))
+        kept = f"filter(_convs, c -> c IS NOT NULL AND NOT {_conv_bad('c')})"
+    names = [F.col(c) for c in carry]
+    conv = roots.select(*names, F.col(account_col).alias("account"), explode(F.expr(kept)).alias("c"))
     conv = conv.select("*", F.expr(_kind("c.id")).alias("_kid"), F.expr(_kind("c.conversation_id")).alias("_kcid"),
                        F.expr(_kind("c.title")).alias("_kt"), F.expr(_kind("c.conversation_title")).alias("_kct"))
     # `id or conversation_id` (the second as it is); `title or conversation_title or ""`
@@ -347,61 +217,80 @@ def _flatten(roots: DataFrame, account_col: str, file_col: str, on_error: str, a
     title = (f"CASE WHEN {_truthy('c.title', '_kt')} THEN {_text('c.title', '_kt')} "
              f"WHEN {_truthy('c.conversation_title', '_kct')} THEN {_text('c.conversation_title', '_kct')} "
              f"ELSE '' END")
-    messages = _message_rows("c")
-    if aside:  # before the explode, so that no message carries the others' texts
-        text = ("CASE WHEN startswith(x.text, mark) AND endswith(x.text, mark) AND size(split(x.text, mark)) = 3 "
-                "THEN texts[CAST(split(x.text, mark)[1] AS INT)] "  # the text alone: not copied
-                "ELSE array_join(transform(split(x.text, mark), (s, i) -> CASE WHEN i % 2 = 1 THEN texts[CAST(s AS INT)] ELSE s END), '') END")
-        messages = (f"transform({messages}, x -> named_struct('role', x.role, 'author', x.author, 'text', {text}, "
-                    "'seconds', x.seconds, 'message_id', x.message_id))")
     rows = conv.select(
-        "account",
+        *names, "account",
         F.expr(conv_id).alias("conversation_id"),
         F.expr(title).alias("conversation_title"),
-        F.explode(F.expr(messages)).alias("x"),
+        explode(F.expr(_message_rows("c"))).alias("x"),
     )
-    flat = rows.select("account", "conversation_id", "conversation_title",
+    return rows.select(*names, "account", "conversation_id", "conversation_title",
                        F.col("x.role").alias("role"), F.col("x.author").alias("author"),
                        F.col("x.text").alias("text"), F.col("x.seconds").alias("epoch_seconds"),
                        F.col("x.message_id").alias("message_id"),
-                       F.col("account").alias("department"))
-    return ExportResult(with_times(flat), rejected)
+                       F.col("account").alias("department"), *([F.col("x").isNotNull().alias("has")] if outer else []))
+
+
+def _checked(on_error: str) -> None:
+    if on_error not in ("file", "record"):
+        raise ValueError("on_error must be 'file' or 'record'")
 
 
 def flatten_exports(docs: DataFrame, json_col: str = "json", account_col: str = "account",
-                    file_col: str | None = None, on_error: str = "file",
-                    variant_limit: int = VARIANT_LIMIT) -> ExportResult:
+                    file_col: str | None = None, on_error: str = "file") -> ExportResult:
     """Flatten export documents (one JSON text per row) into the message table.
 
-    A document longer than ``variant_limit`` bytes may hold a value that VARIANT cannot; its
-    message texts are moved out first (see ``_Slim``), then it goes the same way with the same results.
-
     ``on_error='file'`` drops every row of a document that has a malformed part
     (reference behaviour); ``'record'`` drops only the malformed conversations.
     Either way the affected documents are listed in ``rejected``.
     """
-    if on_error not in ("file", "record"):
-        raise ValueError("on_error must be 'file' or 'record'")
-    file_col = file_col or account_col
-    usual = _flatten(_normalise_roots(docs.where(F.octet_length(json_col) <= variant_limit), json_col),
-                     account_col, file_col, on_error, False)
-    slim = _normalise_roots(_slim_documents(docs.where(F.octet_length(json_col) > variant_limit), json_col, account_col, file_col), "json")
-    slim = slim.withColumn("_reject_reason", F.when(~F.col("utf8"), F.lit("not valid UTF-8")).when(
-        F.col("too_large"), F.lit("a value other than a message's content is above the size limit")).otherwise(F.col("_reject_reason")))
-    large = _flatten(slim, "account", "file", on_error, True)
-    return ExportResult(usual.messages.unionByName(large.messages), usual.rejected.unionByName(large.rejected))
+    _checked(on_error)
+    roots = _normalise_roots(docs, json_col)
+    rejected = roots.where(F.col("_reject_reason").isNotNull()).select(
+        F.col(file_col or account_col).alias("file"), F.col("_reject_reason").alias("reason"))
+    return ExportResult(with_times(_rows(roots, [], account_col, on_error, False)), rejected)
 
 
 def read_exports(spark: SparkSession, paths, on_error: str = "file") -> ExportResult:
-    """Read ``*.json`` export files (one account per file) into the message table (SRC-1, SRC-2)."""
+    """Read ``*.json`` export files (one account per file) into the message table (SRC-1, SRC-2).
+
+    Files are cut into conversations by byte ranges (see ``ranges``) and parsed one by one, so a file
+    of any size is many tasks and no row holds more than one conversation. Parsed rows
+    are written once under ``spark.checkpoint.dir``; whether a file must be rejected is then
+    known from all its parts. Results equal those of ``flatten_exports`` on whole files.
+    """
+    _checked(on_error)
     # Python's json keeps the last of duplicate keys; without this the whole map would be NULL.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    if isinstance(paths, str):
-        paths = [paths]
-    docs = (spark.read.text(list(paths), wholetext=True)
-            .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("json"))
-            .withColumn("account", account_from_file_name(F.col("file_name"))))
-    return flatten_exports(docs, json_col="json", account_col="account", file_col="file_name", on_error=on_error)
+    cut = cut_exports(spark, [paths] if isinstance(paths, str) else list(paths))
+
+    def parsed(docs: DataFrame, name: str) -> DataFrame:
+        """Written message rows of the documents; parts of documents (``doc`` is false) stay as they are."""
+        text = F.when(F.col("kind") == CONVERSATION, F.concat(F.lit(b"["), "json", F.lit(b"]"))).otherwise(F.col("json"))
+        docs = docs.withColumn("_doc", F.when(F.col("doc"), text.cast("string"))).withColumn("json", F.when(~F.col("doc"), F.col("json")))
+        roots = _normalise_roots(docs.withColumn("account", account_from_file_name(F.col("file"))), "_doc").withColumn(
+            "reason", F.when(F.col("doc"), F.col("_reject_reason")))
+        return written(_rows(roots, ["path", "file", "start", "kind", "json", "reason", "_listed"], "account", on_error, True), name)
+
+    rows = parsed(cut.withColumn("doc", (F.col("kind") == CONVERSATION) | (F.col("kind") == FRAME) & F.col("whole")), "exports")
+    parts = rows.where("json is not null").select("path", "file", "start", "kind", "json")
+    rows = rows.where("json is null")
+    if not parts.isEmpty():
+        whole = joined_parts(parts).select("*", F.lit(None).cast("long").alias("start"), F.lit(True).alias("doc"))
+        rows = rows.unionByName(parsed(whole, "exports"))
+    # A root object whose list cannot be read is itself the conversation: what was cut from its list does not count.
+    unlisted = (F.col("kind") == FRAME) & ~F.col("_listed")
+    soft = F.col("reason") == NO_OBJECT
+    marks = rows.where(F.col("reason").isNotNull() | unlisted).groupBy("path", "file").agg(
+        F.min(F.when(~soft, F.col("reason"))).alias("hard"), F.coalesce(F.max(unlisted), F.lit(False)).alias("unlisted"),
+        F.coalesce(F.max(soft & (F.col("kind") == FRAME)), F.lit(False)).alias("frame"), F.coalesce(F.max(soft & (F.col("kind") == CONVERSATION)), F.lit(False)).alias("element"))
+    reason = F.coalesce("hard", F.when(F.col("frame") | F.col("element") & ~F.col("unlisted"), F.lit(NO_OBJECT)))
+    marks = written(marks.select("path", "file", "hard", "unlisted", reason.alias("reason")), "marks")
+    messages = rows.where("has")
+    if not marks.isEmpty():
+        drop = F.col("_gone") | F.col("unlisted") & (F.col("kind") == CONVERSATION)
+        gone = marks.select(F.col("path"), "unlisted", F.col("reason" if on_error == "file" else "hard").isNotNull().alias("_gone"))
+        messages = messages.join(gone, "path", "left").where(~F.coalesce(drop, F.lit(False)))
+    return ExportResult(with_times(messages.select(*MESSAGE_FIELDS)), marks.where("reason is not null").select("file", "reason"))
 
 
 def by_month(messages: DataFrame) -> DataFrame:

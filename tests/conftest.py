@@ -17,6 +17,7 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="chatlens-tests-")
     s = (SparkSession.builder.master("local[4]").appName("chatlens-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "4g")  # holds all tasks of a local session
          .config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.variant.allowDuplicateKeys", "true")

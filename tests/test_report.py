@@ -200,7 +200,7 @@ def test_kmeans_restarts_keep_lowest_cost(spark):
     model, costs = best_kmeans(feats, n_init=3)
     assert model.summary.trainingCost == min(costs) <= costs[0]
     single, one = best_kmeans(feats, n_init=1)
-    assert one == [costs[0]]  # same seed, same data -> same run
+    assert one == pytest.approx([costs[0]])  # same seed, same data; sums arrive in task order
 
 
 def test_landing_is_idempotent_and_month_selectable(spark, scratch_dir):

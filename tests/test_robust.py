@@ -16,6 +16,7 @@ from chatlens.plans.report import Analysis, department_metrics
 from chatlens.schema import MESSAGE_COLUMNS, REPORT_CAPTION_MAP, REPORT_COLUMNS
 from chatlens.session import checkpoint_dir
 from chatlens.sinks import write_report
+from chatlens.sources.ranges import cut_exports
 from chatlens.sources.exports import flatten_exports, land_messages, read_exports, read_landed
 from chatlens.streaming.landing import start_landing
 
@@ -93,19 +94,8 @@ def test_invalid_utf8_is_rejected(spark, scratch_dir):
     assert [r.account for r in res.messages.collect()] == ["Good"]
 
 
-def test_plain_path_equals_the_variant_path(spark):
-    """Documents above the VARIANT limit are parsed otherwise; here every document is."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    docs = shaped_export_docs(spark.read.parquet(SF + "/conversations.parquet")).where("file is not null")
-    keep = docs.where("json not like '%\"bad\"%' and json not like '%:{\"k\":5}%'")
-    usual, plain = (flatten_exports(keep, account_col="file", variant_limit=n) for n in (1 << 40, 0))
-    a, b = (sorted(map(str, r.messages.collect())) for r in (usual, plain))
-    assert a == b and len(a) > 300
-    assert sorted(map(str, usual.rejected.collect())) == sorted(map(str, plain.rejected.collect()))
-
-
 @pytest.mark.parametrize("on_error", ["file", "record"])
-def test_large_documents_equal_small_ones_in_every_shape(spark, on_error):
+def test_files_cut_anywhere_equal_whole_documents_in_every_shape(spark, scratch_dir, on_error):
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     docs = shaped_export_docs(spark.read.parquet(SF + "/conversations.parquet")).where("file is not null")
     contents = ['{"a": 1}', "{hello", "{", r"{\\frac{1}{2}}", '{"parts": ["no"]}', '["x"]', "", "5", {"parts": ["{a", "", None, "b"]}, {"parts": []}, {"parts": [True, "t", 2.50, {"z": 1, "a": "é"}, ["q"], "u"]},
@@ -120,19 +110,60 @@ def test_large_documents_equal_small_ones_in_every_shape(spark, on_error):
     roots += [[good, b, tree] for b in bad] + [[good, "text"], [good, None], {"conversations": [good, None, tree]}]
     texts = [json.dumps(r, ensure_ascii=k % 2 == 0) for k, r in enumerate(roots)] + ["no", "{", "", "\ufeff" + json.dumps([good]), json.dumps([good]) + " tail", r'[{"id": "s", "messages": [{"content": "\ud800 x"}]}]']
     docs = docs.select("file", "json").union(spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "file string, json string"))
-    usual, large = (flatten_exports(docs, account_col="file", on_error=on_error, variant_limit=n) for n in (1 << 40, -1))
-    a, b = (sorted(map(str, r.messages.collect())) for r in (usual, large))
-    assert a == b and len(a) > 400
-    assert any("'{\"a\": 1}'" in x for x in b) and any("text='{hello'" in x for x in b)
-    a, b = (sorted(map(str, r.rejected.collect())) for r in (usual, large))
-    assert a == b and len(a) > 10
+    docs = docs.where("json <> '' and (file like 't%' or file like '%-1')")  # Spark does not list empty files
+    rows = docs.collect()
+    for r in rows:
+        with open(os.path.join(scratch_dir, f"{r.file}.json"), "w", encoding="utf-8") as fh:
+            fh.write(r.json)
+    usual = flatten_exports(docs, account_col="file", on_error=on_error)
+    want = sorted(map(str, usual.messages.collect())), sorted((r.file, r.reason) for r in usual.rejected.collect())
+    assert len(want[0]) > 150 and len(want[1]) > 10
+    assert any("'{\"a\": 1}'" in x for x in want[0]) and any("text='{hello'" in x for x in want[0])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "997b"):  # one range for each file, or a great many
+            for k in before:
+                spark.conf.set(k, size)
+            large = read_exports(spark, os.path.join(scratch_dir, "*.json"), on_error=on_error)
+            assert sorted(map(str, large.messages.collect())) == want[0], size
+            assert sorted((r.file.removesuffix(".json"), r.reason) for r in large.rejected.collect()) == want[1], size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_one_large_file_is_many_tasks(spark, scratch_dir):
+    path = os.path.join(scratch_dir, "Large file.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write('{"version": "{[\\"", "conversations": [')
+        for k in range(4000):
+            fh.write(("," if k else "") + json.dumps({"id": f"c{k}", "title": "x", "messages": [{"id": f"{k}-{i}", "role": "user", "content": "braces } ] { [ \" \\" * 20, "create_time": 1706720400} for i in range(3)]}))
+        fh.write("]}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert os.path.getsize(path) > 4 << 20
+        cut = cut_exports(spark, [path])
+        assert cut.rdd.getNumPartitions() >= 4
+        assert cut.select(F.max(F.octet_length("json"))).first()[0] < 4000
+        res = read_exports(spark, path)
+        assert res.rejected.count() == 0
+        got = res.messages.groupBy("account").agg(F.count("*").alias("n"), F.countDistinct("message_id").alias("m"), F.countDistinct("conversation_id").alias("c")).collect()
+        assert [tuple(r) for r in got] == [("Large file", 12000, 12000, 4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_a_text_above_the_parsers_usual_string_limit_is_kept(spark):
     docs = spark.sql("""select 'f' file, concat('[{"id":"c","messages":[{"content":"', repeat('0123456789', 2100000), '"}]}]') json""")
-    for limit in (1 << 40, 1):
-        res = flatten_exports(docs, account_col="file", variant_limit=limit)
-        assert [r.n for r in res.messages.selectExpr("length(text) n").collect()] == [21_000_000] and res.rejected.count() == 0
+    res = flatten_exports(docs, account_col="file")
+    assert [r.n for r in res.messages.selectExpr("length(text) n").collect()] == [21_000_000] and res.rejected.count() == 0
+
+
+def test_a_value_that_cannot_be_held_rejects_its_file(spark):
+    docs = spark.sql("""select 'f' file, concat('[{"id":"c","messages":[{"content":"', repeat('0123456789', 14000000), '"}]}]') json""")
+    res = flatten_exports(docs, account_col="file")
+    assert res.messages.count() == 0 and [r.reason for r in res.rejected.collect()] == ["a value above 128 MiB"]
 
 
 def test_checkpoint_folder_must_be_named():
