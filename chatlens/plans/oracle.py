@@ -11,6 +11,7 @@ from ..functions.fixed_values import (LOCAL_TIME_ZONE, QUALITY_LENGTH_BANDS,
                                       QUALITY_LENGTH_TOP_POINTS, QUALITY_MARKER_GROUPS, QUALITY_MAX, QUALITY_MIN,
                                       SPEAKER_OTHER, SPEAKER_USER)
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
+from .files import ACCOUNT_NAMES, MAPPED
 from .bridge import BASE_EPOCH, DAY_SPREAD, DEPARTMENTS, PROMPT_PHRASES
 from .registry import (CUSTOM_RULES_JSON, DEPARTMENT_MAP, REPORT_MONTH, REPORT_YEAR, STAFF, VIEW_CONVERSATION,
                        VIEW_DEPARTMENT)
@@ -305,6 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "custom_rules": with_(messages_cte(), month_cte(), prompts_cte(RuleSet.from_json(CUSTOM_RULES_JSON)))
         + "SELECT department, topic, count(*) AS prompts FROM prompts GROUP BY department, topic",
         **more_oracles(),
+        **file_oracles(),
     }
 
 
@@ -366,6 +368,20 @@ def more_oracles() -> dict[str, str]:
     }
 
 
+def file_oracles() -> dict[str, str]:
+    number = "CAST(replace(account, 'dept_', '') AS INT)"
+    name = "CASE " + number + " " + " ".join(f"WHEN {k} THEN {q(n)}" for k, n in enumerate(ACCOUNT_NAMES)) + " END"
+    named = (f"named AS (SELECT {name} AS account, conversation_id, conversation_title, message_id, role, author, text, "
+             f"create_time_utc, create_time_local, date, month, {name} AS department FROM messages)")
+    rows = [(f"dept_{k}", None if m in ("", "N/A") else m) for k, m in enumerate(MAPPED)]
+    return {
+        "export_files": with_(messages_cte(), named) + f"SELECT {MSG_COLS} FROM named",
+        "department_map_csv": with_(messages_cte(), month_cte(rows), CONV_STATS) + "SELECT *, true AS map_used FROM (" + _by_dept_select() + ")",
+        "department_map_wrong_header": with_(messages_cte(), month_cte(), CONV_STATS) + "SELECT *, false AS map_used FROM (" + _by_dept_select() + ")",
+        "report_roundtrip": "SELECT *, ordinal AS position FROM (" + _all_report_base() + REPORT_SELECT + ")",
+    }
+
+
 def _by_dept_select() -> str:
     return ("SELECT department, count(DISTINCT conversation_id) AS conversations, "
             "CAST(sum(user_prompts) AS BIGINT) AS user_prompts, CAST(sum(assistant_msgs) AS BIGINT) AS assistant_msgs, "

@@ -27,6 +27,7 @@ from ..operators import views
 from ..operators.position import with_position
 from .bridge import bridge_raw, load_messages, read_table
 from ..sources.exports import flatten_exports
+from . import files
 from .report import PERIOD, Analysis
 
 # Parameters shared with the oracle SQL.
@@ -411,5 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_clusters": q_prompt_clusters,
 }
 
+QUERIES.update(files.QUERIES)
+
 __all__ = ["QUERIES", "compare_ready", "mapping_export_docs", "list_export_docs", "default_topic_rules",
            "purpose_rules"]
