@@ -11,8 +11,10 @@ and one mask still fits somewhere (tests enumerate all 78 patterns). An item too
 or a mask is cut into one run of tokens more than may differ in it, so one run agrees wherever
 the differences are; every position of every text is hashed over runs of these lengths too.
 
-The benchmark's seeds are broadcast while they are at most ``broadcast_seeds`` rows (their
-number is counted first); beyond that the hashes of both sides are shuffled.
+Seeds are three numbers (hash, item, place), whatever the item's length. They are broadcast while
+they are at most ``broadcast_seeds`` rows (about 64 bytes each), and the items' tokens are, once each,
+while they hold at most ``broadcast_bytes``; both are measured first. Beyond either the hashes
+of both sides are shuffled, and a document's tokens meet an item once per diagonal.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import DOC_ID, TEXT_HASH, packed, table, text_hash, unpacked, written
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-WINDOW, SIMILARITY, BROADCAST_SEEDS = 13, 0.8, 2_000_000
+WINDOW, SIMILARITY, BROADCAST_SEEDS, BROADCAST_BYTES = 13, 0.8, 250_000, 16 << 20
 
 
 def tokens(col: str = "text") -> Column:
@@ -72,7 +74,7 @@ def _window_sums(agree: Column, w: Column) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = WINDOW,
-             similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+             similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, _th, item_id, matched, item_tokens, best_window) per overlapping document and item.
 
     matched: agreeing tokens on the pair's best diagonal; best_window: the largest share of agreeing
@@ -83,24 +85,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window
     spark = docs.sparkSession
     masks = [tuple(m) for m in masks]
     least = max(window, max(m[-1] for m in masks) + 1)  # from this length on, masks find an item
-    items = written(benchmark_items(benchmark), "items")
+    items = written(benchmark_items(benchmark).withColumn("no", F.monotonically_increasing_id()), "items")
     shorts = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < least).distinct().collect())  # below least values
     runs = {n: _runs(n, window, similarity) for n in shorts}
-    seeds = written(items.select("item_id", "item", F.posexplode_outer("item").alias("j", "_t")).select(
-        "item_id", "item", "j", F.explode(_seed_keys("item", "j", masks, runs, least)).alias("key")
+    seeds = written(items.select("no", "item", F.posexplode_outer("item").alias("j", "_t")).select(
+        "no", "j", F.explode(_seed_keys("item", "j", masks, runs, least)).alias("key")
     ).where("key is not null"), "seeds")
-    few = seeds.count() <= broadcast_seeds
+    size = items.agg(F.sum(F.octet_length(F.array_join("item", " ")) + 16 * F.size("item"))).first()[0] or 0
+    few = seeds.count() <= broadcast_seeds and size <= broadcast_bytes
     toks = docs.select(F.col(DOC_ID).cast("long").alias("doc_id"), text_hash().alias(TEXT_HASH), tokens().alias("tok"))
     at = toks.select("doc_id", TEXT_HASH, "tok", F.posexplode_outer("tok").alias("i", "_t"))
     keyed = at.select("doc_id", TEXT_HASH, "tok", "i", F.explode(_seed_keys("tok", "i", masks, runs)).alias("key")
                       ).where("key is not null")
     if few:
-        hits = keyed.join(F.broadcast(seeds), "key")
+        hits = keyed.join(F.broadcast(seeds), "key").join(F.broadcast(items), "no")
     else:
-        found = keyed.select(F.col("doc_id").alias("_id"), F.col(TEXT_HASH).alias("_h"), "i", "key").join(seeds, "key").select(
-            "_id", "_h", "i", "j", "item_id", "item")
+        found = keyed.select(F.col("doc_id").alias("_id"), F.col(TEXT_HASH).alias("_h"), "i", "key").join(seeds, "key")
+        first = found.groupBy("_id", "_h", "no", (F.col("i") - F.col("j")).alias("_d")).agg(F.min("i").alias("i"), F.min("j").alias("j")).drop("_d")
         whole = toks.dropDuplicates(["doc_id", TEXT_HASH])
-        hits = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TEXT_HASH) == F.col("_h")))
+        hits = whole.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TEXT_HASH) == F.col("_h"))).join(items, "no")
     # One hit of a run on the same diagonal is enough: the run's first under all masks.
     before = F.lit(False)
     for m in masks:
@@ -137,3 +140,27 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Query: every (document, benchmark item) that overlaps."""
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "matched", "item_tokens", "best_window")
+
+
+#: By the definition: tokens that agree on a diagonal, and the best window among those that begin at one.
+ORACLE = r"""
+with d as (
+  select doc_id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') as tok from documents where text is not null),
+dt as (select distinct doc_id, text, i, tok[i] as t from (select doc_id, text, tok, unnest(range(1, len(tok) + 1)) as i from d)),
+b as (
+  select item, min(item_id) as item_id from (
+    select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') as item from benchmark where text is not null)
+  where len(item) > 0 group by item),
+bt as (select item_id, n, j, item[j] as t from (select item_id, item, len(item) as n, unnest(range(1, len(item) + 1)) as j from b)),
+m as (select doc_id, text, item_id, n, least(n, 13) as w, i - j as diagonal, j from dt join bt using (t)),
+g as (select doc_id, text, item_id, diagonal, count(*) as matched from m group by all having count(*) >= 0.8 * least(min(m.n), 13)),
+c as (select m.* from m join g using (doc_id, text, item_id, diagonal)),
+s as (
+  select a.doc_id, a.text, a.item_id, a.n, a.diagonal, a.j, count(*) / a.w::double as share
+  from c a join c e on a.doc_id = e.doc_id and a.text = e.text and a.item_id = e.item_id and a.diagonal = e.diagonal
+    and e.j >= least(a.j, a.n - a.w + 1) and e.j < least(a.j, a.n - a.w + 1) + a.w
+  group by a.doc_id, a.text, a.item_id, a.n, a.w, a.diagonal, a.j),
+r as (select s.doc_id, s.text, s.item_id, s.n, s.diagonal, max(share) as best from s group by all)
+select r.doc_id, r.item_id, max(g.matched) as matched, r.n as item_tokens, max(r.best) as best_window
+from r join g using (doc_id, text, item_id, diagonal) where r.best >= 0.8 group by r.doc_id, r.text, r.item_id, r.n
+"""

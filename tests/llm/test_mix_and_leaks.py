@@ -153,3 +153,20 @@ def test_short_items_with_each_permitted_substitution(spark, few):
 def test_masks_are_lossless_for_two_of_thirteen():
     for gone in combinations(range(decontaminate.WINDOW), 2):
         assert any(all(s + o not in gone for o in m) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - m[-1]))
+
+
+def test_long_items_by_broadcast_and_by_shuffle_agree(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(k if k % 7 else None, " ".join(word() for _ in range(150))) for k in range(40)]
+    docs = []
+    for k in range(60):
+        own = [word() for _ in range(rng.randrange(30))]
+        passage = items[k % 40][1].split()[rng.randrange(60):][:rng.randrange(5, 60)]
+        passage = [word() if rng.random() < 0.1 else w for w in passage]
+        docs.append((k if k % 5 else None, " ".join(own + passage + own)))
+    docs += [(1, docs[1][1]), (2, None), (3, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(str, decontaminate.overlaps(d, b, **kw).collect())) for kw in ({}, {"broadcast_seeds": 0}, {"broadcast_bytes": 0})]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 30
