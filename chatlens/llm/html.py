@@ -10,7 +10,13 @@ The weights are trained from labelled pages by the same message passing (gradien
 conditional likelihood). The pages come from a grammar of layouts: articles and other
 containers among menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments, with ``data-y`` naming the label of what follows below. ``pages`` and ``seed`` bound
-and fix the sample. Scripts, styles, forms and the like never hold text, whatever the model says.
+and fix the sample. A good part of its elements bear invented class words, so that tags and the
+shape of the text can carry a page alone; words that few training pages bear weigh nothing, and each
+kind of feature has buckets of its own, so that an unknown word hardly meets a known one's.
+If no element reaches a half, but the page has running prose, the threshold is half the best marginal of it.
+
+Scripts, styles, forms and the like never hold text, whatever the model says; but a form around
+the whole page, outside which next to nothing stands, is an element like others.
 """
 
 from __future__ import annotations
@@ -19,9 +25,10 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BUCKETS, TRAIN_PAGES, SEED, PAGES_AT_ONCE = 1024, 500, 5, 100
+#: Buckets of features of the element, of its words, and of the tags and words around it.
+_SHAPES, _WORDS = 1 << 13, 1 << 17
+BUCKETS, TRAIN_PAGES, SEED, PAGES_AT_ONCE = _SHAPES + 2 * _WORDS, 700, 5, 100
+#: Pages of the sample that bear a feature, at least, for it to weigh anything.
+LEAST_PAGES = 8
+#: Characters of a block of prose, and of all of it, that make a page one with running prose.
+PROSE, RUNNING = 60, 120
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -68,6 +81,7 @@ class Node:
     chars: int = 0  # text below
     links: int = 0  # of it, inside links
     blocks: int = 0
+    prose: int = 0  # of them, whole sentences that are not links
     order: int = 0
 
 
@@ -94,10 +108,14 @@ def parse(source: str) -> Page:
     are ignored; unclosed elements end with their parent. One that is skipped and has no end
     tag hides nothing behind it: see ``_PHRASES``."""
     page, unclosed = _parse(source, frozenset())
-    return _parse(source, unclosed)[0] if unclosed else page
+    page = _parse(source, unclosed)[0] if unclosed else page
+    if page.nodes[0].chars < 400 and "<form" in source.lower():  # a form may be around all of it
+        page, forms = page, _parse(source, unclosed, SKIP - {"form"})[0]
+        page = forms if forms.nodes[0].chars > 4 * page.nodes[0].chars + 200 else page
+    return page
 
 
-def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]:
+def _parse(source: str, unclosed: frozenset[int], skip: frozenset[str] = SKIP) -> tuple[Page, frozenset[int]]:
     """The page, and the places of start tags of skipped elements without an end tag; those in
     ``unclosed`` are known as such."""
     nodes = [Node("body", -1, 0)]
@@ -108,6 +126,7 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
     open_ends: set[int] = set()
     ended: set[int] = set()  # by the start of another element, as the rules say
     buffer: list[str] = []
+    opened_now: Counter[str] = Counter(["body"])  # tags of the open elements
     links, link_chars, at, low = 0, 0, 0, None
 
     def flush() -> None:
@@ -119,12 +138,11 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
                 owner = stack[-1][1]
                 blocks.append((owner, text))
                 share = min(link_chars, len(text))
-                k = owner
-                while k >= 0:
-                    nodes[k].chars += len(text)
-                    nodes[k].links += share
-                    nodes[k].blocks += 1
-                    k = nodes[k].parent
+                n = nodes[owner]
+                n.chars += len(text)
+                n.links += share
+                n.blocks += 1
+                n.prose += is_prose(text) and 3 * share < len(text)
             link_chars = 0
 
     def say(text: str) -> None:
@@ -144,6 +162,7 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
             if tag not in INLINE:
                 flush()
             links -= tag == "a"
+            opened_now[tag] -= 1
             stack.pop()
 
     for m in _TOKEN.finditer(source):
@@ -157,10 +176,11 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
         tag, end = name.lower(), bool(m[1] or m[4])
         if end:
             starts.pop(tag, None)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if opened_now[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
             continue
         if stack[-1][0] == "head" and tag not in _IN_HEAD:
             close(len(stack) - 1)
@@ -183,7 +203,7 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
                     break
         if tag not in INLINE:
             for opened in ("p", "li", "dt", "dd", "td", "th", "tr", "option", "button"):
-                if tag in _ENDS[opened]:
+                if tag in _ENDS[opened] and opened_now[opened]:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == opened:
                             ended.add(stack[k][3])
@@ -200,8 +220,8 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
             continue
         if tag in ("svg", "math") and _closes_itself(m[3] or m[6] or ""):
             continue
-        skipped = stack[-1][2] or tag in SKIP and (m.start() not in unclosed or tag in _PHRASES)
-        if tag in SKIP and tag not in RAW and tag != "head":
+        skipped = stack[-1][2] or tag in skip and (m.start() not in unclosed or tag in _PHRASES)
+        if tag in skip and tag not in RAW and tag != "head":
             if tag in starts:
                 open_ends.add(starts[tag])
             starts[tag] = m.start()
@@ -232,14 +252,28 @@ def _parse(source: str, unclosed: frozenset[int]) -> tuple[Page, frozenset[int]]
             nodes.append(node)
         links += tag == "a"
         stack.append((tag, owner, skipped, m.start()))
+        opened_now[tag] += 1
     say(source[at:])
     close(1)
     flush()
+    for n in reversed(nodes):  # a parent comes before its children
+        if n.parent >= 0:
+            up = nodes[n.parent]
+            up.chars, up.links, up.blocks, up.prose = up.chars + n.chars, up.links + n.links, up.blocks + n.blocks, up.prose + n.prose
     return Page(nodes, blocks), frozenset((open_ends | set(starts.values())) - ended)
 
 
+def is_prose(text: str) -> bool:
+    """A sentence of some length, by its marks."""
+    return len(text) >= PROSE and text.rstrip("\"'”’»)")[-1:] in ".!?…:。！？।" and " " in text
+
+
+@cache
 def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode()) % BUCKETS
+    h = zlib.crc32(name.encode())
+    if name.startswith("word="):
+        return _SHAPES + h % _WORDS
+    return _SHAPES + _WORDS + h % _WORDS if name.startswith("in=") else h % _SHAPES
 
 
 def features(page: Page) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -258,6 +292,10 @@ def features(page: Page) -> tuple[list[int], list[int], list[int], list[int]]:
         density = n.links / n.chars if n.chars else 0.0
         names = ["bias", "tag=" + n.tag, f"chars={min(n.chars, 100_000).bit_length() // 2}", f"links={int(density * 4)}",
                  f"share={int(4 * n.chars / total)}", "leaf" if n.blocks <= 1 else "inner", "empty" if not n.chars else "text"]
+        up = page.nodes[n.parent] if n.parent >= 0 else n
+        mean = n.chars // n.blocks if n.blocks else 0
+        names += [f"mean={mean.bit_length()}", f"prose={min(n.prose, 4)}", f"of_prose={int(4 * n.prose / max(page.nodes[0].prose, 1))}",
+                  f"of_parent={int(4 * n.chars / max(up.chars, 1))}", f"parent_links={int(4 * up.links / max(up.chars, 1))}"]
         names += ["word=" + w for w in dict.fromkeys(n.words)]
         at += [i] * len(names)
         on += [_bucket(x) for x in names]
@@ -364,7 +402,7 @@ def _fill_labels(page: Page) -> np.ndarray:
     return np.where(y < 0, text[:, 1] > text[:, 0], y).astype(int)
 
 
-def train(pages: int = TRAIN_PAGES, seed: int = SEED, steps: int = 150, l2: float = 0.02) -> Model:
+def train(pages: int = TRAIN_PAGES, seed: int = SEED, steps: int = 250, l2: float = 0.02) -> Model:
     """Conditional likelihood ascent on ``pages`` labelled pages."""
     rng = random.Random(seed)
     sample = [parse(labelled_page(rng)) for _ in range(pages)]
@@ -373,6 +411,9 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED, steps: int = 150, l2: floa
     seen = np.bincount(forest.on, weights=y[forest.at], minlength=BUCKETS)
     child = np.flatnonzero(forest.parent >= 0)
     pairs = np.bincount(2 * y[forest.parent[child]] + y[child], minlength=4).reshape(2, 2).astype(float)
+    page_of = np.searchsorted(forest.first, forest.at, side="right")
+    borne = np.unique(page_of.astype(np.int64) * BUCKETS + forest.on) % BUCKETS
+    known = np.bincount(borne, minlength=BUCKETS) >= LEAST_PAGES
     w, edge = np.zeros(BUCKETS), np.zeros((2, 2))
     gw, ge = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):  # AdaGrad
@@ -380,7 +421,7 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED, steps: int = 150, l2: floa
         dw = (seen - np.bincount(forest.on, weights=p[forest.at], minlength=BUCKETS) - l2 * w) / pages
         de = (pairs - counts - l2 * edge) / pages
         gw, ge = gw + dw ** 2, ge + de ** 2
-        w, edge = w + 0.5 * dw / np.sqrt(gw), edge + 0.5 * de / np.sqrt(ge)
+        w, edge = w + known * (0.5 * dw / np.sqrt(gw)), edge + 0.5 * de / np.sqrt(ge)
     return Model(w, edge)
 
 
@@ -390,9 +431,14 @@ def main_texts(sources: list[str], model: Model) -> list[str]:
     for s in range(0, len(sources), PAGES_AT_ONCE):
         pages = [parse(x) for x in sources[s:s + PAGES_AT_ONCE]]
         forest = Forest(pages)
-        keep = forest.marginals(model.weights, model.edge)[0] >= 0.5
+        content = forest.marginals(model.weights, model.edge)[0]
         for page, base in zip(pages, forest.first, strict=False):
-            out.append("\n".join(text for owner, text in page.blocks if keep[base + owner]))
+            least = 0.5
+            if page.blocks and not any(content[base + owner] >= 0.5 for owner, _ in page.blocks):
+                prose = [(content[base + owner], len(text)) for owner, text in page.blocks if is_prose(text)]
+                if sum(n for _, n in prose) >= RUNNING:
+                    least = max(p for p, _ in prose) / 2
+            out.append("\n".join(text for owner, text in page.blocks if content[base + owner] >= least))
     return out
 
 
@@ -426,7 +472,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONTENT = ("<article>", "<article class='post'>", "<main>", "<div class='content'>", "<div id='content'>", "<div class='entry-content'>",
             "<div class='article-body'>", "<section class='story'>", "<div class='post-body text'>", "<div itemprop='articleBody'>", "<main id='main'>",
-            "<div role='main'>", "<article class='entry hentry'>")
+            "<div role='main'>", "<article class='entry hentry'>", "<div class='artikel beitrag'>", "<div id='inhalt'>", "<div class='contenido'>", "<div class='contenu'>", "<div class='prose'>")
 _PLAIN = ("<div>", "<div class='wrap'>", "<div class='container'>", "<div id='page'>", "<div class='row'>", "<div class='inner col'>", "<section>")
 _MENU = ("<nav>", "<div class='menu'>", "<ul class='nav navbar'>", "<nav class='main-navigation'>", "<div id='nav' role='navigation'>", "<menu>",
          "<div class='breadcrumbs'>", "<div class='pagination'>", "<div class='share social'>", "<div class='tags'>", "<div class='toc menu'>")
@@ -434,11 +480,11 @@ _SIDE = ("<aside>", "<div class='sidebar'>", "<div id='sidebar' class='widget-ar
          "<div class='related-posts'>", "<section class='sidebar promo'>", "<div role='complementary'>", "<div class='side-bar left'>", "<aside class='author-bio about'>", "<div class='trending most-read'>")
 _NOTE = ("<div class='ad'>", "<div class='advert'>", "<div class='ads banner'>", "<div id='ad-top' class='sponsored'>", "<div class='notice'>",
          "<div class='cookie-notice'>", "<div class='alert consent'>", "<div id='cookies' class='banner'>", "<section class='newsletter subscribe'>",
-         "<div class='promo advertisement'>", "<p class='notice'>", "<div class='popup modal'>", "<div class='cookie-banner gdpr'>", "<div class='ad-slot'>", "<div class='sponsor promotion'>", "<div class='warning message'>", "<div class='signup login'>", "<div class='privacy-notice'>", "<ins class='adsbygoogle'>", "<div class='disclaimer'>", "<div role='alert'>")
+         "<div class='promo advertisement'>", "<p class='notice'>", "<div class='popup modal'>", "<div class='cookie-banner gdpr'>", "<div class='ad-slot'>", "<div class='sponsor promotion'>", "<div class='warning message'>", "<div class='signup login'>", "<div class='privacy-notice'>", "<ins class='adsbygoogle'>", "<div class='disclaimer'>", "<div role='alert'>", "<div class='werbung anzeige'>", "<div class='hinweis'>", "<div class='publicidad'>", "<div class='publicite'>")
 _HEAD = ("<header>", "<div id='header'>", "<div class='site-header top'>", "<header class='masthead'>", "<div role='banner'>")
-_FOOT = ("<footer>", "<div id='footer'>", "<div class='site-footer copyright'>", "<footer class='bottom'>", "<div role='contentinfo'>", "<div class='copyright'>")
+_FOOT = ("<footer>", "<div id='footer'>", "<div class='site-footer copyright'>", "<footer class='bottom'>", "<div role='contentinfo'>", "<div class='copyright'>", "<div class='fuss fusszeile'>", "<div id='impressum'>", "<div class='pied'>")
 _TALK = ("<section class='comments'>", "<div id='comments'>", "<div class='comment-list'>", "<ol class='commentlist'>", "<div class='disqus thread'>", "<section id='reviews' class='comments'>",
-         "<div class='responses comments-area'>", "<div class='reader-comments'>", "<section class='discussion replies'>", "<div class='user-comments feedback'>", "<aside class='comments'>")
+         "<div class='responses comments-area'>", "<div class='leserkommentare kommentare'>", "<section id='commentaires'>", "<div class='comentarios'>", "<div class='kommentar liste'>", "<div class='reader-comments'>", "<section class='discussion replies'>", "<div class='user-comments feedback'>", "<aside class='comments'>")
 
 
 def _marked(opening: str, label: int) -> str:
@@ -449,22 +495,31 @@ def _closing(opening: str) -> str:
     return "</" + re.match(r"<(\w+)", opening)[1] + ">"
 
 
-def labelled_page(rng: random.Random) -> str:
-    """A random page; ``data-y`` marks what is content (1) and what is not (0)."""
+def labelled_page(rng: random.Random, inventing: float = 0.45) -> str:
+    """A random page; ``data-y`` marks what is content (1) and what is not (0). inventing: how often its class words
+    say nothing."""
     def words(n: int) -> str:
         return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
 
     def sentence(short: bool = False) -> str:
         return words(rng.randint(1, 4) if short else rng.randint(5, 60)).capitalize() + "."
 
+    invented = rng.random() < inventing
+    brief = not invented and rng.random() < 0.12  # an article of a few words
+
     def box(opening: str, label: int, inner: str) -> str:
+        if invented and rng.random() < 0.85:
+            tag = re.match(r"<(\w+)", opening)[1]
+            tag = "div" if tag in ("article", "main", "section", "footer") and rng.random() < 0.5 else tag
+            names = " ".join(rng.choice(("", "x-", "css-")) + words(1) for _ in range(rng.randint(1, 3)))
+            opening = f"<{tag} class='{names}'>" if rng.random() < 0.8 else f"<{tag}>"
         return _marked(opening, label) + inner + _closing(opening)
 
     def link(n: int = 2) -> str:
         return f"<a href='/{words(1)}'>{words(rng.randint(1, n))}</a>"
 
     def para() -> str:
-        body = sentence(rng.random() < 0.2)
+        body = sentence(rng.random() < (0.95 if brief else 0.2))
         if rng.random() < 0.3:
             body += " " + link(4) + " " + sentence(True)
         if rng.random() < 0.2:
@@ -498,7 +553,7 @@ def labelled_page(rng: random.Random) -> str:
 
     def content() -> str:
         parts = [f"<h1>{words(rng.randint(2, 10))}</h1>"] if rng.random() < 0.85 else []
-        if parts and rng.random() < 0.15:
+        if parts and rng.random() < 0.08:
             parts = ["<header>" + parts[0] + "</header>"]
         for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 8, 15))):
             kind = rng.random()
@@ -528,8 +583,9 @@ def labelled_page(rng: random.Random) -> str:
         return box(rng.choice(_CONTENT), 1, body)
 
     top, bottom = [], []
-    if rng.random() < 0.5:
-        top.append(box(rng.choice(_HEAD), 0, (f"<h1>{words(2)}</h1>" if rng.random() < 0.4 else words(2)) + (menu() if rng.random() < 0.5 else "")))
+    if rng.random() < 0.6:
+        top.append(box(rng.choice(_HEAD), 0, (f"<h1>{words(2)}</h1>" if rng.random() < 0.75 else words(2)) + (f"<p>{sentence()}</p>" if rng.random() < 0.4 and not invented else "")
+                       + (menu() if rng.random() < 0.5 else "")))
     for make, share in ((menu, 0.7), (note, 0.5), (side, 0.25)):
         if rng.random() < share:
             top.append(make())

@@ -1,6 +1,7 @@
 """Classifier chain, output codes and the DOM model."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ def test_sum_product_is_exact():
 def test_model_on_unseen_layouts(model):
     rng, right, total = random.Random(77), 0, 0
     for _ in range(200):
-        page = html.parse(html.labelled_page(rng))
+        page = html.parse(html.labelled_page(rng, 0.0))  # class words that mean something
         y = html._fill_labels(page)
         keep = html.Forest([page]).marginals(model.weights, model.edge)[0] >= 0.5
         right += sum(keep[o] == y[o] for o, _ in page.blocks)
@@ -231,3 +232,67 @@ def test_nearest_elements_count_on_class_heavy_pages(model):
     p = f.marginals(model.weights, np.zeros((2, 2)))[0]  # no edges: the sums alone
     assert np.allclose(p, 1 / (1 + np.exp(-own)))
     assert len(html.main_texts(["".join(f"<div class='deep{k}x'>" for k in range(20_000)) + "words"], model)) == 1
+
+
+def strange_page(rng):
+    """(page, blocks of its article): layouts and class words that the training grammar does not have."""
+    word = lambda: "".join(rng.choice("aeiouy") + rng.choice("hjkvwz") for _ in range(rng.randint(1, 4)))
+    said = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice(".!?")
+    cls = lambda: rng.choice((f" class='{word()}{rng.randint(1, 99)}'", f" class='_{word()} {word()}__{word()}'", f" id='{word()}'", ""))
+    links = lambda n: "".join(f"<{t}{c}><a href='/{word()}'>{word()} {word()}</a></{t}>" for t in [rng.choice(("li", "span", "div", "td"))] for c in [cls()] for _ in range(n))
+    want, body = [said(rng.randint(3, 9))], []
+    body.append(f"<h1{cls()}>{want[0]}</h1>")
+    for _ in range(rng.randint(2, 9)):
+        if rng.random() < 0.15:
+            body.append(f"<h2>{said(3)}</h2>")
+        elif rng.random() < 0.1:
+            body.append("<blockquote>" + said(20) + "</blockquote>")
+        else:
+            body.append(f"<p{cls()}>" + " ".join(said(rng.randint(8, 18)) for _ in range(rng.randint(1, 5))) + "</p>")
+        want.append(html.entities.unescape(re.sub("<[^>]*>", "", body[-1])))
+    article = f"<div{cls()}>" * (n := rng.randint(0, 4)) + f"<div{cls()}>" + "".join(body) + "</div>" + "</div>" * n
+    menu = f"<div{cls()}><ul{cls()}>{links(rng.randint(3, 9))}</ul></div>"
+    side = f"<div{cls()}><h4>{word()}</h4>{links(rng.randint(3, 8))}</div>"
+    foot = f"<div{cls()}><span>© {rng.randint(1999, 2030)} {word()}</span>{links(rng.randint(2, 6))}</div>"
+    middle = [article, side] if rng.random() < 0.5 else [article]
+    rng.shuffle(middle)
+    return f"<html><body{cls()}><div{cls()}>{menu}{''.join(middle)}{foot}</div></body></html>", want
+
+
+def test_pages_of_another_grammar(model):
+    rng, right, total = random.Random(4), 0, 0
+    for _ in range(200):
+        page, want = strange_page(rng)
+        got = html.main_texts([page], model)[0].split("\n")
+        blocks = [t for _, t in html.parse(page).blocks]
+        right += sum((b in want) == (b in got) for b in blocks)
+        total += len(blocks)
+        assert len("".join(got)) > 0.5 * len("".join(want))
+    assert right / total >= 0.95
+
+
+PROSE = "<h1>Title of it</h1>" + "<p>This is a sentence of an article that goes on for a while, as such sentences do. Then it ends.</p>" * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='css-1a2b'>{}</div>", "<div class='flex px-4'><div class='mx-auto prose'>{}</div></div>", "<article class='promo-free comments-open'>{}</article>", "<div>{}</div>",
+    "<form id='aspnetForm'><div class='q1'>{}</div></form>", "<div class='sidebar-left-layout'><div class='jx9'>{}</div></div>"])
+def test_articles_under_unfamiliar_words(model, page):
+    assert html.main_texts([page.format(PROSE)], model)[0].split("\n")[1:] == [re.sub("<[^>]*>", "", p) for p in PROSE.split("</h1>")[1].split("</p>")[:-1]]
+
+
+def test_foreign_words_of_comments_and_footers(model):
+    page = f"<article>{PROSE}</article><div class='leserkommentare'><h3>Kommentare</h3><p>Das finde ich sehr gut, sagte der Leser am Ende des Tages.</p></div><div id='fuss'><p>Alle Rechte sind vorbehalten.</p></div>"
+    assert html.main_texts([page], model)[0].count("\n") == 3
+
+
+def test_deep_pages_take_linear_time(model):
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        html.main_texts(["".join(f"<div class='d{k}x'>" for k in range(n)) + "<p>words</p>" + "</x></section></b>" * n], model)
+        return time.perf_counter() - t
+
+    seconds(500)
+    assert seconds(8000) < 4 * (4 * seconds(2000) + 0.2) / 2
