@@ -9,10 +9,10 @@ Each window holds the conversation's system turn, up to ``history_turns`` turns
 ``history`` tokens from before its span, and the span. The loss mask covers the
 assistant turns of the span; repeated ones are masked out, so each is a target once.
 
-Rows are dealt by (conv_id, block of ``block_turns`` turns), so a conversation of any length is
-spread over tasks. Blocks follow a turn's place in its conversation, whatever the turn numbers
-are; only conversations of more than one block are ranked for it. The sums start anew in each
-block; the system turn and the history are handed over the border as additional rows.
+Conversations of more than ``block_turns`` turns are dealt by (conv_id, block of strides). Their turns
+are ranked and summed by ranges first, so the sums run on over every border and a span never
+crosses one; the system turn and the history are handed over the border as additional
+rows. Windows do not depend on how rows were dealt.
 
 Template: ``<s>``, then per turn ``[ROLE]role[/ROLE]text</s>``. Control strings inside roles and texts
 are escaped reversibly as character references, and so is an ampersand that would read as one.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import counted, table, written
 
-BUDGET, HISTORY, HISTORY_TURNS, BLOCK_TURNS, TURN_COST = 1024, 256, 2, 256, 6
+BUDGET, HISTORY, HISTORY_TURNS, BLOCK_TURNS, BLOCK_STRIDES, TURN_COST = 1024, 256, 2, 256, 32, 6
 #: Control strings of the template and of common chat templates; each begins with < or [
 CONTROL = ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>")
 _NAMES = {"<": "&lt;", "[": "&lb;"}
@@ -49,28 +49,32 @@ def turn_tokens(text: Column) -> Column:
     return (F.ceil(F.octet_length(text) / 4) + TURN_COST).cast("long")
 
 
-def _sums(items: Column, first: int, value) -> Column:
+def _sums(items: Column, first: Column, value) -> Column:
     """[first, first + value of item 0, ...]: one element more than ``items``."""
-    return F.aggregate(items, F.array(F.lit(first).cast("long")), lambda acc, x: F.array_append(
+    return F.aggregate(items, F.array(first), lambda acc, x: F.array_append(
         acc, F.element_at(acc, -1) + value(x)))
 
 
-def _ranked(t: DataFrame) -> DataFrame:
-    """``t`` plus ``rank``, the place from 0 in the conversation by (turn, role, text). Rows are dealt by
-    ranges, so that a long conversation is not one task, and counted per conversation and range."""
+def _placed(t: DataFrame) -> DataFrame:
+    """``t`` plus ``rank``, the place from 0 in the conversation by (turn, role, text), ``tok`` and ``before``, the tokens
+    of the turns before it. Rows are dealt by ranges, so that a long conversation is not one task;
+    counts and tokens of the ranges before are added to those in the own range."""
     # prefixes in the same order: the bounds of the ranges go through the driver
     by = [F.col("conv_id"), F.col("turn"), F.substring("role", 1, 33), F.when(F.length("role") <= 32, F.substring("text", 1, 32)).otherwise("")]
     dealt = written(t.repartitionByRange(*by).sortWithinPartitions("conv_id", "turn", "role", "text").withColumn(
-        "place", F.monotonically_increasing_id()), "turns").withColumn("range", F.shiftright("place", 33))
-    per = dealt.groupBy("conv_id", "range").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = written(per.select(F.col("conv_id").alias("_r"), F.col("range").alias("_range"), (before - F.col("first")).alias("shift")), "ranges")
-    return dealt.join(counted(per), F.col("conv_id").eqNullSafe(F.col("_r")) & (F.col("range") == F.col("_range"))).select(
-        *t.columns, (F.col("place") + F.col("shift")).alias("rank"))
+        "place", F.monotonically_increasing_id()).withColumn("tok", turn_tokens(F.col("text"))), "turns").withColumn("range", F.shiftright("place", 33))
+    per = dealt.groupBy("conv_id", "range").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum("tok").alias("s"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = written(per.select(F.col("conv_id").alias("_r"), F.col("range").alias("_range"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
+                             F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("sum")), "ranges")
+    inside = F.sum("tok").over(Window.partitionBy("conv_id", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = dealt.withColumn("inside", inside - F.col("tok"))
+    return own.join(counted(per), F.col("conv_id").eqNullSafe(F.col("_r")) & (F.col("range") == F.col("_range"))).select(
+        *t.columns, "tok", (F.col("place") + F.col("shift")).alias("rank"), (F.col("sum") + F.col("inside")).alias("before"))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS,
-            block_turns: int = BLOCK_TURNS) -> DataFrame:
+            block_turns: int = BLOCK_TURNS, block_strides: int = BLOCK_STRIDES) -> DataFrame:
     """(conv_id, block, span, formatted, n_turns, n_repeated, tokens, over_budget, loss).
 
     One row per window; (block, span) orders the windows of a conversation. n_repeated: how
@@ -82,46 +86,60 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     null turn comes first; rows of one (conv_id, turn) are ordered by role, then text, and each is
     a turn. Turn numbers only order the rows and may have gaps. The system turn is the
     conversation's first row, if its role is system. Null conv_ids are one conversation.
-    Other columns are not used. An empty table gives no rows.
+    Other columns are not used. An empty table gives no rows. ``block_turns`` and
+    ``block_strides`` only say how rows are dealt; the windows are the same for all of them.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                      F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     long = written(t.groupBy("conv_id").count().where(F.col("count") > block_turns).select(F.col("conv_id").alias("_l")), "long")
     if long.isEmpty():
-        return _of_blocks(t.withColumn("block", F.lit(0).cast("long")).withColumn("kind", F.lit(2)), budget, history, history_turns)
+        return _of_blocks(t.withColumn("block", F.lit(0).cast("long")).withColumn("kind", F.lit(2)).withColumn("at", F.lit(0).cast("long")),
+                          budget, history, history_turns)
     several = F.col("conv_id").eqNullSafe(F.col("_l"))
-    short = t.join(counted(long), several, "left_anti").withColumn("block", F.lit(0).cast("long"))
-    t = _ranked(t.join(counted(long), several, "left_semi")).withColumn("block", F.floor(F.col("rank") / block_turns))
-    # Conversations of several blocks: every block but the first is handed the system turn,
-    # or a row of null text that says that there is none.
-    spread = t.groupBy("conv_id").agg(F.min("block").alias("low"), F.collect_set("block").alias("blocks")).withColumnRenamed("conv_id", "_c")
-    # the first row of such a conversation, by (turn, role, text)
-    head = t.join(spread.select("_c", "low"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("low"))).groupBy("conv_id").agg(
-        F.min(F.struct("turn", "role", "text")).alias("h")).select(F.col("conv_id").alias("_h"), "h")
-    handed = spread.join(head, F.col("_c").eqNullSafe(F.col("_h"))).select(
-        F.col("_c").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("system").alias("role"),
-        F.when(F.col("h.role") == "system", F.col("h.text")).alias("text"),
-        F.explode(F.array_remove("blocks", F.col("low"))).alias("block"), F.lit(0).alias("kind"))
-    border = t.where(F.pmod("rank", F.lit(block_turns)) >= block_turns - history_turns).select(
-        "conv_id", "turn", "role", "text", (F.col("block") + 1).alias("block"), F.lit(1).alias("kind"))
-    rows = short.unionByName(t.drop("rank")).withColumn("kind", F.lit(2)).unionByName(handed).unionByName(border)
+    short = t.join(counted(long), several, "left_anti").select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("at"))
+    t = written(_placed(t.join(counted(long), several, "left_semi")), "placed")
+    head = written(t.where("rank = 0").select(F.col("conv_id").alias("_h"), F.when(F.col("role") == "system", F.col("text")).alias("system")), "heads")
+    sys_tok = F.when(F.col("system").isNotNull(), turn_tokens(F.col("system"))).otherwise(F.lit(0))
+    sums = head.select("_h", sys_tok.alias("sys_tok"), F.col("system").isNotNull().alias("has"))
+    t = t.join(counted(sums), F.col("conv_id").eqNullSafe(F.col("_h")))
+    at = F.greatest(F.col("before") - F.col("sys_tok"), F.lit(0))
+    t = t.select("conv_id", "turn", "role", "text", "rank", "has", at.alias("at"),
+                 F.floor(at / _stride(budget, history, F.col("sys_tok")) / block_strides).alias("block"))
+    # Blocks of whole strides: a span, which begins in one stride, lies in one block.
+    blocks = written(t.groupBy("conv_id", "block").agg(F.min("rank").alias("low")), "blocks")
+    later = blocks.where("low > 0")
+    # Every block but the first is handed the system turn, or a row of null text that says that there is none,
+    handed = later.join(head, F.col("conv_id").eqNullSafe(F.col("_h"))).select(
+        "conv_id", F.lit(None).cast("long").alias("turn"), F.lit("system").alias("role"), F.col("system").alias("text"),
+        "block", F.lit(0).cast("long").alias("at"), F.lit(0).alias("kind"))
+    # and the turns right before it.
+    wanted = later.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.explode(F.sequence(F.col("low") - history_turns, F.col("low") - 1)).alias("_k")) \
+        if history_turns else later.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.col("low").alias("_k")).where("false")
+    border = t.join(wanted, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("rank") == F.col("_k"))).where("rank > 0 or not has").select(
+        "conv_id", "turn", "role", "text", F.col("_b").alias("block"), "at", F.lit(1).alias("kind"))
+    rows = short.unionByName(t.drop("rank", "has")).withColumn("kind", F.lit(2)).unionByName(handed).unionByName(border)
     return _of_blocks(rows, budget, history, history_turns)
 
 
+def _stride(budget: int, history: int, sys_tok: Column) -> Column:
+    return F.greatest(F.lit(budget - history) - sys_tok, F.lit(TURN_COST)).cast("long")
+
+
 def _of_blocks(rows: DataFrame, budget: int, history: int, history_turns: int) -> DataFrame:
-    """Windows of (conv_id, block, turn, role, text, kind): 0 a system turn handed over, 1 history, 2 a turn."""
+    """Windows of (conv_id, block, turn, role, text, kind, at): kind 0 a system turn handed over, 1 history, 2 a turn;
+    at: tokens of the conversation before the turn, without the system turn (the smallest of a block counts)."""
     one = F.struct("kind", "turn", "role", "text", turn_tokens(F.col("text")).alias("tok"))
-    a = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(one)).alias("a")).where(
+    a = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(one)).alias("a"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("base")).where(
         F.exists("a", lambda x: x["kind"] == 2))
     first = F.get("a", 0)
     a = a.withColumn("later", first["kind"] == 0).withColumn("sys", F.when(
         (first["kind"] == 0) & first["text"].isNotNull() | (first["kind"] == 2) & (first["role"] == "system"), first))
     a = a.withColumn("b", F.when(F.col("later") | F.col("sys").isNotNull(), F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0)))).otherwise(F.col("a")))
     sys_tok = F.coalesce(F.col("sys.tok"), F.lit(0))
-    a = a.withColumn("stride", F.greatest(F.lit(budget - history) - sys_tok, F.lit(TURN_COST)).cast("long")).withColumn(
+    a = a.withColumn("stride", _stride(budget, history, sys_tok)).withColumn(
         "room", F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - sys_tok)))
     a = a.select("conv_id", "block", "later", "sys", "b", "stride", "room",
-                 _sums(F.col("b"), 0, lambda x: F.when(x["kind"] == 2, x["tok"]).otherwise(0)).alias("at"))
+                 _sums(F.col("b"), F.col("base"), lambda x: F.when(x["kind"] == 2, x["tok"]).otherwise(0)).alias("at"))
     place = lambda v: F.floor(v / F.col("stride"))
     # even: turns inside a stride; odd: the turn that crosses its end
     ids = F.transform("b", lambda x, i: F.when(x["kind"] == 2, 2 * place(F.get("at", i)) + F.when(
@@ -141,7 +159,7 @@ def _of_blocks(rows: DataFrame, budget: int, history: int, history_turns: int) -
     again = F.col("back") + F.when(F.col("sys").isNotNull() & (F.col("later") | (F.col("nth") > 0)), 1).otherwise(0)
     w = w.select("conv_id", "block", "span", again.alias("n_repeated"), F.col("all"), F.transform("all", lambda x: F.struct(
         F.concat(F.lit("[ROLE]"), escaped(x["role"]), F.lit("[/ROLE]")).alias("head"), escaped(x["text"]).alias("body"), x["role"].alias("role"))).alias("parts"))
-    w = w.withColumn("starts", _sums(F.col("parts"), 3, lambda p: F.length(p["head"]) + F.length(p["body"]) + 4))
+    w = w.withColumn("starts", _sums(F.col("parts"), F.lit(3).cast("long"), lambda p: F.length(p["head"]) + F.length(p["body"]) + 4))
     loss = F.filter(F.transform("parts", lambda p, i: F.when((p["role"] == "assistant") & (i >= F.col("n_repeated")), F.struct(
         (F.get("starts", i) + F.length(p["head"])).alias("begin"), (F.get("starts", i) + F.length(p["head"]) + F.length(p["body"])).alias("end")))),
         lambda s: s.isNotNull())

@@ -68,7 +68,7 @@ def test_chat_round_trip(spark, budget, history, turns, block):
 def test_chat_history_crosses_blocks(spark):
     rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k}", 0, "") for k in range(10)]
     w = chat.windows(spark.createDataFrame(rows, TURNS), 1000, 100, 2, 4).orderBy("block", "span").collect()
-    assert [(r["n_turns"], r["n_repeated"]) for r in w] == [(4, 0), (6, 2), (4, 2)]
+    assert [(r["n_turns"], r["n_repeated"]) for r in w] == [(10, 0)]  # the budget holds all; blocks end no window
     assert w[1]["formatted"].startswith("<s>[ROLE]user[/ROLE]turn 2</s>[ROLE]assistant[/ROLE]turn 3</s>")
     assert chat.windows(spark.createDataFrame(rows, TURNS).limit(0)).count() == 0
 
@@ -199,3 +199,14 @@ def test_relaxed_search_leaves_out_and_keeps_recall():
     for relax, least in ((1.0, 1.0), (1.3, 0.8)):
         got, _ = tree.search(q, own, 10, largest, relax)
         assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, exact, strict=True)]) >= least
+
+
+def test_chat_windows_do_not_depend_on_the_layout(spark):
+    rng = random.Random(12)
+    rows = [(1, k, "user" if k % 2 else "assistant", "equal words here", 0, "") for k in range(700)]
+    rows += [(2, k, "system" if k == 0 else rng.choice(["user", "assistant"]), "x" * rng.choice([0, 3, 40, 400, 5000]), 0, "") for k in range(300)]
+    rows += [(None, k // 3, rng.choice(["system", "user"]), "y" * rng.randrange(90), 0, "") for k in range(90)] + [(3, 1, "user", "short", 0, "")]
+    df = spark.createDataFrame(rows, TURNS).repartition(5)
+    got = [sorted(map(str, chat.windows(df, budget, 256, turns, block, strides).drop("block").collect()))
+           for budget, turns in ((1024, 2), (300, 0)) for block, strides in ((10_000, 32), (4, 1), (64, 3))]
+    assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] and len(got[0]) > 20
