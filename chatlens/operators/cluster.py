@@ -3,9 +3,10 @@
 Tokens are runs of two or more word characters (letters, numbers, underscore) of the
 lower-cased text, bigrams come from the token sequence; the vocabulary keeps the
 most frequent terms (ties: the smaller term), the idf is ``ln((1+n)/(1+df)) + 1``, and
-a prompt's weights have length 1. The prompts' terms are computed once, dealt by the
-hash of their text to a fixed number of partitions and sorted there, so that k-means
-starts alike however the input was split. K-means runs ``n_init`` times with
+a prompt's weights have length 1. Equal texts are one row with their number, which is its
+weight in the counts and in k-means, so a text that is a third of all prompts is one row.
+The texts' terms are computed once, dealt by hash to a stated number of partitions
+and sorted there, so that k-means starts alike however the input was split. K-means runs ``n_init`` times with
 different seeds and keeps the lowest within-cluster cost. Everything is distributed;
 only the vocabulary (<= max_features terms) and the k centres live on the driver.
 Fewer prompts than clusters -> null labels.
@@ -13,7 +14,6 @@ Fewer prompts than clusters -> null labels.
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from ..functions.text import null_safe_string
-from ..session import checkpoint_dir
+from ..session import written
 
 # Clustering sizes of the reproduced behaviour.
 N_CLUSTERS = 15
@@ -33,8 +33,8 @@ N_INIT = 10
 SEED = 42
 MAX_ITER = 300
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-#: Partitions of the feature table, whatever the input's; a parameter, not a function of the data.
-PARTITIONS = 8
+#: Setting of the session that says into how many partitions the feature table goes, whatever the input's.
+PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 
 
 def prompt_terms(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -45,12 +45,14 @@ def prompt_terms(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.withColumn("_uni", tokens).withColumn("terms", F.concat("_uni", pairs)).drop("_uni")
 
 
-def vocabulary(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, total, df, idf): the ``max_features`` most frequent terms, ties by term."""
-    # The empty term stands in every row: its df is the number of rows, and it leads the cut.
-    marked = terms.select(F.concat(F.array(F.lit("")), "terms").alias("t"))
-    each = marked.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    every = marked.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+def vocabulary(terms: DataFrame, max_features: int = MAX_FEATURES, weight: str | None = None) -> DataFrame:
+    """(term, total, df, idf): the ``max_features`` most frequent terms, ties by term. ``weight``: column with
+    the number of prompts that a row stands for."""
+    n_rows = F.col(weight) if weight else F.lit(1)
+    # The empty term stands in every row: its df is the number of prompts, and it leads the cut.
+    marked = terms.select(F.concat(F.array(F.lit("")), "terms").alias("t"), n_rows.cast("long").alias("_n"))
+    each = marked.select(F.explode(F.array_distinct("t")).alias("term"), "_n").groupBy("term").agg(F.sum("_n").alias("df"))
+    every = marked.select(F.explode("t").alias("term"), "_n").groupBy("term").agg(F.sum("_n").alias("total"))
     top = every.join(each, "term").orderBy(F.col("term") != "", F.desc("total"), "term").limit(max_features + 1)
     n = F.max(F.when(F.col("term") == "", F.col("df"))).over(Window.partitionBy())  # over the cut vocabulary only
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -65,9 +67,9 @@ def term_weights(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def tfidf_features(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+def tfidf_features(terms: DataFrame, max_features: int = MAX_FEATURES, weight: str | None = None) -> DataFrame:
     """Add ``features`` to rows with ``terms``: the weights of ``term_weights`` as a vector."""
-    vocab = vocabulary(terms, max_features).orderBy(F.desc("total"), "term").select("term", "idf").collect()
+    vocab = vocabulary(terms, max_features, weight).orderBy(F.desc("total"), "term").select("term", "idf").collect()
     if not vocab:
         return terms.withColumn("features", F.lit(None))
     cv = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="terms", outputCol="_tf")
@@ -81,11 +83,14 @@ def best_kmeans(feats: DataFrame, n_clusters: int = N_CLUSTERS, n_init: int = N_
     """Fit k-means ``n_init`` times (seeds ``seed..seed+n_init-1``); return (lowest-cost model, all costs).
 
     Restarts are independent Spark jobs submitted from a few threads, so the scheduler runs them side
-    by side. Ties in cost keep the earlier seed.
+    by side. Ties in cost keep the earlier seed. Sums arrive in task order, so costs agree to rounding. A
+    column ``weight`` is the number of prompts of a row.
     """
+    weighted = {"weightCol": "weight"} if "weight" in feats.columns else {}
+
     def fit(i):
         model = KMeans(k=n_clusters, seed=seed + i, maxIter=max_iter, tol=1e-4,
-                       featuresCol="features", predictionCol="_cluster").fit(feats)
+                       featuresCol="features", predictionCol="_cluster", **weighted).fit(feats)
         return model.summary.trainingCost, i, model
 
     with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel_restarts))) as pool:
@@ -96,7 +101,7 @@ def best_kmeans(feats: DataFrame, n_clusters: int = N_CLUSTERS, n_init: int = N_
 
 def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_features: int = MAX_FEATURES,
                     n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER,
-                    parallel_restarts: int = N_INIT, partitions: int = PARTITIONS) -> DataFrame:
+                    parallel_restarts: int = N_INIT, partitions: int | None = None) -> DataFrame:
     """``prompts`` plus an integer ``cluster`` column (null when there are fewer prompts than clusters).
 
     Equal texts get equal labels, so labels are found per distinct text and joined back by it.
@@ -106,27 +111,27 @@ def cluster_prompts(prompts: DataFrame, n_clusters: int = N_CLUSTERS, max_featur
     feats = clustering_features(prompts, max_features, partitions)
     try:
         model, _costs = best_kmeans(feats, n_clusters, n_init, seed, max_iter, parallel_restarts)
-        out = model.transform(feats).select(F.col("_text"), F.col("_cluster").cast("long").alias("cluster")).distinct()
-        path = f"{checkpoint_dir(prompts.sparkSession).rstrip('/')}/chatlens-clusters-{uuid.uuid4().hex}"
-        out.write.parquet(path)
+        labels = written(model.transform(feats).select(F.col("_text"), F.col("_cluster").cast("long").alias("cluster")), "clusters")
     finally:
         feats.unpersist()
-    labels = prompts.sparkSession.read.schema(out.schema).parquet(path)
     text = F.xxhash64(null_safe_string(F.col("text")))
     return prompts.withColumn("_text", text).join(labels, "_text").select(*prompts.columns, "cluster")
 
 
 def clustering_features(prompts: DataFrame, max_features: int = MAX_FEATURES,
-                        partitions: int = PARTITIONS) -> DataFrame:
-    """Persisted TF-IDF features, a row per prompt with the hash of its text (``_text``) and nothing else.
+                        partitions: int | None = None) -> DataFrame:
+    """Persisted TF-IDF features, a row per distinct text: its hash (``_text``), ``weight`` (prompts that have
+    it) and ``features``.
 
-    The source is read once: terms are persisted in ``partitions`` partitions by text hash, in
-    the same order however the input was split.
+    The source is read once: terms are persisted in ``partitions`` partitions (as many as the session shuffles
+    to, if not given) by text hash, in the same order however the input was split.
     """
-    rows = prompts.select(null_safe_string(F.col("text")).alias("text"))
-    terms = prompt_terms(rows).select(F.xxhash64("text").alias("_text"), "terms").repartition(
+    partitions = partitions or int(prompts.sparkSession.conf.get(PARTITIONS_KEY))
+    text = null_safe_string(F.col("text"))
+    rows = prompts.groupBy(F.xxhash64(text).alias("_text")).agg(F.min(text).alias("text"), F.count(F.lit(1)).cast("double").alias("weight"))
+    terms = prompt_terms(rows).select("_text", "weight", "terms").repartition(
         partitions, "_text").sortWithinPartitions("_text").persist(StorageLevel.MEMORY_AND_DISK)
-    feats = tfidf_features(terms, max_features).select("_text", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    feats = tfidf_features(terms, max_features, "weight").select("_text", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
     feats.count()
     terms.unpersist()
     return feats

@@ -335,6 +335,9 @@ def more_oracles() -> dict[str, str]:
     return {
         "custom_rules_distribution": _month_report_base(None, custom)
         + "SELECT department, prompts, unique_topics, topic_distribution, purpose_distribution FROM metrics",
+        "prompt_cluster_invariants": with_(messages_cte(), month_cte(), prompts_cte())
+        + "SELECT count(*) AS prompts, count(DISTINCT text) AS texts, true AS smallest_in_range, true AS largest_in_range, "
+          "CAST(0 AS BIGINT) AS texts_of_two_labels FROM prompts",
         "prompt_terms": with_(messages_cte(), month_cte(), TERMS)
         + "SELECT term, CAST(total AS BIGINT) AS total, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM v",
         "prompt_tfidf": with_(messages_cte(), month_cte(), TERMS)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.kpi import kpi_ladder_sql
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from ..functions.text import word_count
-from ..operators.cluster import cluster_prompts, prompt_terms, term_weights, vocabulary
+from ..operators.cluster import N_CLUSTERS, cluster_prompts, prompt_terms, term_weights, vocabulary
 from ..operators.distribution import distribution_string
 from ..operators.enrich import tag_texts, user_rows, with_role_flags
 from ..operators.metrics import by_department, conversation_stats
@@ -26,6 +26,7 @@ from ..operators.period import filter_month
 from ..operators import views
 from ..operators.position import with_position
 from .bridge import bridge_raw, load_messages, read_table
+from ..session import written
 from ..sources.exports import flatten_exports
 from . import files
 from .report import PERIOD, Analysis
@@ -254,6 +255,17 @@ def q_prompt_clusters(spark, sf_dir):
     return cluster_prompts(a.prompts).select("message_id", "department", "cluster")
 
 
+def q_prompt_cluster_invariants(spark, sf_dir):
+    """What holds for any clustering: a label of the given ones for every prompt, one for equal texts, sizes that add up."""
+    a = _month_analysis(spark, sf_dir)
+    got = written(cluster_prompts(a.prompts, n_init=1).select("text", "cluster"), "labels")
+    texts = got.groupBy("text").agg(F.count("*").alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    return texts.agg(F.sum("n").alias("prompts"), F.count("*").alias("texts"), F.min("low").alias("smallest_label"),
+                     F.max("high").alias("largest_label"), F.sum((F.col("low") != F.col("high")).cast("long")).alias("texts_of_two_labels")).select(
+        "prompts", "texts", F.col("smallest_label").between(0, N_CLUSTERS - 1).alias("smallest_in_range"),
+        F.col("largest_label").between(0, N_CLUSTERS - 1).alias("largest_in_range"), "texts_of_two_labels")
+
+
 def q_prompt_terms(spark, sf_dir):
     a = _month_analysis(spark, sf_dir)
     return compare_ready(vocabulary(prompt_terms(a.prompts.select("message_id", "text"))))
@@ -410,6 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "department_prompts": q_department_prompts,
     "conversation_transcript": q_conversation_transcript,
     "prompt_clusters": q_prompt_clusters,
+    "prompt_cluster_invariants": q_prompt_cluster_invariants,
 }
 
 QUERIES.update(files.QUERIES)

@@ -67,9 +67,12 @@ def test_chat_round_trip(spark, budget, history, turns, block):
 
 def test_chat_history_crosses_blocks(spark):
     rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k}", 0, "") for k in range(10)]
-    w = chat.windows(spark.createDataFrame(rows, TURNS), 1000, 100, 2, 4).orderBy("block", "span").collect()
+    df = spark.createDataFrame(rows, TURNS)
+    w = chat.windows(df, 1000, 100, 2, 4).collect()
     assert [(r["n_turns"], r["n_repeated"]) for r in w] == [(10, 0)]  # the budget holds all; blocks end no window
-    assert w[1]["formatted"].startswith("<s>[ROLE]user[/ROLE]turn 2</s>[ROLE]assistant[/ROLE]turn 3</s>")
+    w = chat.windows(df, 100, 40, 2, 4, 1).orderBy("block", "span").collect()
+    assert [(r["n_turns"], r["n_repeated"]) for r in w] == [(7, 0), (3, 2), (4, 2)] and len({r["block"] for r in w}) == 2
+    assert w[1]["formatted"].startswith("<s>[ROLE]assistant[/ROLE]turn 5</s>[ROLE]user[/ROLE]turn 6</s>")
     assert chat.windows(spark.createDataFrame(rows, TURNS).limit(0)).count() == 0
 
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatlens.operators.cluster import cluster_prompts
@@ -203,6 +204,20 @@ def test_kmeans_restarts_keep_lowest_cost(spark):
     assert one == pytest.approx([costs[0]])  # same seed, same data; sums arrive in task order
 
 
+def test_clusters_by_distinct_texts_cost_what_those_of_all_rows_do(spark):
+    from pyspark.ml.clustering import KMeans
+    from chatlens.operators.cluster import best_kmeans, clustering_features
+    prompts = Analysis(load_messages(spark, SF), 2024, 2).prompts
+    hot = prompts.limit(1).crossJoin(spark.range(400)).select(prompts.columns)
+    prompts = prompts.union(hot)
+    feats = clustering_features(prompts, max_features=300)
+    assert feats.agg(F.max("weight")).first()[0] > 400 and feats.agg(F.sum("weight")).first()[0] == prompts.count()
+    rows = feats.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("weight", "k").repartition(4).cache()
+    weighted = min(best_kmeans(feats, n_init=6)[1])
+    plain = min(KMeans(k=15, seed=42 + i, maxIter=300, tol=1e-4).fit(rows).summary.trainingCost for i in range(6))
+    assert weighted == pytest.approx(plain, rel=0.05)
+
+
 def test_landing_is_idempotent_and_month_selectable(spark, scratch_dir):
     from chatlens.sources.exports import land_messages
     path = os.path.join(scratch_dir, "land2")
