@@ -2,8 +2,9 @@
 
 Records are text rows written by Spark's text writer with the record separator as line
 separator, so archive files go through the usual commit of a job into any file system Spark
-knows, and a lost executor costs a task. A file holds ``per_file`` records at most and is a
-run: its captures are sorted by URL key and time. Reading takes whole files, follows each
+knows, and a lost executor costs a task. A file holds ``per_file`` records and about ``file_bytes`` at
+most (a longer record has a file of its own): rows are written by classes of payload size, each with its
+number of records to a file. A file is a run: its captures are sorted by URL key and time. Reading takes whole files, follows each
 record's Content-Length, and checks every payload against its digest.
 
 The index of all captures is merged externally: captures are dealt by ranges of
@@ -11,7 +12,8 @@ The index of all captures is merged externally: captures are dealt by ranges of
 ranges in order, each in order, are the ordered capture histories of all URLs.
 
 A payload of at least ``least`` bytes is stored once, in the response of the smallest page_id
-(null page_ids last); all other captures of it are revisits that refer to it.
+(null page_ids last; one of the rows, if several have that page_id); all other captures of it are revisits
+that refer to it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table, written
 
-LEAST, PER_FILE, BROADCAST_ROWS, EPOCH = 100, 500, 200_000, 1_704_067_200
+LEAST, PER_FILE, FILE_BYTES, BROADCAST_ROWS, EPOCH = 100, 500, 64 << 20, 200_000, 1_704_067_200
+#: Payloads up to this length are one class; each further class is four times as long.
+SMALL = 64 << 10
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = ("run string, seq long, offset long, length long, url_key string, date string, url string, page_id long, "
@@ -56,38 +60,55 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, least: int = LEAST, per_file: int = PER_FILE,
-                  broadcast_rows: int = BROADCAST_ROWS) -> None:
+                  broadcast_rows: int = BROADCAST_ROWS, file_bytes: int = FILE_BYTES) -> None:
     """Writes one WARC record per row of ``pages`` (page_id, url, html) into folder ``path``.
 
-    The payload is the html in UTF-8, empty if null. Equal rows (page_id and payload) are
-    all responses, as each has the smallest page_id. The time of a capture is its page_id in
+    The payload is the html in UTF-8, empty if null. Of equal rows (page_id and payload) one is the
+    response, and the others revisit it. The time of a capture is its page_id in
     seconds after 2024-01-01, repeating after a year. Other columns are not used.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    again = written(p.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where(
-        "n > 1").select("digest", "first"), "payloads")
+    lengths = p.select("size")
+    again = p.where(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(
+        F.sum("n").alias("n"), F.min("page_id").alias("first"), F.min_by("n", F.struct(F.col("page_id").isNull(), "page_id")).alias("firsts"))
+    again = written(again.where("n > 1").select("digest", "first", "firsts", F.lit(True).alias("repeated")), "payloads")
     few = again.count() <= broadcast_rows  # at most about 30 MB
     p = p.join(F.broadcast(again) if few else again, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    at_first = F.coalesce(F.col("repeated"), F.lit(False)) & F.col("page_id").eqNullSafe(F.col("first"))
+    revisit = F.coalesce(F.col("repeated"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    p = p.withColumn("twin", at_first & (F.col("firsts") > 1))
+    if not again.where("firsts > 1").isEmpty():  # rows of one page_id and payload: the first written is the response
+        twins = written(p.where("twin").withColumn("no", F.monotonically_increasing_id()), "twins")
+        low = written(twins.groupBy("digest").agg(F.min("no").alias("low")), "low")
+        twins = twins.join(low.select(F.col("digest").alias("_d"), "low"), F.col("digest") == F.col("_d")).withColumn("no", F.col("no") - F.col("low"))
+        p = p.where("not twin").withColumn("no", F.lit(0).cast("long")).unionByName(twins.drop("_d", "low"))
+    else:
+        p = p.withColumn("no", F.lit(0).cast("long"))
+    revisit = revisit | (F.col("no") > 0)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(SEPARATOR))
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     field = lambda name, c: F.concat(F.lit(name + ": "), c, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))), field("WARC-Date", date),
+        field("WARC-Record-ID", _record_id(F.col("page_id"), F.concat("digest", F.when(F.col("no") > 0, F.concat(F.lit("/"), F.col("no").cast("string"))).otherwise("")))), field("WARC-Date", date),
         field("WARC-Target-URI", _header_safe(F.col("url"))), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(F.col("page_id").isNotNull(), field("WARC-X-Page-Id", F.col("page_id").cast("string"))).otherwise(""),
         F.when(revisit, F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", _record_id(F.col("first"), F.col("digest"))),
-                                 field("WARC-X-Refers-To-Page-Id", F.col("first").cast("string")))).otherwise(""),
+                                 F.when(F.col("first").isNotNull(), field("WARC-X-Refers-To-Page-Id", F.col("first").cast("string"))).otherwise(""))).otherwise(""),
         field("WARC-X-Url-Key", _header_safe(url_key(F.col("url")))),
         field("Content-Type", F.lit("application/http;msgtype=response")),
         field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
     # in the order that merge_index merges by: the key as it stands in the header, null ids last
-    rows = p.select(_header_safe(url_key(F.col("url"))).alias("k"), date.alias("d"), "page_id", F.concat(head, block).alias("value"))
-    rows.sortWithinPartitions("k", "d", F.col("page_id").asc_nulls_last()).select("value").write.option("lineSep", SEPARATOR).option(
-        "maxRecordsPerFile", per_file).text(path)
+    kind = F.greatest(F.lit(0), F.ceil(F.log(4.0, (F.col("size") + 1) / F.lit(SMALL)))).cast("int")
+    sizes = [r[0] for r in lengths.select(kind.alias("kind")).distinct().collect()] or [0]  # a dozen classes at most
+    rows = p.select(kind.alias("kind"), _header_safe(url_key(F.col("url"))).alias("k"), date.alias("d"), "page_id", F.concat(head, block).alias("value"))
+    for k in sizes:
+        some = rows.where(F.col("kind") == k) if len(sizes) > 1 else rows
+        records = max(1, min(per_file, file_bytes // (SMALL * 4 ** k)))
+        some.sortWithinPartitions("k", "d", F.col("page_id").asc_nulls_last()).select("value").write.option("lineSep", SEPARATOR).option(
+            "maxRecordsPerFile", records).text(f"{path}/size-{k}")
 
 
 def parse_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -127,7 +148,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                                  "payload_digest": digest, "refers_to": number("warc-x-refers-to-page-id")})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.where("length > 0").select("path", "content").mapInArrow(run, _CAPTURE)
 
 
@@ -198,7 +219,7 @@ def archive(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
     gives no rows. See ``write_archive`` for nulls and repeated rows."""
     path = path or new_path(pages.sparkSession, "warc")
     write_archive(pages, path, **kw)
-    return merge_index(read_captures(pages.sparkSession, path))
+    return merge_index(written(read_captures(pages.sparkSession, path), "captures"))  # the archives are read once
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +231,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
-f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
-select d.page_id, payload_bytes, d.payload_digest,
-  case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type,
-  case when first <> page_id then first end as refers_to
-from d left join f on f.payload_digest = d.payload_digest
+f as (select *, min(page_id) over (partition by payload_digest) as first,
+    row_number() over (partition by payload_digest order by page_id nulls last) as nth from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and nth > 1 then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and nth > 1 then first end as refers_to
+from f
 """
