@@ -250,3 +250,22 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: links and component of every vector at a cosine of 0.95."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return linked(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: All pairs by their cosine, and what links reach.
+ORACLE = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size from v),
+l as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) / (a.size * b.size) >= 0.95),
+r(node, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from r join l on l.a = r.node),
+c as (select node, min(root) as component_id from r group by node),
+k as (select a, count(*) as n from l group by a)
+select e.vec_id, coalesce(k.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join c on c.node = e.vec_id left join k on k.a = e.vec_id
+"""

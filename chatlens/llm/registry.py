@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, chat, decontaminate, warc
+from . import ann, chat, decontaminate, pivots, warc
 from .align import op13_tokenizer_alignment
 from .common import Query
 from .decontaminate import op8_benchmark_decontamination
@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {"op1_chat_formatting": chat.ORACLE, "op3_warc": warc.ORACLE, "op7_nearest_neighbours": ann.ORACLE,
-                          "op8_benchmark_decontamination": decontaminate.ORACLE}
+                          "op8_benchmark_decontamination": decontaminate.ORACLE,
+                          "op11_embedding_near_dedup": pivots.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
