@@ -13,7 +13,7 @@ from ..functions.fixed_values import (LOCAL_TIME_ZONE, QUALITY_LENGTH_BANDS,
 from ..functions.rules import RuleSet, default_topic_rules, purpose_rules
 from .files import ACCOUNT_NAMES, MAPPED
 from .bridge import BASE_EPOCH, DAY_SPREAD, DEPARTMENTS, PROMPT_PHRASES
-from .registry import (CUSTOM_RULES_JSON, DEPARTMENT_MAP, REPORT_MONTH, REPORT_YEAR, STAFF, VIEW_CONVERSATION,
+from .registry import (CUSTOM_RULES_JSON, DEPARTMENT_MAP, REPORT_MONTH, REPORT_YEAR, RULE_WORD, STAFF, VIEW_CONVERSATION,
                        VIEW_DEPARTMENT)
 
 WORD_RE = r"[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
@@ -346,6 +346,13 @@ def more_oracles() -> dict[str, str]:
         "conversation_topic": f"WITH p AS (SELECT *, lower(text) AS lt, {words_sql('text')} AS word_count FROM conversations WHERE role = 'user')\n"
         f"SELECT conv_id, turn, {tag_sql('lt', topic)} AS topic, {purpose_sql('text', 'lt')} AS purpose, "
         f"{quality_sql('text', 'lt', 'word_count')} AS prompt_quality, word_count FROM p",
+        "document_topic_by_table": _documents_select(f"doc_id, {tag_sql('lt', topic)} AS topic"),
+        "document_item_rules": "WITH kw AS (SELECT lower(w) AS kw, min(item_id) AS item FROM (SELECT item_id, unnest(string_split(text, ' ')) "
+        f"AS w FROM benchmark) WHERE length(w) >= {RULE_WORD} GROUP BY 1), t AS (SELECT DISTINCT text, lower(text) AS lt FROM documents),\n"
+        "hit AS (SELECT text, min(item) AS item FROM t JOIN kw ON contains(lt, kw) GROUP BY text)\n"
+        f"SELECT doc_id, coalesce('item ' || item, {q(topic.fallback)}) AS first_item FROM documents LEFT JOIN hit USING (text)",
+        "custom_rules_by_table": with_(messages_cte(), month_cte(), prompts_cte(custom))
+        + "SELECT department, topic, count(*) AS prompts FROM prompts GROUP BY department, topic",
         "kpi_bands": "WITH m AS (SELECT o_orderkey, o_orderkey * 7 % 260 AS prompts, o_orderkey * 3 % 32 AS active_days, "
         "o_orderkey * 5 % 21 AS unique_topics, CAST(o_orderkey * 11 % 130 AS DOUBLE) / 10.0 AS avg_prompts_per_conversation, "
         "CAST(o_orderkey * 13 % 500 AS DOUBLE) / 10.0 AS avg_words_per_prompt FROM orders)\n"

@@ -25,6 +25,7 @@ from ..operators.partitioning import with_text_partitions
 from ..operators.period import filter_month
 from ..operators import views
 from ..operators.position import with_position
+from ..operators.rule_table import rule_rows, tag_by_table
 from .bridge import bridge_raw, load_messages, read_table
 from ..session import written
 from ..sources.exports import flatten_exports
@@ -37,6 +38,8 @@ STAFF = {"dept_1": 2, "dept_3": 3, "dept_4": 4}
 DEPARTMENT_MAP = [("dept_0", "Kế toán"), ("dept_2", "Kinh doanh"), ("dept_4", None)]
 CUSTOM_RULES_JSON = ('{"Tài chính": ["ngân sách", "doanh thu"], "Soạn thảo": ["viết", "email", "tóm tắt"], '
                      '"Kỹ thuật": ["code", "bug", "python"], "Trống": []}')
+#: Shortest benchmark word that is a keyword of ``document_item_rules``.
+RULE_WORD = 8
 
 
 def compare_ready(df: DataFrame) -> DataFrame:
@@ -283,6 +286,31 @@ def q_conversation_topic(spark, sf_dir):
     return tag_texts(turns).select("conv_id", "turn", "topic", "purpose", "prompt_quality", "word_count")
 
 
+def q_document_topic_by_table(spark, sf_dir):
+    """The default topic rules held as a table and matched by a join: the labels of ``document_topic``."""
+    rules = rule_rows(spark, default_topic_rules())
+    return tag_by_table(with_text_partitions(_documents(spark, sf_dir)), rules).select("doc_id", "topic")
+
+
+def item_rules(benchmark: DataFrame) -> DataFrame:
+    """(rank, label, keyword): a rule per benchmark item, its keywords the item's words of ``RULE_WORD`` characters or more."""
+    word = benchmark.select("item_id", F.explode(F.split("text", " ")).alias("keyword"))
+    return word.where(F.char_length("keyword") >= RULE_WORD).select(
+        F.col("item_id").alias("rank"), F.concat(F.lit("item "), "item_id").alias("label"), "keyword").distinct()
+
+
+def q_document_item_rules(spark, sf_dir):
+    """Rules that come from a table and grow with it: the first benchmark item with a long word that is in the document."""
+    rules = written(item_rules(read_table(spark, sf_dir, "benchmark")), "rules")
+    return tag_by_table(with_text_partitions(_documents(spark, sf_dir)), rules, "first_item").select("doc_id", "first_item")
+
+
+def q_custom_rules_by_table(spark, sf_dir):
+    """The user's rules as a table through the whole analysis: the rows of ``custom_rules``."""
+    rules = rule_rows(spark, RuleSet.from_json(CUSTOM_RULES_JSON))
+    return _month_analysis(spark, sf_dir, topic_rules=rules).by_department_topic().drop("month")
+
+
 def q_kpi_bands(spark, sf_dir):
     """The rating ladder over five metrics derived from the keys of ``orders``, so that every band occurs."""
     k = F.col("o_orderkey")
@@ -414,6 +442,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_terms": q_prompt_terms,
     "prompt_tfidf": q_prompt_tfidf,
     "conversation_topic": q_conversation_topic,
+    "document_topic_by_table": q_document_topic_by_table,
+    "document_item_rules": q_document_item_rules,
+    "custom_rules_by_table": q_custom_rules_by_table,
     "kpi_bands": q_kpi_bands,
     "ingest_shapes": q_ingest_shapes,
     "ingest_record_mode": q_ingest_record_mode,

@@ -114,7 +114,7 @@ class Analysis:
     messages: DataFrame
     year: int | None = None
     month: int | None = None
-    topic_rules: RuleSet = field(default_factory=default_topic_rules)
+    topic_rules: RuleSet | DataFrame = field(default_factory=default_topic_rules)  # or a table (rank, label, keyword)
     purpose: RuleSet = field(default_factory=purpose_rules)
     department_map: DataFrame | None = None
     staff: object = None
