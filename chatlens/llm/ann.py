@@ -157,13 +157,17 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, relax: float = 1.0,
     Only vectors of equal length meet. Null, zero and not finite vectors and null vec_ids
     take no part. Repeated vec_ids are candidates each, but never for a query of the same
     vec_id; a repeated query is answered once, for one of its vectors (the smallest). Fewer than
-    ``k`` candidates give fewer rows; an empty table gives none.
+    ``k`` candidates give fewer rows; an empty table gives none. Repeated rows share a shard as ``k`` rows at
+    most, so that a row repeated any number of times makes no shard larger.
     """
     good = usable(rows)
     dims = good.groupBy(F.size("v").alias("dim")).agg(
         F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("largest"))
     dims = written(dims.select("dim", F.ceil(F.col("n") / shard_size).cast("int").alias("shards"), "largest"), "dims")
-    placed = good.withColumn("dim", F.size("v")).join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "shards").cast("int"))
+    # Rows equal in vec_id and vector are one row with a count before they move: of n such rows no query can return more than k.
+    once = good.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    once = once.select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))).alias("copy")).drop("copy")
+    placed = once.withColumn("dim", F.size("v")).join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "shards").cast("int"))
 
     def matrix(col: pa.ChunkedArray, n: int) -> np.ndarray:
         return np.asarray(col.combine_chunks().flatten()).reshape(n, -1)

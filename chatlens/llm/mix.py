@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .common import DOC_ID, apart, counted, packed, table, text_hash, unpacked, word_count, written
 
 WEIGHTS, MOST, FAN_IN, SEED = (1, 2, 3), 3, 64, 7
+#: Alike rows that one array deals out; longer groups are dealt out in so long stretches, by many tasks.
+STRETCH = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -134,13 +136,22 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         "doc_id", "source", "size", "rows", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"))
 
 
+def _dealt(plan: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """A row per ``at`` from 1 to ``rows``. Groups of more than ``stretch`` are cut into stretches, which are spread over tasks first."""
+    upto = F.least("rows", (F.col("part") + 1) * stretch)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / stretch).cast("long")))
+    long = plan.where(F.col("rows") > stretch).withColumn("part", parts).repartition("doc_id", "source", "size", "part")
+    spread = long.withColumn("at", F.explode(F.sequence(F.col("part") * stretch + 1, upto))).drop("part")
+    return plan.where(F.col("rows") <= stretch).withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).unionByName(spread)
+
+
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): one row per row of ``docs``.
 
     copies of alike rows differ by one at most; taken = copies * size. Reruns agree.
     """
-    plan = mix_plan(docs, **kw)
-    one = plan.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    plan = written(mix_plan(docs, **kw), "plan")
+    one = _dealt(plan)
     copies = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("at") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
     return one.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn(
         "taken", F.col("copies") * F.col("size"))

@@ -208,6 +208,15 @@ def test_neighbours_exact(spark, shard, block):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_a_row_repeated_many_times_makes_no_large_shard(spark):
+    v = [(i, [float(i % 7) + 1, float(i % 11)]) for i in range(1, 60)] + [(61, [9.0, 9.0])] * 500 + [(62, [9.0, 9.0])] * 3
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(4)
+    expected = neighbours_brute(v, 20)
+    assert sorted(tuple(r) for r in ann.search(df, shard_size=10).collect()) == expected
+    assert sorted(tuple(r) for r in ann.search(df, k=5, shard_size=10_000).collect()) == neighbours_brute(v, 5)
+    assert {r[2] for r in expected} == {61} and len(expected) == 40
+
+
 def test_relaxed_search_leaves_out_and_keeps_recall():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))

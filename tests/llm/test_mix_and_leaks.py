@@ -67,6 +67,15 @@ def test_mix_texts_agrees_with_the_plan(spark):
     assert mix.mix(df.limit(0)).count() == 0
 
 
+def test_long_groups_are_dealt_in_stretches(spark):
+    rows = [(1, "a", 5, 23, 30), (None, None, 5, 10, 3), (2, "a", 5, 1, 1), (3, "b", 0, 11, 0)]
+    plan = spark.createDataFrame(rows, "doc_id long, source string, size long, rows long, copies long")
+    every = sorted((str(r["doc_id"]), r["at"], r["copies"]) for r in mix._dealt(plan).collect())
+    assert every == sorted((str(d), at, c) for d, _, _, n, c in rows for at in range(1, n + 1))
+    for stretch in (1, 4, 10, 22, 23):
+        assert sorted((str(r["doc_id"]), r["at"], r["copies"]) for r in mix._dealt(plan, stretch).collect()) == every
+
+
 def test_pivotal_rounding_sums_and_marginals(spark):
     p = [0.1, 0.3, 0.45, 0.5, 0.65, 0.9] * 50
     entries = spark.createDataFrame([(k, 1, k % 9 + 1, x) for k, x in enumerate(p)], "k long, grp long, size long, p double")
