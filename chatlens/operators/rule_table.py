@@ -1,9 +1,10 @@
 """Keyword rules held as a table ``(rank, label, keyword)`` and matched by a join (SRC-14, UDF-2).
 
 The compiled form (``functions.rules.tag_sql``) puts every keyword into the plan and tests each on every text: right
-for tens of rules, not for thousands. Here a keyword is looked up by one of its n-grams, its anchor: a text is cut
-into pieces, a piece into its distinct n-grams, these meet the anchors, and only keywords whose anchor occurs are
-compared with the piece. The plan has one size for any rule set, and a text costs what its own n-grams cost.
+for tens of rules, not for thousands. Here a keyword is looked up by n-grams of its own, its anchors: a text is cut
+into pieces, a piece into its distinct words, and these meet the anchors of each keyword's longest word with every
+``stride``-th of their n-grams. Only keywords with an anchor in a word are compared with that word, and those of several words
+with the piece too. The plan has one size for any rule set, and a text costs what its words of the keywords' lengths cost.
 
 The texts do not move: anchors go to them (broadcast up to ``BROADCAST_BYTES``, beyond that a shuffled join on the
 n-gram, which Spark may split), hits are reduced to the lowest rank per key before anything is exchanged, and labels
@@ -18,8 +19,12 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import FALLBACK_LABEL
 from ..functions.rules import RuleSet
 
-#: Longest n-gram that anchors a keyword; shorter keywords are their own anchor.
+#: Shortest n-gram that anchors a keyword; shorter keywords are their own anchor.
 GRAM = 3
+#: Longest n-gram and widest stride, reached if no keyword of ``GRAM`` characters or more has under 8.
+LONG_GRAM, STRIDE = 5, 4
+#: Characters between the words of a text, as in a regular expression's brackets.
+GAP = r" \t\r\n"
 #: Characters of a piece of text. Pieces overlap by the longest keyword.
 PIECE = 4096
 #: Anchors of up to so many bytes are sent to the texts.
@@ -44,22 +49,42 @@ def _labels(rules: DataFrame) -> DataFrame:
         F.min("label").alias("label"))
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All n-grams of a text in one pass, repeats included."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def _grams(text: Column, n: int, stride: int = 1) -> Column:
+    """The n-grams of a text that begin at multiples of ``stride``, in one pass, repeats included."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).{{1,{stride}}}"), F.lit(1))
 
 
-def anchors(rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def anchors(rules: DataFrame, counts: DataFrame | None = None, gram: int = GRAM, stride: int = 1) -> DataFrame:
     """(gram, keyword, rank): each keyword with its rarest n-gram, ties to the smallest gram.
 
+    With a stride, that many n-grams in a row, rarest in sum: wherever the keyword stands in a word, one of them begins
+    at a multiple of the stride. Keywords of ``GRAM`` characters or more must have ``gram + stride - 1``.
     Rare by ``counts`` (gram, n; n-grams that it lacks count 0) if given, such as ``gram_counts`` of the texts; else by the
     number of keywords that hold the n-gram. Any choice gives the same labels.
     """
-    own = F.when(F.char_length("keyword") < GRAM, F.array("keyword")).otherwise(F.array_distinct(_grams(F.col("keyword"), GRAM)))
-    held = _keywords(rules).where("keyword <> ''").select("keyword", "rank", F.explode(own).alias("gram"))
-    n = counts.select("gram", "n") if counts is not None else held.groupBy("gram").agg(F.count("*").alias("n"))
-    rated = held.join(n, "gram", "left").select("keyword", "rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("x"))
-    return rated.groupBy("keyword", "rank").agg(F.min("x")["gram"].alias("gram")).select("gram", "keyword", "rank")
+    own = F.when(F.char_length("keyword") < GRAM, F.array("keyword")).otherwise(_grams(F.col("keyword"), gram))
+    rows = _keywords(rules).where("keyword <> ''").select("keyword", "rank", own.alias("own"))
+    n = counts.select("gram", "n") if counts is not None else rows.select(F.explode(F.array_distinct("own")).alias("gram")).groupBy(
+        "gram").agg(F.count("*").alias("n"))
+    first = F.sequence(F.lit(1), F.greatest(F.size("own") - (stride - 1), F.lit(1)))
+    row = F.array_distinct(F.transform(first, lambda i: F.slice(F.col("own"), i, stride)))
+    held = rows.select("keyword", "rank", F.explode(row).alias("grams")).select("*", F.explode(F.array_distinct("grams")).alias("gram"))
+    rated = held.join(n, "gram", "left").groupBy("keyword", "rank", "grams").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = rated.groupBy("keyword", "rank").agg(F.min(F.struct("n", "grams"))["grams"].alias("grams"))
+    return best.select(F.explode(F.array_distinct("grams")).alias("gram"), "keyword", "rank")
+
+
+def _run(keyword: Column) -> Column:
+    """The longest word of a keyword, ties to the smallest; the keyword itself if it is all gaps."""
+    words = F.regexp_extract_all(keyword, F.lit(f"[^{GAP}]+"), F.lit(0))
+    longest = F.array_min(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w"))))["w"]
+    return F.coalesce(longest, keyword)
+
+
+def _cut(shortest: int, any_gram: bool) -> tuple[int, int]:
+    """(gram, stride) for keywords of ``shortest`` characters or more."""
+    gram = max(GRAM, min((shortest + 2) // 2, LONG_GRAM)) if any_gram else GRAM
+    return gram, min(shortest - gram + 1, STRIDE)
 
 
 def _pieces(lowered: Column, longest: int) -> Column:
@@ -82,19 +107,35 @@ def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def first_ranks(texts: DataFrame, rules: DataFrame, key: list[str], text_col: str = "text",
                 counts: DataFrame | None = None) -> DataFrame:
     """(key, rank): the first rule with a keyword in the lower-cased text; only keys with a hit."""
-    found = anchors(rules, counts)
-    # The rule table is read once for three numbers; texts are not.
-    size = found.agg(F.max(F.char_length("keyword")).alias("longest"), F.sum(F.octet_length("keyword") + 48).alias("bytes"),
-                     F.collect_set(F.char_length("gram")).alias("lengths")).first()
-    empty = _keywords(rules).where("keyword = ''").agg(F.min("rank").alias("rank")).first()["rank"]
+    held = _keywords(rules).withColumn("run", _run(F.col("keyword")))
+    n, gapped = F.char_length("run"), F.col("run") != F.col("keyword")
+    # The rule table is read once for these numbers; texts are not.
+    size = held.agg(
+        F.min(F.when(F.col("keyword") == "", F.col("rank"))).alias("empty"), F.max(F.char_length("keyword")).alias("longest"),
+        F.min(F.when(n > 0, n)).alias("shortest"), F.min(F.when(n >= GRAM, n)).alias("long"),
+        F.collect_set(F.when(n.between(1, GRAM - 1), n)).alias("short"), F.max(gapped).alias("gapped"),
+        F.max((n > 0) & ~F.col("run").rlike(f"[^{GAP}]")).alias("blank"),
+        F.sum(F.octet_length("run") + F.when(gapped, F.octet_length("keyword")).otherwise(0) + 48).alias("bytes")).first()
+    empty = size["empty"]
     lowered = texts.select(*key, F.lower(F.col(text_col)).alias("_lt")).where(F.col("_lt").isNotNull())
     hits = None
     if size["longest"]:
-        each = [F.array_distinct(_grams(F.col("_piece"), n)) for n in sorted(size["lengths"])]
-        grams = lowered.select(*key, F.explode(_pieces(F.col("_lt"), size["longest"])).alias("_piece")).select(
-            *key, "_piece", F.explode(F.flatten(F.array(*each))).alias("gram"))
-        side = F.broadcast(found) if size["bytes"] <= BROADCAST_BYTES else found
-        hits = grams.join(side, "gram").where(F.contains("_piece", "keyword")).select(*key, "rank")
+        gram, stride = _cut(size["long"] or GRAM, counts is None)
+        if size["bytes"] <= BROADCAST_BYTES < size["bytes"] * stride:
+            gram, stride = GRAM, 1  # one row a keyword can still be sent to the texts
+        found = anchors(held.select(F.col("run").alias("keyword"), F.lit(0).alias("rank")), counts, gram, stride).select(
+            "gram", F.col("keyword").alias("run")).join(held, "run")
+        side = F.broadcast(found) if size["bytes"] * stride <= BROADCAST_BYTES else found
+        word = f"[^{GAP}]{{{size['shortest']},}}" + (f"|[{GAP}]{{{size['shortest']},}}" if size["blank"] else "")
+        each = [_grams(F.col("_word"), k) for k in sorted(size["short"])] + ([_grams(F.col("_word"), gram, stride)] if size["long"] else [])
+        kept = [*key, "_piece"] if size["gapped"] else key
+        words = lowered.select(*key, F.explode(_pieces(F.col("_lt"), size["longest"])).alias("_piece")).select(
+            *kept, F.explode(F.array_distinct(F.regexp_extract_all("_piece", F.lit(word), F.lit(0)))).alias("_word"))
+        grams = words.select(*kept, "_word", F.explode(F.array_distinct(F.flatten(F.array(*each)))).alias("gram"))
+        hits = grams.join(side, "gram").where(F.contains("_word", "run"))
+        if size["gapped"]:
+            hits = hits.where(~gapped | F.contains("_piece", "keyword"))
+        hits = hits.select(*key, "rank")
     if empty is not None:  # the empty keyword is in every text
         every = lowered.select(*key, F.lit(empty).cast("long").alias("rank"))
         hits = every if hits is None else hits.unionByName(every)

@@ -117,3 +117,61 @@ def test_the_side_joined_back_by_key_reads_no_text(spark, scratch_dir):
     plan = tag_by_table(spark.read.parquet(f"{scratch_dir}/t"), table, key=["id"]).select("id", "topic")
     schemas = [line for line in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in line]
     assert len(schemas) == 2 and sum("text" in s.split("ReadSchema")[1] for s in schemas) == 1
+
+
+def _rows_made(df, node):
+    """(rows of all nodes whose name begins with ``node``) of the plan that ran."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            rows += p.metrics().apply("numOutputRows").value() if name.startswith(node) else 0
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+def test_a_text_costs_its_words_of_the_keywords_lengths(spark):
+    rng = random.Random(7)
+    word = lambda low, high: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(low, high)))
+    texts = [" ".join(word(8, 12) if k % 10 == 0 else word(1, 9) for k in range(700)) for _ in range(20)]
+    rules = spark.createDataFrame([(k, f"r{k}", word(8, 12)) for k in range(50)] + [(50, "in", texts[3].split()[10][-8:])],
+                                  "rank int, label string, keyword string")
+    got = tag_by_table(_texts(spark, texts), rules)
+    assert _rows_made(got, "Generate") < sum(map(len, texts)) / 5
+    assert {r["id"] for r in got.collect() if r["topic"] == "in"} == {3}
+
+
+@pytest.mark.parametrize("shortest", [3, 5, 8, 13])
+@pytest.mark.parametrize("bound", [None, 0, 2500])
+def test_long_keywords_of_words_and_gaps(spark, monkeypatch, shortest, bound):
+    monkeypatch.setattr(rule_table, "PIECE", 17)
+    if bound is not None:
+        monkeypatch.setattr(rule_table, "BROADCAST_BYTES", bound)
+    rng = random.Random(shortest)
+    some = lambda low, high: "".join(rng.choices("ab𝒳 \n\t", [6, 6, 1, 2, 1, 1], k=rng.randint(low, high)))
+    texts = [some(0, 90) for _ in range(150)] + ["a" * 50, " " * 30, "\n\n", None, ""]
+    cut = [t[i:i + rng.randint(shortest, shortest + 8)] for t in texts[:12] for i in [rng.randint(0, 20)]]
+    for words in ([k.replace(" ", "").replace("\n", "").replace("\t", "") + "b" * shortest for k in cut], cut, cut + ["  ", "\n\t", " "]):
+        rules = RuleSet.of([(f"r{n}", [k]) for n, k in enumerate(k for k in words if k)])
+        df = _texts(spark, texts)
+        expected = _compiled(df, rules)
+        assert _by_table(df, rule_rows(spark, rules)) == expected
+    assert _by_table(df, rule_rows(spark, rules), counts=gram_counts(df)) == expected
+    assert len(set(expected.values())) > 3
+
+
+def test_anchors_in_a_row_meet_every_place_of_a_keyword(spark):
+    rules = rule_rows(spark, RuleSet.of([("a", ["abcdefghij", "aaaaaaaa", "xy"])]))
+    held = {}
+    for r in anchors(rules, None, 5, 4).collect():
+        held.setdefault(r["keyword"], set()).add(r["gram"])
+    assert held == {"abcdefghij": {"abcde", "bcdef", "cdefg", "defgh"}, "aaaaaaaa": {"aaaaa"}, "xy": {"xy"}}
+    df = _texts(spark, ["z" * k + "ABCDEFGHIJ" + "z" * (9 - k) for k in range(10)] + ["abcdefghi j"])
+    long = rule_rows(spark, RuleSet.of([("a", ["abcdefghij"])]))
+    assert _by_table(df, long) == {k: "a" for k in range(10)} | {10: "Khác"}
