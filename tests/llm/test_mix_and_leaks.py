@@ -179,3 +179,11 @@ def test_long_items_by_broadcast_and_by_shuffle_agree(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = [sorted(map(str, decontaminate.overlaps(d, b, **kw).collect())) for kw in ({}, {"broadcast_seeds": 0}, {"broadcast_bytes": 0})]
     assert got[0] == got[1] == got[2] and len(got[0]) > 30
+
+
+def test_documents_are_not_shuffled_for_few_leaks(spark):
+    docs, items = leak_rows()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    plan = decontaminate.decontaminate(d, b)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
