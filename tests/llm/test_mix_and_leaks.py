@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatlens.llm import decontaminate, mix
 
@@ -187,3 +188,37 @@ def test_documents_are_not_shuffled_for_few_leaks(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     plan = decontaminate.decontaminate(d, b)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_bitmap_lets_every_seed_through_and_little_else(spark):
+    seeds = spark.range(30_000).select("id", F.xxhash64("id").alias("key"))
+    keyed = spark.range(10_000, 230_000).select("id", F.lit("x").alias("x"), F.xxhash64("id").alias("key"))
+    for most, share in ((16 << 20, 0.08), (0, 0.08)):  # 64 KB are 17 bits a seed
+        left = {r["id"] for r in decontaminate._possible(keyed, seeds.select("key"), 30_000, most).collect()}
+        assert left >= set(range(10_000, 30_000)) and len(left) < 20_000 + share * 200_000
+    twice = keyed.unionAll(keyed.where("id < 10010"))
+    assert decontaminate._possible(twice, seeds.select("key"), 30_000, 0).where("id < 10010").count() == 20
+    assert decontaminate._possible(keyed, seeds.select("key").limit(0), 0, 0).count() == 0
+
+
+def test_hashes_without_a_seed_do_not_move(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    items = [(k, " ".join(word() for _ in range(30))) for k in range(20)]
+    docs = [(k, " ".join(word() for _ in range(200)) + (" " + items[k][1] if k < 20 else "")) for k in range(300)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    joined = []
+    plain = decontaminate.written
+
+    def seen(df, name):
+        if name == "diagonals":  # the rows of both sides that meet by their hash
+            joined.append(df)
+        return plain(df, name)
+
+    decontaminate.written = seen
+    try:
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b, broadcast_seeds=0).collect()}
+    finally:
+        decontaminate.written = plain
+    assert got == {(k, k) for k in range(20)}
+    assert "words#" in joined[0]._jdf.queryExecution().optimizedPlan().toString()
